@@ -38,26 +38,34 @@ def r6(x: Column | str) -> Column:
     return F.round(_c(x), 6)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda
+    variable. Catalyst does not share sub-expressions across lambda
+    boundaries, so an outer expression used inside ``transform`` would be
+    recomputed for every element without this binding."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def array_softmax(logits: Column | str) -> Column:
-    """Softmax of an array of logits (max-shifted), elements as DOUBLE."""
-    a = F.transform(_c(logits), lambda v: v.cast("double"))
-    m = F.array_max(a)
-    e = F.transform(a, lambda v: F.exp(v - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(e, lambda v: v / s)
+    """Softmax of an array of logits (max-shifted), elements as DOUBLE.
+    Linear in the array length."""
+    return let(_c(logits).cast("array<double>"), lambda a:
+               let(F.array_max(a), lambda m:
+                   let(F.transform(a, lambda v: F.exp(v - m)), lambda e:
+                       let(F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v), lambda s:
+                           F.transform(e, lambda v: v / s)))))
 
 
 def array_argmax(values: Column | str) -> Column:
     """0-based index of the first maximum of an array (NULL for empty)."""
-    a = _c(values)
-    return (F.array_position(a, F.array_max(a)) - 1).cast("long")
+    return let(_c(values), lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("long"))
 
 
 def array_logsumexp(logits: Column | str) -> Column:
-    """``ln(sum(exp(x)))`` over an array, max-shifted."""
-    a = F.transform(_c(logits), lambda v: v.cast("double"))
-    m = F.array_max(a)
-    return m + F.log(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + F.exp(v - m)))
+    """``ln(sum(exp(x)))`` over an array, max-shifted, linear in length."""
+    return let(_c(logits).cast("array<double>"), lambda a:
+               let(F.array_max(a), lambda m:
+                   m + F.log(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + F.exp(v - m)))))
 
 
 def left_pad_array(a: Column | str, length: int, value) -> Column:

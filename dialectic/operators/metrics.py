@@ -125,7 +125,8 @@ def study_results(trials: DataFrame) -> DataFrame:
     (one row per trial, written with ``write_json_lines``); no single-row
     collection of all trials."""
     v = F.coalesce(F.col("value"), F.lit(float("inf")))
-    best = best_trial(trials).select(F.col("number").alias("best_number"))
+    # Scalar subquery: the winner's number is computed once and inlined.
+    best_no = best_trial(trials).select("number").scalar()
     return (trials.withColumn("value", v)
-                  .crossJoin(F.broadcast(best))  # one row by construction
+                  .withColumn("best_number", best_no)
                   .withColumn("is_best", F.col("number") == F.col("best_number")))

@@ -133,13 +133,15 @@ def with_positions(df: DataFrame, out: str = "pos") -> DataFrame:
 def dedup_prompts(df: DataFrame, out: str = "sample_index") -> DataFrame:
     """Keep the first row (lowest ``row_id``) of every prompt, renumbered 0..n-1.
 
-    The winner is found by an aggregate (``min`` of a struct led by
-    ``row_id``), so a hot prompt is reduced map-side before the shuffle.
+    The winner is found by ``min(row_id)`` per prompt (reduced map-side, so
+    a hot prompt costs one row per task), then the full rows are kept by a
+    join on the unique ``row_id``; numbering runs on the slim winners only,
+    so long texts cross one shuffle at most.
     """
     cols = [c for c in df.columns if c not in ("row_id", "prompt")]
-    best = df.groupBy("prompt").agg(F.min(F.struct("row_id", *cols)).alias("_w"))
-    kept = best.select("prompt", "_w.*")
-    return with_positions(kept, out).select(out, "row_id", "prompt", *cols)
+    firsts = df.groupBy("prompt").agg(F.min("row_id").alias("row_id")).select("row_id")
+    numbered = with_positions(firsts, out)          # slim: (row_id, out)
+    return df.join(numbered, "row_id").select(out, "row_id", "prompt", *cols)
 
 
 def pick_positions(df: DataFrame, positions: list[int] | None = DEFAULT_PICK_POSITIONS,

@@ -1,13 +1,13 @@
 """Discussion threads: OP comments, recursive walks, nested thread records.
 
 The per-seed recursive query of the original (one round trip per OP comment)
-becomes ONE set-oriented walk for all seeds: a frontier ``(start_id, id,
-probe, depth)`` is joined with a slim node table ``(key, id, probe)`` once
-per level. The node table is hash-partitioned by its join key and checkpointed
-once, so each level shuffles only the frontier (or AQE broadcasts the
-frontier when it measures it small). Comment attributes are attached once at
-the end. Lineage is cut with reliable checkpoints in the shared checkpoint
-folder, so a lost executor only recomputes one level.
+becomes ONE set-oriented walk for all seeds: a frontier ``(start_id, probe,
+depth)`` is joined with the node table ``(key, probe, comment columns)``
+once per level. The node table is hash-partitioned by its join key and kept,
+so each level shuffles only the frontier (or AQE broadcasts the frontier
+when it measures it small). Each level is written to the shared checkpoint
+folder and read back, which cuts lineage per level and keeps the driver's
+plan small however deep the threads are.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialectic.functions.text import DELTA_SYMBOLS, contains_any, strip_type_prefix
-from dialectic.session import checkpoint_dir
+from dialectic.session import scratch_dir
 
 COMMENT_ATTRS = ["author", "body", "parent_id", "link_id", "created_utc"]
 
@@ -90,80 +90,78 @@ def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _materialize(df: DataFrame, reliable: bool) -> DataFrame:
-    if reliable:
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int,
-          checkpoint_every: int) -> Walk:
+def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int) -> Walk:
     spark = comments.sparkSession
-    checkpoint_dir(spark)  # resolve/validate the shared folder up front
+    base = scratch_dir(spark, f"walk-{direction}")
     n = _num_partitions(comments)
     seeds = seeds.select(F.col(seeds.columns[0]).alias("start_id")).distinct()
 
-    # Node table (_key, id, _probe): a frontier row whose _probe equals _key
-    # reaches node ``id``; the new row probes with the node's own _probe.
+    # Node table (_key, _probe, id, attrs): a frontier row whose _probe
+    # equals _key reaches this comment row; the new frontier row probes with
+    # the node's own _probe. Each reached row carries its own attributes, so
+    # duplicate ids behave like UNION ALL over the rows that matched.
     cid, pref = F.col("id"), strip_type_prefix("parent_id")
-    self_rows = comments.select(cid.alias("_key"), cid.alias("id"),
-                                (pref if direction == "up" else cid).alias("_probe"))
+    attrs = [F.col(c) for c in ["id", *COMMENT_ATTRS]]
+    self_rows = comments.select(cid.alias("_key"), (pref if direction == "up" else cid).alias("_probe"), *attrs)
     if direction == "up":
         nodes = self_rows            # parent ref (prefix stripped blindly) -> parent row
     else:
-        nodes = comments.select(pref.alias("_key"), cid.alias("id"), cid.alias("_probe"))
+        nodes = comments.select(pref.alias("_key"), cid.alias("_probe"), *attrs)
+    # Hash-partitioned once by the probe key and kept: every level then
+    # shuffles only the (slim) frontier. Lineage is one scan, so plain
+    # persistence survives executor loss by recomputing lost blocks.
     nodes = nodes.where(F.col("_key").isNotNull()).repartition(n, "_key")
-    nodes = _materialize(nodes, True)
-
-    def hop(frontier: DataFrame, table: DataFrame, key: str) -> DataFrame:
-        f = frontier.select("start_id", F.col(key).alias("_want"), "depth")
-        return f.join(table, F.col("_want") == F.col("_key")).select(
-            "start_id", "id", "_probe", (F.col("depth") + 1).alias("depth"))
-
-    # Level 0: the seed comments themselves (inner join keeps duplicate ids).
-    seed_rows = seeds.withColumn("depth", F.lit(-1).cast("long"))
-    level = _materialize(hop(seed_rows, nodes if direction == "up" else self_rows, "start_id"), False)
-    levels = [level]
-    depth = 0
-    stuck = None
+    nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def hop(frontier: DataFrame, table: DataFrame) -> DataFrame:
+        return frontier.join(table, F.col("_want") == F.col("_key")).select(
+            "start_id", "_probe", "id", *COMMENT_ATTRS)
+
+    # Every level is appended to the shared folder and read back: lineage is
+    # cut at each level (a lost executor never replays earlier levels) and
+    # the final result is one scan, not a union of ever-growing plans.
+    frontier = seeds.select("start_id", F.col("start_id").alias("_want"))
+    first = nodes if direction == "up" else self_rows
+    depth, stuck = 0, None
     while True:
-        depth += 1
-        nxt = _materialize(hop(level, nodes, "_probe"), reliable=(depth % checkpoint_every == 0))
-        if nxt.isEmpty():
+        path = f"{base}/depth={depth}"
+        hop(frontier, first if depth == 0 else nodes).write.mode("overwrite").parquet(path)
+        written = spark.read.parquet(path)
+        if written.isEmpty():
             break
         if depth > max_depth:
-            stuck = nxt.groupBy("start_id").agg(F.min("depth").alias("depth"))
+            stuck = written.groupBy("start_id").agg(F.lit(depth).cast("long").alias("depth"))
             break
-        levels.append(nxt)
-        level = nxt
-
-    walked = levels[0]
-    for lv in levels[1:]:
-        walked = walked.unionByName(lv)
-    walked = walked.drop("_probe")
-    attrs = comments.select("id", *COMMENT_ATTRS)
-    rows = walked.join(attrs, "id").select("start_id", "id", "depth", *COMMENT_ATTRS)
+        frontier = written.select("start_id", F.col("_probe").alias("_want"))
+        depth += 1
+
+    if depth == 0 and stuck is None:
+        rows = spark.createDataFrame([], "start_id string, id string, depth long, author string, body string, "
+                                         "parent_id string, link_id string, created_utc long")
+    else:
+        levels = [f"{base}/depth={d}" for d in range(depth if stuck is None else max_depth + 1)]
+        rows = (spark.read.option("basePath", base).parquet(*levels)
+                .select("start_id", "id", F.col("depth").cast("long").alias("depth"), *COMMENT_ATTRS))
+    nodes.unpersist()
     if stuck is None:
         stuck = spark.createDataFrame([], "start_id string, depth long")
     else:
         rows = rows.join(stuck.select("start_id"), "start_id", "left_anti")
-    return Walk(rows=rows, stuck=stuck, levels=len(levels))
+    return Walk(rows=rows, stuck=stuck, levels=depth)
 
 
-def ancestor_walk(comments: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
-                  checkpoint_every: int = 4) -> Walk:
+def ancestor_walk(comments: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH) -> Walk:
     """Each seed plus all its ancestors up to the top-level comment
     (the parent that is no comment — the submission — ends the chain).
 
     ``seeds``: one-column DataFrame of comment ids.
     """
-    return _walk(comments, seeds, "up", max_depth, checkpoint_every)
+    return _walk(comments, seeds, "up", max_depth)
 
 
-def descendant_walk(comments: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
-                    checkpoint_every: int = 4) -> Walk:
+def descendant_walk(comments: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH) -> Walk:
     """Each seed plus every reply below it, at any depth."""
-    return _walk(comments, seeds, "down", max_depth, checkpoint_every)
+    return _walk(comments, seeds, "down", max_depth)
 
 
 def _thread_struct() -> F.Column:
