@@ -6,9 +6,10 @@ the order and has a bounded number of values. Each bucket is numbered in its
 own window partition; the bucket totals (one row per bucket, bounded by
 construction) get a running sum in one small task and are broadcast back.
 
-Work is two shuffles (one of them over the tiny bucket table); no task ever
-sees more than one bucket, so the plan scales with the cluster as long as
-buckets are even — true for hash-ordered keys and for distinct integer ids
+Inputs are slim key frames (callers join wide columns back by a unique
+key); they are checkpointed once, then shuffled once by bucket, plus one
+shuffle of the tiny bucket table. No task ever sees more than one bucket, so
+the plan scales with the cluster as long as buckets are even — true for hash-ordered keys and for distinct integer ids
 bucketed by range.
 """
 
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from dialectic.session import checkpoint_dir
+
 # Hex digits of an md5 digest used as the bucket of a hash order:
 # 4 digits -> at most 65,536 bucket rows in the broadcast offset table.
 HASH_BUCKET_HEX_DIGITS = 4
@@ -58,6 +61,7 @@ def ordered_running_sum(
     out: str = "idx",
     total: str | None = None,
     partition_cols: list[str] | None = None,
+    materialize: bool = True,
 ) -> DataFrame:
     """Add ``out`` = sum of ``value`` over all rows strictly before this row in
     the order ``(partition, bucket, *order_cols)``; with ``value`` unset the
@@ -70,10 +74,24 @@ def ordered_running_sum(
     part = list(partition_cols or [])
     val = F.lit(1).cast("long") if value is None else value
     d = df.withColumn("_bkt", bucket).withColumn("_val", val)
-
-    # Bucket totals: partial aggregation before the shuffle, one row per
-    # (group, bucket) after it.
-    sizes = d.groupBy(*part, "_bkt").agg(F.sum("_val").alias("_bsum"))
+    # The input feeds two branches (bucket numbering, bucket totals). Pass
+    # slim key frames only; they are written once to the shared checkpoint
+    # folder so the (often aggregated) input is computed once and a lost
+    # executor re-reads files instead of replaying the lineage.
+    if materialize:
+        checkpoint_dir(df.sparkSession)
+        d = d.checkpoint(eager=True)
+
+    # One shuffle by (group, bucket): the running sum inside each bucket and
+    # the bucket total come from the same partitioning.
+    w_b = Window.partitionBy(*part, "_bkt")
+    w_in = w_b.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = (d.withColumn("_loc", F.coalesce(F.sum("_val").over(w_in), F.lit(0)))
+              .withColumn("_bsum", F.sum("_val").over(w_b)))
+
+    # Bucket totals: already clustered by (group, bucket), so this aggregate
+    # adds no exchange and the scan/shuffle above is reused, not repeated.
+    sizes = local.groupBy(*part, "_bkt").agg(F.max("_bsum").alias("_bsum"))
     w_all = Window.partitionBy(*part) if part else Window.partitionBy()
     w_prev = w_all.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_boff", F.coalesce(F.sum("_bsum").over(w_prev), F.lit(0)))
@@ -81,15 +99,11 @@ def ordered_running_sum(
         offsets = offsets.withColumn(total, F.sum("_bsum").over(w_all))
     offsets = offsets.drop("_bsum")
 
-    w_in = (Window.partitionBy(*part, "_bkt").orderBy(*order_cols)
-            .rowsBetween(Window.unboundedPreceding, -1))
-    local = d.withColumn("_loc", F.coalesce(F.sum("_val").over(w_in), F.lit(0)))
-
     # Without a group key the offset table has one row per bucket (bounded by
     # construction) and is broadcast; per-group offsets scale with the groups
     # and are joined normally so AQE can choose from measured sizes.
     off = F.broadcast(offsets) if not part else offsets
-    res = local.join(off, on=[*part, "_bkt"], how="inner")
+    res = local.drop("_bsum").join(off, on=[*part, "_bkt"], how="inner")
     return res.withColumn(out, (F.col("_boff") + F.col("_loc")).cast("long")).drop(
         "_bkt", "_val", "_boff", "_loc")
 
@@ -112,9 +126,12 @@ def int_order_index(df: DataFrame, key: str, out: str = "idx", total: str | None
 
     Runs one small aggregate job to learn the key range for the buckets.
     """
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     bounds = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     if lo is None:
         lo, hi = 0, 0
     return ordered_running_sum(df, [F.col(key)], range_bucket(F.col(key), int(lo), int(hi)),
-                               value=value, out=out, total=total, partition_cols=partition_cols)
+                               value=value, out=out, total=total, partition_cols=partition_cols,
+                               materialize=False)

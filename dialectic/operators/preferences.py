@@ -88,13 +88,13 @@ def row_split(prefs: DataFrame, seed: int = DEFAULT_SEED,
     ``ceil(0.2*N)`` are test, the next ``ceil(0.25*(N - n_test))``
     validation, the rest train."""
     test_f, val_f = fractions
-    ranked = hash_order_index(prefs, F.col("row_id"), seed, out="_rank", total="_n")
+    ranked = hash_order_index(prefs.select("row_id"), F.col("row_id"), seed, out="_rank", total="_n")
     n_test = F.ceil(F.lit(float(test_f)) * F.col("_n"))
     n_val = F.ceil(F.lit(float(val_f)) * (F.col("_n") - n_test))
     split = (F.when(F.col("_rank") < n_test, F.lit("test"))
               .when(F.col("_rank") < n_test + n_val, F.lit("validation"))
               .otherwise(F.lit("train")))
-    return ranked.withColumn("split", split).drop("_rank", "_n")
+    return prefs.join(ranked.select("row_id", split.alias("split")), "row_id")
 
 
 def template_prompts(df: DataFrame, prefix: str = DEFAULT_TEMPLATE_PREFIX,
@@ -126,8 +126,11 @@ def preprocess(df: DataFrame, name: str | None, **kwargs) -> DataFrame:
 
 
 def with_positions(df: DataFrame, out: str = "pos") -> DataFrame:
-    """Dense 0-based position in ``row_id`` order (``enumerate``)."""
-    return int_order_index(df, "row_id", out=out)
+    """Dense 0-based position in ``row_id`` order (``enumerate``): numbered
+    on the slim ``row_id`` column, then joined back by it."""
+    if df.columns == ["row_id"]:
+        return int_order_index(df, "row_id", out=out)
+    return df.join(int_order_index(df.select("row_id"), "row_id", out=out), "row_id")
 
 
 def dedup_prompts(df: DataFrame, out: str = "sample_index") -> DataFrame:
@@ -193,14 +196,16 @@ def preference_pairs(labeled: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
     ``(prompt, k)`` — no pairs are enumerated, and a hot prompt is numbered
     in buckets, not in one task. Prompts without negatives produce nothing.
     """
-    neg = labeled.where(F.col("quality") == 0).select("prompt", "doc_id", "text")
-    neg = int_order_index(neg, "doc_id", out="k", total="n_neg", partition_cols=["prompt"])
-    counts = neg.select("prompt", "n_neg").distinct()
+    neg_all = labeled.where(F.col("quality") == 0)
+    neg = int_order_index(neg_all.select("prompt", "doc_id"), "doc_id", out="k", total="n_neg",
+                          partition_cols=["prompt"])
+    counts = neg_all.groupBy("prompt").agg(F.count(F.lit(1)).alias("n_neg"))
     pos = labeled.where(F.col("quality") == 1).select("prompt", "doc_id", "text")
     pos = pos.join(counts, "prompt").withColumn(
         "k", F.pmod(md5_int32(F.concat(F.lit(f"{seed}|"), F.col("doc_id").cast("string"))),
                     F.col("n_neg")))
-    n = neg.select("prompt", "k", F.col("doc_id").alias("rejected_id"), F.col("text").alias("rejected"))
-    return pos.join(n, ["prompt", "k"]).select(
+    n = neg.select("prompt", "k", F.col("doc_id").alias("rejected_id"))
+    texts = neg_all.select(F.col("doc_id").alias("rejected_id"), F.col("text").alias("rejected"))
+    return pos.join(n, ["prompt", "k"]).join(texts, "rejected_id").select(
         "prompt", F.col("doc_id").alias("chosen_id"), F.col("text").alias("chosen"),
         "rejected_id", "rejected")
