@@ -124,3 +124,21 @@ def zero_pad2(c: Column | str) -> Column:
     """``f"{n:02}"``: at least two digits, never truncated."""
     c = F.col(c) if isinstance(c, str) else c
     return F.format_string("%02d", c.cast("long"))
+
+
+def run_timestamp(ts: Column | str) -> Column:
+    """``strftime("%Y%m%d_%H%M%S")`` of a timestamp."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.date_format(ts, "yyyyMMdd_HHmmss")
+
+
+def run_name(*parts: Column | str) -> Column:
+    """``"_".join(parts)`` (NULL parts are skipped, like ``concat_ws``)."""
+    return F.concat_ws("_", *[F.col(p) if isinstance(p, str) else p for p in parts])
+
+
+def parse_kwargs(c: Column | str) -> Column:
+    """A JSON object of generation kwargs -> ``map<string,string>``; malformed
+    JSON fails the job (FAILFAST) instead of silently becoming NULL."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.from_json(c, "map<string,string>", {"mode": "FAILFAST"})

@@ -27,6 +27,14 @@ COMMENT_ATTRS = ["author", "body", "parent_id", "link_id", "created_utc"]
 # chains) are reported in ``Walk.stuck`` and never silently cut.
 DEFAULT_MAX_DEPTH = 1000
 
+# Skew handling: a join key is "hot" when it holds at least this many rows
+# (and at least 1/MAX_HOT_KEYS of the side), so at most MAX_HOT_KEYS keys
+# are ever hot. Frontier rows for a hot parent are broadcast only up to
+# BROADCAST_MAX_ROWS rows (checked); beyond that AQE's skew split applies.
+HOT_KEY_MIN_ROWS = 1 << 20
+MAX_HOT_KEYS = 1024
+BROADCAST_MAX_ROWS = 1 << 20
+
 
 def op_comments(comments: DataFrame, submissions: DataFrame,
                 exclude_authors: list[str] | None = None) -> DataFrame:
@@ -90,11 +98,26 @@ def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int) -> Walk:
+def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_MIN_ROWS) -> list:
+    """Keys holding at least ``max(min_rows, rows / MAX_HOT_KEYS)`` rows.
+
+    There can be at most ``MAX_HOT_KEYS`` such keys, so the list that comes
+    back to the driver is bounded by construction. One count (cheap on
+    written files) and one partial aggregate.
+    """
+    n = df.count()
+    threshold = max(int(min_rows), -(-n // MAX_HOT_KEYS))
+    if n < threshold:
+        return []
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return [r[0] for r in counts.where(F.col("_n") >= threshold).select(key).collect()]
+
+
+def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int,
+          hot_key_rows: int = HOT_KEY_MIN_ROWS) -> Walk:
     spark = comments.sparkSession
     base = scratch_dir(spark, f"walk-{direction}")
     n = _num_partitions(comments)
-    seeds = seeds.select(F.col(seeds.columns[0]).alias("start_id")).distinct()
 
     # Node table (_key, _probe, id, attrs): a frontier row whose _probe
     # equals _key reaches this comment row; the new frontier row probes with
@@ -107,25 +130,64 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int)
         nodes = self_rows            # parent ref (prefix stripped blindly) -> parent row
     else:
         nodes = comments.select(pref.alias("_key"), cid.alias("_probe"), *attrs)
-    # Hash-partitioned once by the probe key and kept: every level then
-    # shuffles only the (slim) frontier. Lineage is one scan, so plain
-    # persistence survives executor loss by recomputing lost blocks.
-    nodes = nodes.where(F.col("_key").isNotNull()).repartition(n, "_key")
-    nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def hop(frontier: DataFrame, table: DataFrame) -> DataFrame:
-        return frontier.join(table, F.col("_want") == F.col("_key")).select(
-            "start_id", "_probe", "id", *COMMENT_ATTRS)
-
-    # Every level is appended to the shared folder and read back: lineage is
+    nodes = nodes.where(F.col("_key").isNotNull())
+
+    # Skew on the node side: a parent holding a huge share of all replies
+    # (down walk). Its rows are kept where they are (spread over all
+    # partitions) and met by broadcasting the few frontier rows that want
+    # it; hash-partitioning them would put them all in one task.
+    hot_nodes = hot_keys(nodes.select("_key"), "_key", hot_key_rows) if direction == "down" else []
+    nodes_hot = None
+    if hot_nodes:
+        nodes_hot = nodes.where(F.col("_key").isin(hot_nodes)).persist(StorageLevel.MEMORY_AND_DISK)
+        nodes = nodes.where(~F.col("_key").isin(hot_nodes))
+    # The rest is hash-partitioned once by the probe key and kept: every
+    # level then shuffles only the (slim) frontier. Lineage is one scan, so
+    # plain persistence survives executor loss by recomputing lost blocks.
+    nodes = nodes.repartition(n, "_key").persist(StorageLevel.MEMORY_AND_DISK)
+
+    out_cols = ["start_id", "_probe", "id", *COMMENT_ATTRS]
+
+    def join(f: DataFrame, t: DataFrame) -> DataFrame:
+        return f.join(t, F.col("_want") == F.col("_key")).select(*out_cols)
+
+    def hop(frontier: DataFrame, table: DataFrame, hot_table: DataFrame | None) -> DataFrame:
+        parts = []
+        # Skew on the frontier side: very many seeds converging on one node.
+        # The node rows for those (at most MAX_HOT_KEYS) keys are broadcast,
+        # so the hot frontier rows are joined where they sit.
+        hot_front = [k for k in hot_keys(frontier.select("_want"), "_want", hot_key_rows)
+                     if k not in set(hot_nodes)]
+        if hot_front:
+            is_hot = F.col("_want").isin(hot_front)
+            parts.append(join(frontier.where(is_hot), F.broadcast(table.where(F.col("_key").isin(hot_front)))))
+            frontier = frontier.where(~is_hot)
+        if hot_table is not None:
+            is_hot = F.col("_want").isin(hot_nodes)
+            want_hot = frontier.where(is_hot)
+            small = want_hot.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
+            parts.append(join(F.broadcast(want_hot) if small else want_hot, hot_table))
+            frontier = frontier.where(~is_hot)
+        parts.append(join(frontier, table))
+        res = parts[0]
+        for p in parts[1:]:
+            res = res.unionByName(p)
+        return res
+
+    # Every level is written to the shared folder and read back: lineage is
     # cut at each level (a lost executor never replays earlier levels) and
     # the final result is one scan, not a union of ever-growing plans.
-    frontier = seeds.select("start_id", F.col("start_id").alias("_want"))
-    first = nodes if direction == "up" else self_rows
+    seeds = seeds.select(F.col(seeds.columns[0]).alias("start_id")).distinct()
+    seeds.write.mode("overwrite").parquet(f"{base}/seeds")
+    frontier = spark.read.parquet(f"{base}/seeds").select("start_id", F.col("start_id").alias("_want"))
     depth, stuck = 0, None
     while True:
         path = f"{base}/depth={depth}"
-        hop(frontier, first if depth == 0 else nodes).write.mode("overwrite").parquet(path)
+        if depth == 0:
+            step = join(frontier, self_rows if direction == "down" else nodes)
+        else:
+            step = hop(frontier, nodes, nodes_hot)
+        step.write.mode("overwrite").parquet(path)
         written = spark.read.parquet(path)
         if written.isEmpty():
             break
@@ -143,6 +205,8 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int)
         rows = (spark.read.option("basePath", base).parquet(*levels)
                 .select("start_id", "id", F.col("depth").cast("long").alias("depth"), *COMMENT_ATTRS))
     nodes.unpersist()
+    if nodes_hot is not None:
+        nodes_hot.unpersist()
     if stuck is None:
         stuck = spark.createDataFrame([], "start_id string, depth long")
     else:
@@ -150,18 +214,20 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int)
     return Walk(rows=rows, stuck=stuck, levels=depth)
 
 
-def ancestor_walk(comments: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH) -> Walk:
+def ancestor_walk(comments: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
+                  hot_key_rows: int = HOT_KEY_MIN_ROWS) -> Walk:
     """Each seed plus all its ancestors up to the top-level comment
     (the parent that is no comment — the submission — ends the chain).
 
     ``seeds``: one-column DataFrame of comment ids.
     """
-    return _walk(comments, seeds, "up", max_depth)
+    return _walk(comments, seeds, "up", max_depth, hot_key_rows)
 
 
-def descendant_walk(comments: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH) -> Walk:
+def descendant_walk(comments: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
+                    hot_key_rows: int = HOT_KEY_MIN_ROWS) -> Walk:
     """Each seed plus every reply below it, at any depth."""
-    return _walk(comments, seeds, "down", max_depth)
+    return _walk(comments, seeds, "down", max_depth, hot_key_rows)
 
 
 def _thread_struct() -> F.Column:

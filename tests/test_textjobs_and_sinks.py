@@ -113,3 +113,13 @@ def test_sinks_roundtrip(spark, tmp_dir):
     sinks.append_log(log, lp, fmt="csv")
     got = read_sample_log(spark, lp)
     assert got.count() == 2 and got.first().prompt == 'say "hi",\nok'
+
+
+def test_run_helpers(spark):
+    import datetime
+    from dialectic.functions.text import parse_kwargs, run_name, run_timestamp
+    df = spark.createDataFrame([(datetime.datetime(2024, 1, 2, 3, 4, 5), '{"top_k": "50", "do_sample": "true"}')],
+                               "ts timestamp, kw string")
+    r = df.select(run_timestamp("ts").alias("t"), run_name(F.lit("a"), F.lit("b")).alias("n"),
+                  parse_kwargs("kw").alias("m")).first()
+    assert r.t == "20240102_030405" and r.n == "a_b" and r.m == {"top_k": "50", "do_sample": "true"}

@@ -138,3 +138,33 @@ def test_explode_threads_order(spark):
     threads, _ = TH.build_threads(c, s)
     flat = TH.explode_threads(threads).where(F.col("comments_thread_leaf_comment_id") == "n4")
     assert [r.comment_id for r in flat.orderBy("pos").collect()] == ["n0", "n1", "n2", "n3", "n4"]
+
+
+def _fan(n_children):
+    rows = [("r", "root", 1, "r", "t3_s1", "t3_s1")]
+    rows += [(f"u{i}", f"b{i}", 10 + i, f"k{i}", "t3_s1", "t1_r") for i in range(n_children)]
+    rows += [(f"u{i}", f"g{i}", 100 + i, f"g{i}", "t3_s1", f"t1_k{i}") for i in range(n_children)]
+    return rows
+
+
+def _walk_set(w):
+    return sorted((r.start_id, r.id, r.depth) for r in w.rows.collect())
+
+
+def test_hot_frontier_key_same_result(spark):
+    # 40 seeds converge on one ancestor "r": a hot key on the frontier side.
+    c = comments_df(spark, _fan(40))
+    seeds = spark.createDataFrame([(f"g{i}",) for i in range(40)], "id string")
+    plain = _walk_set(TH.ancestor_walk(c, seeds))
+    skew = _walk_set(TH.ancestor_walk(c, seeds, hot_key_rows=2))
+    assert plain == skew and len(plain) == 120
+
+
+def test_hot_parent_same_result(spark):
+    # "r" has 40 direct replies: a hot key on the node side of the down walk.
+    c = comments_df(spark, _fan(40))
+    seeds = spark.createDataFrame([("r",), ("k3",)], "id string")
+    plain = _walk_set(TH.descendant_walk(c, seeds))
+    skew = _walk_set(TH.descendant_walk(c, seeds, hot_key_rows=2))
+    assert plain == skew and len(plain) == 81 + 2
+    assert TH.hot_keys(c.select(F.col("parent_id").alias("p")), "p", 2) == ["t1_r"]
