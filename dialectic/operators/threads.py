@@ -98,14 +98,15 @@ def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_MIN_ROWS) -> list:
+def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_MIN_ROWS, n: int | None = None) -> list:
     """Keys holding at least ``max(min_rows, rows / MAX_HOT_KEYS)`` rows.
 
     There can be at most ``MAX_HOT_KEYS`` such keys, so the list that comes
     back to the driver is bounded by construction. One count (cheap on
-    written files) and one partial aggregate.
+    written files; skipped when ``n`` is given) and, only when the side is
+    large enough to hold a hot key, one partial aggregate.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     threshold = max(int(min_rows), -(-n // MAX_HOT_KEYS))
     if n < threshold:
         return []
@@ -151,12 +152,12 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int,
     def join(f: DataFrame, t: DataFrame) -> DataFrame:
         return f.join(t, F.col("_want") == F.col("_key")).select(*out_cols)
 
-    def hop(frontier: DataFrame, table: DataFrame, hot_table: DataFrame | None) -> DataFrame:
+    def hop(frontier: DataFrame, n_front: int, table: DataFrame, hot_table: DataFrame | None) -> DataFrame:
         parts = []
         # Skew on the frontier side: very many seeds converging on one node.
         # The node rows for those (at most MAX_HOT_KEYS) keys are broadcast,
         # so the hot frontier rows are joined where they sit.
-        hot_front = [k for k in hot_keys(frontier.select("_want"), "_want", hot_key_rows)
+        hot_front = [k for k in hot_keys(frontier.select("_want"), "_want", hot_key_rows, n_front)
                      if k not in set(hot_nodes)]
         if hot_front:
             is_hot = F.col("_want").isin(hot_front)
@@ -178,18 +179,18 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int,
     # cut at each level (a lost executor never replays earlier levels) and
     # the final result is one scan, not a union of ever-growing plans.
     seeds = seeds.select(F.col(seeds.columns[0]).alias("start_id")).distinct()
-    seeds.write.mode("overwrite").parquet(f"{base}/seeds")
-    frontier = spark.read.parquet(f"{base}/seeds").select("start_id", F.col("start_id").alias("_want"))
-    depth, stuck = 0, None
+    frontier = seeds.select("start_id", F.col("start_id").alias("_want"))
+    depth, stuck, n_front = 0, None, 0
     while True:
         path = f"{base}/depth={depth}"
         if depth == 0:
             step = join(frontier, self_rows if direction == "down" else nodes)
         else:
-            step = hop(frontier, nodes, nodes_hot)
+            step = hop(frontier, n_front, nodes, nodes_hot)
         step.write.mode("overwrite").parquet(path)
         written = spark.read.parquet(path)
-        if written.isEmpty():
+        n_front = written.count()  # from file footers; also the stop test
+        if n_front == 0:
             break
         if depth > max_depth:
             stuck = written.groupBy("start_id").agg(F.lit(depth).cast("long").alias("depth"))
