@@ -104,23 +104,23 @@ _OPS_SQL = """
       ON substring(c.link_id, 4) = s.id AND c.author = s.author"""
 
 _WALK_UP = """
-    SELECT o.comments_id AS start_id, c.id, c.parent_id, 0 AS depth
+    SELECT o.comments_id AS start_id, c.id, c.author, c.body, c.parent_id, c.link_id, c.created_utc, 0 AS depth
     FROM (SELECT DISTINCT comments_id FROM ops) o JOIN f_comments c ON c.id = o.comments_id
     UNION ALL
-    SELECT w.start_id, c.id, c.parent_id, w.depth + 1
+    SELECT w.start_id, c.id, c.author, c.body, c.parent_id, c.link_id, c.created_utc, w.depth + 1
     FROM walk w JOIN f_comments c ON c.id = substring(w.parent_id, 4)
     WHERE w.depth <= 1000"""
 
 _WALK_DOWN = """
-    SELECT o.comments_id AS start_id, c.id, 0 AS depth
+    SELECT o.comments_id AS start_id, c.id, c.author, c.body, c.parent_id, c.link_id, c.created_utc, 0 AS depth
     FROM (SELECT DISTINCT comments_id FROM ops) o JOIN f_comments c ON c.id = o.comments_id
     UNION ALL
-    SELECT w.start_id, c.id, w.depth + 1
+    SELECT w.start_id, c.id, c.author, c.body, c.parent_id, c.link_id, c.created_utc, w.depth + 1
     FROM walk w JOIN f_comments c ON substring(c.parent_id, 4) = w.id
     WHERE w.depth <= 1000"""
 
-_WALK_OUT = ("SELECT w.start_id, w.id, CAST(w.depth AS BIGINT) AS depth, c.author, c.body, c.parent_id, "
-             "c.link_id, c.created_utc FROM walk w JOIN f_comments c ON c.id = w.id")
+_WALK_OUT = ("SELECT start_id, id, CAST(depth AS BIGINT) AS depth, author, body, parent_id, link_id, created_utc "
+             "FROM walk")
 
 _THREAD_AGG = """
     SELECT start_id,
@@ -158,7 +158,7 @@ def q_thread_descendants(spark, d):
 _THREAD_BUILD_SQL = with_views(
     ["f_comments", "f_submissions"],
     [("ops", _OPS_SQL), ("walk", _WALK_UP),
-     ("wr", "SELECT w.start_id, w.depth, c.* FROM walk w JOIN f_comments c ON c.id = w.id"),
+     ("wr", "SELECT * FROM walk"),
      ("th", _THREAD_AGG)],
     f"""SELECT o.submission_id, o.submission_author, o.submission_title, o.submission_body,
                t.root_id AS comments_thread_root_comment_id, t.leaf_id AS comments_thread_leaf_comment_id,
@@ -186,7 +186,7 @@ def q_thread_build(spark, d):
 @register("thread_json", with_views(
     ["f_comments", "f_submissions"],
     [("ops", _OPS_SQL), ("walk", _WALK_UP),
-     ("wr", "SELECT w.start_id, w.depth, c.* FROM walk w JOIN f_comments c ON c.id = w.id"),
+     ("wr", "SELECT * FROM walk"),
      ("th", _THREAD_AGG)],
     """SELECT o.submission_id, t.root_id AS comments_thread_root_comment_id,
               t.leaf_id AS comments_thread_leaf_comment_id,
@@ -208,7 +208,7 @@ def q_thread_json(spark, d):
 @register("thread_quarantine", with_views(
     ["f_comments", "f_submissions"],
     [("ops", _OPS_SQL), ("walk", _WALK_UP),
-     ("wr", "SELECT w.start_id, w.depth, c.* FROM walk w JOIN f_comments c ON c.id = w.id"),
+     ("wr", "SELECT * FROM walk"),
      ("th", _THREAD_AGG)],
     """SELECT o.comments_id, 'null_leaf_body' AS reason FROM ops o JOIN th t ON t.start_id = o.comments_id
        WHERE t.leaf_body IS NULL
@@ -480,6 +480,21 @@ def q_rpo_loss(spark, d):
     return _round_doubles(r.select("sample_id", "loss", "nll_loss", "rpo_loss"))
 
 
+# Batch objective ``mean(loss) + coef * aux``: the fixture has no router
+# loss, so the batch's chosen-answer NLL stands in for the auxiliary term.
+AUX_COEF = 0.01
+
+
+@register("batch_objective", with_views(["f_pair_scores"], _SCORE_CTES, f"""
+    SELECT run_id, type, step, round(avg(loss) + CAST({AUX_COEF} AS DOUBLE) * avg(-pc), 6) AS batch_loss
+    FROM sc GROUP BY run_id, type, step"""))
+def q_batch_objective(spark, d):
+    sc = _scored(spark, d)
+    aux = sc.groupBy("run_id", "type", "step").agg(F.avg(-F.col("policy_chosen_logps")).alias("aux_loss"))
+    b = S.batch_loss(sc.join(aux, ["run_id", "type", "step"]), aux="aux_loss", aux_coef=AUX_COEF)
+    return _round_doubles(b)
+
+
 @register("attach_ref_scores", with_views(["f_pair_scores"], [], """
     SELECT p.sample_id, p.side, p.run_id, p.type, p.step, round(p.logp, 6) AS policy_logp,
            round(r.logp, 6) AS reference_logp

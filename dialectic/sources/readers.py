@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from dialectic.session import checkpoint_dir
 from dialectic.sources import schemas
 
 
@@ -46,6 +47,10 @@ def with_file_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
     d = (df.withColumn("_path", F.col("_metadata.file_path"))
            .withColumn("_start", F.col("_metadata.file_block_start"))
            .withColumn("_mid", F.monotonically_increasing_id()))
+    # Parsed once and written to the shared checkpoint folder: the split
+    # counts and the numbering both read it, and the local ids stay fixed.
+    checkpoint_dir(df.sparkSession)
+    d = d.checkpoint(eager=True)
     splits = d.groupBy("_path", "_start").agg(F.min("_mid").alias("_first"),
                                               F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
