@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialectic.functions.text import DELTA_SYMBOLS, contains_any, strip_type_prefix
-from dialectic.session import scratch_dir
+from dialectic.session import checkpoint_dir, scratch_dir
 
 COMMENT_ATTRS = ["author", "body", "parent_id", "link_id", "created_utc"]
 
@@ -254,7 +254,8 @@ def assemble_threads(walk_rows: DataFrame) -> DataFrame:
 
 def build_threads(comments: DataFrame, submissions: DataFrame,
                   delta_symbols: list[str] | None = None,
-                  max_depth: int = DEFAULT_MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+                  max_depth: int = DEFAULT_MAX_DEPTH,
+                  new_comments: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Thread records for every OP comment, plus the quarantine.
 
     Returns ``(threads, quarantine)``. ``threads`` follows the nested thread
@@ -262,9 +263,18 @@ def build_threads(comments: DataFrame, submissions: DataFrame,
     walk hit ``max_depth`` or whose leaf comment has a NULL body (the
     original reported such records and moved on). Seeds whose walk is empty
     (seed id missing from comments) produce nothing, as before.
+
+    ``new_comments`` (optional) restricts the seeds to OP comments among
+    these rows — e.g. one micro-batch of a stream — while the walk still runs
+    over the whole ``comments`` table.
     """
     symbols = DELTA_SYMBOLS if delta_symbols is None else delta_symbols
-    ops = op_comments(comments, submissions)
+    # The OP-comment table feeds the walk (seeds) and the final record join;
+    # it is computed once and kept as files in the shared checkpoint folder
+    # (the original materialized it as a table for the same reason).
+    checkpoint_dir(comments.sparkSession)
+    seeds_from = comments if new_comments is None else new_comments
+    ops = op_comments(seeds_from, submissions).checkpoint(eager=True)
     walk = ancestor_walk(comments, ops.select("comments_id"), max_depth=max_depth)
     arr = assemble_threads(walk.rows)
     leaf = F.element_at("comments_thread", -1)

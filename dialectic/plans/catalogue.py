@@ -183,6 +183,18 @@ def q_thread_build(spark, d):
         F.array_join(F.transform("comments_thread", lambda x: x["comment_id"]), ",").alias("thread_ids"))
 
 
+@register("stream_thread_build", _THREAD_BUILD_SQL)
+def q_stream_thread_build(spark, d):
+    from dialectic.plans.streaming_query import stream_threads_over
+    threads = stream_threads_over(spark, FX.f_comments(spark, d), FX.f_submissions(spark, d),
+                                  CHECK_DELTA_SYMBOLS)
+    return threads.select(
+        "submission_id", "submission_author", "submission_title", "submission_body",
+        "comments_thread_root_comment_id", "comments_thread_leaf_comment_id", "comments_thread_is_delta",
+        F.size("comments_thread").cast("long").alias("n_comments"),
+        F.array_join(F.transform("comments_thread", lambda x: x["comment_id"]), ",").alias("thread_ids"))
+
+
 @register("thread_json", with_views(
     ["f_comments", "f_submissions"],
     [("ops", _OPS_SQL), ("walk", _WALK_UP),

@@ -30,3 +30,23 @@ def stream_rollup_over(spark: SparkSession, scored: DataFrame, timeout_s: int =
     return spark.read.parquet(out).select(
         "run_id", "type", "step", "n_samples", "loss", "rewards_chosen", "rewards_rejected",
         "rewards_accuracies", "rewards_margins").withColumn("n_samples", F.col("n_samples").cast("long"))
+
+
+def stream_threads_over(spark: SparkSession, comments: DataFrame, submissions: DataFrame,
+                        delta_symbols: list[str], n_files: int = 2, timeout_s: int = 900) -> DataFrame:
+    """Deliver ``comments`` as ``n_files`` files to a stream (one file per
+    trigger), build thread records per micro-batch, return all records."""
+    from dialectic.streaming.threads_stream import run_thread_stream
+    base = scratch_dir(spark, "stream-threads")
+    src, out, ckpt = f"{base}/incoming", f"{base}/threads", f"{base}/_checkpoint"
+    comments.repartition(n_files).write.parquet(src)
+    static = spark.read.parquet(src)
+    q = run_thread_stream(spark, src, static.schema, static, submissions, out, ckpt,
+                          delta_symbols=delta_symbols, max_files_per_trigger=1)
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError("streaming thread build did not finish")
+    if q.exception() is not None:
+        raise q.exception()
+    return spark.read.parquet(out).drop("batch")
