@@ -21,7 +21,11 @@ from dialectic.operators import scoring as S
 from dialectic.operators import textjobs as T
 from dialectic.operators import threads as TH
 from dialectic.plans.oracle_views import with_views
+from dialectic.session import scratch_dir
 from dialectic.sources import fixtures as FX
+from dialectic.sources.readers import load_preferences
+from dialectic.sources.schemas import HISTORY
+from dialectic.sources.sinks import append_log, write_csv, write_json_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -256,9 +260,16 @@ def _group_split(spark, d):
     return P.group_split(FX.f_preferences(spark, d), seed=SEED)
 
 
-@register("load_preferences", with_views(["f_preferences"], [], "SELECT row_id, prompt, chosen, rejected FROM f_preferences"))
+# Round trip through the JSON sink and the JSON source: records written in
+# row order come back with a dense row_id in file/line order.
+@register("load_preferences", with_views(["f_preferences"], [], """
+    SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS row_id, prompt, chosen, rejected
+    FROM f_preferences"""))
 def q_load_preferences(spark, d):
-    return FX.f_preferences(spark, d).select("row_id", "prompt", "chosen", "rejected")
+    path = scratch_dir(spark, "preferences-json")
+    prefs = FX.f_preferences(spark, d)
+    write_json_lines(prefs.orderBy("row_id").select("prompt", "chosen", "rejected"), path)
+    return load_preferences(spark, path)
 
 
 @register("prompt_groups", with_views(["f_preferences"], [], """
@@ -528,7 +539,12 @@ def q_attach_ref_scores(spark, d):
            CAST(NULL AS VARCHAR) AS policy_rejected_pred_text, CAST(NULL AS VARCHAR) AS reference_rejected_pred_text
     FROM sc s LEFT JOIN f_preferences p ON p.row_id = s.sample_id"""))
 def q_sample_log(spark, d):
-    return _round_doubles(M.sample_log(_scored(spark, d), FX.f_preferences(spark, d), STEPS_PER_EPOCH))
+    # Appended to the run log (partitioned by run and type) and read back.
+    path = scratch_dir(spark, "sample-log")
+    log = M.sample_log(_scored(spark, d), FX.f_preferences(spark, d), STEPS_PER_EPOCH)
+    append_log(log, path)
+    back = spark.read.parquet(path)
+    return _round_doubles(back.select(*log.columns))
 
 
 _ROLLUP_SQL = """
@@ -580,7 +596,11 @@ def q_best_beta(spark, d):
 @register("loss_history", with_views(["f_history"], [],
           "SELECT run_id, pos, round(loss, 6) AS loss, round(eval_loss, 6) AS eval_loss FROM f_history"))
 def q_loss_history(spark, d):
-    return _round_doubles(FX.f_history(spark, d))
+    # Written as CSV with a header (the history file) and read back.
+    path = scratch_dir(spark, "loss-history-csv")
+    write_csv(FX.f_history(spark, d), path)
+    back = spark.read.schema(HISTORY).option("header", True).csv(path)
+    return _round_doubles(back)
 
 
 @register("last_eval_loss", with_views(["f_history"], [], """
@@ -609,7 +629,11 @@ def q_best_trial(spark, d):
            t.number = b.best_number AS is_best
     FROM f_trials t, b"""))
 def q_study_results(spark, d):
-    return _round_doubles(M.study_results(FX.f_trials(spark, d)))
+    # The study document: one JSON line per trial with the best one marked.
+    path = scratch_dir(spark, "study-results")
+    res = M.study_results(FX.f_trials(spark, d))
+    write_json_lines(res, path)
+    return _round_doubles(spark.read.schema(res.schema).json(path))
 
 
 # --------------------------------------------------------------------- text jobs
