@@ -161,7 +161,9 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int,
                      if k not in set(hot_nodes)]
         if hot_front:
             is_hot = F.col("_want").isin(hot_front)
-            parts.append(join(frontier.where(is_hot), F.broadcast(table.where(F.col("_key").isin(hot_front)))))
+            hot_rows = table.where(F.col("_key").isin(hot_front))
+            small = hot_rows.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
+            parts.append(join(frontier.where(is_hot), F.broadcast(hot_rows) if small else hot_rows))
             frontier = frontier.where(~is_hot)
         if hot_table is not None:
             is_hot = F.col("_want").isin(hot_nodes)

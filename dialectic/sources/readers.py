@@ -50,14 +50,16 @@ def with_file_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
     # Parsed once and written to the shared checkpoint folder: the split
     # counts and the numbering both read it, and the local ids stay fixed.
     checkpoint_dir(df.sparkSession)
-    d = d.checkpoint(eager=True)
-    splits = d.groupBy("_path", "_start").agg(F.min("_mid").alias("_first"),
-                                              F.count(F.lit(1)).alias("_n"))
+    d = d.checkpoint(eager=True).withColumn("_ph", F.xxhash64("_path"))
+    splits = d.groupBy("_path", "_ph", "_start").agg(F.min("_mid").alias("_first"),
+                                                     F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    res = d.join(F.broadcast(splits), ["_path", "_start"])
+    splits = (splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+                    .select("_ph", "_start", "_first", "_off"))
+    # One row of four numbers per input split: broadcast-sized by construction.
+    res = d.join(F.broadcast(splits), ["_ph", "_start"])
     return res.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long")).drop(
-        "_path", "_start", "_mid", "_first", "_off")
+        "_path", "_ph", "_start", "_mid", "_first", "_off")
 
 
 def load_preferences(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
