@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialectic.functions.text import DELTA_SYMBOLS, contains_any, strip_type_prefix
+from dialectic.functions.text import DELTA_SYMBOLS, contains_any, strip_type_prefix, utf8_clean
 from dialectic.session import checkpoint_dir, scratch_dir
 
 COMMENT_ATTRS = ["author", "body", "parent_id", "link_id", "created_utc"]
@@ -234,9 +234,10 @@ def descendant_walk(comments: DataFrame, seeds: DataFrame, max_depth: int = DEFA
 
 
 def _thread_struct() -> F.Column:
+    # Text fields are decoded leniently (invalid UTF-8 dropped); ids are not.
     return F.struct(
-        F.col("id").alias("comment_id"), F.col("author").alias("comment_author"),
-        F.col("body").alias("comment_body"), F.col("parent_id").alias("comment_parent_id"),
+        F.col("id").alias("comment_id"), utf8_clean("author").alias("comment_author"),
+        utf8_clean("body").alias("comment_body"), F.col("parent_id").alias("comment_parent_id"),
         F.col("link_id").alias("comment_link_id"), F.col("created_utc").alias("comment_created_utc"),
     )
 
@@ -287,7 +288,10 @@ def build_threads(comments: DataFrame, submissions: DataFrame,
         leaf["comment_body"].alias("_leaf_body"),
         "comments_thread",
     )
-    joined = ops.join(rec, ops["comments_id"] == rec["start_id"])
+    ops_clean = ops.select("comments_id", "submission_id",
+                           *[utf8_clean(c).alias(c) for c in
+                             ("submission_author", "submission_title", "submission_body")])
+    joined = ops_clean.join(rec, ops_clean["comments_id"] == rec["start_id"])
     ok = joined.where(F.col("_leaf_body").isNotNull())
     threads = ok.select(
         "submission_id", "submission_author", "submission_title", "submission_body",

@@ -168,3 +168,14 @@ def test_hot_parent_same_result(spark):
     skew = _walk_set(TH.descendant_walk(c, seeds, hot_key_rows=2))
     assert plain == skew and len(plain) == 81 + 2
     assert TH.hot_keys(c.select(F.col("parent_id").alias("p")), "p", 2) == ["t1_r"]
+
+
+def test_invalid_utf8_text_is_cleaned_in_records(spark):
+    raw = spark.createDataFrame([("op", bytearray(b"ok \xff!delta"), 5, "a", "t3_s1", "t3_s1")],
+                                "author string, b binary, created_utc long, id string, link_id string, "
+                                "parent_id string")
+    c = raw.select("author", F.col("b").cast("string").alias("body"), "created_utc", "id", "link_id", "parent_id")
+    s = submissions_df(spark, [("s1", "op", "t", "b")])
+    (t,) = TH.build_threads(c, s)[0].collect()
+    assert t.comments_thread[0].comment_body == "ok !delta"
+    assert t.comments_thread_is_delta is True
