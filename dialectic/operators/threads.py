@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialectic.functions.text import DELTA_SYMBOLS, contains_any, strip_type_prefix, utf8_clean
-from dialectic.session import checkpoint_dir, scratch_dir
+from dialectic.session import checkpoint_dir, partitions_for, scratch_dir
 
 COMMENT_ATTRS = ["author", "body", "parent_id", "link_id", "created_utc"]
 
@@ -94,10 +94,6 @@ class Walk:
     levels: int
 
 
-def _num_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_MIN_ROWS, n: int | None = None) -> list:
     """Keys holding at least ``max(min_rows, rows / MAX_HOT_KEYS)`` rows.
 
@@ -118,7 +114,6 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int,
           hot_key_rows: int = HOT_KEY_MIN_ROWS) -> Walk:
     spark = comments.sparkSession
     base = scratch_dir(spark, f"walk-{direction}")
-    n = _num_partitions(comments)
 
     # Node table (_key, _probe, id, attrs): a frontier row whose _probe
     # equals _key reaches this comment row; the new frontier row probes with
@@ -145,7 +140,7 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int,
     # The rest is hash-partitioned once by the probe key and kept: every
     # level then shuffles only the (slim) frontier. Lineage is one scan, so
     # plain persistence survives executor loss by recomputing lost blocks.
-    nodes = nodes.repartition(n, "_key").persist(StorageLevel.MEMORY_AND_DISK)
+    nodes = nodes.repartition(partitions_for(nodes), "_key").persist(StorageLevel.MEMORY_AND_DISK)
 
     out_cols = ["start_id", "_probe", "id", *COMMENT_ATTRS]
 

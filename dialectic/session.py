@@ -90,3 +90,21 @@ def ensure_dir(path: str) -> None:
     p = local_path(path)
     if "://" not in p:
         os.makedirs(p, exist_ok=True)
+
+
+# Target bytes per partition for explicit repartitions (AQE sizes the rest).
+TARGET_PARTITION_BYTES = 256 << 20
+MAX_PARTITIONS = 1 << 17
+
+
+def partitions_for(df, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Partition count for an explicit ``repartition`` of ``df``: at least
+    ``spark.sql.shuffle.partitions``, and enough that each partition holds
+    about ``target_bytes`` by Catalyst's size estimate of the plan."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # estimate unavailable (e.g. remote session)
+        return n
+    return int(min(MAX_PARTITIONS, max(n, -(-size // target_bytes))))

@@ -123,3 +123,11 @@ def test_run_helpers(spark):
     r = df.select(run_timestamp("ts").alias("t"), run_name(F.lit("a"), F.lit("b")).alias("n"),
                   parse_kwargs("kw").alias("m")).first()
     assert r.t == "20240102_030405" and r.n == "a_b" and r.m == {"top_k": "50", "do_sample": "true"}
+
+
+def test_partitions_for_scales_with_size(spark):
+    from dialectic.session import partitions_for
+    df = spark.range(0, 200000).selectExpr("id", "repeat('x', 100) AS s")
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert partitions_for(df) >= base
+    assert partitions_for(df, target_bytes=1 << 16) > base
