@@ -11,6 +11,7 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dialectic.functions.ordering import hash_order_index, int_order_index, md5_int32
@@ -25,6 +26,9 @@ GROUP_SPLIT_RATIOS = (0.6, 0.2)
 ROW_SPLIT_FRACTIONS = (0.2, 0.25)
 # Default positions picked for sample generation.
 DEFAULT_PICK_POSITIONS = [15]
+# Prefixes shorter than this are taken by a distributed top-k instead of a
+# global position index.
+TOP_K_MAX = 100_000
 # -----------------------------------------------------------------------------
 
 
@@ -147,16 +151,28 @@ def dedup_prompts(df: DataFrame, out: str = "sample_index") -> DataFrame:
     return df.join(numbered, "row_id").select(out, "row_id", "prompt", *cols)
 
 
+def _top_rows(df: DataFrame, k: int, pos_col: str) -> DataFrame:
+    """First ``k`` rows by ``row_id`` with their positions: a distributed
+    top-k (each task keeps at most ``k`` rows), then numbering of those
+    ``k`` rows only."""
+    top = df.orderBy("row_id").limit(k)
+    return top.withColumn(pos_col, (F.row_number().over(Window.orderBy("row_id")) - 1).cast("long"))
+
+
 def pick_positions(df: DataFrame, positions: list[int] | None = DEFAULT_PICK_POSITIONS,
                    pos_col: str = "pos") -> DataFrame:
     """Rows at the given positions, or every row when ``positions`` is None
-    (the "all" mode wins over a subset). Positions past the end raise."""
-    if pos_col not in df.columns:
-        df = with_positions(df, pos_col)
+    (the "all" mode wins over a subset). Use ``check_positions`` to fail on
+    positions past the end, as list indexing would."""
     if positions is None:
-        return df
-    picked = df.where(F.col(pos_col).isin([int(p) for p in positions]))
-    return picked
+        return df if pos_col in df.columns else with_positions(df, pos_col)
+    wanted = [int(p) for p in positions]
+    if pos_col not in df.columns:
+        if wanted and max(wanted) < TOP_K_MAX:
+            df = _top_rows(df, max(wanted) + 1, pos_col)
+        else:
+            df = with_positions(df, pos_col)
+    return df.where(F.col(pos_col).isin(wanted))
 
 
 def check_positions(df: DataFrame, positions: list[int], pos_col: str = "pos") -> None:
@@ -169,9 +185,11 @@ def check_positions(df: DataFrame, positions: list[int], pos_col: str = "pos") -
 
 def head_n(df: DataFrame, n: int, pos_col: str = "pos") -> DataFrame:
     """First ``n`` rows in position order (clamps when ``n`` exceeds the size)."""
-    if pos_col not in df.columns:
-        df = with_positions(df, pos_col)
-    return df.where(F.col(pos_col) < n)
+    if pos_col in df.columns:
+        return df.where(F.col(pos_col) < n)
+    if n < TOP_K_MAX:
+        return _top_rows(df, n, pos_col)
+    return with_positions(df, pos_col).where(F.col(pos_col) < n)
 
 
 def stack_sides(df: DataFrame, keys: tuple[str, ...] = ("row_id", "prompt")) -> DataFrame:
