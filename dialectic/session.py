@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -81,17 +80,6 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for python-side file checks in tests."""
-    return path[5:] if path.startswith("file:") else path
-
-
-def ensure_dir(path: str) -> None:
-    p = local_path(path)
-    if "://" not in p:
-        os.makedirs(p, exist_ok=True)
-
-
 # Target bytes per partition for explicit repartitions (AQE sizes the rest).
 TARGET_PARTITION_BYTES = 256 << 20
 MAX_PARTITIONS = 1 << 17
