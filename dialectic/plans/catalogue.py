@@ -23,8 +23,8 @@ from dialectic.operators import threads as TH
 from dialectic.plans.oracle_views import with_views
 from dialectic.session import scratch_dir
 from dialectic.sources import fixtures as FX
-from dialectic.sources.readers import load_preferences
-from dialectic.sources.schemas import HISTORY
+from dialectic.sources.readers import load_preferences, read_csv
+from dialectic.sources.schemas import GEN_OUTPUT, HISTORY, THREAD
 from dialectic.sources.sinks import append_log, write_csv, write_json_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,8 +214,12 @@ def q_stream_thread_build(spark, d):
        FROM ops o JOIN th t ON t.start_id = o.comments_id JOIN wr w ON w.start_id = o.comments_id
        WHERE t.leaf_body IS NOT NULL""", recursive=True))
 def q_thread_json(spark, d):
+    # The thread dataset file: nested records written as JSON lines, read
+    # back with the declared schema, then flattened for the check.
     threads, _ = _threads(spark, d)
-    flat = TH.explode_threads(threads)
+    path = scratch_dir(spark, "threads-json")
+    write_json_lines(threads, path)
+    flat = TH.explode_threads(spark.read.schema(THREAD).json(path))
     return flat.select("submission_id", "comments_thread_root_comment_id", "comments_thread_leaf_comment_id",
                        F.col("pos").cast("long").alias("pos"), "comment_id", "comment_author", "comment_body",
                        "comment_parent_id", "comment_link_id", "comment_created_utc")
@@ -599,7 +603,7 @@ def q_loss_history(spark, d):
     # Written as CSV with a header (the history file) and read back.
     path = scratch_dir(spark, "loss-history-csv")
     write_csv(FX.f_history(spark, d), path)
-    back = spark.read.schema(HISTORY).option("header", True).csv(path)
+    back = read_csv(spark, path, HISTORY)
     return _round_doubles(back)
 
 
@@ -688,6 +692,27 @@ def q_generated_samples(spark, d):
     return T.generated_samples(rows, run_id="run0", epoch=1.0, generator="upper")
 
 
+@register("generate_test_split", with_views(["f_preferences"], _GROUP_SPLIT_CTES + [
+    ("t", f"""SELECT row_id, {_sql_text(P.DEFAULT_TEMPLATE_PREFIX)} || prompt || {_sql_text(P.DEFAULT_TEMPLATE_SUFFIX)}
+                    AS prompt, chosen, rejected FROM gs WHERE split = 'test'"""),
+    ("f", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY row_id) AS rn FROM t) WHERE rn = 1")],
+    """SELECT 'dialectic-run' AS wandb_run_name, 'run0' AS wandb_run_id, 'checkpoints/epoch-3' AS checkpoint_model_path,
+              '03' AS checkpoint_epoch, 'test' AS dataset_to_gen_txt,
+              CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS sample_index, prompt,
+              upper(prompt) AS generated_text, chosen, rejected
+       FROM f"""))
+def q_generate_test_split(spark, d):
+    # The generation flow: group split -> template -> pick the split ->
+    # first row per prompt, renumbered -> generate -> CSV file (and back).
+    rows = P.preprocess(_group_split(spark, d), "template_edit_dataset")
+    rows = P.dedup_prompts(P.select_split(rows, "test").drop("split"))
+    out = T.batch_generate(rows, run_name="dialectic-run", run_id="run0", checkpoint_path="checkpoints/epoch-3",
+                           checkpoint_epoch=3, split_name="test", generator="upper")
+    path = scratch_dir(spark, "generated-csv")
+    write_csv(out, path)
+    return read_csv(spark, path, GEN_OUTPUT)
+
+
 # --------------------------------------------------------------------- streaming
 
 @register("stream_metric_rollup", with_views(["f_pair_scores"], _SCORE_CTES, _ROLLUP_SQL + """

@@ -80,6 +80,13 @@ def load_preferences(spark: SparkSession, path: str, multiline: bool = False) ->
 def read_sample_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Per-sample metric log written by :func:`dialectic.sources.sinks.append_log`."""
     if fmt == "csv":
-        return (spark.read.schema(schemas.SAMPLE_LOG).option("header", True)
-                .option("multiLine", True).option("escape", '"').csv(path))
+        return read_csv(spark, path, schemas.SAMPLE_LOG)
     return spark.read.schema(schemas.SAMPLE_LOG).format(fmt).load(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """CSV written by :func:`dialectic.sources.sinks.write_csv` (header,
+    quoted multi-line text, no trimming), with a declared schema."""
+    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
+            .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).csv(path))

@@ -33,10 +33,17 @@ def append_log(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("run_i
     writes its own files; readers prune by partition)."""
     w = df.write.mode("append").partitionBy(*partition_by)
     if fmt == "csv":
-        w = w.option("header", True).option("escape", '"')
+        w = _csv_options(w)
     w.format(fmt).save(path)
 
 
+def _csv_options(w):
+    # Text is kept byte for byte: quotes doubled, no whitespace trimming
+    # (Spark trims by default when writing CSV).
+    return (w.option("header", True).option("escape", '"')
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header line in every part file."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """CSV with a header line in every part file; text kept exactly."""
+    _csv_options(df.write.mode(mode)).csv(path)

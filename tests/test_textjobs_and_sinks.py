@@ -131,3 +131,13 @@ def test_partitions_for_scales_with_size(spark):
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert partitions_for(df) >= base
     assert partitions_for(df, target_bytes=1 << 16) > base
+
+
+def test_csv_keeps_text_exactly(spark, tmp_dir):
+    from dialectic.sources.readers import read_csv
+    df = spark.createDataFrame([(0, "  lead and trail  "), (1, 'q "x",\nnext'), (2, ""), (3, None)],
+                               "id long, t string")
+    path = os.path.join(tmp_dir, "csv")
+    sinks.write_csv(df, path)
+    back = {r.id: r.t for r in read_csv(spark, path, df.schema).collect()}
+    assert back == {0: "  lead and trail  ", 1: 'q "x",\nnext', 2: "", 3: None}
