@@ -82,7 +82,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 # Target bytes per partition for explicit repartitions (AQE sizes the rest).
 TARGET_PARTITION_BYTES = 256 << 20
-MAX_PARTITIONS = 1 << 17
+MAX_PARTITIONS = 1 << 16
 
 
 def partitions_for(df, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
@@ -95,4 +95,9 @@ def partitions_for(df, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # estimate unavailable (e.g. remote session)
         return n
+    # Plans Catalyst cannot size report spark.sql.defaultSizeInBytes
+    # (Long.MaxValue): no estimate, keep the configured count.
+    unknown = int(spark.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
+    if size >= unknown:
+        return n
     return int(min(MAX_PARTITIONS, max(n, -(-size // target_bytes))))
