@@ -83,6 +83,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 # Target bytes per partition for explicit repartitions (AQE sizes the rest).
 TARGET_PARTITION_BYTES = 256 << 20
 MAX_PARTITIONS = 1 << 16
+UNKNOWN_SIZE_BYTES = 1 << 52
 
 
 def partitions_for(df, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
@@ -96,8 +97,8 @@ def partitions_for(df, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
     except Exception:  # estimate unavailable (e.g. remote session)
         return n
     # Plans Catalyst cannot size report spark.sql.defaultSizeInBytes
-    # (Long.MaxValue): no estimate, keep the configured count.
-    unknown = int(spark.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
-    if size >= unknown:
+    # (Long.MaxValue), possibly scaled by projections: treat anything above
+    # a few petabytes as "no estimate" and keep the configured count.
+    if size >= UNKNOWN_SIZE_BYTES:
         return n
     return int(min(MAX_PARTITIONS, max(n, -(-size // target_bytes))))
