@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dialectic.session import scratch_dir
 
 #: Bytes of text an Arrow worker turns into Python objects at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+#: Counts that are summed in one window.
+GROUP = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,3 +70,22 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out[first] = starts
     out[first[1:]] -= starts[:-1] + lengths[:-1] - 1
     return np.cumsum(out)
+
+
+def running_sums(counts: DataFrame, values: list[str], keys: list[str], order: str) -> DataFrame:
+    """``counts`` with ``<value>_before``: the sum over smaller ``order`` within
+    ``keys``. One row per block or stretch of rows, in two levels, so that no
+    window holds more than a square root of them."""
+    group = F.floor(F.col(order) / GROUP).cast("long")
+    c = stored(counts.withColumn("_group", group), "running-counts")
+    inner = Window.partitionBy(*keys, "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_group").rowsBetween(
+        Window.unboundedPreceding, -1)
+    groups = c.groupBy(*keys, "_group").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    groups = groups.select(*keys, "_group", *[F.coalesce(F.sum(f"_{v}").over(outer), F.lit(0)).alias(f"_{v}")
+                                              for v in values])
+    local = c.select("*", *[F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"{v}_before") for v in values])
+    out = local.join(groups, [*keys, "_group"])
+    for v in values:
+        out = out.withColumn(f"{v}_before", F.col(f"{v}_before") + F.col(f"_{v}"))
+    return out.drop("_group", *[f"_{v}" for v in values])

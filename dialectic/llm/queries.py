@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from dialectic.llm import decontaminate, pii, ring, simhash, urls
+from dialectic.llm import decontaminate, packing, pii, repair, ring, simhash, urls
 from dialectic.llm.frames import table
 
 
@@ -18,6 +17,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                        end_id=2, with_ids=False)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
@@ -27,11 +31,17 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_rows(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.read_shards(repair.write_shards(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op6_decontamination, op7_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_packing, op6_decontamination, op7_sharding,
+                                  op9_token_shards, op10_url_filter)}
 
 ORACLE = {
     "op6_decontamination": r"""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialectic.llm.frames import stored
+from dialectic.llm.frames import running_sums, stored
 
 #: Virtual nodes per shard.
 VNODES = 64
@@ -19,8 +19,6 @@ VNODES = 64
 PARTS = 1024
 #: Arrivals whose slots are numbered in one window.
 STRETCH = 1 << 16
-#: Counts that are summed in one window.
-GROUP = 4096
 
 
 class Ring:
@@ -92,25 +90,6 @@ def fill_times(rows: DataFrame, total: int, capacity: np.ndarray, ring: Ring) ->
     return full_from
 
 
-def _running(counts: DataFrame, values: list[str], keys: list[str], order: str) -> DataFrame:
-    """``counts`` with ``<value>_before``: the sum over smaller ``order`` within
-    ``keys``. One row per block or stretch of rows, in two levels, so that no
-    window holds more than a square root of them."""
-    group = F.floor(F.col(order) / GROUP).cast("long")
-    c = stored(counts.withColumn("_group", group), "ring-counts")
-    inner = Window.partitionBy(*keys, "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    outer = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_group").rowsBetween(
-        Window.unboundedPreceding, -1)
-    groups = c.groupBy(*keys, "_group").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    groups = groups.select(*keys, "_group", *[F.coalesce(F.sum(f"_{v}").over(outer), F.lit(0)).alias(f"_{v}")
-                                              for v in values])
-    local = c.select("*", *[F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"{v}_before") for v in values])
-    out = local.join(groups, [*keys, "_group"])
-    for v in values:
-        out = out.withColumn(f"{v}_before", F.col(f"{v}_before") + F.col(f"_{v}"))
-    return out.drop("_group", *[f"_{v}" for v in values])
-
-
 def shard_rows(docs: DataFrame, shards: int = 16, vnodes: int = VNODES) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot,
     grown_shard (null).
@@ -132,7 +111,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, vnodes: int = VNODES) -> DataF
     sizes = slim.groupBy("block").agg(F.count("*").alias("n"))
     # A scan task's rows are numbered without gaps, so a block's first arrival
     # number is the sum of the counts of the blocks before it.
-    first = _running(sizes, ["n"], [], "block")
+    first = running_sums(sizes, ["n"], [], "block")
     rows = slim.join(first.select("block", F.col("n_before").alias("first")), "block").select(
         "doc_id", "size", "text_crc32", "position", "block",
         (F.col("first") + F.col("seen").bitwiseAND(F.lit((1 << 33) - 1))).alias("arrival"))
@@ -153,7 +132,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, vnodes: int = VNODES) -> DataF
     # Slots: rows of a shard are numbered within bounded stretches of arrivals,
     # and the stretches' counts are summed.
     placed = placed.withColumn("stretch", F.floor(F.col("arrival") / STRETCH).cast("long"))
-    counts = _running(placed.groupBy("shard", "stretch").agg(F.count("*").alias("n")), ["n"], ["shard"], "stretch")
+    counts = running_sums(placed.groupBy("shard", "stretch").agg(F.count("*").alias("n")), ["n"], ["shard"], "stretch")
     local = F.row_number().over(Window.partitionBy("shard", "stretch").orderBy("arrival")) - 1
     return (placed.withColumn("local", local.cast("long")).join(counts, ["shard", "stretch"])
             .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",

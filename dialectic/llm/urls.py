@@ -65,7 +65,7 @@ def features(urls: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("url"), F.lit(""))
     length = F.greatest(F.char_length(url), F.lit(1)).cast("double")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    segment = F.element_at(F.split("path", "/"), 2)
+    segment = F.get(F.split("path", "/"), F.lit(1))
     return urls.select(
         "*", F.char_length(url).cast("double").alias("f_length"),
         F.char_length("host").cast("double").alias("f_host_length"),

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from dialectic.llm import ring
+from dialectic.llm import frames, ring
 from tests.llm.helpers import docs
 
 
@@ -26,7 +26,7 @@ def plain_fill(position, shards, r):
 def test_same_as_one_key_after_another(spark, monkeypatch, n):
     monkeypatch.setattr(ring, "PARTS", 8)
     monkeypatch.setattr(ring, "STRETCH", 16)
-    monkeypatch.setattr(ring, "GROUP", 2)
+    monkeypatch.setattr(frames, "GROUP", 2)
     ids = [None if i % 3 == 0 else i // 2 for i in range(n)]
     d = docs(spark, [None if i == 1 else "é" * (i % 7) for i in range(n)], ids).withColumnRenamed("source", "shard")
     got = ring.shard_rows(d).collect()
