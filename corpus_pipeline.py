@@ -3,10 +3,22 @@ reread as the next one's input."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dialectic.llm import decontaminate, pii, simhash
-from dialectic.llm.frames import stored, table
+from dialectic.llm import decontaminate, language, packing, pii, simhash
+from dialectic.llm.frames import id_remainder, stored, table
+
+#: Documents whose best language has a smaller mean probability go.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in no language that was learned, go."""
+    found = language.identify(docs, docs.filter(id_remainder("doc_id", 5) != 0).select("text", "lang"))
+    keep = language.known(F.col("_lang")) & (F.col("_score") >= LEAST_LANGUAGE_SCORE)
+    return found.filter(keep).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +36,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pii.redact_documents(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontamination", benchmark_free), ("pii", personal_data)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of at most 4096 ids; one row per piece."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [("language", known_language), ("near_duplicates", near_duplicates), ("decontamination", benchmark_free),
+          ("pii", personal_data), ("packing", packed)]
 
 #: SQL can state neither the fingerprints nor the learned stages.
 ORACLE_SQL = None

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from dialectic.llm import decontaminate, packing, pii, repair, ring, simhash, urls
-from dialectic.llm.frames import table
+from pyspark.sql import functions as F
+from dialectic.llm import decontaminate, hashing, language, lm, packing, pii, repair, ring, simhash, urls
+from dialectic.llm.frames import id_remainder, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         end_id=2, with_ids=False)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = id_remainder("doc_id", 5)
+    found = language.identify(docs.select("doc_id", "text"), docs.filter(rest != 0).select("text", "lang"))
+    return found.select("doc_id", (rest == 0).alias("held_out"), F.col("_lang").alias("lang_pred"),
+                        F.col("_score").alias("score"))
+
+
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
@@ -31,6 +44,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_rows(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_shards(repair.write_shards(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
@@ -40,8 +57,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_packing, op6_decontamination, op7_sharding,
-                                  op9_token_shards, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_pii, op3_packing, op4_language, op5_multi_index, op6_decontamination, op7_sharding,
+    op8_language_model, op9_token_shards, op10_url_filter)}
 
 ORACLE = {
     "op6_decontamination": r"""
