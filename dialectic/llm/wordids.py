@@ -107,10 +107,10 @@ class Memo:
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         """Number new, different pairs in their order."""
-        if 3 * (self.n + len(a)) > self.mask:
+        if 2 * (self.n + len(a)) > self.mask:
             held = np.flatnonzero(self.value >= 0)
             old = self.a[held], self.b[held], self.value[held]
-            self._make(max(16, int(np.ceil(np.log2(6 * (self.n + len(a)))))))
+            self._make(max(16, int(np.ceil(np.log2(3 * (self.n + len(a)))))))
             self._put(*old)
         self._put(a, b, np.arange(self.n, self.n + len(a), dtype=np.int32))
         self.n += len(a)
