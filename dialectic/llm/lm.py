@@ -19,7 +19,7 @@ MODULUS, HELD_OUT = 7, 2
 #: Most frequent words whose counts are broadcast; the others are joined.
 HEAD_WORDS = 1 << 16
 #: Words that a task counts before it sends them on; tokens scored side by side.
-TASK_WORDS, GROUP_TOKENS = 2_000_000, 4 << 20
+TASK_WORDS, GROUP_TOKENS = 1_000_000, 3 << 19
 #: Each training document gives one window of so many words, out of so many characters.
 WINDOW_WORDS, WINDOW_CHARS = 24, 400
 #: Rounds of training on all windows, averaged over the tasks after each.
@@ -233,13 +233,14 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             log = np.log10(np.where(known, words.count[np.maximum(found, 0)] if len(words.count) else 0, 0) + 1.0)
             rare = np.flatnonzero(~known)
             # Rare words once per document, with their number.
-            order = rare[np.lexsort((b[rare], a[rare], doc[rare]))]
+            order = np.lexsort((b, a, doc[rare]))
+            a, b, of = a[order], b[order], doc[rare][order]
             fresh = np.ones(len(order), bool)
-            fresh[1:] = (np.diff(doc[order]) != 0) | (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+            fresh[1:] = (of[1:] != of[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             at = np.flatnonzero(fresh)
-            cut = np.searchsorted(doc[order[at]], np.arange(len(n) + 1)).astype(np.int32)
+            cut = np.searchsorted(of[at], np.arange(len(n) + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(cut), v) for v in (
-                _signed(a[order[at]]), _signed(b[order[at]]),
+                _signed(a[at]), _signed(b[at]),
                 pa.array(np.diff(np.append(at, len(order))).astype(np.int32)))]
             per = lambda x: pa.array(np.bincount(doc, x, len(n)))
             whole = lambda x: pa.array(np.bincount(doc, x, len(n)).astype(np.int64))
@@ -254,7 +255,8 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             for part in slices(batch, "text"):
                 a, b, n = tokens(texts(part), hashes)
                 found, ids = words.look(a, b)
-                held.append((ids, n, found, a, b))
+                rare = found < 0  # only these keys leave the task
+                held.append((ids.astype(np.int32), n, found, a[rare], b[rare]))
                 for k in ("doc_id", "held_out"):
                     cols.setdefault(k, []).append(part.column(k))
                 size += len(a)
