@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dialectic.session import scratch_dir
 
 #: Bytes of text an Arrow worker turns into Python objects at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Counts that are summed in one window.
 GROUP = 4096
 

@@ -15,7 +15,7 @@ from dialectic.llm.wordids import word_ids
 
 WINDOW = 4096
 #: Ids of an index shard: documents are retrieved within a shard.
-SHARD_IDS = 4 << 20
+SHARD_IDS = 2 << 20
 #: BM25, and the rarest terms of a seed that are looked up.
 K1, B, QUERY_TERMS = 1.2, 0.75, 24
 _TERM_BITS = 20

@@ -22,7 +22,7 @@ LETTER, NUMBER, SPACE, OTHER, BEYOND = range(5)
 #: Code points above this one are left to the library.
 TOP = 0x2060
 #: The memo starts anew beyond so many words or ids.
-MEMO_WORDS, MEMO_IDS = 1_500_000, 12_000_000
+MEMO_WORDS, MEMO_IDS = 600_000, 6_000_000
 
 # --- fixed values: contractions that are words of their own
 SHORT, LONG = "stmd", ("re", "ve", "ll")
@@ -66,7 +66,7 @@ class Hashes:
     def __call__(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(cps) + 1
         if n > self._n:
-            self._n = max(n, 1 << 20)
+            self._n = max(n, 1 << 19)
             self._up = [_powers(b, self._n) for b in _BASES]
             self._down = [_powers(pow(b, -1, 1 << 64), self._n) for b in _BASES]
         out = []
