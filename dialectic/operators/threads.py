@@ -23,9 +23,11 @@ from dialectic.session import checkpoint_dir, partitions_for, scratch_dir
 
 COMMENT_ATTRS = ["author", "body", "parent_id", "link_id", "created_utc"]
 
-# Default cap on walk depth. Chains still alive at the cap (cycles, runaway
-# chains) are reported in ``Walk.stuck`` and never silently cut.
-DEFAULT_MAX_DEPTH = 1000
+# No bound on the depth unless a caller sets one: chains end by themselves, and
+# a walk that goes round is caught by comparing each level with a marked one
+# (marked from this depth on, at each doubling).
+DEFAULT_MAX_DEPTH = None
+FIRST_CYCLE_CHECK = 64
 
 # Skew handling: a join key is "hot" when it holds at least this many rows
 # (and at least 1/MAX_HOT_KEYS of the side), so at most MAX_HOT_KEYS keys
@@ -110,7 +112,7 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_MIN_ROWS, n: int |
     return [r[0] for r in counts.where(F.col("_n") >= threshold).select(key).collect()]
 
 
-def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int,
+def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int | None,
           hot_key_rows: int = HOT_KEY_MIN_ROWS) -> Walk:
     spark = comments.sparkSession
     base = scratch_dir(spark, f"walk-{direction}")
@@ -178,6 +180,7 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int,
     seeds = seeds.select(F.col(seeds.columns[0]).alias("start_id")).distinct()
     frontier = seeds.select("start_id", F.col("start_id").alias("_want"))
     depth, stuck, n_front = 0, None, 0
+    mark, next_mark = None, FIRST_CYCLE_CHECK
     while True:
         path = f"{base}/depth={depth}"
         if depth == 0:
@@ -189,9 +192,23 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int,
         n_front = written.count()  # from file footers; also the stop test
         if n_front == 0:
             break
-        if depth > max_depth:
-            stuck = written.groupBy("start_id").agg(F.lit(depth).cast("long").alias("depth"))
+        if max_depth is not None and depth > max_depth:
+            caught = written.groupBy("start_id").agg(F.lit(depth).cast("long").alias("depth"))
+            stuck = caught if stuck is None else stuck.unionByName(caught)
             break
+        if mark is not None:
+            # A seed that meets a row of the marked level again goes round for ever.
+            caught = written.join(mark, ["start_id", "_probe"], "left_semi").groupBy("start_id").agg(
+                F.lit(depth).cast("long").alias("depth"))
+            caught_path = f"{base}-stuck/at={depth}"
+            caught.write.mode("overwrite").parquet(caught_path)
+            caught = spark.read.parquet(caught_path)
+            if caught.count():
+                stuck = caught if stuck is None else stuck.unionByName(caught)
+                written = written.join(caught.select("start_id"), "start_id", "left_anti")
+                n_front = written.count()
+        if depth >= next_mark:
+            mark, next_mark = written.select("start_id", "_probe").distinct(), 2 * depth
         frontier = written.select("start_id", F.col("_probe").alias("_want"))
         depth += 1
 
@@ -199,7 +216,7 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int,
         rows = spark.createDataFrame([], "start_id string, id string, depth long, author string, body string, "
                                          "parent_id string, link_id string, created_utc long")
     else:
-        levels = [f"{base}/depth={d}" for d in range(depth if stuck is None else max_depth + 1)]
+        levels = [f"{base}/depth={d}" for d in range(depth)]
         rows = (spark.read.option("basePath", base).parquet(*levels)
                 .select("start_id", "id", F.col("depth").cast("long").alias("depth"), *COMMENT_ATTRS))
     nodes.unpersist()
@@ -212,7 +229,7 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int,
     return Walk(rows=rows, stuck=stuck, levels=depth)
 
 
-def ancestor_walk(comments: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
+def ancestor_walk(comments: DataFrame, seeds: DataFrame, max_depth: int | None = DEFAULT_MAX_DEPTH,
                   hot_key_rows: int = HOT_KEY_MIN_ROWS) -> Walk:
     """Each seed plus all its ancestors up to the top-level comment
     (the parent that is no comment — the submission — ends the chain).
@@ -222,7 +239,7 @@ def ancestor_walk(comments: DataFrame, seeds: DataFrame, max_depth: int = DEFAUL
     return _walk(comments, seeds, "up", max_depth, hot_key_rows)
 
 
-def descendant_walk(comments: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
+def descendant_walk(comments: DataFrame, seeds: DataFrame, max_depth: int | None = DEFAULT_MAX_DEPTH,
                     hot_key_rows: int = HOT_KEY_MIN_ROWS) -> Walk:
     """Each seed plus every reply below it, at any depth."""
     return _walk(comments, seeds, "down", max_depth, hot_key_rows)
@@ -252,7 +269,7 @@ def assemble_threads(walk_rows: DataFrame) -> DataFrame:
 
 def build_threads(comments: DataFrame, submissions: DataFrame,
                   delta_symbols: list[str] | None = None,
-                  max_depth: int = DEFAULT_MAX_DEPTH,
+                  max_depth: int | None = DEFAULT_MAX_DEPTH,
                   new_comments: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Thread records for every OP comment, plus the quarantine.
 

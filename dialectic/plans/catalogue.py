@@ -547,7 +547,7 @@ def q_sample_log(spark, d):
     path = scratch_dir(spark, "sample-log")
     log = M.sample_log(_scored(spark, d), FX.f_preferences(spark, d), STEPS_PER_EPOCH)
     append_log(log, path)
-    back = spark.read.parquet(path)
+    back = spark.read.schema(log.schema).parquet(path)  # else run ids like 007 come back as numbers
     return _round_doubles(back.select(*log.columns))
 
 

@@ -12,7 +12,7 @@ from dialectic.streaming.rollup import run_rollup
 LOG_COLS = ["run_id", "type", "step", "loss", "chosen_reward", "rejected_reward"]
 
 
-def stream_rollup_over(spark: SparkSession, scored: DataFrame, timeout_s: int = 600) -> DataFrame:
+def stream_rollup_over(spark: SparkSession, scored: DataFrame) -> DataFrame:
     """Append ``scored`` as a per-sample log (one file set per run/type
     partition, as a training job would), stream-aggregate it with an
     ``availableNow`` trigger, and return the written roll-up table."""
@@ -21,10 +21,7 @@ def stream_rollup_over(spark: SparkSession, scored: DataFrame, timeout_s: int =
     log = scored.select(*LOG_COLS)
     append_log(log.repartition("run_id", "type").select(*LOG_COLS), src, partition_by=())
     q = run_rollup(spark, src, log.schema, out, ckpt, available_now=True)
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming roll-up did not finish")
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     return spark.read.parquet(out).select(
@@ -33,20 +30,17 @@ def stream_rollup_over(spark: SparkSession, scored: DataFrame, timeout_s: int =
 
 
 def stream_threads_over(spark: SparkSession, comments: DataFrame, submissions: DataFrame,
-                        delta_symbols: list[str], n_files: int = 2, timeout_s: int = 900) -> DataFrame:
+                        delta_symbols: list[str], n_files: int = 2) -> DataFrame:
     """Deliver ``comments`` as ``n_files`` files to a stream (one file per
     trigger), build thread records per micro-batch, return all records."""
     from dialectic.streaming.threads_stream import run_thread_stream
     base = scratch_dir(spark, "stream-threads")
     src, out, ckpt = f"{base}/incoming", f"{base}/threads", f"{base}/_checkpoint"
     comments.repartition(n_files).write.parquet(src)
-    static = spark.read.parquet(src)
-    q = run_thread_stream(spark, src, static.schema, static, submissions, out, ckpt,
+    schema = spark.read.parquet(src).schema
+    q = run_thread_stream(spark, src, schema, lambda: spark.read.schema(schema).parquet(src), submissions, out, ckpt,
                           delta_symbols=delta_symbols, max_files_per_trigger=1)
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming thread build did not finish")
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     return spark.read.parquet(out).drop("batch")

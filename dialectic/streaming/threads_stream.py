@@ -9,17 +9,22 @@ folder instead of duplicating rows; the checkpoint records progress.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from dialectic.operators.threads import build_threads
 
 
-def run_thread_stream(spark: SparkSession, source_dir: str, schema: StructType, comments: DataFrame,
+def run_thread_stream(spark: SparkSession, source_dir: str, schema: StructType,
+                      comments: DataFrame | Callable[[], DataFrame],
                       submissions: DataFrame, out_dir: str, checkpoint: str,
                       delta_symbols: list[str] | None = None, max_files_per_trigger: int | None = None,
                       available_now: bool = True, fmt: str = "parquet"):
-    """Start the stream; returns the ``StreamingQuery``. Quarantined seeds of
+    """Start the stream; returns the ``StreamingQuery``. ``comments`` may be a
+    function that reads the table: it is called for every batch, so files that
+    came after the start are seen (a frame keeps the files of its making). Quarantined seeds of
     each batch go to ``<out>_quarantine/batch=<b>``."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
@@ -27,7 +32,8 @@ def run_thread_stream(spark: SparkSession, source_dir: str, schema: StructType,
     new = reader.load(source_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        threads, quarantine = build_threads(comments, submissions, delta_symbols=delta_symbols,
+        known = comments() if callable(comments) else comments
+        threads, quarantine = build_threads(known, submissions, delta_symbols=delta_symbols,
                                             new_comments=batch)
         threads.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
         quarantine.write.mode("overwrite").parquet(f"{out_dir}_quarantine/batch={batch_id}")

@@ -179,3 +179,16 @@ def test_invalid_utf8_text_is_cleaned_in_records(spark):
     (t,) = TH.build_threads(c, s)[0].collect()
     assert t.comments_thread[0].comment_body == "ok !delta"
     assert t.comments_thread_is_delta is True
+
+
+def test_walk_without_depth_limit(spark, monkeypatch):
+    """Long chains stay whole; a walk that goes round is caught, others are not."""
+    monkeypatch.setattr(TH, "FIRST_CYCLE_CHECK", 2)
+    rows = [("a", "b", i, f"n{i}", "t3_s", f"t1_n{i - 1}" if i else "t3_s") for i in range(9)]
+    rows += [("a", "b", 50, "x", "t3_s", "t1_y"), ("a", "b", 51, "y", "t3_s", "t1_x"), ("a", "b", 52, "z", "t3_s", "t1_y")]
+    c = comments_df(spark, rows)
+    seeds = spark.createDataFrame([("n8",), ("n2",), ("x",), ("z",)], "id string")
+    w = TH.ancestor_walk(c, seeds)
+    got = {r[0]: r[1] for r in w.rows.groupBy("start_id").count().collect()}
+    assert got == {"n8": 9, "n2": 3}
+    assert sorted(r.start_id for r in w.stuck.collect()) == ["x", "z"]
