@@ -4,7 +4,7 @@ The reference ships no data; these adapters derive forum, preference, score,
 history and trial tables from ``conversations``, ``documents``,
 ``embeddings`` and ``events`` so every catalogue query reads the given
 tables and grows with them. The same views are written as SQL in
-:mod:`dialectic.plans.oracle` for the DuckDB check.
+:mod:`dialectic.plans.oracle_views` for the DuckDB check.
 """
 
 from __future__ import annotations
