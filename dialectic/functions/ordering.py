@@ -9,8 +9,8 @@ construction) get a running sum in one small task and are broadcast back.
 Inputs are slim key frames (callers join wide columns back by a unique
 key); they are checkpointed once, then shuffled once by bucket, plus one
 shuffle of the tiny bucket table. No task ever sees more than one bucket, so
-the plan scales with the cluster as long as buckets are even — true for hash-ordered keys and for distinct integer ids
-bucketed by range.
+the plan scales with the cluster as long as buckets are even — true for hash-ordered keys and for ranges sampled
+from the data.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from dialectic.session import checkpoint_dir
 # Hex digits of an md5 digest used as the bucket of a hash order:
 # 4 digits -> at most 65,536 bucket rows in the broadcast offset table.
 HASH_BUCKET_HEX_DIGITS = 4
-# Upper bound on the number of range buckets for integer orders.
+# Rows a range bucket aims at, and the upper bound on the number of buckets
+# (rows of the broadcast offset table).
+ROWS_PER_BUCKET = 1 << 18
 MAX_RANGE_BUCKETS = 1 << 16
 
 
@@ -46,13 +48,6 @@ def hash_bucket(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, HASH_BUCKET_HEX_DIGITS), 16, 10).cast("long")
 
 
-def range_bucket(key: Column, lo: int, hi: int) -> Column:
-    """Bucket of an integer key in [lo, hi]: equal-width, at most
-    ``MAX_RANGE_BUCKETS`` values, monotone with the key."""
-    width = max(1, -(-(hi - lo + 1) // MAX_RANGE_BUCKETS))
-    return F.floor((key - F.lit(lo)) / F.lit(width)).cast("long")
-
-
 def ordered_running_sum(
     df: DataFrame,
     order_cols: list[Column],
@@ -119,19 +114,26 @@ def hash_order_index(df: DataFrame, key: Column, seed: int | str, out: str = "id
                                total=total).drop("_digest")
 
 
-def int_order_index(df: DataFrame, key: str, out: str = "idx", total: str | None = None,
-                    value: Column | None = None, partition_cols: list[str] | None = None) -> DataFrame:
-    """Dense position (or running sum of ``value``) in ascending order of an
-    integer column that is unique (within the group, if grouped).
+def order_index(df: DataFrame, keys: list[str], out: str = "idx", total: str | None = None,
+                value: Column | None = None, partition_cols: list[str] | None = None,
+                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Dense position (or running sum of ``value``) in ascending order of
+    ``keys``, which are unique together (within the group, if grouped).
 
-    Runs one small aggregate job to learn the key range for the buckets.
+    Buckets are the ranges Spark samples from the data, so outliers and gaps
+    in the keys leave them even. Pass slim key frames only.
     """
     checkpoint_dir(df.sparkSession)
     df = df.checkpoint(eager=True)
-    bounds = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    if lo is None:
-        lo, hi = 0, 0
-    return ordered_running_sum(df, [F.col(key)], range_bucket(F.col(key), int(lo), int(hi)),
-                               value=value, out=out, total=total, partition_cols=partition_cols,
-                               materialize=False)
+    n = min(MAX_RANGE_BUCKETS, max(1, -(-df.count() // rows_per_bucket)))
+    ranged = (df.repartitionByRange(n, *(partition_cols or []), *keys)
+              .withColumn("_range", F.spark_partition_id()).checkpoint(eager=True))
+    return ordered_running_sum(ranged, [F.col(k) for k in keys], F.col("_range").cast("long"), value=value,
+                               out=out, total=total, partition_cols=partition_cols,
+                               materialize=False).drop("_range")
+
+
+def int_order_index(df: DataFrame, key: str, out: str = "idx", total: str | None = None,
+                    value: Column | None = None, partition_cols: list[str] | None = None) -> DataFrame:
+    """``order_index`` by one column."""
+    return order_index(df, [key], out=out, total=total, value=value, partition_cols=partition_cols)

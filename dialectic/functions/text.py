@@ -62,15 +62,15 @@ def utf8_clean(c: Column | str) -> Column:
     """Bytes -> text with invalid UTF-8 sequences dropped.
 
     Valid input is cast untouched; for invalid input the bad sequences are
-    replaced by U+FFFD and then removed. Differs from a byte-level
-    "decode, ignore errors" only for input that is invalid *and* also holds a
-    genuine U+FFFD. String input passes through (its bytes are re-validated).
+    replaced by U+FFFD and then removed. A genuine U+FFFD is kept: it is
+    escaped (with U+0001, itself escaped first) while the bad ones go. String
+    input passes through (its bytes are re-validated).
     """
     c = F.col(c) if isinstance(c, str) else c
     s = c.cast("string")
-    return F.when(F.is_valid_utf8(s), s).otherwise(
-        F.regexp_replace(F.make_valid_utf8(s), "\\x{FFFD}", "")
-    )
+    esc, esc_self, esc_bad, bad = (F.lit(x) for x in ("\x01", "\x01a", "\x01b", "\ufffd"))
+    kept = F.replace(F.make_valid_utf8(F.replace(F.replace(s, esc, esc_self), bad, esc_bad)), bad, F.lit(""))
+    return F.when(F.is_valid_utf8(s), s).otherwise(F.replace(F.replace(kept, esc_bad, bad), esc_self, esc))
 
 
 def contains_any(c: Column | str, needles: list[str]) -> Column:

@@ -11,10 +11,9 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dialectic.functions.ordering import hash_order_index, int_order_index, md5_int32
+from dialectic.functions.ordering import hash_order_index, int_order_index, md5_int32, order_index
 from dialectic.functions.text import (DEFAULT_INSTRUCTION_PREFIX, DEFAULT_TEMPLATE_PREFIX,
                                       DEFAULT_TEMPLATE_SUFFIX, instruction_text, template)
 
@@ -26,9 +25,6 @@ GROUP_SPLIT_RATIOS = (0.6, 0.2)
 ROW_SPLIT_FRACTIONS = (0.2, 0.25)
 # Default positions picked for sample generation.
 DEFAULT_PICK_POSITIONS = [15]
-# Prefixes shorter than this are taken by a distributed top-k instead of a
-# global position index.
-TOP_K_MAX = 100_000
 # -----------------------------------------------------------------------------
 
 
@@ -49,6 +45,8 @@ def group_split(prefs: DataFrame, seed: int = DEFAULT_SEED,
     reproducible, independent of input order); with G prompts the first
     ``int(0.6*G)`` go to train, the next ``int(0.2*G)`` to validation, the
     rest to test (double arithmetic, truncation, like ``int(0.6 * G)``).
+    ``split_rank`` keeps the prompt's rank: a split's rows are in the order
+    ``(split_rank, row_id)``, in which positions count.
     """
     train_r, val_r = ratios
     keys = prefs.select("prompt").distinct()
@@ -60,7 +58,7 @@ def group_split(prefs: DataFrame, seed: int = DEFAULT_SEED,
     split = (F.when(F.col("_rank") < n_train, F.lit("train"))
               .when(F.col("_rank") < n_train + n_val, F.lit("validation"))
               .otherwise(F.lit("test")))
-    ks = ranked.select(F.col("prompt").alias("_p"), split.alias("split"))
+    ks = ranked.select(F.col("prompt").alias("_p"), split.alias("split"), F.col("_rank").alias("split_rank"))
     out = prefs.join(ks, prefs["prompt"].eqNullSafe(ks["_p"]), "inner").drop("_p")
     return out
 
@@ -129,50 +127,54 @@ def preprocess(df: DataFrame, name: str | None, **kwargs) -> DataFrame:
     return df.transform(lambda d: PREPROCESSORS[name](d, **kwargs))
 
 
+def _order(df: DataFrame) -> list[str]:
+    """Row order of a dataset: a split lists its rows by the shuffled rank of
+    their prompt, then ``row_id``; any other dataset by ``row_id``."""
+    return ["split_rank", "row_id"] if "split_rank" in df.columns else ["row_id"]
+
+
 def with_positions(df: DataFrame, out: str = "pos") -> DataFrame:
-    """Dense 0-based position in ``row_id`` order (``enumerate``): numbered
-    on the slim ``row_id`` column, then joined back by it."""
-    if df.columns == ["row_id"]:
-        return int_order_index(df, "row_id", out=out)
-    return df.join(int_order_index(df.select("row_id"), "row_id", out=out), "row_id")
+    """Dense 0-based position in the dataset's row order (``enumerate``):
+    numbered on the slim order columns, then joined back by ``row_id``."""
+    keys = _order(df)
+    numbered = order_index(df.select(*keys), keys, out=out).select("row_id", out)
+    return numbered if df.columns == ["row_id"] else df.join(numbered, "row_id")
 
 
 def dedup_prompts(df: DataFrame, out: str = "sample_index") -> DataFrame:
-    """Keep the first row (lowest ``row_id``) of every prompt, renumbered 0..n-1.
+    """Keep the first row (in row order) of every prompt, renumbered 0..n-1.
 
-    The winner is found by ``min(row_id)`` per prompt (reduced map-side, so
+    The winner is found by ``min`` per prompt (reduced map-side, so
     a hot prompt costs one row per task), then the full rows are kept by a
     join on the unique ``row_id``; numbering runs on the slim winners only,
     so long texts cross one shuffle at most.
     """
+    keys = _order(df)
     cols = [c for c in df.columns if c not in ("row_id", "prompt")]
-    firsts = df.groupBy("prompt").agg(F.min("row_id").alias("row_id")).select("row_id")
-    numbered = with_positions(firsts, out)          # slim: (row_id, out)
+    firsts = df.groupBy("prompt").agg(F.min(F.struct(*keys)).alias("f")).select("f.*")
+    numbered = order_index(firsts, keys, out=out).select("row_id", out)
     return df.join(numbered, "row_id").select(out, "row_id", "prompt", *cols)
 
 
-def _top_rows(df: DataFrame, k: int, pos_col: str) -> DataFrame:
-    """First ``k`` rows by ``row_id`` with their positions: a distributed
-    top-k (each task keeps at most ``k`` rows), then numbering of those
-    ``k`` rows only."""
-    top = df.orderBy("row_id").limit(k)
-    return top.withColumn(pos_col, (F.row_number().over(Window.orderBy("row_id")) - 1).cast("long"))
-
-
 def pick_positions(df: DataFrame, positions: list[int] | None = DEFAULT_PICK_POSITIONS,
                    pos_col: str = "pos") -> DataFrame:
     """Rows at the given positions, or every row when ``positions`` is None
-    (the "all" mode wins over a subset). Use ``check_positions`` to fail on
-    positions past the end, as list indexing would."""
+    (the "all" mode wins over a subset). As in list indexing, negative
+    positions count from the end, a repeated position gives its row again and
+    one past an end raises ``IndexError``. Positions are numbered on slim
+    keys; full rows are only joined to the picked ones."""
     if positions is None:
         return df if pos_col in df.columns else with_positions(df, pos_col)
-    wanted = [int(p) for p in positions]
-    if pos_col not in df.columns:
-        if wanted and max(wanted) < TOP_K_MAX:
-            df = _top_rows(df, max(wanted) + 1, pos_col)
-        else:
-            df = with_positions(df, pos_col)
-    return df.where(F.col(pos_col).isin(wanted))
+    n = df.count()
+    missing = sorted({p for p in positions if not -n <= p < n})
+    if missing:
+        raise IndexError(f"positions out of range: {missing}")
+    wanted = F.array(*[F.lit(p % n).cast("long") for p in positions]).cast("array<bigint>")
+    slim = (df if pos_col in df.columns else with_positions(df.select(*_order(df)), pos_col)).select("row_id", pos_col)
+    again = F.filter(wanted, lambda w: w == F.col(pos_col))
+    picked = slim.where(F.array_contains(wanted, F.col(pos_col))).select(
+        "row_id", F.explode(again).alias(pos_col))
+    return df.drop(pos_col).join(picked, "row_id")
 
 
 def check_positions(df: DataFrame, positions: list[int], pos_col: str = "pos") -> None:
@@ -184,12 +186,11 @@ def check_positions(df: DataFrame, positions: list[int], pos_col: str = "pos") -
 
 
 def head_n(df: DataFrame, n: int, pos_col: str = "pos") -> DataFrame:
-    """First ``n`` rows in position order (clamps when ``n`` exceeds the size)."""
+    """First ``n`` rows in row order (clamps when ``n`` exceeds the size)."""
     if pos_col in df.columns:
         return df.where(F.col(pos_col) < n)
-    if n < TOP_K_MAX:
-        return _top_rows(df, n, pos_col)
-    return with_positions(df, pos_col).where(F.col(pos_col) < n)
+    slim = with_positions(df.select(*_order(df)), pos_col).select("row_id", pos_col)
+    return df.join(slim.where(F.col(pos_col) < n), "row_id")
 
 
 def stack_sides(df: DataFrame, keys: tuple[str, ...] = ("row_id", "prompt")) -> DataFrame:

@@ -38,8 +38,8 @@ LOOKUP_IDS = ["c0_1", "c0_2"]
 # marker list to exercise both outcomes of the predicate.
 CHECK_DELTA_SYMBOLS = ["the", "!delta"]
 SEED = 42
-PICK = [15]
-HEAD_N = 150
+PICK = [15, 15, 3, -1]
+HEAD_N = {"train": 150, "validation": 100}
 RPO_ALPHA = 0.5
 STEPS_PER_EPOCH = 4
 TRUNCATE_AT = 1024
@@ -92,10 +92,10 @@ def q_strip_prefix(spark, d):
 
 # Bodies arrive as bytes with invalid sequences around them; cleaning must
 # give back exactly the original text.
-@register("utf8_clean", with_views(["f_comments"], [], "SELECT id, body AS clean_body FROM f_comments"))
+@register("utf8_clean", with_views(["f_comments"], [], "SELECT id, chr(65533) || body || chr(1) AS clean_body FROM f_comments"))
 def q_utf8_clean(spark, d):
     c = FX.f_comments(spark, d)
-    raw = F.concat(F.lit(bytearray(b"\xff")), F.encode("body", "UTF-8"), F.lit(bytearray(b"\xc3")))
+    raw = F.concat(F.lit(bytearray(b"\xff\xef\xbf\xbd")), F.encode("body", "UTF-8"), F.lit(bytearray(b"\x01\xc3")))
     return c.select("id", utf8_clean(raw).alias("clean_body"))
 
 
@@ -253,7 +253,7 @@ _GROUP_SPLIT_CTES = [
     ("p", "SELECT DISTINCT prompt FROM f_preferences"),
     ("r", f"""SELECT prompt, row_number() OVER (ORDER BY md5('{SEED}|' || coalesce(prompt, '')), coalesce(prompt, ''),
                       prompt IS NULL) - 1 AS idx, count(*) OVER () AS g FROM p"""),
-    ("gs", """SELECT f.*, CASE WHEN r.idx < floor(CAST(0.6 AS DOUBLE) * r.g) THEN 'train'
+    ("gs", """SELECT f.*, r.idx AS split_rank, CASE WHEN r.idx < floor(CAST(0.6 AS DOUBLE) * r.g) THEN 'train'
                          WHEN r.idx < floor(CAST(0.6 AS DOUBLE) * r.g) + floor(CAST(0.2 AS DOUBLE) * r.g)
                          THEN 'validation' ELSE 'test' END AS split
               FROM f_preferences f JOIN r ON f.prompt IS NOT DISTINCT FROM r.prompt"""),
@@ -354,18 +354,26 @@ def q_dedup_prompts(spark, d):
     return P.dedup_prompts(FX.f_preferences(spark, d))
 
 
-_POS_SQL = "SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS pos, row_id, prompt FROM f_preferences"
+_SPLIT_POS_SQL = """
+    SELECT CAST(row_number() OVER (PARTITION BY split ORDER BY split_rank, row_id) - 1 AS BIGINT) AS pos,
+           count(*) OVER (PARTITION BY split) AS n, split, row_id, prompt FROM gs"""
 
 
-@register("pick_positions", with_views(["f_preferences"], [("q", _POS_SQL)],
-          f"SELECT pos, row_id, prompt FROM q WHERE pos IN ({', '.join(map(str, PICK))})"))
+@register("pick_positions", with_views(["f_preferences"], _GROUP_SPLIT_CTES + [("q", _SPLIT_POS_SQL)], f"""
+    SELECT q.pos, q.row_id, q.prompt
+    FROM (SELECT unnest([{', '.join(map(str, PICK))}]) AS p) w
+    JOIN q ON q.split = 'validation' AND q.pos = CASE WHEN w.p < 0 THEN w.p + q.n ELSE w.p END"""))
 def q_pick_positions(spark, d):
-    return P.pick_positions(FX.f_preferences(spark, d), PICK).select("pos", "row_id", "prompt")
+    val = P.select_split(_group_split(spark, d), "validation")
+    return P.pick_positions(val, PICK).select("pos", "row_id", "prompt")
 
 
-@register("head_n", with_views(["f_preferences"], [("q", _POS_SQL)], f"SELECT pos, row_id, prompt FROM q WHERE pos < {HEAD_N}"))
+@register("head_n", with_views(["f_preferences"], _GROUP_SPLIT_CTES + [("q", _SPLIT_POS_SQL)], " UNION ALL ".join(
+    f"SELECT split, pos, row_id, prompt FROM q WHERE split = '{s}' AND pos < {n}" for s, n in HEAD_N.items())))
 def q_head_n(spark, d):
-    return P.head_n(FX.f_preferences(spark, d), HEAD_N).select("pos", "row_id", "prompt")
+    split = _group_split(spark, d)
+    train, val = [P.head_n(P.select_split(split, s), n) for s, n in HEAD_N.items()]
+    return train.unionByName(val).select("split", "pos", "row_id", "prompt")
 
 
 @register("preference_pairs", with_views(["f_labeled_documents"], [
@@ -683,7 +691,7 @@ def q_batch_generate(spark, d):
 
 
 @register("generated_samples", with_views(["f_preferences"], _GROUP_SPLIT_CTES, """
-    SELECT 'run0' AS run_id, CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS eval_sample_index,
+    SELECT 'run0' AS run_id, CAST(row_number() OVER (ORDER BY split_rank, row_id) - 1 AS BIGINT) AS eval_sample_index,
            CAST(1.0 AS DOUBLE) AS epoch, prompt, upper(prompt) AS generated_text, chosen, rejected
     FROM gs WHERE split = 'validation'"""))
 def q_generated_samples(spark, d):
@@ -694,11 +702,11 @@ def q_generated_samples(spark, d):
 
 @register("generate_test_split", with_views(["f_preferences"], _GROUP_SPLIT_CTES + [
     ("t", f"""SELECT row_id, {_sql_text(P.DEFAULT_TEMPLATE_PREFIX)} || prompt || {_sql_text(P.DEFAULT_TEMPLATE_SUFFIX)}
-                    AS prompt, chosen, rejected FROM gs WHERE split = 'test'"""),
+                    AS prompt, chosen, rejected, split_rank FROM gs WHERE split = 'test'"""),
     ("f", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY row_id) AS rn FROM t) WHERE rn = 1")],
     """SELECT 'dialectic-run' AS wandb_run_name, 'run0' AS wandb_run_id, 'checkpoints/epoch-3' AS checkpoint_model_path,
               '03' AS checkpoint_epoch, 'test' AS dataset_to_gen_txt,
-              CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS sample_index, prompt,
+              CAST(row_number() OVER (ORDER BY split_rank, row_id) - 1 AS BIGINT) AS sample_index, prompt,
               upper(prompt) AS generated_text, chosen, rejected
        FROM f"""))
 def q_generate_test_split(spark, d):

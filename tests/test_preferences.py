@@ -4,8 +4,10 @@ import json
 import math
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from dialectic.functions.ordering import order_index
 from dialectic.operators import preferences as P
 from dialectic.sources.readers import load_preferences
 
@@ -132,3 +134,31 @@ def test_load_preferences_keeps_file_order(spark, tmp_dir):
     rows = sorted(df.collect(), key=lambda r: r.row_id)
     assert [r.row_id for r in rows] == list(range(120))
     assert [r.chosen for r in rows] == [f"c{i}" for i in range(120)]
+
+
+def test_positions_follow_list_indexing(spark):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "row_id long, prompt string")
+    got = sorted(r.row_id for r in P.pick_positions(df, [15, 15, -1]).collect())
+    assert got == [15, 15, 19]
+    for bad in ([20], [-21]):
+        with pytest.raises(IndexError):
+            P.pick_positions(df, bad)
+    assert P.pick_positions(df, []).count() == 0
+
+
+def test_positions_count_in_split_order(spark):
+    df = spark.createDataFrame([(i, f"p{i % 7}", "c", "r") for i in range(60)],
+                               "row_id long, prompt string, chosen string, rejected string")
+    train = P.select_split(P.group_split(df), "train")
+    want = [r.row_id for r in train.orderBy("split_rank", "row_id").collect()]
+    got = [r.row_id for r in P.with_positions(train).orderBy("pos").collect()]
+    assert got == want and got != sorted(got)
+    assert [r.row_id for r in P.head_n(train, 5).orderBy("pos").collect()] == want[:5]
+
+
+def test_range_buckets_stay_even_with_an_outlier(spark):
+    df = spark.range(20_000).union(spark.createDataFrame([(1 << 60,)], "id long"))
+    ranged = df.repartitionByRange(8, "id").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in ranged) < 2 * 20_001 / 8
+    got = order_index(df, ["id"], out="i", rows_per_bucket=2_500)
+    assert got.where("i <> least(id, 20000)").count() == 0 and got.count() == 20_001

@@ -69,6 +69,13 @@ def test_string_helpers(spark):
     assert (r.s, r.u, r.k, r.z, r.z3) == ("abc", "abc", "2024_01_xyz", "07", "123")
 
 
+def test_utf8_clean_is_decode_ignore(spark):
+    raws = [b"", b"a\xef\xbf\xbdb\xff", b"\xf0\xef\xbf\xbd\x01a\x01\xc3", b"\x01b\xe2\x82", b"ok \x01b \xef\xbf\xbd"]
+    df = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(raws)], "i int, b binary")
+    got = {r.i: r.u for r in df.select("i", utf8_clean("b").alias("u")).collect()}
+    assert got == {i: r.decode("utf-8", "ignore") for i, r in enumerate(raws)}
+
+
 def test_ordered_index_matches_global_window(spark):
     rnd = random.Random(7)
     ids = rnd.sample(range(1, 10**7), 3000)
