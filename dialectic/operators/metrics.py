@@ -15,8 +15,8 @@ PRED_TEXT_COLS = ["policy_chosen_pred_text", "reference_chosen_pred_text",
 
 def sample_log(scored: DataFrame, prefs: DataFrame, steps_per_epoch: int = 4,
                pred_texts: DataFrame | None = None) -> DataFrame:
-    """The 16-column per-sample log: scores joined to their texts by key
-    (``sample_id`` = ``row_id``). Predicted-text columns come from
+    """The 16-column per-sample log behind its ``sample_id``: scores joined to
+    their texts by key (``sample_id`` = ``row_id``). Predicted-text columns come from
     ``pred_texts`` (keyed by ``sample_id``) when given, else NULL."""
     p = prefs.select(F.col("row_id").alias("sample_id"), "prompt", "chosen", "rejected")
     j = scored.join(p, "sample_id", "left")
@@ -33,9 +33,12 @@ def sample_log(scored: DataFrame, prefs: DataFrame, steps_per_epoch: int = 4,
         "chosen", "rejected", *PRED_TEXT_COLS)
 
 
-def metric_rollup(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def metric_rollup(scored: DataFrame, keys: list[str] | None = None,
+                  sides: DataFrame | None = None) -> DataFrame:
     """Batch means of the reward/log-prob metrics per ``(run, type, step)``,
-    with the ``eval_`` prefix the tracker used for eval rows."""
+    with the ``eval_`` prefix the tracker used for eval rows. ``sides``
+    (:func:`scoring.side_metrics` with the same keys) adds mean logits,
+    perplexities and the NLL."""
     keys = keys or BATCH_KEYS
     cr, rr = F.col("chosen_reward"), F.col("rejected_reward")
     g = scored.groupBy(*keys).agg(
@@ -48,6 +51,8 @@ def metric_rollup(scored: DataFrame, keys: list[str] | None = None) -> DataFrame
         F.avg("policy_chosen_logps").alias("logps_chosen"),
         F.avg("policy_rejected_logps").alias("logps_rejected"),
     )
+    if sides is not None:
+        g = g.join(sides, keys, "left")
     if "type" in keys:
         g = g.withColumn("metric_prefix", F.when(F.col("type") == "eval", F.lit("eval_")).otherwise(F.lit("")))
     return g

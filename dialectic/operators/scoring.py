@@ -9,29 +9,30 @@ helpers are for small vectors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dialectic.functions.mathx import (array_argmax, array_logsumexp, array_softmax,
-                                       neg_log_sigmoid, safe_div)
+                                       nan_to_zero, neg_log_sigmoid, safe_div)
 
 # --- fixed values ------------------------------------------------------------
 IGNORE_INDEX = -100     # masked label (padding / prompt tokens)
 DEFAULT_BETA = 0.1
 BETA_GRID = [0.10, 0.15, 0.20, 0.25]
+FLOAT_MAX = 3.4028234663852886e38  # largest 32-bit float
 # -----------------------------------------------------------------------------
 
 SIDES = ("chosen", "rejected")
 MODELS = ("policy", "reference")
 
 
-def shift_labels(tokens: DataFrame, seq: str = "seq_id", pos: str = "pos",
+def shift_labels(tokens: DataFrame, seq: str | list[str] = "seq_id", pos: str = "pos",
                  label: str = "label") -> DataFrame:
     """Align next-token labels: the row at ``pos`` gets the label of ``pos+1``
     (the last position of a sequence gets the mask). Window per sequence, so
     each group is one sequence long."""
-    w = Window.partitionBy(seq).orderBy(pos)
+    w = Window.partitionBy(*([seq] if isinstance(seq, str) else seq)).orderBy(pos)
     return tokens.withColumn(label, F.coalesce(F.lead(label).over(w), F.lit(IGNORE_INDEX)))
 
 
@@ -57,14 +58,19 @@ def perplexity(tokens: DataFrame, keys: list[str] | None = None) -> DataFrame:
     live = F.col("label") != IGNORE_INDEX
     g = tokens.groupBy(*keys).agg(F.sum(F.when(live, F.col("logp"))).alias("_s"),
                                   F.count(F.when(live, F.lit(1))).alias("n_tokens"))
-    ppl = F.when(F.col("n_tokens") > 0, F.exp(-F.col("_s") / F.col("n_tokens"))).otherwise(F.lit(0.0))
+    ppl = F.when(F.col("n_tokens") > 0, finite_exp(-F.col("_s") / F.col("n_tokens"))).otherwise(F.lit(0.0))
     return g.select(*keys, "n_tokens", ppl.alias("perplexity"))
 
 
+def finite_exp(mean_nll: Column) -> Column:
+    """``exp`` with NaN and NULL as 0 and overflow as the largest 32-bit float."""
+    return F.least(nan_to_zero(F.exp(mean_nll)), F.lit(FLOAT_MAX))
+
+
 def token_nll(logit_rows: DataFrame, logits: str = "logits", label: str = "label") -> DataFrame:
     """Cross-entropy of each logit row against its gold label:
     ``logsumexp(logits) - logits[label]``; masked labels give NULL."""
-    gold = F.col(logits)[F.col(label)].cast("double")
+    gold = F.get(logits, F.col(label)).cast("double")
     nll = F.when(F.col(label) != IGNORE_INDEX, array_logsumexp(logits) - gold)
     return logit_rows.withColumn("nll", nll)
 
@@ -75,6 +81,42 @@ def mean_nll(nll_rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return nll_rows.groupBy(*keys).agg(F.avg("nll").alias("nll_loss"))
 
 
+def side_metrics(tokens: DataFrame, keys: list[str] | None = None, sample: str = "sample_id") -> DataFrame:
+    """One row per batch from ``(keys, sample, model, side, pos, label, logits)``.
+
+    ``logits_<side>``: mean policy logit over all positions. ``perplexity_<model>_<side>``:
+    exp of the token-mean NLL over the batch's unmasked next-token labels
+    (:func:`finite_exp`; 0 without such a token). ``nll_loss``: that mean for
+    the policy's chosen side, NULL without a token.
+    """
+    keys = keys or ["run_id", "type", "step"]
+    t = token_nll(shift_labels(tokens, [*keys, sample, "model", "side"]))
+    t = t.withColumn("_sum", F.aggregate("logits", F.lit(0.0), lambda acc, v: acc + v))
+
+    def only(model: str, side: str, col: Column) -> Column:
+        return F.when((F.col("model") == model) & (F.col("side") == side), col)
+
+    aggs = [(F.sum(only("policy", s, F.col("_sum"))) / F.sum(only("policy", s, F.size("logits")))).alias(f"logits_{s}")
+            for s in SIDES]
+    aggs += [F.avg(only(m, s, F.col("nll"))).alias(f"_{m}_{s}") for m in MODELS for s in SIDES]
+    ppl = [finite_exp(F.col(f"_{m}_{s}")).alias(f"perplexity_{m}_{s}") for m in MODELS for s in SIDES]
+    return t.groupBy(*keys).agg(*aggs).select(
+        *keys, *[f"logits_{s}" for s in SIDES], *ppl, F.col("_policy_chosen").alias("nll_loss"))
+
+
+def predicted_texts(tokens: DataFrame, vocab: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """One row per sample: the text of the most likely token at every position
+    but the last, per model and side (``<model>_<side>_pred_text``)."""
+    seq = F.struct(sample, "model", "side")
+    w = Window.partitionBy(sample, "model", "side").orderBy("pos")
+    ids = (argmax_tokens(tokens.withColumn("_more", F.lead("pos").over(w).isNotNull()).where("_more"))
+           .select(seq.alias("seq_id"), "pos", F.col("pred_id").alias("token_id")))
+    text = decode_tokens(ids, vocab).select("seq_id.*", "text")
+    return text.groupBy(sample).agg(*[
+        F.max(F.when((F.col("model") == m) & (F.col("side") == s), F.col("text"))).alias(f"{m}_{s}_pred_text")
+        for m in MODELS for s in SIDES])
+
+
 def softmax_rows(logit_rows: DataFrame, logits: str = "logits") -> DataFrame:
     """Probability array per row."""
     return logit_rows.withColumn("probs", array_softmax(logits))

@@ -502,16 +502,35 @@ def q_reward_accuracy(spark, d):
     return _round_doubles(M.reward_accuracy(_scored(spark, d)))
 
 
-@register("rpo_loss", with_views(["f_pair_scores"], _SCORE_CTES + [
-    ("nll", "SELECT run_id, type, step, avg(-pc) AS nll_loss FROM sc GROUP BY run_id, type, step")], f"""
+_SIDE_COLS = ", ".join(
+    ["sum(CASE WHEN model = 'policy' AND side = '%s' THEN list_sum(logits) END) / "
+     "sum(CASE WHEN model = 'policy' AND side = '%s' THEN len(logits) END) AS logits_%s" % (s, s, s) for s in S.SIDES]
+    + ["coalesce(exp(avg(CASE WHEN model = '%s' AND side = '%s' THEN nll END)), 0) AS perplexity_%s_%s" % (m, s, m, s)
+       for m in S.MODELS for s in S.SIDES]
+    + ["avg(CASE WHEN model = 'policy' AND side = 'chosen' THEN nll END) AS nll_loss"])
+_SIDE_CTES = [
+    ("tok", """SELECT *, coalesce(lead(label) OVER (PARTITION BY sample_id, run_id, type, step, model, side ORDER BY pos),
+                                  -100) AS gold FROM f_side_logits"""),
+    ("nll", """SELECT *, CASE WHEN gold <> -100 THEN ln(list_sum(list_transform(logits, lambda x: exp(x))))
+                              - logits[gold + 1] END AS nll FROM tok"""),
+    ("sides", f"SELECT run_id, type, step, {_SIDE_COLS} FROM nll GROUP BY run_id, type, step")]
+_SIDE_NAMES = [f"logits_{s}" for s in S.SIDES] + [f"perplexity_{m}_{s}" for m in S.MODELS for s in S.SIDES] + ["nll_loss"]
+_SIDE_OUT = ", ".join(f"round({c}, 6) AS {c}" for c in _SIDE_NAMES)
+
+
+@register("batch_side_metrics", with_views(["f_side_logits"], _SIDE_CTES,
+          f"SELECT run_id, type, step, {_SIDE_OUT} FROM sides"))
+def q_batch_side_metrics(spark, d):
+    return _round_doubles(S.side_metrics(FX.f_side_logits(spark, d)))
+
+
+@register("rpo_loss", with_views(["f_pair_scores", "f_side_logits"], _SCORE_CTES + _SIDE_CTES, f"""
     SELECT s.sample_id, round(s.loss, 6) AS loss, round(n.nll_loss, 6) AS nll_loss,
            round(s.loss + CAST({RPO_ALPHA} AS DOUBLE) * n.nll_loss, 6) AS rpo_loss
-    FROM sc s JOIN nll n USING (run_id, type, step)"""))
+    FROM sc s JOIN sides n USING (run_id, type, step)"""))
 def q_rpo_loss(spark, d):
     sc = _scored(spark, d)
-    # Batch NLL of the chosen answers: the sequence-level mean of -logp.
-    nll = sc.groupBy("run_id", "type", "step").agg(F.avg(-F.col("policy_chosen_logps")).alias("nll_loss"))
-    r = S.rpo_loss(sc, nll, RPO_ALPHA)
+    r = S.rpo_loss(sc, S.side_metrics(FX.f_side_logits(spark, d)), RPO_ALPHA)
     return _round_doubles(r.select("sample_id", "loss", "nll_loss", "rpo_loss"))
 
 
@@ -543,17 +562,28 @@ def q_attach_ref_scores(spark, d):
     return _round_doubles(out.select("sample_id", "side", "run_id", "type", "step", "policy_logp", "reference_logp"))
 
 
-@register("sample_log", with_views(["f_pair_scores", "f_preferences"], _SCORE_CTES, f"""
+_PRED_CTES = [
+    ("pt", """SELECT sample_id, model, side, coalesce(string_agg(v.piece, '' ORDER BY t.pos), '') AS text
+              FROM f_side_logits t LEFT JOIN f_vocab v ON v.token_id = list_position(t.logits, list_max(t.logits)) - 1
+              WHERE t.pos < 7 GROUP BY sample_id, model, side"""),
+    ("pred", "SELECT sample_id, " + ", ".join(
+        f"max(CASE WHEN model = '{m}' AND side = '{s}' THEN text END) AS {m}_{s}_pred_text"
+        for m in S.MODELS for s in S.SIDES) + " FROM pt GROUP BY sample_id")]
+
+
+@register("sample_log", with_views(["f_pair_scores", "f_preferences", "f_side_logits", "f_vocab"],
+                                   _SCORE_CTES + _PRED_CTES, f"""
     SELECT s.sample_id, s.run_id, s.type, round(CAST(s.step AS DOUBLE) / {STEPS_PER_EPOCH}, 6) AS epoch, s.step,
            p.prompt, round(s.loss, 6) AS loss, round(s.cr, 6) AS chosen_reward, round(s.rj, 6) AS rejected_reward,
            round(s.pc, 6) AS policy_logps_chosen, round(s.pr, 6) AS policy_logps_rejected, p.chosen, p.rejected,
-           CAST(NULL AS VARCHAR) AS policy_chosen_pred_text, CAST(NULL AS VARCHAR) AS reference_chosen_pred_text,
-           CAST(NULL AS VARCHAR) AS policy_rejected_pred_text, CAST(NULL AS VARCHAR) AS reference_rejected_pred_text
-    FROM sc s LEFT JOIN f_preferences p ON p.row_id = s.sample_id"""))
+           t.policy_chosen_pred_text, t.reference_chosen_pred_text,
+           t.policy_rejected_pred_text, t.reference_rejected_pred_text
+    FROM sc s LEFT JOIN f_preferences p ON p.row_id = s.sample_id LEFT JOIN pred t ON t.sample_id = s.sample_id"""))
 def q_sample_log(spark, d):
     # Appended to the run log (partitioned by run and type) and read back.
     path = scratch_dir(spark, "sample-log")
-    log = M.sample_log(_scored(spark, d), FX.f_preferences(spark, d), STEPS_PER_EPOCH)
+    pred = S.predicted_texts(FX.f_side_logits(spark, d), FX.f_vocab(spark))
+    log = M.sample_log(_scored(spark, d), FX.f_preferences(spark, d), STEPS_PER_EPOCH, pred)
     append_log(log, path)
     back = spark.read.schema(log.schema).parquet(path)  # else run ids like 007 come back as numbers
     return _round_doubles(back.select(*log.columns))
@@ -566,12 +596,13 @@ _ROLLUP_SQL = """
            round(avg(cr - rj), 6) AS rewards_margins"""
 
 
-@register("metric_rollup", with_views(["f_pair_scores"], _SCORE_CTES, _ROLLUP_SQL + """,
-           round(avg(pc), 6) AS logps_chosen, round(avg(pr), 6) AS logps_rejected,
-           CASE WHEN type = 'eval' THEN 'eval_' ELSE '' END AS metric_prefix
-    FROM sc GROUP BY run_id, type, step"""))
+@register("metric_rollup", with_views(["f_pair_scores", "f_side_logits"], _SCORE_CTES + _SIDE_CTES + [
+    ("m", _ROLLUP_SQL + """, round(avg(pc), 6) AS logps_chosen, round(avg(pr), 6) AS logps_rejected,
+           CASE WHEN type = 'eval' THEN 'eval_' ELSE '' END AS metric_prefix FROM sc GROUP BY run_id, type, step""")],
+    f"SELECT m.*, {_SIDE_OUT} FROM m LEFT JOIN sides USING (run_id, type, step)"))
 def q_metric_rollup(spark, d):
-    return _round_doubles(M.metric_rollup(_scored(spark, d)))
+    sides = S.side_metrics(FX.f_side_logits(spark, d))
+    return _round_doubles(M.metric_rollup(_scored(spark, d), sides=sides))
 
 
 @register("epoch_rollup", with_views(["f_pair_scores"], _SCORE_CTES + [

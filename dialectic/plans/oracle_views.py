@@ -33,6 +33,16 @@ VIEWS = {
                CAST(embedding[label + 1] AS DOUBLE)
                  - ln(list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE))))) AS logp
         FROM embeddings""",
+    "f_side_logits": """
+        SELECT CAST(floor(vec_id / 4) AS BIGINT) AS sample_id,
+               concat('run', CAST(floor(vec_id / 4) AS BIGINT) % 3) AS run_id,
+               CASE WHEN CAST(floor(vec_id / 4) AS BIGINT) % 5 = 0 THEN 'eval' ELSE 'train' END AS type,
+               CAST(floor(vec_id / 32) AS BIGINT) AS step,
+               CASE WHEN vec_id % 4 < 2 THEN 'policy' ELSE 'reference' END AS model,
+               CASE WHEN vec_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
+               p AS pos, CASE WHEN (vec_id + p) % 5 = 0 THEN -100 ELSE (label + p) % 8 END AS label,
+               list_transform(embedding[p * 8 + 1 : p * 8 + 8], lambda x: CAST(x AS DOUBLE)) AS logits
+        FROM (SELECT *, unnest(range(8)) AS p FROM embeddings)""",
     "f_vocab": """
         SELECT * FROM (VALUES (0,'a'),(1,'b'),(2,'c'),(3,'d'),(4,'e'),(5,'f'),(6,'g'),(7,'h'),
                               (8,'i'),(9,'j')) AS v(token_id, piece)""",

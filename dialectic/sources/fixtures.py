@@ -96,6 +96,26 @@ def f_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.col("embedding").alias("logits"), "label")
 
 
+def f_side_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight positions of eight logits for every (sample, model, side) of
+    ``f_pair_scores``; every fifth label is masked."""
+    e = table(spark, sf_dir, "embeddings")
+    sample = F.floor(F.col("vec_id") / 4).cast("long")
+    cut = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.slice("embedding", p * 8 + 1, 8))
+    rows = e.select(
+        "vec_id", F.col("label").alias("base"), sample.alias("sample_id"),
+        F.concat(F.lit("run"), (sample % 3).cast("string")).alias("run_id"),
+        F.when(sample % 5 == 0, F.lit("eval")).otherwise(F.lit("train")).alias("type"),
+        F.floor(F.col("vec_id") / 32).cast("long").alias("step"),
+        F.when(F.col("vec_id") % 4 < 2, F.lit("policy")).otherwise(F.lit("reference")).alias("model"),
+        F.when(F.col("vec_id") % 2 == 0, F.lit("chosen")).otherwise(F.lit("rejected")).alias("side"),
+        F.posexplode(cut).alias("pos", "logits"))
+    label = F.when((F.col("vec_id") + F.col("pos")) % 5 == 0, F.lit(-100)).otherwise(
+        (F.col("base") + F.col("pos")) % 8).cast("int").alias("label")
+    return rows.select("sample_id", "run_id", "type", "step", "model", "side", "pos", label,
+                       F.col("logits").cast("array<double>").alias("logits"))
+
+
 def f_vocab(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(VOCAB, "token_id int, piece string")
 
