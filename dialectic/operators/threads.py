@@ -2,12 +2,13 @@
 
 The per-seed recursive query of the original (one round trip per OP comment)
 becomes ONE set-oriented walk for all seeds: a frontier ``(start_id, probe,
-depth)`` is joined with the node table ``(key, probe, comment columns)``
-once per level. The node table is hash-partitioned by its join key and kept,
-so each level shuffles only the frontier (or AQE broadcasts the frontier
-when it measures it small). Each level is written to the shared checkpoint
-folder and read back, which cuts lineage per level and keeps the driver's
-plan small however deep the threads are.
+depth)`` is joined with the node table ``(key, probe, id, parent_id)`` once
+per level. The node table holds ids only; it is hash-partitioned by its join
+key and kept, so each level shuffles only the frontier (or AQE broadcasts
+the frontier when it measures it small). Each level is written to the shared
+checkpoint folder and read back, which cuts lineage per level and keeps the
+driver's plan small however deep the threads are. Authors and bodies are
+joined to the reached ids once, after the last level.
 """
 
 from __future__ import annotations
@@ -22,19 +23,21 @@ from dialectic.functions.text import DELTA_SYMBOLS, contains_any, strip_type_pre
 from dialectic.session import checkpoint_dir, partitions_for, scratch_dir
 
 COMMENT_ATTRS = ["author", "body", "parent_id", "link_id", "created_utc"]
+LEVEL_SCHEMA = "start_id string, _probe string, id string, parent_id string, _n long, _copies long"
 
 # No bound on the depth unless a caller sets one: chains end by themselves, and
-# a walk that goes round is caught by comparing each level with a marked one
-# (marked from this depth on, at each doubling).
+# a walk that goes round is caught by counting the ids it has met (at this
+# depth and at each doubling).
 DEFAULT_MAX_DEPTH = None
-FIRST_CYCLE_CHECK = 64
+FIRST_CYCLE_CHECK = 8
 
 # Skew handling: a join key is "hot" when it holds at least this many rows
 # (and at least 1/MAX_HOT_KEYS of the side), so at most MAX_HOT_KEYS keys
-# are ever hot. Frontier rows for a hot parent are broadcast only up to
-# BROADCAST_MAX_ROWS rows (checked); beyond that AQE's skew split applies.
+# are ever hot; all rows in the walk are a few ids wide. Frontier rows for a
+# hot parent are broadcast only up to BROADCAST_MAX_ROWS rows (checked);
+# beyond that AQE's skew split applies.
 HOT_KEY_MIN_ROWS = 1 << 20
-MAX_HOT_KEYS = 1024
+MAX_HOT_KEYS = 1 << 16
 BROADCAST_MAX_ROWS = 1 << 20
 
 
@@ -117,18 +120,18 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int
     spark = comments.sparkSession
     base = scratch_dir(spark, f"walk-{direction}")
 
-    # Node table (_key, _probe, id, attrs): a frontier row whose _probe
-    # equals _key reaches this comment row; the new frontier row probes with
-    # the node's own _probe. Each reached row carries its own attributes, so
-    # duplicate ids behave like UNION ALL over the rows that matched.
+    # Node table (_key, _probe, id, parent_id, _n): a frontier row whose _want
+    # equals _key reaches this comment; the new frontier row wants the node's
+    # _probe. Rows that agree in both ids are one node with their number _n,
+    # and a frontier row carries how many _copies lead to it, so duplicate ids
+    # still behave like UNION ALL over the rows that matched.
+    def nodes_of(key, probe) -> DataFrame:
+        slim = comments.select(key.alias("_key"), probe.alias("_probe"), "id", "parent_id")
+        return (slim.where(F.col("_key").isNotNull())
+                .groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("_n")))
+
     cid, pref = F.col("id"), strip_type_prefix("parent_id")
-    attrs = [F.col(c) for c in ["id", *COMMENT_ATTRS]]
-    self_rows = comments.select(cid.alias("_key"), (pref if direction == "up" else cid).alias("_probe"), *attrs)
-    if direction == "up":
-        nodes = self_rows            # parent ref (prefix stripped blindly) -> parent row
-    else:
-        nodes = comments.select(pref.alias("_key"), cid.alias("_probe"), *attrs)
-    nodes = nodes.where(F.col("_key").isNotNull())
+    nodes = nodes_of(cid, pref) if direction == "up" else nodes_of(pref, cid)
 
     # Skew on the node side: a parent holding a huge share of all replies
     # (down walk). Its rows are kept where they are (spread over all
@@ -144,7 +147,7 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int
     # plain persistence survives executor loss by recomputing lost blocks.
     nodes = nodes.repartition(partitions_for(nodes), "_key").persist(StorageLevel.MEMORY_AND_DISK)
 
-    out_cols = ["start_id", "_probe", "id", *COMMENT_ATTRS]
+    out_cols = ["start_id", "_probe", "id", "parent_id", "_n", "_copies"]
 
     def join(f: DataFrame, t: DataFrame) -> DataFrame:
         return f.join(t, F.col("_want") == F.col("_key")).select(*out_cols)
@@ -176,15 +179,15 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int
 
     # Every level is written to the shared folder and read back: lineage is
     # cut at each level (a lost executor never replays earlier levels) and
-    # the final result is one scan, not a union of ever-growing plans.
+    # the reached ids are one scan, not a union of ever-growing plans.
     seeds = seeds.select(F.col(seeds.columns[0]).alias("start_id")).distinct()
-    frontier = seeds.select("start_id", F.col("start_id").alias("_want"))
+    frontier = seeds.select("start_id", F.col("start_id").alias("_want"), F.lit(1).cast("long").alias("_copies"))
     depth, stuck, n_front = 0, None, 0
-    mark, next_mark = None, FIRST_CYCLE_CHECK
+    next_check = FIRST_CYCLE_CHECK
     while True:
         path = f"{base}/depth={depth}"
         if depth == 0:
-            step = join(frontier, self_rows if direction == "down" else nodes)
+            step = join(frontier, nodes_of(cid, cid) if direction == "down" else nodes)
         else:
             step = hop(frontier, n_front, nodes, nodes_hot)
         step.write.mode("overwrite").parquet(path)
@@ -196,36 +199,43 @@ def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int
             caught = written.groupBy("start_id").agg(F.lit(depth).cast("long").alias("depth"))
             stuck = caught if stuck is None else stuck.unionByName(caught)
             break
-        if mark is not None:
-            # A seed that meets a row of the marked level again goes round for ever.
-            caught = written.join(mark, ["start_id", "_probe"], "left_semi").groupBy("start_id").agg(
-                F.lit(depth).cast("long").alias("depth"))
+        if depth == next_check:
+            # A path of more steps than its seed has met different ids repeats
+            # one of them, so it goes round for ever.
+            next_check *= 2
+            seen = (spark.read.option("basePath", base).parquet(*[f"{base}/depth={d}" for d in range(depth + 1)])
+                    .join(written.select("start_id").distinct(), "start_id", "left_semi")
+                    .select("start_id", "_probe").distinct().groupBy("start_id").agg(F.count("_probe").alias("_ids")))
             caught_path = f"{base}-stuck/at={depth}"
-            caught.write.mode("overwrite").parquet(caught_path)
-            caught = spark.read.parquet(caught_path)
+            seen.where(F.col("_ids") <= depth).select(
+                "start_id", F.lit(depth).cast("long").alias("depth")).write.parquet(caught_path)
+            caught = spark.read.schema("start_id string, depth long").parquet(caught_path)
             if caught.count():
                 stuck = caught if stuck is None else stuck.unionByName(caught)
                 written = written.join(caught.select("start_id"), "start_id", "left_anti")
                 n_front = written.count()
-        if depth >= next_mark:
-            mark, next_mark = written.select("start_id", "_probe").distinct(), 2 * depth
-        frontier = written.select("start_id", F.col("_probe").alias("_want"))
+        frontier = written.select("start_id", F.col("_probe").alias("_want"),
+                                  F.coalesce(F.try_multiply("_copies", F.col("_n")), F.lit((1 << 63) - 1)).alias("_copies"))
         depth += 1
 
-    if depth == 0 and stuck is None:
-        rows = spark.createDataFrame([], "start_id string, id string, depth long, author string, body string, "
-                                         "parent_id string, link_id string, created_utc long")
+    if depth == 0:
+        reached = spark.createDataFrame([], f"{LEVEL_SCHEMA}, depth int")
     else:
-        levels = [f"{base}/depth={d}" for d in range(depth)]
-        rows = (spark.read.option("basePath", base).parquet(*levels)
-                .select("start_id", "id", F.col("depth").cast("long").alias("depth"), *COMMENT_ATTRS))
+        reached = spark.read.option("basePath", base).parquet(*[f"{base}/depth={d}" for d in range(depth)])
     nodes.unpersist()
     if nodes_hot is not None:
         nodes_hot.unpersist()
     if stuck is None:
         stuck = spark.createDataFrame([], "start_id string, depth long")
     else:
-        rows = rows.join(stuck.select("start_id"), "start_id", "left_anti")
+        reached = reached.join(stuck.select("start_id"), "start_id", "left_anti")
+    # The wide columns, once: each comment row of a reached node counts as often
+    # as paths lead to the node.
+    c = comments.select(F.col("id").alias("_id"), *COMMENT_ATTRS)
+    rows = (reached.join(c, (reached["id"] == c["_id"]) & reached["parent_id"].eqNullSafe(c["parent_id"]))
+            .select("start_id", "id", F.col("depth").cast("long").alias("depth"),
+                    *[c[a] for a in COMMENT_ATTRS], F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_k"))
+            .drop("_k"))
     return Walk(rows=rows, stuck=stuck, levels=depth)
 
 

@@ -225,19 +225,29 @@ def q_thread_json(spark, d):
                        "comment_parent_id", "comment_link_id", "comment_created_utc")
 
 
+# A chain that passes more comments than its conversation has goes round.
 @register("thread_quarantine", with_views(
-    ["f_comments", "f_submissions"],
-    [("ops", _OPS_SQL), ("walk", _WALK_UP),
-     ("wr", "SELECT * FROM walk"),
+    ["f_faulty_comments", "f_submissions"],
+    [("ops", _OPS_SQL.replace("f_comments", "f_faulty_comments")),
+     ("held", "SELECT link_id, count(*) AS n FROM f_faulty_comments GROUP BY link_id"),
+     ("walk", """
+        SELECT o.comments_id AS start_id, c.id, c.parent_id, c.body, c.created_utc, h.n, 0 AS depth
+        FROM (SELECT DISTINCT comments_id FROM ops) o JOIN f_faulty_comments c ON c.id = o.comments_id
+        JOIN held h ON h.link_id = c.link_id
+        UNION ALL
+        SELECT w.start_id, c.id, c.parent_id, c.body, c.created_utc, w.n, w.depth + 1
+        FROM walk w JOIN f_faulty_comments c ON c.id = substring(w.parent_id, 4) WHERE w.depth <= w.n"""),
+     ("wr", "SELECT * FROM walk WHERE start_id NOT IN (SELECT start_id FROM walk WHERE depth > n)"),
      ("th", _THREAD_AGG)],
     """SELECT o.comments_id, 'null_leaf_body' AS reason FROM ops o JOIN th t ON t.start_id = o.comments_id
        WHERE t.leaf_body IS NULL
        UNION ALL
        SELECT o.comments_id, 'depth_limit' AS reason FROM ops o
-       JOIN (SELECT start_id FROM walk GROUP BY start_id HAVING max(depth) > 1000) s ON s.start_id = o.comments_id""",
+       WHERE o.comments_id IN (SELECT start_id FROM walk WHERE depth > n)""",
     recursive=True))
 def q_thread_quarantine(spark, d):
-    _, quarantine = _threads(spark, d)
+    _, quarantine = TH.build_threads(FX.f_faulty_comments(spark, d), FX.f_submissions(spark, d),
+                                     delta_symbols=CHECK_DELTA_SYMBOLS)
     return quarantine
 
 

@@ -14,6 +14,14 @@ VIEWS = {
                CASE WHEN turn = 1 THEN concat('t3_s', conv_id)
                     ELSE concat('t1_c', conv_id, '_', CAST(floor(turn / 2) AS BIGINT)) END AS parent_id
         FROM conversations WHERE turn > 0""",
+    "f_faulty_comments": """
+        SELECT role AS author, CASE WHEN conv_id % 7 <> 3 THEN text END AS body,
+               CAST(1700000000 + conv_id * 1000 + turn * 60 AS BIGINT) AS created_utc,
+               concat('c', conv_id, '_', turn) AS id, concat('t3_s', conv_id) AS link_id,
+               CASE WHEN turn = 1 AND conv_id % 11 = 5 THEN concat('t1_c', conv_id, '_2')
+                    WHEN turn = 1 THEN concat('t3_s', conv_id)
+                    ELSE concat('t1_c', conv_id, '_', CAST(floor(turn / 2) AS BIGINT)) END AS parent_id
+        FROM conversations WHERE turn > 0""",
     "f_preferences": """
         SELECT d.doc_id AS row_id, concat(d.source, '/', d.lang) AS prompt, d.text AS chosen,
                n.text AS rejected

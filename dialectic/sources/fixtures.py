@@ -49,6 +49,18 @@ def f_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def f_faulty_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``f_comments`` where every seventh conversation lost its bodies and every
+    eleventh has a first comment that names its own reply as its parent."""
+    c = f_comments(spark, sf_dir)
+    conv = F.regexp_extract("id", "^c([0-9]+)_", 1).cast("long")
+    first = F.col("id").endswith("_1")
+    return c.select(
+        "author", F.when(conv % 7 != 3, F.col("body")).alias("body"), "created_utc", "id", "link_id",
+        F.when(first & (conv % 11 == 5), F.concat(F.lit("t1_c"), conv.cast("string"), F.lit("_2")))
+         .otherwise(F.col("parent_id")).alias("parent_id"))
+
+
 def f_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One preference row per document: prompt = ``source/lang``, chosen = the
     document, rejected = the next document by id (NULL for the last)."""
