@@ -37,8 +37,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = state
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (_contract(both, "cc-large").filter("v > u")
-                 .select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
-        large = stored(large, "cc-large")
+                 .select(F.col("v").alias("u"), F.col("low").alias("v")))
+        large = stored(large, "cc-large")  # one row per row of e; the round's end drops repeats
         small = _contract(large, "cc-small")
         small = (small.filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
                  .union(small.select("u", F.col("low").alias("v"))).distinct())
