@@ -166,6 +166,29 @@ def attach_ref_scores(policy: DataFrame, reference: DataFrame,
     return policy.withColumnRenamed("logp", "policy_logp").join(r, keys, "left")
 
 
+def reference_scores(scores: DataFrame, tokens: DataFrame, vocab: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """One row per sample with the reference model's six columns: for each side
+    the log-prob, the perplexity of the sample's unmasked next-token labels
+    (:func:`finite_exp`; every sample is a batch of its own) and the text of
+    its most likely tokens. What a sample lacks is NULL (a perplexity: 0 if it
+    has tokens on the other side only).
+    """
+    ref = F.col("model") == "reference"
+
+    def only(side: str, col: str) -> Column:
+        return F.when(F.col("side") == side, F.col(col))
+
+    logps = scores.where(ref).groupBy(sample).agg(
+        *[F.max(only(s, "logp")).alias(f"reference_{s}_logps") for s in SIDES])
+    tokens = tokens.where(ref)
+    ppls = (token_nll(shift_labels(tokens, [sample, "side"])).groupBy(sample)
+            .agg(*[F.avg(only(s, "nll")).alias(f"_{s}") for s in SIDES])
+            .select(sample, *[finite_exp(F.col(f"_{s}")).alias(f"reference_{s}_ppls") for s in SIDES]))
+    texts = predicted_texts(tokens, vocab, sample).select(
+        sample, *[F.col(f"reference_{s}_pred_text").alias(f"reference_{s}_predictions_texts") for s in SIDES])
+    return logps.join(ppls, sample, "full").join(texts, sample, "full")
+
+
 def dpo_rewards(pairs: DataFrame, beta: float = DEFAULT_BETA) -> DataFrame:
     """Implicit rewards ``beta * (policy - reference)`` per side."""
     b = F.lit(float(beta))

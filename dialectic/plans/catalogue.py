@@ -25,7 +25,7 @@ from dialectic.session import scratch_dir
 from dialectic.sources import fixtures as FX
 from dialectic.sources.readers import load_preferences, read_csv
 from dialectic.sources.schemas import GEN_OUTPUT, HISTORY, THREAD
-from dialectic.sources.sinks import append_log, write_csv, write_json_lines
+from dialectic.sources.sinks import append_log, stored_once, write_csv, write_json_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -599,6 +599,35 @@ def q_sample_log(spark, d):
     return _round_doubles(back.select(*log.columns))
 
 
+_REF_PPL_CTES = [
+    ("rt", f"""SELECT sample_id, side, logits,
+                     coalesce(lead(label) OVER (PARTITION BY sample_id, side ORDER BY pos), {S.IGNORE_INDEX}) AS label
+              FROM f_side_logits WHERE model = 'reference'"""),
+    ("rn", f"""SELECT sample_id, side, CASE WHEN label <> {S.IGNORE_INDEX}
+                     THEN ln(list_sum(list_transform(logits, lambda x: exp(x)))) - logits[label + 1] END AS nll FROM rt"""),
+    ("ppl", "SELECT sample_id, " + ", ".join(
+        f"coalesce(exp(avg(CASE WHEN side = '{s}' THEN nll END)), 0) AS reference_{s}_ppls" for s in S.SIDES)
+     + " FROM rn GROUP BY sample_id")]
+
+
+@register("reference_scores", with_views(["f_pair_scores", "f_side_logits", "f_vocab"],
+                                         _SCORE_CTES + _PRED_CTES + _REF_PPL_CTES, """
+    SELECT s.sample_id, s.run_id, s.type, s.step, round(s.pc, 6) AS policy_chosen_logps,
+           round(s.pr, 6) AS policy_rejected_logps, round(s.rc, 6) AS reference_chosen_logps,
+           round(s.rr, 6) AS reference_rejected_logps, round(l.reference_chosen_ppls, 6) AS reference_chosen_ppls,
+           round(l.reference_rejected_ppls, 6) AS reference_rejected_ppls,
+           t.reference_chosen_pred_text AS reference_chosen_predictions_texts,
+           t.reference_rejected_pred_text AS reference_rejected_predictions_texts
+    FROM pairs s LEFT JOIN ppl l USING (sample_id) LEFT JOIN pred t USING (sample_id)"""))
+def q_reference_scores(spark, d):
+    # Written by the first call; the second one finds the table and computes nothing.
+    path, scores = scratch_dir(spark, "reference-scores"), FX.f_pair_scores(spark, d)
+    ref = S.reference_scores(scores, FX.f_side_logits(spark, d), FX.f_vocab(spark))
+    stored_once(ref, path)
+    policy = S.pair_table(scores).drop("reference_chosen_logps", "reference_rejected_logps")
+    return _round_doubles(policy.join(stored_once(ref, path), "sample_id", "left"))
+
+
 _ROLLUP_SQL = """
     SELECT run_id, type, step, CAST(count(*) AS BIGINT) AS n_samples, round(avg(loss), 6) AS loss,
            round(avg(cr), 6) AS rewards_chosen, round(avg(rj), 6) AS rewards_rejected,

@@ -47,3 +47,11 @@ def _csv_options(w):
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header line in every part file; text kept exactly."""
     _csv_options(df.write.mode(mode)).csv(path)
+
+
+def stored_once(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path`` unless something is there already, and read
+    that back: computed once, then reused. A write that failed leaves no
+    files behind, so that reading raises instead of finding no rows."""
+    df.write.mode("ignore").parquet(path)
+    return df.sparkSession.read.parquet(path)

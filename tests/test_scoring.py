@@ -124,3 +124,21 @@ def test_array_helpers(spark):
     assert df.select(left_pad_array("a", 1, 0).alias("x")).first().x == [1, 2]
     v = spark.createDataFrame([(float("nan"),), (None,), (2.0,)], "x double")
     assert [r.y for r in v.select(nan_to_zero("x").alias("y")).collect()] == [0.0, 0.0, 2.0]
+
+
+def test_reference_scores_are_computed_once(spark, tmp_dir):
+    from dialectic.sources.sinks import stored_once
+    scores = spark.createDataFrame([(1, "reference", "chosen", -2.0), (1, "reference", "rejected", -3.0),
+                                    (1, "policy", "chosen", 5.0), (2, "reference", "chosen", -4.0)],
+                                   "sample_id long, model string, side string, logp double")
+    tokens = spark.createDataFrame([(1, m, s, p, l, [0.0, 0.0]) for m in S.MODELS for s in S.SIDES
+                                    for p, l in ((0, 0), (1, 1), (2, -100))],
+                                   "sample_id long, model string, side string, pos long, label int, logits array<double>")
+    vocab = spark.createDataFrame([(0, "a"), (1, "b")], "token_id int, piece string")
+    ref = S.reference_scores(scores, tokens, vocab)
+    path = f"{tmp_dir}/ref"
+    one, two = sorted(stored_once(ref, path).collect())
+    assert (one.reference_chosen_logps, one.reference_rejected_logps) == (-2.0, -3.0)
+    assert abs(one.reference_chosen_ppls - 2.0) < 1e-9 and one.reference_rejected_predictions_texts == "aa"
+    assert (two.reference_chosen_logps, two.reference_chosen_ppls, two.reference_chosen_predictions_texts) == (-4.0, None, None)
+    assert stored_once(ref.where("sample_id = 1"), path).count() == 2  # what is there is used
