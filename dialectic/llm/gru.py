@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable
+
 import numpy as np
 
 #: Width of embeddings and state; classes and words in each (vocabulary: their product).
@@ -9,8 +12,11 @@ WIDTH, CLASSES, CLASS_WORDS = 16, 32, 32
 VOCAB = CLASSES * CLASS_WORDS
 #: The first ids: words outside the vocabulary, and the end of a text.
 OUTSIDE, END = 0, 1
-#: Windows of a training batch and the step size.
-BATCH, STEP, SEED = 32, 0.03, 5
+#: Words of a training window; windows of the first steps and of the largest;
+#: steps after which their number doubles.
+WINDOW, BATCH, MOST, GROW = 24, 32, 512, 32
+#: Step size, and the squared gradient that a weight starts with.
+STEP, FIRST_SEEN, SEED = 0.1, 1.0, 5
 #: Steps whose states are kept before their outputs are scored.
 CARRY = 64
 
@@ -52,92 +58,147 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def _by_class(ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    kind = ids // CLASS_WORDS
+def _by_class(kind: np.ndarray, classes: int) -> list[tuple[int, np.ndarray]]:
     order = np.argsort(kind, kind="stable")
-    cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    return [(c, order[cut[c]:cut[c + 1]]) for c in range(CLASSES) if cut[c] < cut[c + 1]]
+    cut = np.searchsorted(kind[order], np.arange(classes + 1))
+    return [(c, order[cut[c]:cut[c + 1]]) for c in range(classes) if cut[c] < cut[c + 1]]
 
 
 def log_probabilities(p: Params, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log P(class) + log P(word | class) of each id given its state."""
-    out = _log_softmax(states @ p["class_w"] + p["class_b"])[np.arange(len(ids)), ids // CLASS_WORDS]
-    for c, at in _by_class(ids):
-        words = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
+    classes, size = len(p["class_b"]), len(p["word_b"]) // len(p["class_b"])
+    out = _log_softmax(states @ p["class_w"] + p["class_b"])[np.arange(len(ids)), ids // size]
+    for c, at in _by_class(ids // size, classes):
+        words = slice(c * size, (c + 1) * size)
         inner = _log_softmax(states[at] @ p["word_w"][words].T + p["word_b"][words])
         out[at] += inner[np.arange(len(at)), ids[at] - words.start]
     return out
 
 
-def loss_and_gradient(p: Params, ids: np.ndarray, mask: np.ndarray) -> tuple[float, Params]:
-    """Summed negative log-likelihood of windows [n, t] (words before the first:
-    END, state zero) and its gradient by back-propagation through the window."""
+def _pass(p: Params, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, last: np.ndarray):
+    """Summed negative log-likelihood of windows [n, t] after the states ``h``
+    and ids ``last``; gradients of the small weights; (ids, gradients) of the
+    embeddings met and (classes, gradients of their words' weights and biases);
+    the states behind the windows. Nothing flows back into ``h``."""
     n, steps, w = len(ids), ids.shape[1], WIDTH
-    before = np.concatenate((np.full((n, 1), END), ids[:, :-1]), axis=1)
-    h = np.zeros((n, w))
-    kept, states = [], np.zeros((steps, n, w))
+    size = len(p["word_b"]) // len(p["class_b"])
+    before = np.concatenate((last[:, None], ids[:, :-1]), axis=1).T.ravel()
+    x = p["embed"][before]
+    given = (x @ p["input"] + p["gate"]).reshape(steps, n, 3 * w)
+    u_zr, u_c = np.ascontiguousarray(p["state"][:, :2 * w]), np.ascontiguousarray(p["state"][:, 2 * w:])
+    kept, states = [], np.zeros((steps, n, w), x.dtype)
     for t in range(steps):
-        x = p["embed"][before[:, t]]
-        g = x @ p["input"] + p["gate"]
-        u = h @ p["state"][:, :2 * w]
-        z, r = _sigmoid(g[:, :w] + u[:, :w]), _sigmoid(g[:, w:2 * w] + u[:, w:])
-        c = np.tanh(g[:, 2 * w:] + (r * h) @ p["state"][:, 2 * w:])
-        kept.append((x, h, z, r, c))
+        zr = _sigmoid(given[t, :, :2 * w] + h @ u_zr)
+        z, r = zr[:, :w], zr[:, w:]
+        c = np.tanh(given[t, :, 2 * w:] + (r * h) @ u_c)
+        kept.append((h, z, r, c))
         h = h + z * (c - h)
         states[t] = h
-    flat, want, on = states.reshape(-1, w), ids.T.ravel(), mask.T.ravel().astype(np.float64)
-    grad = {k: np.zeros(s) for k, s in SHAPES.items()}
+    on = np.flatnonzero(mask.T.ravel())
+    flat, want = states.reshape(-1, w)[on], ids.T.ravel()[on]
+    rows, kind = np.arange(len(want)), want // size
     lc = _log_softmax(flat @ p["class_w"] + p["class_b"])
-    rows = np.arange(len(want))
-    total = -(on * lc[rows, want // CLASS_WORDS]).sum()
+    total = -lc[rows, kind].sum()
     d = np.exp(lc)
-    d[rows, want // CLASS_WORDS] -= 1
-    d *= on[:, None]
-    grad["class_w"], grad["class_b"] = flat.T @ d, d.sum(axis=0)
-    dh_out = d @ p["class_w"].T
-    for c, at in _by_class(want):
-        words = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-        lw = _log_softmax(flat[at] @ p["word_w"][words].T + p["word_b"][words])
-        i = want[at] - words.start
-        total -= (on[at] * lw[np.arange(len(at)), i]).sum()
-        d = np.exp(lw)
-        d[np.arange(len(at)), i] -= 1
-        d *= on[at][:, None]
-        grad["word_w"][words], grad["word_b"][words] = d.T @ flat[at], d.sum(axis=0)
-        dh_out[at] += d @ p["word_w"][words]
+    d[rows, kind] -= 1
+    grad = {"class_w": flat.T @ d, "class_b": d.sum(axis=0)}
+    out = d @ p["class_w"].T
+    by_class = _by_class(kind, len(p["class_b"]))
+    word_w, word_b = np.empty((len(by_class), size, w), x.dtype), np.empty((len(by_class), size), x.dtype)
+    for k, (c, at) in enumerate(by_class):
+        words, own = slice(c * size, (c + 1) * size), flat[at]
+        d = _log_softmax(own @ p["word_w"][words].T + p["word_b"][words])
+        place = (np.arange(len(at)), want[at] - words.start)
+        total -= d[place].sum()
+        np.exp(d, out=d)
+        d[place] -= 1
+        word_w[k], word_b[k] = d.T @ own, d.sum(axis=0)
+        out[at] += d @ p["word_w"][words]
+    dh_out = np.zeros((steps * n, w), x.dtype)
+    dh_out[on] = out
     dh_out = dh_out.reshape(steps, n, w)
-    dh = np.zeros((n, w))
+    dh, dg = np.zeros((n, w), x.dtype), np.empty((steps, n, 3 * w), x.dtype)
+    held, reset = np.empty((2, steps, n, w), x.dtype)
     for t in range(steps - 1, -1, -1):
-        x, h, z, r, c = kept[t]
+        was, z, r, c = kept[t]
         dh = dh + dh_out[t]
         dc = dh * z * (1 - c * c)
-        dz = dh * (c - h) * z * (1 - z)
-        drh = dc @ p["state"][:, 2 * w:].T
-        dr = drh * h * r * (1 - r)
-        dg = np.concatenate((dz, dr, dc), axis=1)
-        grad["state"][:, :2 * w] += h.T @ dg[:, :2 * w]
-        grad["state"][:, 2 * w:] += (r * h).T @ dc
-        grad["input"] += x.T @ dg
-        grad["gate"] += dg.sum(axis=0)
-        np.add.at(grad["embed"], before[:, t], dg @ p["input"].T)
-        dh = dh * (1 - z) + drh * r + dg[:, :2 * w] @ p["state"][:, :2 * w].T
+        drh = dc @ u_c.T
+        dg[t, :, :w] = dh * (c - was) * z * (1 - z)
+        dg[t, :, w:2 * w] = drh * was * r * (1 - r)
+        dg[t, :, 2 * w:] = dc
+        held[t], reset[t] = was, r * was
+        dh = dh * (1 - z) + drh * r + dg[t, :, :2 * w] @ u_zr.T
+    dg = dg.reshape(-1, 3 * w)
+    grad["state"] = np.concatenate((held.reshape(-1, w).T @ dg[:, :2 * w], reset.reshape(-1, w).T @ dg[:, 2 * w:]), axis=1)
+    grad["input"], grad["gate"] = x.T @ dg, dg.sum(axis=0)
+    order = np.argsort(before, kind="stable")
+    met, first = np.unique(before[order], return_index=True)
+    embed = np.add.reduceat((dg @ p["input"].T)[order], first)
+    return total, grad, (met, embed), (np.array([c for c, _ in by_class], np.int64), word_w, word_b), h
+
+
+def loss_and_gradient(p: Params, ids: np.ndarray, mask: np.ndarray) -> tuple[float, Params]:
+    """Summed negative log-likelihood of windows [n, t] (words before the first:
+    END, state zero) and its gradient by back-propagation through the window."""
+    n, dtype = len(ids), p["embed"].dtype
+    total, grad, (met, embed), (kinds, word_w, word_b), _ = _pass(
+        p, ids, mask, np.zeros((n, WIDTH), dtype), np.full(n, END))
+    for k in ("embed", "word_w", "word_b"):
+        grad[k] = np.zeros_like(p[k])
+    grad["embed"][met] = embed
+    grad["word_w"].reshape(len(p["class_b"]), -1, WIDTH)[kinds] = word_w
+    grad["word_b"].reshape(len(p["class_b"]), -1)[kinds] = word_b
     return total, grad
 
 
-def train(p: Params, windows: np.ndarray, mask: np.ndarray) -> Params:
-    """One pass over the windows in batches, steps scaled as in Adam."""
-    p = {k: v.copy() for k, v in p.items()}
-    first = {k: np.zeros(s) for k, s in SHAPES.items()}
-    second = {k: np.zeros(s) for k, s in SHAPES.items()}
-    for i, at in enumerate(range(0, len(windows), BATCH), 1):
-        m = mask[at:at + BATCH]
-        _, grad = loss_and_gradient(p, windows[at:at + BATCH], m)
+def train(p: Params, texts: Iterable[np.ndarray]) -> tuple[Params, int]:
+    """One pass over whole texts (ids, the end last), steps scaled by the
+    gradients so far; the new weights and the number of ids.
+
+    Texts run side by side: a step takes the next window of each, with the state
+    that its last window left (zero at a text's start), and a text that ends
+    makes room for the next. Their number doubles every GROW steps up to MOST.
+    """
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    shape = (len(p["class_b"]), -1, WIDTH)
+    seen = {k: np.full(v.shape, FIRST_SEEN, np.float32) for k, v in p.items()}
+    views = {"embed": (p["embed"], seen["embed"]),
+             "word_w": (p["word_w"].reshape(shape), seen["word_w"].reshape(shape)),
+             "word_b": (p["word_b"].reshape(shape[:2]), seen["word_b"].reshape(shape[:2]))}
+
+    def move(k: str, at: np.ndarray, g: np.ndarray) -> None:
+        v, s = views[k]
+        now = s[at] + g * g
+        s[at] = now
+        v[at] -= STEP * g / np.sqrt(now)
+
+    feed = iter(texts)
+    open_, h, last, step, n_ids = [], np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), 0, 0
+    while True:
+        room = min(MOST, BATCH << min(step // GROW, 30)) - len(open_)
+        new = [(x, 0) for x in itertools.islice(feed, max(0, room)) if len(x)]
+        open_ += new
+        if not open_:
+            return p, n_ids
+        h = np.concatenate((h, np.zeros((len(new), WIDTH), np.float32)))
+        last = np.concatenate((last, np.full(len(new), END)))
+        parts = [x[a:a + WINDOW] for x, a in open_]
+        lengths = np.array([len(x) for x in parts])
+        mask = np.arange(int(lengths.max())) < lengths[:, None]
+        ids = np.full(mask.shape, END)
+        ids[mask] = np.concatenate(parts)
+        _, grad, (met, embed), (kinds, word_w, word_b), h = _pass(p, ids, mask, h, last)
         for k, g in grad.items():
-            g = g / max(1, m.sum())
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            p[k] -= STEP * (first[k] / (1 - 0.9 ** i)) / (np.sqrt(second[k] / (1 - 0.99 ** i)) + 1e-8)
-    return p
+            seen[k] += g * g
+            p[k] -= STEP * g / np.sqrt(seen[k])
+        move("embed", met, embed)
+        move("word_w", kinds, word_w)
+        move("word_b", kinds, word_b)
+        step, n_ids = step + 1, n_ids + int(lengths.sum())
+        goes_on = np.array([a + WINDOW < len(x) for x, a in open_])
+        h, last = h[goes_on], ids[:, -1][goes_on]
+        open_ = [(x, a + WINDOW) for (x, a), g in zip(open_, goes_on) if g]
 
 
 def score(p: Params, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -20,9 +20,7 @@ MODULUS, HELD_OUT = 7, 2
 HEAD_WORDS = 1 << 16
 #: Words that a task counts before it sends them on; tokens scored side by side.
 TASK_WORDS, GROUP_TOKENS = 1_000_000, 3 << 19
-#: Each training document gives one window of so many words, out of so many characters.
-WINDOW_WORDS, WINDOW_CHARS = 24, 400
-#: Rounds of training on all windows, averaged over the tasks after each.
+#: Rounds of training on all texts, averaged over the tasks after each.
 ROUNDS = 3
 #: The two hashes of the end of a text; words have the hashes of their bytes.
 END_KEY = (0, 0)
@@ -127,55 +125,47 @@ class Vocabulary:
         return found, ids
 
 
-def training_windows(train: DataFrame, words: Vocabulary) -> DataFrame:
-    """One window of ids per training document, cut out at a place by hash."""
+def training_texts(train: DataFrame, words: Vocabulary) -> DataFrame:
+    """One row per training text: the ids of all its words, its end last."""
     shared = train.sparkSession.sparkContext.broadcast(words)
-    size = F.char_length("text")
-    place = F.pmod(F.xxhash64("text"), F.greatest(size - WINDOW_CHARS + 1, F.lit(1)))
-    cut = train.select(F.substr("text", (place + 1).cast("int"), F.lit(WINDOW_CHARS)).cast("binary").alias("text"),
-                       (place > 0).alias("inside"), (place + WINDOW_CHARS < size).alias("more"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, n = tokens(texts(batch), hashes)
-            ids = np.split(shared.value.look(a, b)[1], np.cumsum(n)[:-1])
-            inside, more = batch.column("inside").to_pylist(), batch.column("more").to_pylist()
-            # Words cut at either side, and an end that is not the text's, do not count.
-            rows = [x[bool(i):len(x) - 2 * bool(m)][:WINDOW_WORDS].tolist() for x, i, m in zip(ids, inside, more)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["ids"])
+            for part in slices(batch, "text"):
+                a, b, n = tokens(texts(part), hashes)
+                ids = pa.array(shared.value.look(a, b)[1].astype(np.int32))
+                cut = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cut, ids)], names=["ids"])
+
+    return train.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "ids array<int>")
+
 
-    return cut.mapInArrow(run, "ids array<int>").filter(F.size("ids") > 0)
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        col = batch.column("ids")
+        at, ids = col.offsets.to_numpy(), col.values.to_numpy()
+        yield from (ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
 
 
-def fit(windows: DataFrame, start: gru.Params, rounds: int = ROUNDS) -> gru.Params:
-    """Data-parallel training: each round every task trains on its own windows
+def fit(ids: DataFrame, start: gru.Params, rounds: int = ROUNDS) -> gru.Params:
+    """Data-parallel training: each round every task trains on its own texts
     from the same weights, and the new weights are averaged by number of
     words. Only the averaged model reaches the driver."""
-    spark = windows.sparkSession
+    spark = ids.sparkSession
     now = start
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(gru.flatten(now).astype(np.float32))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model, seen = gru.unflatten(shared.value), 0
-            for batch in batches:
-                rows = batch.column("ids").to_pylist()
-                if rows:
-                    mask = np.arange(WINDOW_WORDS) < np.array([len(r) for r in rows])[:, None]
-                    ids = np.full(mask.shape, gru.END)
-                    ids[mask] = [i for r in rows for i in r]
-                    model = gru.train(model, ids, mask)
-                    seen += int(mask.sum())
+            model, seen = gru.train(gru.unflatten(shared.value), _lists(batches))
             if seen:
-                v = gru.flatten(model)
+                v = gru.flatten(model).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(len(v), dtype=np.int32)), pa.array(np.full(len(v), float(seen))), pa.array(v)],
                     names=["i", "w", "v"])
 
-        mean = windows.mapInArrow(run, "i int, w double, v double").groupBy("i").agg(
+        mean = ids.mapInArrow(run, "i int, w double, v double").groupBy("i").agg(
             (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v")).collect()
         if mean:
             v = np.zeros(len(mean))
@@ -213,8 +203,8 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     n_out = n_all - int(words.model_counts.sum())
     v_out = v_all - int((words.model_counts > 0).sum())
     words.model_counts[gru.OUTSIDE] = n_out
-    windows = stored(training_windows(train, words), "lm-windows")
-    model = fit(windows, gru.initial(words.model_counts), rounds)
+    ids = stored(training_texts(train, words), "lm-texts")
+    model = fit(ids, gru.initial(words.model_counts), rounds)
     shared = spark.sparkContext.broadcast((words, gru.flatten(model).astype(np.float32)))
     base_floor, out_floor = np.log10(n_all + v_all + 1), np.log10(n_out + v_out + 1)
 

@@ -91,3 +91,28 @@ def test_empty_and_untrained(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = lm.score_documents(docs(spark, ["a b"], [held])).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0)
+
+
+def test_training_takes_whole_texts(spark):
+    """Every word and every end is trained on, also in texts without blanks."""
+    texts = [" ".join(f"w{i % 50}" for i in range(1000)), "", "漢" * 500, "a b c"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = lm.Vocabulary(*lm.frequent_words(lm.count_words(d.selectExpr("cast(text as binary) as text"))))
+    got = sorted([r.ids for r in lm.training_texts(d, words).collect()], key=len)
+    assert [len(x) for x in got] == [1, 2, 4, 1001]
+    assert all(x[-1] == gru.END and gru.END not in x[:-1] and gru.OUTSIDE not in x for x in got)
+    p = gru.initial(words.model_counts)
+    assert gru.train(p, [np.array(x) for x in got])[1] == 1008
+
+
+def test_state_is_carried_from_window_to_window():
+    """Windows that continue a text give the whole text's likelihood."""
+    rng = np.random.default_rng(2)
+    p = gru.initial(rng.integers(0, 50, gru.VOCAB))
+    ids = rng.integers(0, gru.VOCAB, 60)
+    h, last, total = np.zeros((1, gru.WIDTH)), np.full(1, gru.END), 0.0
+    for a in range(0, 60, gru.WINDOW):
+        x = ids[None, a:a + gru.WINDOW]
+        loss, *_, h = gru._pass(p, x, np.ones(x.shape, bool), h, last)
+        last, total = x[:, -1], total + loss
+    assert total == pytest.approx(-gru.score(p, ids, np.array([60]))[0], rel=1e-4)
