@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterable
 
 import numpy as np
 
-#: Width of embeddings and state; classes and words in each (vocabulary: their product).
-WIDTH, CLASSES, CLASS_WORDS = 16, 32, 32
-VOCAB = CLASSES * CLASS_WORDS
+#: Width of embeddings and state; most ids of a model (with OUTSIDE and END).
+WIDTH, VOCAB = 16, 1 << 16
 #: The first ids: words outside the vocabulary, and the end of a text.
 OUTSIDE, END = 0, 1
+#: Bias of places without a word; rows of a softmax that are held at a time.
+NO_WORD, SOFTMAX_ROWS = -1e9, 1 << 14
 #: Words of a training window; windows of the first steps and of the largest;
 #: steps after which their number doubles.
 WINDOW, BATCH, MOST, GROW = 24, 32, 512, 32
@@ -21,17 +23,28 @@ STEP, FIRST_SEEN, SEED = 0.1, 1.0, 5
 CARRY = 64
 
 Params = dict[str, np.ndarray]
-SHAPES = {"embed": (VOCAB, WIDTH), "input": (WIDTH, 3 * WIDTH), "state": (WIDTH, 3 * WIDTH), "gate": (3 * WIDTH,),
-          "class_w": (WIDTH, CLASSES), "class_b": (CLASSES,), "word_w": (VOCAB, WIDTH), "word_b": (VOCAB,)}
+
+
+def shapes(vocab: int) -> dict[str, tuple[int, ...]]:
+    """Weights of a model of ``vocab`` ids: about a square root of them classes,
+    and as many words in each (the last ones may be places without a word)."""
+    size = math.isqrt(vocab - 1) + 1
+    classes = -(-vocab // size)
+    return {"embed": (classes * size, WIDTH), "input": (WIDTH, 3 * WIDTH), "state": (WIDTH, 3 * WIDTH),
+            "gate": (3 * WIDTH,), "class_w": (WIDTH, classes), "class_b": (classes,),
+            "word_w": (classes * size, WIDTH), "word_b": (classes * size,)}
+
+
+SHAPES = shapes(VOCAB)
 
 
 def flatten(p: Params) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in SHAPES])
 
 
-def unflatten(v: np.ndarray) -> Params:
+def unflatten(v: np.ndarray, vocab: int) -> Params:
     out, at = {}, 0
-    for k, shape in SHAPES.items():
+    for k, shape in shapes(vocab).items():
         n = int(np.prod(shape))
         out[k] = np.asarray(v[at:at + n], np.float64).reshape(shape)
         at += n
@@ -40,12 +53,14 @@ def unflatten(v: np.ndarray) -> Params:
 
 def initial(counts: np.ndarray) -> Params:
     """Small random weights; output biases at the words' frequencies. Class c
-    holds the ids from c * CLASS_WORDS on."""
+    holds consecutive ids; places without a word have no probability."""
     rng = np.random.default_rng(SEED)
-    p = {k: rng.normal(0, 0.1, s) if k not in ("gate", "class_b", "word_b") else np.zeros(s) for k, s in SHAPES.items()}
-    seen = counts.astype(np.float64) + 0.5
-    p["word_b"] = np.log(seen)
-    p["class_b"] = np.log(seen.reshape(CLASSES, CLASS_WORDS).sum(axis=1))
+    p = {k: rng.normal(0, 0.1, s) if k not in ("gate", "class_b", "word_b") else np.zeros(s)
+         for k, s in shapes(len(counts)).items()}
+    seen = np.zeros(len(p["word_b"]))
+    seen[:len(counts)] = counts + 0.5
+    p["word_b"] = np.where(seen > 0, np.log(np.maximum(seen, 0.5)), NO_WORD)
+    p["class_b"] = np.log(seen.reshape(len(p["class_b"]), -1).sum(axis=1))
     return p
 
 
@@ -64,14 +79,25 @@ def _by_class(kind: np.ndarray, classes: int) -> list[tuple[int, np.ndarray]]:
     return [(c, order[cut[c]:cut[c + 1]]) for c in range(classes) if cut[c] < cut[c + 1]]
 
 
+def _log_at(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """The log-softmax at ``want`` of each row, some rows at a time."""
+    out = np.empty(len(want), states.dtype)
+    for a in range(0, len(want), SOFTMAX_ROWS):
+        x = states[a:a + SOFTMAX_ROWS] @ weights
+        x += bias
+        x -= x.max(axis=1, keepdims=True)
+        own = x[np.arange(len(x)), want[a:a + SOFTMAX_ROWS]]
+        out[a:a + SOFTMAX_ROWS] = own - np.log(np.exp(x, out=x).sum(axis=1))
+    return out
+
+
 def log_probabilities(p: Params, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log P(class) + log P(word | class) of each id given its state."""
     classes, size = len(p["class_b"]), len(p["word_b"]) // len(p["class_b"])
-    out = _log_softmax(states @ p["class_w"] + p["class_b"])[np.arange(len(ids)), ids // size]
+    out = _log_at(states, p["class_w"], p["class_b"], ids // size)
     for c, at in _by_class(ids // size, classes):
         words = slice(c * size, (c + 1) * size)
-        inner = _log_softmax(states[at] @ p["word_w"][words].T + p["word_b"][words])
-        out[at] += inner[np.arange(len(at)), ids[at] - words.start]
+        out[at] += _log_at(states[at], p["word_w"][words].T, p["word_b"][words], ids[at] - words.start)
     return out
 
 

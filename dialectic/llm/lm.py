@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialectic.llm import gru
@@ -22,6 +22,8 @@ HEAD_WORDS = 1 << 16
 TASK_WORDS, GROUP_TOKENS = 1_000_000, 3 << 19
 #: Rounds of training on all texts, averaged over the tasks after each.
 ROUNDS = 3
+#: Weights that are averaged together.
+BLOCK = 1 << 14
 #: The two hashes of the end of a text; words have the hashes of their bytes.
 END_KEY = (0, 0)
 _SPACE = np.zeros(256, bool)
@@ -80,29 +82,36 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame, limit: int = HEAD_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, n) of all words whose count is above a bound that at most
-    ``limit`` words reach, most frequent first; the bound comes from a
-    histogram of at most 1024 rows."""
-    scale = F.floor(F.log2("n") * 16).cast("int")
-    hist = counts.groupBy(scale.alias("s")).count().orderBy(F.desc("s")).collect()
-    total, least = 0, None
-    for r in hist:
-        total += r["count"]
-        if total > limit:
-            break
-        least = r["s"]
-    if least is None:
-        rows = []
-    else:
-        rows = counts.filter(scale >= least).collect()
+    """(a, b, n) of the ``limit`` most frequent words (of equal counts, those of
+    the smallest keys), most frequent first; the bounds come from histograms:
+    of the counts in coarse bins, of the counts within the bin that runs over,
+    and of the keys' first 16 bits within the count that does."""
+    def over(values: DataFrame, value: Column, falling: bool, room: int) -> tuple[int | None, int]:
+        hist = sorted((r["x"], r["count"]) for r in values.groupBy(value.alias("x")).count().collect())
+        for x, n in hist[::-1] if falling else hist:
+            if n > room:
+                return x, room
+            room -= n
+        return None, room
+
+    scale, key = F.floor(F.log2("n") * 16).cast("int"), F.shiftright("a", 48)
+    taken, room = counts, limit
+    if limit:
+        bin_, room = over(counts, scale, True, room)
+        if bin_ is not None:
+            n, room = over(counts.filter(scale == bin_), F.col("n"), True, room)
+            last, _ = over(counts.filter(F.col("n") == n), key, False, room)
+            taken = counts.filter((F.col("n") > n) | ((F.col("n") == n) & (key <= last)))
+    rows = taken.collect() if limit else []
     rows.sort(key=lambda r: (-r["n"], r["a"], r["b"]))
-    a, b, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    a, b, n = (np.array([r[i] for r in rows[:limit]], np.int64) for i in range(3))
     return a.view(np.uint64), b.view(np.uint64), n
 
 
 class Vocabulary:
     """Frequent words by key: their counts and their ids in the model (END for
-    a text's end, OUTSIDE for words that are not among the most frequent)."""
+    a text's end, OUTSIDE for words that are not among the most frequent). The
+    model has as many ids as there are such words, at most ``gru.VOCAB``."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
         self.memo, self.count = Memo(), n
@@ -112,8 +121,8 @@ class Vocabulary:
         self.id = np.full(len(a) + 1, gru.OUTSIDE, np.int64)
         self.id[np.flatnonzero(end)] = gru.END
         self.id[words] = 2 + np.arange(len(words))
-        self.model_counts = np.zeros(gru.VOCAB, np.int64)
-        self.model_counts[2:2 + len(words)] = n[words]
+        self.model_counts = np.zeros(2 + len(words), np.int64)
+        self.model_counts[2:] = n[words]
         self.model_counts[gru.END] = int(n[end].sum())
         self.types = len(words) + 1
 
@@ -148,30 +157,34 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield from (ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
 
 
-def fit(ids: DataFrame, start: gru.Params, rounds: int = ROUNDS) -> gru.Params:
+def fit(ids: DataFrame, start: gru.Params, vocab: int, rounds: int = ROUNDS) -> gru.Params:
     """Data-parallel training: each round every task trains on its own texts
     from the same weights, and the new weights are averaged by number of
-    words. Only the averaged model reaches the driver."""
+    words, in blocks. Only the averaged model reaches the driver."""
     spark = ids.sparkSession
-    now = start
+    now = gru.flatten(start).astype(np.float32)
+
+    def mean(block: pa.Table) -> pa.Table:
+        total, weight = 0.0, 0.0
+        for w, v in zip(block.column("w").to_pylist(), block.column("v").to_pylist()):
+            total, weight = total + w * np.frombuffer(v, np.float32).astype(np.float64), weight + w
+        return pa.table({"i": block.column("i")[:1], "v": pa.array([(total / weight).astype(np.float32).tobytes()])})
+
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(gru.flatten(now).astype(np.float32))
+        shared = spark.sparkContext.broadcast(now)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model, seen = gru.train(gru.unflatten(shared.value), _lists(batches))
+            model, seen = gru.train(gru.unflatten(shared.value, vocab), _lists(batches))
             if seen:
-                v = gru.flatten(model).astype(np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(v), dtype=np.int32)), pa.array(np.full(len(v), float(seen))), pa.array(v)],
-                    names=["i", "w", "v"])
+                v = gru.flatten(model)
+                for i, at in enumerate(range(0, len(v), BLOCK)):
+                    yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "w": pa.array([float(seen)]),
+                                                      "v": pa.array([v[at:at + BLOCK].tobytes()])})
 
-        mean = ids.mapInArrow(run, "i int, w double, v double").groupBy("i").agg(
-            (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v")).collect()
-        if mean:
-            v = np.zeros(len(mean))
-            v[[r["i"] for r in mean]] = [r["v"] for r in mean]
-            now = gru.unflatten(v)
-    return now
+        rows = ids.mapInArrow(run, "i int, w double, v binary").groupBy("i").applyInArrow(mean, "i int, v binary").collect()
+        if rows:
+            now = np.concatenate([np.frombuffer(r["v"], np.float32) for r in sorted(rows, key=lambda r: r["i"])])
+    return gru.unflatten(now, vocab)
 
 
 SCORED = ("rid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, model_log double, "
@@ -204,13 +217,14 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     v_out = v_all - int((words.model_counts > 0).sum())
     words.model_counts[gru.OUTSIDE] = n_out
     ids = stored(training_texts(train, words), "lm-texts")
-    model = fit(ids, gru.initial(words.model_counts), rounds)
+    vocab = len(words.model_counts)
+    model = fit(ids, gru.initial(words.model_counts), vocab, rounds)
     shared = spark.sparkContext.broadcast((words, gru.flatten(model).astype(np.float32)))
     base_floor, out_floor = np.log10(n_all + v_all + 1), np.log10(n_out + v_out + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = shared.value
-        params, hashes = gru.unflatten(flat), Hashes()
+        params, hashes = gru.unflatten(flat, vocab), Hashes()
         rid = TaskContext.get().partitionId() << 33
         cols: dict[str, list] = {}
         held: list[tuple] = []

@@ -116,3 +116,24 @@ def test_state_is_carried_from_window_to_window():
         loss, *_, h = gru._pass(p, x, np.ones(x.shape, bool), h, last)
         last, total = x[:, -1], total + loss
     assert total == pytest.approx(-gru.score(p, ids, np.array([60]))[0], rel=1e-4)
+
+
+def test_frequent_words_are_exactly_the_first(spark):
+    rows = [(i * 2 ** 50 + 7, i, 9 if i % 2 else 100) for i in range(-3000, 3000)] + [(1, 1, 500)]
+    counts = spark.createDataFrame(rows, "a long, b long, n long")
+    want = sorted(rows, key=lambda r: (-r[2], r[0], r[1]))
+    for limit in (0, 1, 2, 2000, 3001, 5000, 10000):
+        a, b, n = lm.frequent_words(counts, limit)
+        assert list(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), n.tolist())) == want[:limit]
+
+
+def test_vocabulary_sizes_the_model():
+    a = np.arange(1, 20001, dtype=np.uint64)
+    words = lm.Vocabulary(a, a, np.full(len(a), 3))
+    assert len(words.model_counts) == 20002 and len(set(words.look(a, a)[1].tolist())) == 20000
+    p = gru.initial(words.model_counts)
+    size = len(p["word_b"]) // len(p["class_b"])
+    assert (len(p["class_b"]), size) == (141, 142)
+    states = np.zeros((1, gru.WIDTH))
+    got = gru.log_probabilities(p, np.repeat(states, 20002, axis=0), np.arange(20002))
+    assert np.exp(got).sum() == pytest.approx(1)
