@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialectic.llm.frames import stored
+
 # --- fixed values: the rules (host/path, verdict)
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
          ("com/fr/", "allow"), ("com/de/", "block")]
@@ -65,7 +67,6 @@ def features(urls: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("url"), F.lit(""))
     length = F.greatest(F.char_length(url), F.lit(1)).cast("double")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    segment = F.get(F.split("path", "/"), F.lit(1))
     return urls.select(
         "*", F.char_length(url).cast("double").alias("f_length"),
         F.char_length("host").cast("double").alias("f_host_length"),
@@ -80,17 +81,25 @@ def features(urls: DataFrame) -> DataFrame:
         F.rlike("path", F.lit(r"\.[a-z0-9]+$")).cast("double").alias("f_extension"),
         F.endswith("path", F.lit("/")).cast("double").alias("f_slash"),
         _entropy(F.col("host")).alias("f_entropy"),
-        F.substring_index("host", ".", -1).alias("suffix"),
-        F.coalesce(_lower(segment), F.lit("")).alias("section"))
+        *_keys(F.col("host"), F.col("path")))
+
+
+def _keys(host: Column, path: Column) -> tuple[Column, Column]:
+    """(suffix, section): the host's last label and the path's first segment."""
+    segment = F.get(F.split(path, "/"), F.lit(1))
+    return F.substring_index(host, ".", -1).alias("suffix"), F.coalesce(_lower(segment), F.lit("")).alias("section")
+
+
+def _counts(labelled: DataFrame) -> DataFrame:
+    """(suffix, section, n, s): URLs and blocked URLs, over all of ``labelled``."""
+    return labelled.select(*_keys(F.col("host"), F.col("path")), "blocked").groupBy("suffix", "section").agg(
+        F.count("*").alias("n"), F.sum("blocked").alias("s"))
 
 
-def _rates(fit: DataFrame, key: str) -> DataFrame:
-    """Smoothed share of blocked URLs by ``key``, and its log count. At most
-    one row per fitted URL, so never more than FIT_ROWS rows."""
-    overall = fit.agg(F.avg("blocked").alias("mean"))
-    return (fit.groupBy(key).agg(F.count("*").alias("n"), F.sum("blocked").alias("s"))
-            .join(F.broadcast(overall))
-            .select(key, ((F.col("s") + F.col("mean") * PRIOR_WEIGHT) / (F.col("n") + PRIOR_WEIGHT))
+def _rates(counts: DataFrame, key: str, mean: float) -> DataFrame:
+    """Smoothed share of blocked URLs by ``key``, and its log count."""
+    return (counts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+            .select(key, ((F.col("s") + mean * PRIOR_WEIGHT) / (F.col("n") + PRIOR_WEIGHT))
                     .alias(f"f_{key}_rate"), F.log1p("n").alias(f"f_{key}_count")))
 
 
@@ -101,7 +110,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, fit_rows: int
     URLs that a rule decides are the labels. The trees are fitted on at most
     ``fit_rows`` different ones of them (by hash of the URL) and judge the rest.
     Suffix statistics are smoothed block rates of the host's last label and of
-    the path's first section, counted on the same URLs (a bounded table).
+    the path's first section, counted on all different labelled URLs and joined
+    by key (broadcast only where Spark finds their stored table small).
     If the labelled URLs all have one verdict, it is everyone's; if there are
     none, the verdict is allow. A null URL has empty host and path and is judged
     like any other; repeated rows repeat; other columns are not read.
@@ -113,8 +123,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, fit_rows: int
     labelled = (known.filter("said is not null").select(
         "url", "host", "path", (F.col("said") == "block").cast("double").alias("blocked")).distinct()
         .withColumn("h", F.xxhash64("url")))
+    counts = stored(_counts(labelled), "url-counts")
+    sums = counts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     # A share by hash that holds a little over fit_rows URLs, then exactly the first of them.
-    share = min(1.0, 1.2 * fit_rows / max(1, labelled.count()))
+    share = min(1.0, 1.2 * fit_rows / max(1, sums["n"] or 0))
     labelled = (labelled.filter(F.pmod("h", F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
                 .orderBy(F.pmod("h", F.lit(1 << 20)), "h", "url").limit(fit_rows))
     fit = features(labelled).coalesce(1).cache()
@@ -124,14 +136,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, fit_rows: int
             score = F.lit(seen[0] if seen else 0.0)
             judged = known.withColumn("score", score)
         else:
-            suffix, section = _rates(fit, "suffix"), _rates(fit, "section")
+            overall = sums["s"] / sums["n"]
+            suffix, section = (stored(_rates(counts, k, overall), f"url-{k}") for k in ("suffix", "section"))
             names = sorted(c for c in fit.columns if c.startswith("f_"))
             names += [f"f_{k}_{w}" for k in ("suffix", "section") for w in ("rate", "count")]
-            overall = fit.agg(F.avg("blocked")).first()[0]
 
             def full(df: DataFrame) -> DataFrame:
                 for key, rates in (("suffix", suffix), ("section", section)):
-                    df = df.join(F.broadcast(rates), key, "left")
+                    df = df.join(rates, key, "left")
                 return df.fillna(overall, ["f_suffix_rate", "f_section_rate"]).fillna(
                     0.0, ["f_suffix_count", "f_section_count"])
 

@@ -63,3 +63,20 @@ def test_trees_learn_held_out_urls(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
     out = urls.judge(df).join(df.select("page_id", "bad"), "page_id").filter("rule is null")
     assert out.filter((F.col("verdict") == "block") == F.col("bad")).count() / out.count() > 0.95
+
+
+def test_rates_cover_all_labelled_urls(spark):
+    """Only the section decides; most sections are not among the fitted URLs."""
+    rules = [("a.com/", "allow"), ("b.com/", "block")]
+    rows, n = [], 0
+    for s in range(100):
+        for u in range(10):
+            bad = s % 2 == 0
+            rows += [(n, f"http://{'b' if bad else 'a'}.com/s{s + 100}/p{u}", bad)]
+            n += 1
+        rows += [(n, f"http://c.com/s{s + 100}/p1", bad)]
+        n += 1
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    out = urls.judge(df, rules, fit_rows=40).join(df.select("page_id", "bad"), "page_id").filter("rule is null")
+    assert out.count() == 100
+    assert out.filter((F.col("verdict") == "block") == F.col("bad")).count() >= 95
