@@ -262,22 +262,22 @@ def label_words(text: str, model: Model) -> list[tuple[str, str, float]]:
 
 
 def training_sample(labelled: DataFrame) -> DataFrame:
-    """(lang, text) of at most FIT_DOCS documents of each language, by hash of
-    the text, and of each one stretch of FIT_CHARS characters placed by hash.
-    A language is ranked in parts that follow the scan tasks, then in fewer,
-    then as one: each task passes on at most FIT_DOCS rows of a part, and no
-    task ever gets a frequent language whole."""
-    h = F.xxhash64("text")
+    """(lang, text) of at most FIT_DOCS different texts of each language, by
+    hash of the text, and of each one stretch of FIT_CHARS characters placed by
+    hash. Only hashes are made distinct, and ranked in parts that follow the
+    tasks, then in fewer, then as one; texts are then picked by hash, one of
+    each group of copies, so no task gets a language or a group of copies whole."""
     size = F.char_length("text")
     place = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(size - FIT_CHARS + 1, F.lit(1)))
-    slim = labelled.filter("lang is not null and text is not null").select(
-        "lang", h.alias("h"), F.substr("text", (place + 1).cast("int"), F.lit(FIT_CHARS)).alias("text"))
-    slim = slim.withColumn("part", F.spark_partition_id())
+    slim = labelled.filter("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), "text")
+    first = slim.select("lang", "h").distinct().withColumn("part", F.spark_partition_id())
     for parts in (4096, 64, 1):
-        slim = slim.withColumn("part", F.pmod("part", F.lit(parts)))
-        order = Window.partitionBy("lang", "part").orderBy("h", "text")
-        slim = slim.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= FIT_DOCS)
-    return slim.select("lang", "text")
+        first = first.withColumn("part", F.pmod("part", F.lit(parts)))
+        order = Window.partitionBy("lang", "part").orderBy("h")
+        first = first.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= FIT_DOCS)
+    return (slim.join(F.broadcast(first.select("lang", "h")), ["lang", "h"])
+            .select("lang", "h", F.substr("text", (place + 1).cast("int"), F.lit(FIT_CHARS)).alias("text"))
+            .groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text"))
 
 
 def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -81,3 +81,11 @@ def test_sample_is_bounded(spark, monkeypatch):
     d = docs(spark, [f"text {i}" for i in range(200)], langs=["a", "a", "a", "b"] * 50)
     got = language.training_sample(d).groupBy("lang").agg(F.count("*").alias("n")).collect()
     assert {r.lang: r.n for r in got} == {"a": 5, "b": 5}
+
+
+def test_sample_has_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "FIT_DOCS", 5)
+    by_hash = spark.createDataFrame([(f"text {i}",) for i in range(20)], "text string").orderBy(F.xxhash64("text"))
+    first = [r.text for r in by_hash.collect()]
+    d = docs(spark, first[:1] * 1000 + first, langs=["a"] * 1020)
+    assert sorted(r.text for r in language.training_sample(d).collect()) == sorted(first[:5])
