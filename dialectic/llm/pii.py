@@ -32,6 +32,13 @@ _TEL = re.compile(r"(?<![0-9+(])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 
+#: Letters and digits of an account number by country (ISO 13616 registry).
+IBAN_LENGTH = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC",
+    33: "RU"}.items() for c in countries.split()}
 #: Characters on either side in which context words count.
 CONTEXT_CHARS = 40
 #: Score without context, score that a context word adds, least score of an added span.
@@ -113,14 +120,32 @@ def base_candidates(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "phone", m.start(), m.end()
 
 
+def _iban_end(span: str) -> int:
+    """Where the number at the start of ``span`` ends, or 0: at the word end at
+    its country's length, else at the end of the span, if mod-97 holds there."""
+    size = IBAN_LENGTH.get(span[:2])
+    ends = [i for i in range(1, len(span)) if span[i] == " " and i - span.count(" ", 0, i) == size]
+    return next((i for i in [*ends, len(span)] if mod97(span[:i].replace(" ", ""))), 0)
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping numbers; where none ends, the search goes on
+    at the next word."""
+    m = _IBAN.search(text)
+    while m:
+        size = _iban_end(m.group())
+        if size:
+            yield m.start(), m.start() + size
+        m = _IBAN.search(text, m.start() + max(1, size))
+
+
 def added_candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """Proposals of the added kinds: IBANs confirmed by mod-97; social security
     and local telephone numbers, which need a context word."""
     if not _DIGIT.search(text):
         return
-    for m in _IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")):
-            yield "iban", m.start(), m.end()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     if "-" in text:
         for m in _SSN.finditer(text):
             yield "ssn", m.start(), m.end()

@@ -76,3 +76,13 @@ def test_rows(spark):
     assert sorted(((r.text, r.n_chars) for r in out.collect()), key=str) == sorted(
         [(None, None), ("", 0), ("mail [EMAIL] now", 16), ("mail [EMAIL] now", 16), ("é [IP]", 6)], key=str)
     assert pii.detect(docs(spark, [])).count() == 0
+
+
+def test_ibans_before_upper_case_words_and_digits():
+    iban, british = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    for text, want in [(f"{iban} EUR", [iban]), (f"{iban} BIC COBADEFF", [iban]), (f"{iban} 2024 X", [iban]),
+                       (f"{iban} {british} {iban}", [iban, british, iban]), (f"AB12 XYZ 1234 FOO BAR {iban} A", [iban]),
+                       (f"{iban}9 EUR", []), ("DE88 3704 0044 0532 0130 00 EUR", [])]:
+        assert [text[s.start:s.end] for s in pii.find_spans(text) if s.kind == "iban"] == want, text
+    assert pii.redact(f"pay {iban} EUR", pii.find_spans(f"pay {iban} EUR")) == "pay [IBAN] EUR"
+    pii.find_spans("AB12 " * 60_000)
