@@ -16,7 +16,7 @@ from dialectic.llm.wordids import word_ids
 WINDOW = 4096
 #: Ids of an index shard: documents are retrieved within a shard.
 SHARD_IDS = 2 << 20
-#: BM25, and the rarest terms of a seed that are looked up.
+#: BM25, and the terms of a seed that are looked up at a time, rarest first.
 K1, B, QUERY_TERMS = 1.2, 0.75, 24
 _TERM_BITS = 20
 
@@ -43,9 +43,11 @@ class Bm25:
         self.own = own[shared][at]
         self.own_start = np.searchsorted(self.doc[shared][at], np.arange(n + 1))
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score (ties: first in the shard)."""
-        q = self.own[self.own_start[seed]:min(self.own_start[seed] + QUERY_TERMS, self.own_start[seed + 1])]
+    def neighbours(self, seed: int, used: np.ndarray, first: int = 0) -> np.ndarray:
+        """Unused documents by falling score (ties: first in the shard) that
+        share one of the seed's QUERY_TERMS terms from the ``first`` rarest on."""
+        begin = self.own_start[seed] + first
+        q = self.own[begin:min(begin + QUERY_TERMS, self.own_start[seed + 1])]
         at = ragged(self.start[q], self.df[q])
         if not len(at):
             return at
@@ -58,9 +60,10 @@ class Bm25:
 
 def order_by_retrieval(lengths: np.ndarray, index: Bm25, window: int = WINDOW) -> np.ndarray:
     """The documents in packing order. The document at the start of a window is
-    its seed; unused neighbours of the seed fill the window greedily, and the
-    one that runs over its end is the next seed. Without a seed or neighbours
-    left, the next unused document starts."""
+    its seed; unused neighbours of the seed fill the window greedily (when those
+    by its rarest terms are used up, the ones by its next terms, which then
+    share no rarer one), and the one that runs over its end is the next seed.
+    Without a seed or neighbours left, the next unused document starts."""
     n = len(lengths)
     used = np.zeros(n, bool)
     order, filled, fresh = [], 0, 0
@@ -74,8 +77,10 @@ def order_by_retrieval(lengths: np.ndarray, index: Bm25, window: int = WINDOW) -
             order.append(seed)
             filled += int(lengths[seed])
         end = -(-filled // window) * window
-        if filled < end:
-            for d in index.neighbours(seed, used).tolist():
+        for first in range(0, int(index.own_start[seed + 1] - index.own_start[seed]), QUERY_TERMS):
+            if filled >= end:
+                break
+            for d in index.neighbours(seed, used, first).tolist():
                 used[d] = True
                 order.append(d)
                 filled += int(lengths[d])

@@ -43,6 +43,16 @@ def _class(cp: int) -> int:
     return LETTER if kind[0] == "L" else NUMBER if kind[0] == "N" else OTHER
 
 
+def _any_class(cp: int) -> int:
+    """Class of any code point, for terms: ideographs and kana, written without
+    blanks, are words of their own as digits are."""
+    if cp < TOP and CLASS[cp] != BEYOND:
+        return int(CLASS[cp])
+    if 0x3040 <= cp < 0x3100 or 0x3400 <= cp < 0xA000 or 0xF900 <= cp < 0xFB00 or 0x20000 <= cp < 0x40000:
+        return NUMBER
+    return {"L": LETTER, "M": LETTER, "N": NUMBER, "C": SPACE, "Z": SPACE}.get(unicodedata.category(chr(cp))[0], OTHER)
+
+
 CLASS = np.array([_class(i) for i in range(TOP)] + [BEYOND], np.uint8)
 LOWER = np.array([ord(chr(i).lower()) if CLASS[i] != BEYOND else i for i in range(TOP)] + [TOP], np.uint32)
 _rng = np.random.default_rng(20240229)
@@ -183,10 +193,12 @@ class WordIds:
         self.used += total
         self.memo.add(a, b)
 
-    def words(self, cps: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, cps: np.ndarray, first: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ends) of the words of texts laid end to end; ``first`` are
-        the places where non-empty texts begin."""
-        n, kind = len(cps), CLASS[cps]
+        the places where non-empty texts begin, ``kind`` the classes if any code
+        point is beyond the plain table."""
+        n = len(cps)
+        kind = CLASS[cps] if kind is None else kind
         begins = np.zeros(n + 1, bool)
         begins[first] = True
         new = begins.copy()
@@ -230,8 +242,8 @@ class WordIds:
             fast = np.setdiff1d(np.arange(len(texts)), odd)
         slow = sorted(set(range(len(texts))).difference(map(int, fast)))
         for i in slow:
-            x = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-            ids[i], terms[i] = x, x.astype(np.uint64) * _MIX
+            ids[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+            terms[i] = self._terms(texts[i])
         if len(fast):
             if slow:
                 joined = "".join([texts[i] for i in fast])
@@ -240,6 +252,28 @@ class WordIds:
                 ids[i], terms[i] = x, y
         return ids, terms
 
+    def _terms(self, text: str) -> np.ndarray:
+        """The words' hashes of a text with characters beyond the plain table.
+        Plain words have the hashes they have in plain texts."""
+        cps = np.frombuffer(unicodedata.normalize("NFC", text).encode("utf-32-le", "replace"), np.uint32)
+        if not len(cps):
+            return np.zeros(0, np.uint64)
+        met, place = np.unique(cps, return_inverse=True)
+        if self.style != "spaced":
+            met = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in met.tolist()], np.uint32)
+        kind = np.array([_any_class(c) for c in met.tolist()], np.uint8)[place]
+        cps = met[place]
+        starts, ends = self.words(cps, np.zeros(1, np.int64), kind)
+        out = self._hashes(np.minimum(cps, TOP), starts, ends)[0]
+        far = np.flatnonzero(cps >= TOP)
+        of = np.searchsorted(starts, far, side="right") - 1
+        inside = of >= 0
+        far, of = far[inside], of[inside]
+        inside = far < ends[of]
+        far, of = far[inside], of[inside]
+        np.add.at(out, of, cps[far].astype(np.uint64) * _MIX * (2 * (far - starts[of]) + 1).astype(np.uint64))
+        return out
+
     def _encode_plain(self, sizes: list[int], joined: str, cps: np.ndarray):
         size = np.array(sizes, np.int64)
         first = np.cumsum(size) - size

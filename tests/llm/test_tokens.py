@@ -156,3 +156,23 @@ def test_sequences_need_no_padding():
         starts = packing.sequence_starts(total)
         sizes = np.diff(np.append(starts, total))
         assert sizes.sum() == total and all(s == 4096 or s & (s - 1) == 0 for s in sizes.tolist())
+
+
+def test_neighbours_go_on_past_the_rarest_terms():
+    """A seed with 30 terms of one neighbour still finds the others."""
+    n = 10
+    rare = [np.uint64(k + 1) << np.uint64(44) for k in range(30)]
+    common = np.uint64(900) << np.uint64(44)
+    terms = [np.array([*rare, common])] + [np.array(rare)] + [np.array([np.uint64(500 + i) << np.uint64(44)])
+                                                                 for i in range(n)] + [np.array([common])] * 3
+    order = packing.order_by_retrieval(np.full(len(terms), 10), packing.Bm25(terms), 50)
+    assert order[:5].tolist() == [0, 1, 2 + n, 3 + n, 4 + n]
+
+
+def test_terms_do_not_depend_on_how_ids_are_encoded():
+    tok = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    plain, emoji, greek, greek2, han, han2 = tok.encode(
+        ["The Cat isn't here, 42!", "The Cat isn't here, 42! 🎉", "the ΛΌΓΟΣ cat", "λόγοσ", "漢字 a", "字漢"])[1]
+    assert emoji[:len(plain)].tolist() == plain.tolist() and len(emoji) == len(plain) + 1
+    assert greek[0] == plain[0] and greek[2] == plain[1] and greek[1] == greek2[0] != plain[2]
+    assert set(han[:2].tolist()) == set(han2.tolist()) and len(set(han.tolist())) == 3
