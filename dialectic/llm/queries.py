@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from dialectic.llm import decontaminate, hashing, language, lm, packing, pii, repair, ring, simhash, urls
+from dialectic.llm import bpe, decontaminate, hashing, language, lm, packing, pii, repair, ring, simhash, urls
 from dialectic.llm.frames import id_remainder, table
 
 
@@ -57,9 +57,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_pii, op3_packing, op4_language, op5_multi_index, op6_decontamination, op7_sharding,
-    op8_language_model, op9_token_shards, op10_url_filter)}
+    op8_language_model, op9_token_shards, op10_url_filter, op12_byte_bpe)}
 
 ORACLE = {
     "op6_decontamination": r"""
