@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from dialectic.llm import bpe, decontaminate, hashing, language, lm, packing, pii, repair, ring, simhash, urls
+from dialectic.llm import bpe, decontaminate, hashing, language, lm, packing, pii, repair, ring, runs, simhash, urls
 from dialectic.llm.frames import id_remainder, table
 
 
@@ -57,13 +57,40 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with every word i >= a of a tenth of the texts replaced by
+    word a + (i - a) mod p; such texts get single blanks."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    d = docs.select("doc_id", "text", h.alias("_h"), g.alias("_g"), F.when(h % 10 == 0, words).alias("_w"))
+    d = d.select("*", F.size("_w").alias("_n")).select("*", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")).alias("_a"))
+    p = 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))
+    d = d.select("*", p.alias("_p"))
+    place = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))
+    changed = F.transform("_w", lambda w, i: F.get("_w", place(i).cast("int")))
+    return d.select("doc_id", F.when(F.col("_n") > 0, F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    listed = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), runs.strongest("runs").alias("_best"),
+                         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "_best.start", "_best.length", "_best.period",
+                        F.floor(1000 * F.col("_best.length") / F.col("_best.period")).cast("long").alias("exponent_milli"),
+                        "runs_sha256", "collapsed_sha256")
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_pii, op3_packing, op4_language, op5_multi_index, op6_decontamination, op7_sharding,
-    op8_language_model, op9_token_shards, op10_url_filter, op12_byte_bpe)}
+    op8_language_model, op9_token_shards, op10_url_filter, op11_runs,
+    op12_byte_bpe)}
 
 ORACLE = {
     "op6_decontamination": r"""
