@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from dialectic.llm import bpe, decontaminate, hashing, language, lm, packing, pii, repair, ring, runs, simhash, urls
+from dialectic.llm import bpe, decontaminate, filteraudit, hashing, language, lm, packing, pii, repair, ring, runs, simhash, urls
 from dialectic.llm.frames import id_remainder, table
 
 
@@ -87,12 +87,57 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_pii, op3_packing, op4_language, op5_multi_index, op6_decontamination, op7_sharding,
     op8_language_model, op9_token_shards, op10_url_filter, op11_runs,
-    op12_byte_bpe)}
+    op12_byte_bpe, op13_filter_audit)}
 
 ORACLE = {
+    "op13_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+marks AS (SELECT doc_id, coalesce(max(CASE WHEN quality = 1 THEN 1 END), 0) AS good,
+                 coalesce(max(CASE WHEN toxic = 1 THEN 1 END), 0) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails
+  FROM d JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+sets AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step, substring(filter_order, step, 1) AS x, substring(filter_order, 1, step - 1) AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+cases AS (
+  SELECT part, filter_order, step, x, n, good, toxic, fails = x AS alone, contains(fails, x) AS bad,
+         len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 AND before <> '' AS earlier
+  FROM sets, steps),
+sums AS (
+  SELECT part, filter_order, step, x, sum(CASE WHEN NOT bad AND NOT earlier THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN bad AND NOT earlier THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN bad AND earlier THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN bad AND NOT earlier THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN bad AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cases GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM sums""",
     "op6_decontamination": r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
