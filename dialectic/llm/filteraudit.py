@@ -19,14 +19,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialectic.llm.frames import running_sums, slices, stored
 
 #: Bytes of text in one shard; a longer text is a shard of its own.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
+#: Rows of words that are numbered together, and the most such buckets.
+WORDS_PER_BUCKET, MAX_BUCKETS = 1 << 18, 1 << 16
+#: Bits of a column's number beside its place in a shard.
+COLUMN_BITS = 40
 #: A text with more copies than a 4096th of the rows is "hot": at most 4096 are.
 MAX_HOT = 4096
 
@@ -50,9 +54,14 @@ def compressed_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     keep = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty word
     rows, flat = rows[keep.to_numpy(zero_copy_only=False)], flat.filter(keep).dictionary_encode()
     n_words = max(1, len(flat.dictionary))
-    cells, counts = np.unique(rows * n_words + flat.indices.to_numpy(), return_counts=True)
+    place = flat.indices.to_numpy()
+    often = np.argsort(-np.bincount(place, minlength=len(flat.dictionary)), kind="stable")
+    number = np.empty(len(often), np.int64)
+    number[often] = np.arange(len(often))
+    cells, counts = np.unique(rows * n_words + number[place], return_counts=True)
     starts = np.searchsorted(cells, np.arange(len(texts) + 1) * n_words)
-    return starts.astype(np.int32), (cells % n_words).astype(np.int32), counts.astype(np.int32), flat.dictionary
+    return (starts.astype(np.int32), (cells % n_words).astype(np.int32), counts.astype(np.int32),
+            flat.dictionary.take(pa.array(often)))
 
 
 def _local_shards(docs: DataFrame, part: str) -> DataFrame:
@@ -63,7 +72,7 @@ def _local_shards(docs: DataFrame, part: str) -> DataFrame:
         T.StructField("shard", T.LongType()), T.StructField("doc_id", T.ArrayType(id_type)),
         T.StructField("part", T.ArrayType(T.StringType())), T.StructField("flags", INTS),
         T.StructField("digest", T.ArrayType(T.BinaryType())), T.StructField("starts", INTS),
-        T.StructField("cols", INTS), T.StructField("counts", INTS),
+        T.StructField("cols", INTS), T.StructField("counts", INTS), T.StructField("n_columns", T.LongType()),
         T.StructField("words", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +89,7 @@ def _local_shards(docs: DataFrame, part: str) -> DataFrame:
                     symbols = len(t.translate(None, SYMBOLS)) != len(t)
                     flags.append((100 * upper > MOST_UPPER_PERCENT * n) * 4 + symbols * 8)
                 values = [shard, piece.column("doc_id").to_pylist(), piece.column("part").to_pylist(), flags,
-                          [hashlib.sha256(t).digest() for t in data], starts, cols, counts, words.to_pylist()]
+                          [hashlib.sha256(t).digest() for t in data], starts, cols, counts, len(words), words.to_pylist()]
                 shard += 1
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa_type(f.dataType)) for v, f in zip(values, schema)],
                                                  names=schema.names)
@@ -95,34 +104,48 @@ def pa_type(t: T.DataType) -> pa.DataType:
     return to_arrow_type(t)
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """``word, col``: the different words of all shards, numbered from 0 on
-    without gaps, in no order of meaning. Every word is one row per shard before
-    it is grouped, however often its documents hold it."""
-    words = shards.select(F.explode("words").alias("word")).distinct()
-    numbered = stored(words.withColumn("_at", F.monotonically_increasing_id()), "words")
-    task = F.shiftright("_at", 33)
-    before = running_sums(numbered.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("n")), ["n"], [], "_task")
-    return (numbered.withColumn("_task", task).join(F.broadcast(before.select("_task", "n_before")), "_task")
-            .select("word", (F.col("n_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("col")))
+def _numbered(local: DataFrame) -> DataFrame:
+    """Every shard's words with their place in an order of all different words:
+    ``shard, at, _bucket, _nth`` (from 1 on within a bucket of words) and ``word``
+    in one row of each word (else null)."""
+    total = local.agg(F.sum("n_columns")).first()[0] or 0
+    buckets = int(min(MAX_BUCKETS, 1 + total // WORDS_PER_BUCKET))
+    words = local.select("shard", F.posexplode("words").alias("at", "word"))
+    words = words.withColumn("_bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
+    by_word = Window.partitionBy("_bucket").orderBy("word")
+    seen = F.lag("word").over(by_word).eqNullSafe(F.col("word"))
+    return stored(words.select("shard", "at", "_bucket", F.dense_rank().over(by_word).alias("_nth"),
+                               F.when(~seen, F.col("word")).alias("word")), "numbered-words")
 
 
 def term_matrix(docs: DataFrame, part: str = "source") -> tuple[DataFrame, DataFrame]:
     """The matrix and its dictionary.
 
-    ``shards``: ``shard`` and, per document of the shard, ``doc_id``, ``part``,
-    ``flags`` and ``digest``; ``starts``, ``cols`` (columns of the whole table's
-    dictionary) and ``counts``. ``dictionary``: ``word, col``. Words are stretches
-    without ASCII white space; a null text is empty and has an empty row.
-    Nothing is larger than a shard's own words; a word's number reaches each
-    shard that holds it once.
+    ``dictionary``: ``word, col``, all different words numbered from 0 on without
+    gaps. ``shards``: ``shard``; per document of the shard ``doc_id``, ``part``,
+    ``flags`` and ``digest``; ``starts``, ``cols`` and ``counts`` of its rows;
+    ``columns``, by which ``columns_of`` maps the shard's own numbers in ``cols`` to
+    those of the dictionary. Words are stretches without ASCII white space; a null text is
+    empty and has an empty row. A word is one row per shard that holds it,
+    however often; one bucket of words is numbered in one task.
     """
     local = stored(_local_shards(docs, part), "local-shards")
-    numbered = stored(dictionary(local), "dictionary")
-    own = local.select("shard", F.posexplode("words").alias("at", "word")).join(numbered, "word")
-    columns = own.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "col"))).alias("_columns"))
-    shards = local.drop("words").join(columns, "shard", "left")
-    return shards.withColumn("cols", F.transform("cols", lambda c: F.get(F.col("_columns.col"), c))).drop("_columns"), numbered
+    numbered = _numbered(local)
+    sizes = numbered.groupBy("_bucket").agg(F.max("_nth").cast("long").alias("n"))
+    before = running_sums(sizes, ["n"], [], "_bucket").select("_bucket", "n_before")
+    numbered = numbered.join(F.broadcast(before), "_bucket").select(
+        "shard", "at", "word", (F.col("n_before") + F.col("_nth") - 1).alias("col"))
+    # One number holds place and column, so that a shard's list is a flat array.
+    packed = F.sort_array(F.collect_list(F.shiftleft(F.col("at").cast("long"), COLUMN_BITS) + F.col("col")))
+    columns = numbered.groupBy("shard").agg(packed.alias("columns"))
+    shards = local.drop("words", "n_columns").join(columns, "shard", "left")
+    shards = shards.withColumn("columns", F.coalesce("columns", F.array().cast("array<bigint>")))
+    return shards, numbered.filter(F.col("word").isNotNull()).select("word", "col")
+
+
+def columns_of(packed: np.ndarray) -> np.ndarray:
+    """The dictionary's numbers of a shard's columns."""
+    return packed & ((1 << COLUMN_BITS) - 1)
 
 
 def matrix_rows(shards: DataFrame) -> DataFrame:
@@ -140,8 +163,14 @@ def matrix_rows(shards: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 of = {n: batch.column(n)[i].values for n in batch.schema.names if n != "shard"}
                 starts = of["starts"].to_numpy(zero_copy_only=False)
+                cells = columns_of(of["columns"].to_numpy(zero_copy_only=False))[of["cols"].to_numpy(zero_copy_only=False)]
+                row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+                if len(cells):
+                    by = np.lexsort((cells, row))
+                    new = np.append(True, (np.diff(row[by]) != 0) | (np.diff(cells[by]) != 0))
+                    row = row[by][new]
                 sums = np.append(0, np.cumsum(of["counts"].to_numpy(zero_copy_only=False).astype(np.int64)))
-                n_words, n_distinct = np.diff(sums[starts]), np.diff(starts).astype(np.int64)
+                n_words, n_distinct = np.diff(sums[starts]), np.bincount(row, minlength=len(starts) - 1)
                 fails = (of["flags"].to_numpy(zero_copy_only=False) + (n_words < LEAST_WORDS)
                          + 2 * (100 * n_distinct < LEAST_DISTINCT_PERCENT * n_words)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

@@ -3,6 +3,7 @@ import re
 from itertools import permutations
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 
 from dialectic.llm import filteraudit as fa
@@ -89,9 +90,10 @@ def test_matrix_holds_every_word_once(spark):
     assert sorted(word_of) == list(range(len(word_of)))
     seen = []
     for s in shards.collect():
+        columns = fa.columns_of(np.array(s.columns, np.int64)).tolist()
         for k, i in enumerate(s.doc_id):
             cells = range(s.starts[k], s.starts[k + 1])
-            seen.append((str(i), sorted(w for c in cells for w in [word_of[s.cols[c]]] * s.counts[c])))
+            seen.append((str(i), sorted(w for c in cells for w in [word_of[columns[s.cols[c]]]] * s.counts[c])))
     assert sorted(seen) == sorted((str(i), sorted(WORD.findall(t or ""))) for i, t, _ in table)
 
 
@@ -112,4 +114,6 @@ def test_hot_texts_and_empty_tables(spark, monkeypatch):
             got.setdefault(r.doc_id, []).append(["ABCDE"[b] for b in range(5) if r.fails >> b & 1])
         assert all(got[i].pop() == w for (i, _, _), w in zip(table, want)) and not any(got.values())
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    wordless = fa.audit(docs(spark, [None, "", " "]), labels)
+    assert wordless.filter("filter_order = 'EABCD'").orderBy("step").select("removed").collect() == [(1,), (2,), (0,), (0,), (0,)]
     assert rows(fa.audit(docs(spark, []), labels)) == []
