@@ -1,44 +1,31 @@
 """Discussion threads: OP comments, recursive walks, nested thread records.
 
 The per-seed recursive query of the original (one round trip per OP comment)
-becomes ONE set-oriented walk for all seeds: a frontier ``(start_id, probe,
-depth)`` is joined with the node table ``(key, probe, id, parent_id)`` once
-per level. The node table holds ids only; it is hash-partitioned by its join
-key and kept, so each level shuffles only the frontier (or AQE broadcasts
-the frontier when it measures it small). Each level is written to the shared
-checkpoint folder and read back, which cuts lineage per level and keeps the
-driver's plan small however deep the threads are. Authors and bodies are
-joined to the reached ids once, after the last level.
+becomes ONE set-oriented walk for all seeds, by pointer doubling: comments
+that agree in both ids are one numbered node, an edge table leads from node to
+node, and ``operators.doubling`` finds all paths in ``log2(depth)`` rounds over
+rows of three numbers. Nodes that lead into a cycle are marked once for all
+seeds, before anything is walked. Authors and bodies are joined to the
+reached nodes once, at the end.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialectic.functions.text import DELTA_SYMBOLS, contains_any, strip_type_prefix, utf8_clean
-from dialectic.session import checkpoint_dir, partitions_for, scratch_dir
+from dialectic.operators.doubling import HOT_KEY_MIN_ROWS, double_edges, expand, hot_keys, skew_join
+from dialectic.session import checkpoint_dir, scratch_dir
 
-COMMENT_ATTRS = ["author", "body", "parent_id", "link_id", "created_utc"]
-LEVEL_SCHEMA = "start_id string, _probe string, id string, parent_id string, _n long, _copies long"
+__all__ = ["Walk", "ancestor_walk", "assemble_threads", "build_threads", "descendant_walk", "explode_threads",
+           "hot_keys", "lookup", "op_comments", "strip_prefixes"]
 
-# No bound on the depth unless a caller sets one: chains end by themselves, and
-# a walk that goes round is caught by counting the ids it has met (at this
-# depth and at each doubling).
+COMMENT_ATTRS = ["author", "body", "parent_id", "link_id", "created_utc"]
+# No bound on the depth unless a caller sets one.
 DEFAULT_MAX_DEPTH = None
-FIRST_CYCLE_CHECK = 8
-
-# Skew handling: a join key is "hot" when it holds at least this many rows
-# (and at least 1/MAX_HOT_KEYS of the side), so at most MAX_HOT_KEYS keys
-# are ever hot; all rows in the walk are a few ids wide. Frontier rows for a
-# hot parent are broadcast only up to BROADCAST_MAX_ROWS rows (checked);
-# beyond that AQE's skew split applies.
-HOT_KEY_MIN_ROWS = 1 << 20
-MAX_HOT_KEYS = 1 << 16
-BROADCAST_MAX_ROWS = 1 << 20
 
 
 def op_comments(comments: DataFrame, submissions: DataFrame,
@@ -90,8 +77,9 @@ class Walk:
 
     ``rows``: ``(start_id, id, depth)`` + comment attributes, one row per
     reached comment per seed (bag semantics, like ``UNION ALL``).
-    ``stuck``: ``(start_id, depth)`` of seeds whose walk was still growing at
-    ``max_depth`` (cycles), so the caller can quarantine them.
+    ``stuck``: ``(start_id, depth)`` of seeds whose walk goes round, or is longer
+    than ``max_depth`` (``depth``: how far it was followed); they have no rows.
+    ``levels``: rounds of doubling.
     """
 
     rows: DataFrame
@@ -99,144 +87,53 @@ class Walk:
     levels: int
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_MIN_ROWS, n: int | None = None) -> list:
-    """Keys holding at least ``max(min_rows, rows / MAX_HOT_KEYS)`` rows.
-
-    There can be at most ``MAX_HOT_KEYS`` such keys, so the list that comes
-    back to the driver is bounded by construction. One count (cheap on
-    written files; skipped when ``n`` is given) and, only when the side is
-    large enough to hold a hot key, one partial aggregate.
-    """
-    n = df.count() if n is None else n
-    threshold = max(int(min_rows), -(-n // MAX_HOT_KEYS))
-    if n < threshold:
-        return []
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return [r[0] for r in counts.where(F.col("_n") >= threshold).select(key).collect()]
+def _node_table(comments: DataFrame, base: str) -> tuple[DataFrame, int]:
+    """``node, id, parent_id, n``: comments that agree in both ids are one node
+    with their number ``n``, so duplicate ids behave like UNION ALL over rows."""
+    slim = comments.where(F.col("id").isNotNull()).groupBy("id", "parent_id").agg(F.count(F.lit(1)).alias("n"))
+    path = f"{base}/nodes"
+    slim.select(F.monotonically_increasing_id().alias("node"), "id", "parent_id", "n").write.parquet(path)
+    nodes = comments.sparkSession.read.schema("node long, id string, parent_id string, n long").parquet(path)
+    return nodes, nodes.count()
 
 
 def _walk(comments: DataFrame, seeds: DataFrame, direction: str, max_depth: int | None,
           hot_key_rows: int = HOT_KEY_MIN_ROWS) -> Walk:
     spark = comments.sparkSession
     base = scratch_dir(spark, f"walk-{direction}")
+    nodes, n = _node_table(comments, base)
+    parent = strip_type_prefix("parent_id")
+    want, key = (parent, F.col("id")) if direction == "up" else (F.col("id"), parent)
+    here = nodes.select(F.col("node").alias("src"), F.col("n").alias("copies"), want.alias("_want"))
+    there = nodes.select(F.col("node").alias("dst"), key.alias("_key"))
+    edges = skew_join(here, there, "_want", "_key", n, n, hot_key_rows)
+    jumps = double_edges(edges, f"{base}/jumps", None if max_depth is None else max_depth + 1, hot_key_rows)
 
-    # Node table (_key, _probe, id, parent_id, _n): a frontier row whose _want
-    # equals _key reaches this comment; the new frontier row wants the node's
-    # _probe. Rows that agree in both ids are one node with their number _n,
-    # and a frontier row carries how many _copies lead to it, so duplicate ids
-    # still behave like UNION ALL over the rows that matched.
-    def nodes_of(key, probe) -> DataFrame:
-        slim = comments.select(key.alias("_key"), probe.alias("_probe"), "id", "parent_id")
-        return (slim.where(F.col("_key").isNotNull())
-                .groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("_n")))
-
-    cid, pref = F.col("id"), strip_type_prefix("parent_id")
-    nodes = nodes_of(cid, pref) if direction == "up" else nodes_of(pref, cid)
-
-    # Skew on the node side: a parent holding a huge share of all replies
-    # (down walk). Its rows are kept where they are (spread over all
-    # partitions) and met by broadcasting the few frontier rows that want
-    # it; hash-partitioning them would put them all in one task.
-    hot_nodes = hot_keys(nodes.select("_key"), "_key", hot_key_rows) if direction == "down" else []
-    nodes_hot = None
-    if hot_nodes:
-        nodes_hot = nodes.where(F.col("_key").isin(hot_nodes)).persist(StorageLevel.MEMORY_AND_DISK)
-        nodes = nodes.where(~F.col("_key").isin(hot_nodes))
-    # The rest is hash-partitioned once by the probe key and kept: every
-    # level then shuffles only the (slim) frontier. Lineage is one scan, so
-    # plain persistence survives executor loss by recomputing lost blocks.
-    nodes = nodes.repartition(partitions_for(nodes), "_key").persist(StorageLevel.MEMORY_AND_DISK)
-
-    out_cols = ["start_id", "_probe", "id", "parent_id", "_n", "_copies"]
-
-    def join(f: DataFrame, t: DataFrame) -> DataFrame:
-        return f.join(t, F.col("_want") == F.col("_key")).select(*out_cols)
-
-    def hop(frontier: DataFrame, n_front: int, table: DataFrame, hot_table: DataFrame | None) -> DataFrame:
-        parts = []
-        # Skew on the frontier side: very many seeds converging on one node.
-        # The node rows for those (at most MAX_HOT_KEYS) keys are broadcast,
-        # so the hot frontier rows are joined where they sit.
-        hot_front = [k for k in hot_keys(frontier.select("_want"), "_want", hot_key_rows, n_front)
-                     if k not in set(hot_nodes)]
-        if hot_front:
-            is_hot = F.col("_want").isin(hot_front)
-            hot_rows = table.where(F.col("_key").isin(hot_front))
-            small = hot_rows.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
-            parts.append(join(frontier.where(is_hot), F.broadcast(hot_rows) if small else hot_rows))
-            frontier = frontier.where(~is_hot)
-        if hot_table is not None:
-            is_hot = F.col("_want").isin(hot_nodes)
-            want_hot = frontier.where(is_hot)
-            small = want_hot.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
-            parts.append(join(F.broadcast(want_hot) if small else want_hot, hot_table))
-            frontier = frontier.where(~is_hot)
-        parts.append(join(frontier, table))
-        res = parts[0]
-        for p in parts[1:]:
-            res = res.unionByName(p)
-        return res
-
-    # Every level is written to the shared folder and read back: lineage is
-    # cut at each level (a lost executor never replays earlier levels) and
-    # the reached ids are one scan, not a union of ever-growing plans.
     seeds = seeds.select(F.col(seeds.columns[0]).alias("start_id")).distinct()
-    frontier = seeds.select("start_id", F.col("start_id").alias("_want"), F.lit(1).cast("long").alias("_copies"))
-    depth, stuck, n_front = 0, None, 0
-    next_check = FIRST_CYCLE_CHECK
-    while True:
-        path = f"{base}/depth={depth}"
-        if depth == 0:
-            step = join(frontier, nodes_of(cid, cid) if direction == "down" else nodes)
-        else:
-            step = hop(frontier, n_front, nodes, nodes_hot)
-        step.write.mode("overwrite").parquet(path)
-        written = spark.read.parquet(path)
-        n_front = written.count()  # from file footers; also the stop test
-        if n_front == 0:
-            break
-        if max_depth is not None and depth > max_depth:
-            caught = written.groupBy("start_id").agg(F.lit(depth).cast("long").alias("depth"))
-            stuck = caught if stuck is None else stuck.unionByName(caught)
-            break
-        if depth == next_check:
-            # A path of more steps than its seed has met different ids repeats
-            # one of them, so it goes round for ever.
-            next_check *= 2
-            seen = (spark.read.option("basePath", base).parquet(*[f"{base}/depth={d}" for d in range(depth + 1)])
-                    .join(written.select("start_id").distinct(), "start_id", "left_semi")
-                    .select("start_id", "_probe").distinct().groupBy("start_id").agg(F.count("_probe").alias("_ids")))
-            caught_path = f"{base}-stuck/at={depth}"
-            seen.where(F.col("_ids") <= depth).select(
-                "start_id", F.lit(depth).cast("long").alias("depth")).write.parquet(caught_path)
-            caught = spark.read.schema("start_id string, depth long").parquet(caught_path)
-            if caught.count():
-                stuck = caught if stuck is None else stuck.unionByName(caught)
-                written = written.join(caught.select("start_id"), "start_id", "left_anti")
-                n_front = written.count()
-        frontier = written.select("start_id", F.col("_probe").alias("_want"),
-                                  F.coalesce(F.try_multiply("_copies", F.col("_n")), F.lit((1 << 63) - 1)).alias("_copies"))
-        depth += 1
-
-    if depth == 0:
-        reached = spark.createDataFrame([], f"{LEVEL_SCHEMA}, depth int")
-    else:
-        reached = spark.read.option("basePath", base).parquet(*[f"{base}/depth={d}" for d in range(depth)])
-    nodes.unpersist()
-    if nodes_hot is not None:
-        nodes_hot.unpersist()
-    if stuck is None:
-        stuck = spark.createDataFrame([], "start_id string, depth long")
-    else:
-        reached = reached.join(stuck.select("start_id"), "start_id", "left_anti")
+    starts = seeds.join(nodes, seeds["start_id"] == nodes["id"]).select("start_id", "node")
+    stuck = spark.createDataFrame([], "start_id string, depth long")
+    if jumps.round is not None:
+        caught = starts.join(jumps.round, starts["node"] == F.col("src"), "left_semi").select("start_id").distinct()
+        caught = caught.withColumn("depth", F.lit(2 << len(jumps.levels) >> 1).cast("long"))
+        caught.write.parquet(f"{base}/stuck")
+        stuck = spark.read.schema("start_id string, depth long").parquet(f"{base}/stuck")
+        starts = starts.join(stuck.select("start_id"), "start_id", "left_anti")
+    reached = expand(starts.select("start_id", "node", F.lit(0).cast("long").alias("depth"),
+                                   F.lit(1).cast("long").alias("copies")), jumps, f"{base}/reached", hot_key_rows)
+    if max_depth is not None:
+        far = (reached.where(F.col("depth") > max_depth).groupBy("start_id")
+               .agg(F.lit(max_depth + 1).cast("long").alias("depth")))
+        stuck = stuck.unionByName(far)
+        reached = reached.join(far.select("start_id"), "start_id", "left_anti")
     # The wide columns, once: each comment row of a reached node counts as often
     # as paths lead to the node.
+    known = nodes.select("node", "id", F.col("parent_id").alias("_parent"))
     c = comments.select(F.col("id").alias("_id"), *COMMENT_ATTRS)
-    rows = (reached.join(c, (reached["id"] == c["_id"]) & reached["parent_id"].eqNullSafe(c["parent_id"]))
-            .select("start_id", "id", F.col("depth").cast("long").alias("depth"),
-                    *[c[a] for a in COMMENT_ATTRS], F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_k"))
+    rows = (reached.join(known, "node").join(c, (F.col("id") == F.col("_id")) & F.col("_parent").eqNullSafe(c["parent_id"]))
+            .select("start_id", "id", "depth", *[c[a] for a in COMMENT_ATTRS],
+                    F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_k"))
             .drop("_k"))
-    return Walk(rows=rows, stuck=stuck, levels=depth)
+    return Walk(rows=rows, stuck=stuck, levels=len(jumps.levels))
 
 
 def ancestor_walk(comments: DataFrame, seeds: DataFrame, max_depth: int | None = DEFAULT_MAX_DEPTH,

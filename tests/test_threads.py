@@ -200,9 +200,8 @@ def test_invalid_utf8_text_is_cleaned_in_records(spark):
     assert t.comments_thread_is_delta is True
 
 
-def test_walk_without_depth_limit(spark, monkeypatch):
+def test_walk_without_depth_limit(spark):
     """Long chains stay whole; a walk that goes round is caught, others are not."""
-    monkeypatch.setattr(TH, "FIRST_CYCLE_CHECK", 2)
     rows = [("a", "b", i, f"n{i}", "t3_s", f"t1_n{i - 1}" if i else "t3_s") for i in range(9)]
     rows += [("a", "b", 50, "x", "t3_s", "t1_y"), ("a", "b", 51, "y", "t3_s", "t1_x"), ("a", "b", 52, "z", "t3_s", "t1_y")]
     c = comments_df(spark, rows)
@@ -211,3 +210,55 @@ def test_walk_without_depth_limit(spark, monkeypatch):
     got = {r[0]: r[1] for r in w.rows.groupBy("start_id").count().collect()}
     assert got == {"n8": 9, "n2": 3}
     assert sorted(r.start_id for r in w.stuck.collect()) == ["x", "z"]
+
+
+def _long_chain(spark, n, first_parent):
+    return spark.range(n).selectExpr(
+        "'a' AS author", "'b' AS body", "id AS created_utc", "concat('n', id) AS id", "'t3_s' AS link_id",
+        f"CASE WHEN id = 0 THEN '{first_parent}' ELSE concat('t1_n', id - 1) END AS parent_id")
+
+
+def test_chain_of_a_hundred_thousand_in_log_rounds(spark):
+    n = 100_000
+    c = _long_chain(spark, n, "t3_s")
+    w = TH.ancestor_walk(c, spark.createDataFrame([(f"n{n - 1}",), ("n9",)], "id string"))
+    assert w.levels <= 17 and w.stuck.count() == 0
+    got = w.rows.groupBy("start_id").agg(F.count("*"), F.max("depth"), F.countDistinct("id"), F.min("created_utc"))
+    assert sorted(map(tuple, got.collect())) == [("n9", 10, 9, 10, 0), (f"n{n - 1}", n, n - 1, n, 0)]
+    d = TH.descendant_walk(c, spark.createDataFrame([(f"n{n - 40_000}",)], "id string"))
+    assert d.rows.agg(F.count("*"), F.max("depth")).first() == (40_000, 39_999)
+
+
+def test_loop_below_which_a_long_chain_hangs(spark):
+    """Two comments that name each other and 100,000 replies below: marked once
+    for all seeds, by doubling."""
+    n = 100_000
+    loop = comments_df(spark, [("a", "b", -2, "x", "t3_s", "t1_y"), ("a", "b", -1, "y", "t3_s", "t1_x")])
+    c = loop.unionByName(_long_chain(spark, n, "t1_y")).unionByName(comments_df(spark, _chain(5, start=1)).selectExpr(
+        "author", "body", "created_utc", "concat('m', id) AS id", "link_id", "replace(parent_id, 't1_', 't1_m') AS parent_id"))
+    seeds = c.select("id").where("id NOT LIKE 'n%' OR id LIKE '%99'")
+    up = TH.ancestor_walk(c, seeds)
+    assert up.levels <= 18
+    assert up.stuck.count() == 2 + n // 100 and up.rows.count() == 1 + 2 + 3 + 4 + 5
+    down = TH.descendant_walk(c, spark.createDataFrame([("x",), ("y",), ("n99990",), ("mn3",)], "id string"))
+    assert sorted(r.start_id for r in down.stuck.collect()) == ["x", "y"]
+    assert sorted(map(tuple, down.rows.groupBy("start_id").count().collect())) == [("mn3", 2), ("n99990", 10)]
+
+
+def test_many_ways_between_two_comments_are_merged(spark):
+    """Every id occurs under both ids of the level above: 2^30 paths, 31 levels."""
+    rows = [("a", "b", 0, f"{s}0", "t3_s", "t3_s") for s in "pq"]
+    rows += [("a", "b", i, f"{s}{i}", "t3_s", f"t1_{t}{i - 1}") for i in range(1, 31) for s in "pq" for t in "pq"]
+    c = comments_df(spark, rows)
+    w = TH.ancestor_walk(c, spark.createDataFrame([("p4",)], "id string"))
+    got = sorted(map(tuple, w.rows.groupBy("depth").count().collect()))
+    assert got == [(0, 2), (1, 4), (2, 8), (3, 16), (4, 16)]
+    looped = c.unionByName(comments_df(spark, [("a", "b", 0, "p0", "t3_s", "t1_q30")]))
+    assert [r.start_id for r in TH.ancestor_walk(looped, spark.createDataFrame([("q1",)], "id string")).stuck.collect()] == ["q1"]
+
+
+def test_depth_bound_leaves_short_walks(spark):
+    c = comments_df(spark, _chain(12))
+    w = TH.ancestor_walk(c, spark.createDataFrame([("n11",), ("n4",), ("n5",)], "id string"), max_depth=4)
+    assert sorted(r.start_id for r in w.stuck.collect()) == ["n11", "n5"]
+    assert sorted(r.id for r in w.rows.collect()) == [f"n{i}" for i in range(5)]
