@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from dialectic.llm.frames import running_sums, slices, stored
 
 #: Bytes of text in one shard; a longer text is a shard of its own.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Rows of words that are numbered together, and the most such buckets.
 WORDS_PER_BUCKET, MAX_BUCKETS = 1 << 18, 1 << 16
 #: Bits of a column's number beside its place in a shard.
@@ -165,10 +165,7 @@ def matrix_rows(shards: DataFrame) -> DataFrame:
                 starts = of["starts"].to_numpy(zero_copy_only=False)
                 cells = columns_of(of["columns"].to_numpy(zero_copy_only=False))[of["cols"].to_numpy(zero_copy_only=False)]
                 row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-                if len(cells):
-                    by = np.lexsort((cells, row))
-                    new = np.append(True, (np.diff(row[by]) != 0) | (np.diff(cells[by]) != 0))
-                    row = row[by][new]
+                row = np.unique((row << COLUMN_BITS) + cells) >> COLUMN_BITS
                 sums = np.append(0, np.cumsum(of["counts"].to_numpy(zero_copy_only=False).astype(np.int64)))
                 n_words, n_distinct = np.diff(sums[starts]), np.bincount(row, minlength=len(starts) - 1)
                 fails = (of["flags"].to_numpy(zero_copy_only=False) + (n_words < LEAST_WORDS)
