@@ -99,17 +99,13 @@ def double_edges(edges: DataFrame, base: str, max_steps: int | None = None,
     """
     spark = edges.sparkSession
 
-    def written(df: DataFrame, j: int) -> tuple[DataFrame, int]:
-        path = f"{base}/steps={1 << j}"
+    def written(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        path = f"{base}/{name}"
         df.select("src", "dst", "copies").write.parquet(path)
         back = spark.read.schema("src long, dst long, copies long").parquet(path)
         return back, back.count()  # from file footers
 
-    level, n = written(edges, 0)
-    # Where a node has one way on, so has every longer path; else equal ends are
-    # merged, or the rows would multiply with the ways between them.
-    merge = bool(n) and (level.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count()
-                         and level.groupBy("dst").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count())
+    level, n = written(edges, "steps=1")
     levels: list[DataFrame] = []
     while n:
         levels.append(level)
@@ -120,11 +116,14 @@ def double_edges(edges: DataFrame, base: str, max_steps: int | None = None,
         near = level.select("src", F.col("dst").alias("_via"), "copies")
         step = skew_join(near, far, "_via", "_mid", n, n, hot_key_rows).select(
             "src", F.col("_end").alias("dst"), _product("copies", "_more").alias("copies"))
-        if merge:
-            step = step.groupBy("src", "dst").agg(
-                F.coalesce(F.try_sum("copies"), F.lit(MOST_COPIES)).alias("copies"))
         n_before = n
-        level, n = written(step, j + 1)
+        level, n = written(step, f"steps={2 << j}")
+        if n > n_before:
+            # Several ways lead between the same ends: merged, or the rows would
+            # multiply from round to round. (With one way on from every node a
+            # round cannot have more rows than the one before.)
+            level, n = written(level.groupBy("src", "dst").agg(
+                F.coalesce(F.try_sum("copies"), F.lit(MOST_COPIES)).alias("copies")), f"merged={2 << j}")
         if n and (1 << j) >= n_before:
             return Jumps(levels, level.select("src").distinct())
     return Jumps(levels, None)
