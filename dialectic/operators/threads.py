@@ -21,7 +21,7 @@ from dialectic.operators.doubling import HOT_KEY_MIN_ROWS, double_edges, expand,
 from dialectic.session import checkpoint_dir, scratch_dir
 
 __all__ = ["Walk", "ancestor_walk", "assemble_threads", "build_threads", "descendant_walk", "explode_threads",
-           "hot_keys", "lookup", "op_comments", "strip_prefixes"]
+           "hot_keys", "lookup", "op_comments", "quarantined", "strip_prefixes", "thread_records", "to_threads"]
 
 COMMENT_ATTRS = ["author", "body", "parent_id", "link_id", "created_utc"]
 # No bound on the depth unless a caller sets one.
@@ -174,28 +174,16 @@ def assemble_threads(walk_rows: DataFrame) -> DataFrame:
     return g.select("start_id", F.transform("_arr", lambda x: x["c"]).alias("comments_thread"))
 
 
-def build_threads(comments: DataFrame, submissions: DataFrame,
-                  delta_symbols: list[str] | None = None,
-                  max_depth: int | None = DEFAULT_MAX_DEPTH,
-                  new_comments: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Thread records for every OP comment, plus the quarantine.
-
-    Returns ``(threads, quarantine)``. ``threads`` follows the nested thread
-    schema; ``quarantine`` holds ``(comments_id, reason)`` for seeds whose
-    walk hit ``max_depth`` or whose leaf comment has a NULL body (the
-    original reported such records and moved on). Seeds whose walk is empty
-    (seed id missing from comments) produce nothing, as before.
-
-    ``new_comments`` (optional) restricts the seeds to OP comments among
-    these rows — e.g. one micro-batch of a stream — while the walk still runs
-    over the whole ``comments`` table.
-    """
-    symbols = DELTA_SYMBOLS if delta_symbols is None else delta_symbols
+def thread_records(comments: DataFrame, submissions: DataFrame, seeds_from: DataFrame,
+                   max_depth: int | None = DEFAULT_MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """``(records, stuck)`` for the OP comments among ``seeds_from``, walked over
+    all ``comments``. ``records``: ``comments_id``, the submission's columns, root,
+    leaf, the leaf's body and the thread; ``stuck``: ``comments_id`` of walks that
+    go round or exceed ``max_depth``."""
     # The OP-comment table feeds the walk (seeds) and the final record join;
     # it is computed once and kept as files in the shared checkpoint folder
     # (the original materialized it as a table for the same reason).
     checkpoint_dir(comments.sparkSession)
-    seeds_from = comments if new_comments is None else new_comments
     ops = op_comments(seeds_from, submissions).checkpoint(eager=True)
     walk = ancestor_walk(comments, ops.select("comments_id"), max_depth=max_depth)
     arr = assemble_threads(walk.rows)
@@ -210,20 +198,43 @@ def build_threads(comments: DataFrame, submissions: DataFrame,
     ops_clean = ops.select("comments_id", "submission_id",
                            *[utf8_clean(c).alias(c) for c in
                              ("submission_author", "submission_title", "submission_body")])
-    joined = ops_clean.join(rec, ops_clean["comments_id"] == rec["start_id"])
-    ok = joined.where(F.col("_leaf_body").isNotNull())
-    threads = ok.select(
+    stuck = ops.join(walk.stuck, ops["comments_id"] == walk.stuck["start_id"], "left_semi").select("comments_id")
+    return ops_clean.join(rec, ops_clean["comments_id"] == rec["start_id"]).drop("start_id"), stuck
+
+
+def to_threads(records: DataFrame, delta_symbols: list[str] | None = None, keep_id: bool = False) -> DataFrame:
+    """The thread records with a leaf body, in the nested thread schema (behind
+    their OP comment's id if ``keep_id``)."""
+    symbols = DELTA_SYMBOLS if delta_symbols is None else delta_symbols
+    return records.where(F.col("_leaf_body").isNotNull()).select(
+        *(["comments_id"] if keep_id else []),
         "submission_id", "submission_author", "submission_title", "submission_body",
         "comments_thread_root_comment_id", "comments_thread_leaf_comment_id",
         contains_any("_leaf_body", symbols).alias("comments_thread_is_delta"),
         "comments_thread",
     )
-    bad_body = joined.where(F.col("_leaf_body").isNull()).select(
+
+
+def quarantined(records: DataFrame, stuck: DataFrame) -> DataFrame:
+    """``(comments_id, reason)`` of OP comments without a thread record."""
+    bad_body = records.where(F.col("_leaf_body").isNull()).select(
         "comments_id", F.lit("null_leaf_body").alias("reason"))
-    too_deep = walk.stuck.select(F.col("start_id").alias("comments_id"),
-                                 F.lit("depth_limit").alias("reason"))
-    too_deep = too_deep.join(ops.select("comments_id"), "comments_id")
-    return threads, bad_body.unionByName(too_deep)
+    return bad_body.unionByName(stuck.select("comments_id", F.lit("depth_limit").alias("reason")))
+
+
+def build_threads(comments: DataFrame, submissions: DataFrame,
+                  delta_symbols: list[str] | None = None,
+                  max_depth: int | None = DEFAULT_MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Thread records for every OP comment, plus the quarantine.
+
+    Returns ``(threads, quarantine)``. ``threads`` follows the nested thread
+    schema; ``quarantine`` holds ``(comments_id, reason)`` for seeds whose
+    walk goes round (or hits ``max_depth``) or whose leaf comment has a NULL body
+    (the original reported such records and moved on). Seeds whose walk is empty
+    (seed id missing from comments) produce nothing, as before.
+    """
+    records, stuck = thread_records(comments, submissions, comments, max_depth)
+    return to_threads(records, delta_symbols), quarantined(records, stuck)
 
 
 def explode_threads(threads: DataFrame) -> DataFrame:

@@ -190,8 +190,10 @@ def q_thread_build(spark, d):
 @register("stream_thread_build", _THREAD_BUILD_SQL)
 def q_stream_thread_build(spark, d):
     from dialectic.plans.streaming_query import stream_threads_over
+    # The replies come first, their ancestors (first turns) in the second file.
+    late = F.regexp_extract("id", "_([0-9]+)$", 1).cast("int") > 2
     threads = stream_threads_over(spark, FX.f_comments(spark, d), FX.f_submissions(spark, d),
-                                  CHECK_DELTA_SYMBOLS)
+                                  CHECK_DELTA_SYMBOLS, [late])
     return threads.select(
         "submission_id", "submission_author", "submission_title", "submission_body",
         "comments_thread_root_comment_id", "comments_thread_leaf_comment_id", "comments_thread_is_delta",
@@ -635,10 +637,13 @@ _ROLLUP_SQL = """
            round(avg(cr - rj), 6) AS rewards_margins"""
 
 
-@register("metric_rollup", with_views(["f_pair_scores", "f_side_logits"], _SCORE_CTES + _SIDE_CTES + [
+_METRIC_ROLLUP_SQL = with_views(["f_pair_scores", "f_side_logits"], _SCORE_CTES + _SIDE_CTES + [
     ("m", _ROLLUP_SQL + """, round(avg(pc), 6) AS logps_chosen, round(avg(pr), 6) AS logps_rejected,
            CASE WHEN type = 'eval' THEN 'eval_' ELSE '' END AS metric_prefix FROM sc GROUP BY run_id, type, step""")],
-    f"SELECT m.*, {_SIDE_OUT} FROM m LEFT JOIN sides USING (run_id, type, step)"))
+    f"SELECT m.*, {_SIDE_OUT} FROM m LEFT JOIN sides USING (run_id, type, step)")
+
+
+@register("metric_rollup", _METRIC_ROLLUP_SQL)
 def q_metric_rollup(spark, d):
     sides = S.side_metrics(FX.f_side_logits(spark, d))
     return _round_doubles(M.metric_rollup(_scored(spark, d), sides=sides))
@@ -793,8 +798,7 @@ def q_generate_test_split(spark, d):
 
 # --------------------------------------------------------------------- streaming
 
-@register("stream_metric_rollup", with_views(["f_pair_scores"], _SCORE_CTES, _ROLLUP_SQL + """
-    FROM sc GROUP BY run_id, type, step"""))
+@register("stream_metric_rollup", _METRIC_ROLLUP_SQL)
 def q_stream_metric_rollup(spark, d):
     from dialectic.plans.streaming_query import stream_rollup_over
-    return _round_doubles(stream_rollup_over(spark, _scored(spark, d)))
+    return _round_doubles(stream_rollup_over(spark, _scored(spark, d), FX.f_side_logits(spark, d)))
