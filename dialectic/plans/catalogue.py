@@ -23,7 +23,7 @@ from dialectic.operators import threads as TH
 from dialectic.plans.oracle_views import with_views
 from dialectic.session import scratch_dir
 from dialectic.sources import fixtures as FX
-from dialectic.sources.readers import load_preferences, read_csv
+from dialectic.sources.readers import load_preferences, load_preferences_checked, read_csv
 from dialectic.sources.schemas import GEN_OUTPUT, HISTORY, THREAD
 from dialectic.sources.sinks import append_log, stored_once, write_csv, write_json_lines
 
@@ -288,6 +288,29 @@ def q_load_preferences(spark, d):
     return load_preferences(spark, path)
 
 
+# Every ninth record is cut short, has no prompt, or holds a byte that is not UTF-8.
+@register("preference_faults", with_views(["f_preferences"], [
+    ("n", "SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS record FROM f_preferences"),
+    ("r", """SELECT *, CASE WHEN record % 9 = 3 THEN 'malformed_json' WHEN record % 9 = 5 OR prompt IS NULL THEN 'null_prompt'
+                            WHEN record % 9 = 7 THEN 'invalid_utf8' END AS reason FROM n""")], """
+    SELECT CAST(record AS BIGINT) AS record, reason, CASE WHEN reason IS NULL THEN
+             CAST(row_number() OVER (PARTITION BY reason IS NULL ORDER BY record) - 1 AS BIGINT) END AS row_id,
+           CASE WHEN reason IS NULL THEN prompt END AS prompt, CASE WHEN reason IS NULL THEN chosen END AS chosen,
+           CASE WHEN reason IS NULL THEN rejected END AS rejected
+    FROM r"""))
+def q_preference_faults(spark, d):
+    path = scratch_dir(spark, "preferences-faults")
+    n = P.with_positions(FX.f_preferences(spark, d), "record")
+    kind = F.col("record") % 9
+    line = F.to_json(F.struct(F.when(kind != 5, F.col("prompt")).alias("prompt"), "chosen", "rejected"))
+    broken = F.concat(F.lit(bytearray(b'{"x":"\xff",')), F.encode(F.expr("substring(line, 2)"), "UTF-8")).cast("string")
+    faulty = F.when(kind == 3, F.expr("left(line, length(line) - 1)")).when(kind == 7, broken).otherwise(F.col("line"))
+    n.withColumn("line", line).orderBy("record").select(faulty.alias("value")).write.text(path)
+    good, bad = load_preferences_checked(spark, path)
+    return good.select("record", F.lit(None).cast("string").alias("reason"), "row_id", "prompt", "chosen", "rejected").unionByName(
+        bad.select("record", "reason"), allowMissingColumns=True)
+
+
 @register("prompt_groups", with_views(["f_preferences"], [], """
     SELECT prompt, min(row_id) AS first_row_id, CAST(count(*) AS BIGINT) AS n_rows,
            CAST(row_number() OVER (ORDER BY min(row_id)) - 1 AS BIGINT) AS group_index

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dialectic.session import checkpoint_dir
+from dialectic.functions.ordering import order_index
 from dialectic.sources import schemas
+from dialectic.sources.records import CSV, JSON_VALUES, LINES, read_records
 
 
 def read_table(spark: SparkSession, path: str, schema=None, fmt: str = "parquet") -> DataFrame:
@@ -35,46 +36,57 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
                            properties=properties or {})
 
 
-def with_file_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
-    """Add a dense 0-based ``row_id`` in file order, then line order.
-
-    Works for any file source whose splits keep line order (text, JSON lines,
-    CSV). Each split is numbered locally with ``monotonically_increasing_id``;
-    the per-split counts (one row per split, bounded by the number of file
-    splits) get a running sum and are broadcast back, so no task sees more
-    than its own split.
-    """
-    d = (df.withColumn("_path", F.col("_metadata.file_path"))
-           .withColumn("_start", F.col("_metadata.file_block_start"))
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    # Parsed once and written to the shared checkpoint folder: the split
-    # counts and the numbering both read it, and the local ids stay fixed.
-    checkpoint_dir(df.sparkSession)
-    d = d.checkpoint(eager=True).withColumn("_ph", F.xxhash64("_path"))
-    splits = d.groupBy("_path", "_ph", "_start").agg(F.min("_mid").alias("_first"),
-                                                     F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-                    .select("_ph", "_start", "_first", "_off"))
-    # One row of four numbers per input split: broadcast-sized by construction.
-    res = d.join(F.broadcast(splits), ["_ph", "_start"])
-    return res.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long")).drop(
-        "_path", "_ph", "_start", "_mid", "_first", "_off")
+def _parsed_preferences(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """One row per record: ``path, place, raw, row, reason`` and the parsed ``r``."""
+    records = read_records(spark, path, JSON_VALUES if multiline else LINES)
+    text = F.col("raw").cast("string")
+    if multiline:
+        # What separates records comes before them; the closing brace was cut off.
+        rest = F.regexp_replace(text, r"^[\s,\[\x{FEFF}]+", "")
+        records = records.where("whole").unionByName(records.where(~F.col("whole") & ~text.rlike(r"^[\s\[\],\x{FEFF}]*$")))
+        text = F.when(F.col("whole"), F.concat(rest, F.lit("}"))).otherwise(rest)
+    # As the one element of an array, so that anything behind a record shows.
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(schemas.PREFERENCE_JSON))
+    d = records.select("path", "place", "raw", "row", "whole", F.is_valid_utf8(F.col("raw").cast("string")).alias("_utf8"),
+                       parsed.alias("_p"))
+    r = F.when(F.col("whole") & (F.size("_p") == 1), F.get("_p", F.lit(0)))
+    reason = (F.when(~F.col("_utf8"), "invalid_utf8").when(F.col("r").isNull(), "malformed_json")
+              .when(F.col("r.prompt").isNull(), "null_prompt"))
+    return d.withColumn("r", r).select("path", "place", "raw", "row", reason.alias("reason"), "r")
 
 
 def load_preferences(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Preference records ``{prompt, chosen, rejected}`` from JSON with a
-    ``row_id`` that keeps the file's row order (the order is meaningful:
+    """Preference records ``{prompt, chosen, rejected}`` from JSON with a dense
+    ``row_id`` that keeps the files' row order (the order is meaningful:
     positions, first-occurrence dedup and group order all depend on it).
 
-    ``multiline=True`` reads one JSON array per file (not splittable).
+    One record per line; ``multiline=True`` takes records of any layout instead,
+    in arrays or one behind another. Both are split among tasks. A record that
+    is not JSON or not UTF-8 raises, as the original's loader does; see
+    ``load_preferences_checked`` for one that goes on.
     """
-    r = spark.read.schema(schemas.PREFERENCE_JSON)
-    if multiline:
-        r = r.option("multiLine", True)
-    df = r.json(path)
-    df = with_file_row_id(df)
-    return df.select("row_id", "prompt", "chosen", "rejected")
+    d = _parsed_preferences(spark, path, multiline)
+    bad = F.col("reason").isin("malformed_json", "invalid_utf8")
+    what = F.concat_ws("", "reason", F.lit(" at byte "), F.col("place").cast("string"), F.lit(" of "), "path")
+    d = d.where(F.when(bad, F.raise_error(what).cast("boolean")).otherwise(F.lit(True)))
+    return d.select(F.col("row").alias("row_id"), "r.*")
+
+
+def load_preferences_checked(spark: SparkSession, path: str, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(good, bad)`` of the records ``load_preferences`` reads.
+
+    ``good``: ``row_id`` (dense over the good ones), ``record`` (over all), and the
+    three fields. ``bad``: ``record, path, place`` (the byte where it begins),
+    ``reason`` (``malformed_json``, ``invalid_utf8``, ``null_prompt``) and the ``raw`` bytes.
+    """
+    d = _parsed_preferences(spark, path, multiline).withColumnRenamed("row", "record").checkpoint(eager=True)
+    bad = d.where(F.col("reason").isNotNull()).select("record", "path", "place", "reason", "raw")
+    good = d.where(F.col("reason").isNull()).select("record", "r.*")
+    if bad.limit(1).count():
+        good = good.join(order_index(good.select("record"), ["record"], out="row_id"), "record")
+    else:
+        good = good.withColumn("row_id", F.col("record"))
+    return good.select("row_id", "record", "prompt", "chosen", "rejected"), bad
 
 
 def read_sample_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -84,9 +96,35 @@ def read_sample_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFra
     return spark.read.schema(schemas.SAMPLE_LOG).format(fmt).load(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """CSV written by :func:`dialectic.sources.sinks.write_csv` (header,
-    quoted multi-line text, no trimming), with a declared schema."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False).csv(path))
+CSV_OPTIONS = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "mode": "FAILFAST"}
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV written by :func:`dialectic.sources.sinks.write_csv` (a header in every
+    file, quoted multi-line text, no trimming), with a declared schema. Large
+    files are split among tasks. Columns of the schema that are partition
+    folders are taken from the paths. A quote that stays open at the end of a file,
+    or a value of another type, raises.
+    """
+    folders = set(spark.read.text(path).columns) - {"value"}
+    data = T.StructType([f for f in schema.fields if f.name not in folders])
+    records = read_records(spark, path, CSV)
+    text = F.regexp_replace(F.col("raw").cast("string"), r"^[\r\n]+", "")
+    what = F.concat_ws("", F.lit("open quote at byte "), F.col("place").cast("string"), F.lit(" of "), "path")
+    blank = F.trim(F.translate(F.col("raw").cast("string"), "\r\n\t", "")) == ""
+    records = records.where(F.when(F.col("whole"), F.col("number") > 0).when(blank, F.lit(False)).otherwise(
+        F.raise_error(what).cast("boolean")))
+    row = records.select("path", F.from_csv(F.regexp_replace(text, r"\r$", ""), _ddl(data), CSV_OPTIONS).alias("r"))
+    return row.select(*[_folder_value(f) if f.name in folders else F.col("r")[f.name].alias(f.name) for f in schema.fields])
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def _folder_value(f: T.StructField) -> F.Column:
+    """A partition folder's value; file paths are URIs, so it is escaped twice."""
+    value = F.regexp_extract("path", f"/{f.name}=([^/]*)/", 1)
+    for _ in range(2):
+        value = F.url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
+    return F.when(value != "__HIVE_DEFAULT_PARTITION__", value).cast(f.dataType).alias(f.name)
