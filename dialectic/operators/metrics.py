@@ -135,3 +135,45 @@ def study_results(trials: DataFrame) -> DataFrame:
     return (trials.withColumn("value", v)
                   .withColumn("best_number", best_no)
                   .withColumn("is_best", F.col("number") == F.col("best_number")))
+
+
+def merged_params(defaults: dict[str, str], params: F.Column) -> F.Column:
+    """``{**defaults, **params}`` as a map: the row's own entries win; a NULL map
+    has none."""
+    own = F.coalesce(params, F.create_map().cast("map<string,string>"))
+    base = F.create_map(*[F.lit(x) for kv in sorted(defaults.items()) for x in kv]).cast("map<string,string>")
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(own, k)), own)
+
+
+def params_text(params: F.Column) -> F.Column:
+    """A map as ``key=value`` pairs in the order of the keys."""
+    pairs = F.array_sort(F.map_entries(params))
+    return F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("")))), ",")
+
+
+STUDY_PART_TRIALS = 1000
+
+
+def study_document(trials: DataFrame, defaults: dict[str, str] | None = None,
+                   part_trials: int = STUDY_PART_TRIALS) -> DataFrame:
+    """The study document: ``best_trial`` and ``all_trials`` (number, value, params,
+    run id each), every trial's ``params`` laid over ``defaults``.
+
+    The trials stand in parts of at most ``part_trials`` by their number (which is
+    unique and dense), one row per part with the best trial beside it, so that no
+    row holds a study of any size. A failed trial's value is infinite; the lowest
+    number wins ties, as in :func:`best_trial`.
+    """
+    t = trials.withColumn("params", merged_params(defaults or {}, F.col("params")))
+    t = t.withColumn("value", F.coalesce(F.col("value"), F.lit(float("inf"))))
+    trial = F.struct("number", "value", "params", "wandb_run_id")
+    best = best_trial(t.select("number", "value", "params", "wandb_run_id"))
+    best_row = best.select(F.struct("number", "value", F.map_entries("params").alias("params"), "wandb_run_id").alias("b")).scalar()
+    parts = t.groupBy(F.floor(F.col("number") / part_trials).cast("long").alias("part")).agg(
+        F.collect_list(trial).alias("_t"))
+    ordered = F.array_sort("_t", lambda a, b: (a["number"] - b["number"]).cast("int"))
+    parts = parts.select("part", ordered.alias("all_trials"), best_row.alias("_b"))
+    return parts.select("part", F.struct(
+        F.col("_b.number").alias("number"), F.col("_b.value").alias("value"),
+        F.map_from_entries("_b.params").alias("params"), F.col("_b.wandb_run_id").alias("wandb_run_id")).alias("best_trial"),
+        "all_trials")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dialectic.functions.ordering import hash_order_index, int_order_index, md5_int32, order_index
@@ -186,11 +187,14 @@ def check_positions(df: DataFrame, positions: list[int], pos_col: str = "pos") -
 
 
 def head_n(df: DataFrame, n: int, pos_col: str = "pos") -> DataFrame:
-    """First ``n`` rows in row order (clamps when ``n`` exceeds the size)."""
+    """First ``n`` rows in row order (clamps when ``n`` exceeds the size): a
+    distributed top-k over slim keys, of which the ``n`` rows are numbered."""
     if pos_col in df.columns:
         return df.where(F.col(pos_col) < n)
-    slim = with_positions(df.select(*_order(df)), pos_col).select("row_id", pos_col)
-    return df.join(slim.where(F.col(pos_col) < n), "row_id")
+    keys = _order(df)
+    first = df.select(*keys).orderBy(*keys).limit(n)
+    numbered = first.withColumn(pos_col, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+    return df.join(numbered.select("row_id", pos_col), "row_id")
 
 
 def stack_sides(df: DataFrame, keys: tuple[str, ...] = ("row_id", "prompt")) -> DataFrame:

@@ -9,6 +9,8 @@ helpers are for small vectors.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -75,6 +77,59 @@ def token_nll(logit_rows: DataFrame, logits: str = "logits", label: str = "label
     return logit_rows.withColumn("nll", nll)
 
 
+# Width of the bins that long logits are summed in: exp of a bin's width stays far
+# inside the range of a double, and two bins apart nothing is left to add.
+LOGIT_BIN = 512.0
+
+
+def long_logits_summary(logits: DataFrame, keys: list[str] | None = None, token: str = "token",
+                        value: str = "logit", label: str | None = None) -> DataFrame:
+    """Per position of long logits ``(keys, token, logit)``: ``lse`` (log of the sum of
+    exps), ``pred_id`` (the token of the greatest logit, the smallest of equal ones),
+    ``n_tokens`` and, with a ``label`` column, ``gold`` (the label's logit).
+
+    No position's vocabulary comes together anywhere: a task sums
+    ``exp(x - 512 * bin)`` per bin of 512, which adds up over tasks, so a position is
+    one or two rows per task before the shuffle. NULL logits are left out, minus
+    infinity adds nothing (``lse`` is minus infinity if all are), NaN gives NaN.
+    """
+    keys = keys or ["seq_id", "pos"]
+    x = F.col(value).cast("double")
+    inf = F.lit(float("inf"))
+    bins = F.when(x == -inf, F.lit(None)).when(F.isnan(x) | (x == inf), F.lit(0)).otherwise(F.floor(x / LOGIT_BIN)).cast("long")
+    part = logits.where(x.isNotNull()).withColumn("_bin", bins).groupBy(*keys, "_bin").agg(
+        F.sum(F.exp(x - F.coalesce(F.col("_bin"), F.lit(0)) * LOGIT_BIN)).alias("_sum"),
+        F.max(F.struct(x.alias("x"), (-F.col(token)).alias("t"))).alias("_best"), F.count(F.lit(1)).alias("_n"),
+        F.max(F.when(F.col(token) == F.col(label), x) if label else F.lit(None).cast("double")).alias("_gold"))
+    g = part.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.when(F.col("_bin").isNotNull(), F.struct("_bin", "_sum"))), asc=False).alias("_bins"),
+        F.max("_best").alias("_best"), F.sum("_n").alias("n_tokens"), F.max("_gold").alias("gold"))
+    top, below = F.get("_bins", F.lit(0)), F.get("_bins", F.lit(1))
+    rest = F.when(below["_bin"] == top["_bin"] - 1, below["_sum"] * math.exp(-LOGIT_BIN)).otherwise(0.0)
+    lse = F.when(F.size("_bins") == 0, -inf).otherwise(top["_bin"] * LOGIT_BIN + F.log(top["_sum"] + rest))
+    return g.select(*keys, lse.alias("lse"), (-F.col("_best.t")).cast("long").alias("pred_id"), "n_tokens",
+                    *(["gold"] if label else []))
+
+
+def long_token_nll(logits: DataFrame, keys: list[str] | None = None, token: str = "token", value: str = "logit",
+                   label: str = "label") -> DataFrame:
+    """:func:`token_nll` and argmax over vocabulary-wide long logits: one row per
+    position with ``label``, ``nll`` (NULL where the label is masked or has no logit),
+    ``pred_id`` and ``n_tokens``. ``label`` stands in every row of its position."""
+    keys = keys or ["seq_id", "pos"]
+    g = long_logits_summary(logits, [*keys, label], token, value, label)
+    nll = F.when(F.col(label) != IGNORE_INDEX, F.col("lse") - F.col("gold"))
+    return g.select(*keys, label, nll.alias("nll"), "pred_id", "n_tokens")
+
+
+def long_softmax(logits: DataFrame, keys: list[str] | None = None, token: str = "token", value: str = "logit") -> DataFrame:
+    """``(keys, token, prob)`` of long logits: every row meets its position's
+    ``lse`` by an equi-join, so no array of the vocabulary is built."""
+    keys = keys or ["seq_id", "pos"]
+    lse = long_logits_summary(logits, keys, token, value).select(*keys, "lse")
+    return logits.join(lse, keys).select(*keys, token, F.exp(F.col(value).cast("double") - F.col("lse")).alias("prob"))
+
+
 def mean_nll(nll_rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Token-mean NLL (``CrossEntropyLoss(ignore_index=-100)``) per group."""
     keys = keys or []

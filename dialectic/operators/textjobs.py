@@ -12,12 +12,15 @@ from typing import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from dialectic.functions.ordering import int_order_index
 from dialectic.functions.text import whitespace_tokens, zero_pad2
+from dialectic.sources.readers import read_csv
+from dialectic.sources.sinks import append_log
 
 # --- fixed values ------------------------------------------------------------
 MAX_PROMPT_TOKENS = 1024
@@ -83,30 +86,49 @@ def pack_sequences(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 # ---------------------------------------------------------------- generation
-# A generator factory takes the kwargs dict and returns a function from a
-# pandas Series of prompts to a Series of generated continuations. It is
-# built once per partition (model load happens here in a real deployment).
-GeneratorFactory = Callable[[dict], Callable[[pd.Series], pd.Series]]
+# A generator factory takes the kwargs dict and returns a function from a list of
+# prompts (token lists) to the list of whole outputs, prompt included, as a
+# language model's ``generate`` gives them. It is built once per partition (model
+# load happens here in a real deployment).
+GeneratorFactory = Callable[[dict], Callable[[list[list[str]]], list[list[str]]]]
+
+
+def _cycle(kwargs: dict) -> Callable[[list[list[str]]], list[list[str]]]:
+    """Deterministic stand-in model: goes on with the prompt's own tokens, over
+    and over. ``max_new_tokens``, ``max_length`` (prompt included) and ``upper``
+    ("true": new tokens in upper case) are its kwargs."""
+    new = int(kwargs.get("max_new_tokens", MAX_GEN_TOKENS))
+    longest = int(kwargs.get("max_length", MAX_TOTAL_TOKENS))
+    upper = str(kwargs.get("upper", "false")).lower() == "true"
+
+    def run(prompts: list[list[str]]) -> list[list[str]]:
+        out = []
+        for p in prompts:
+            n = max(0, min(new, longest - len(p))) if p else 0
+            more = [p[i % len(p)] for i in range(n)]
+            out.append(p + ([t.upper() for t in more] if upper else more))
+        return out
 
-
-def _upper_stub(kwargs: dict) -> Callable[[pd.Series], pd.Series]:
-    """Deterministic stand-in model: the continuation is the upper-cased prompt."""
-    def run(prompts: pd.Series) -> pd.Series:
-        return prompts.str.upper()
     return run
 
 
-GENERATORS: dict[str, GeneratorFactory] = {"upper": _upper_stub}
+GENERATORS: dict[str, GeneratorFactory] = {"cycle": _cycle}
 
 
 def register_generator(name: str, factory: GeneratorFactory) -> None:
     GENERATORS[name] = factory
 
 
-def generate(df: DataFrame, generator: str = "upper", kwargs: dict | None = None,
-             prompt: str = "prompt", out: str = "generated_text") -> DataFrame:
-    """Add ``out`` = generator(prompt) using ``mapInPandas`` (Arrow batches,
-    generator built once per partition)."""
+def generate(df: DataFrame, generator: str = "cycle", kwargs: dict | None = None, prompt: str = "prompt",
+             out: str = "generated_text", max_prompt_tokens: int = MAX_PROMPT_TOKENS) -> DataFrame:
+    """Add ``out``: the generator's continuation of each prompt.
+
+    A prompt is cut to its first ``max_prompt_tokens`` tokens before the model
+    sees it, and what the model gives back is cut behind the prompt. Rows are
+    sorted by prompt length within their task, so that the batches a model pads
+    hold prompts of like length (``mapInPandas``, generator built once per
+    partition). A NULL prompt gives NULL.
+    """
     if generator not in GENERATORS:
         raise KeyError(f"unknown generator {generator!r}; known: {sorted(GENERATORS)}")
     factory = GENERATORS[generator]
@@ -114,32 +136,36 @@ def generate(df: DataFrame, generator: str = "upper", kwargs: dict | None = None
     # Ship this module's code with the task instead of requiring the package
     # to be installed on every executor.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    schema = StructType(list(df.schema.fields) + [StructField(out, StringType(), True)])
+    schema = StructType([*df.schema.fields, StructField(out, StringType(), True)])
+    tokens = F.slice(whitespace_tokens(prompt), 1, max_prompt_tokens)
+    ready = df.withColumn("_tokens", tokens).sortWithinPartitions(F.size("_tokens"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = factory(kw)
         for b in batches:
-            txt = b[prompt]
-            res = pd.Series([None] * len(b), dtype=object, index=b.index)
-            ok = txt.notna()
-            if ok.any():
-                res[ok] = fn(txt[ok]).values
-            b[out] = res
+            cut = b.pop("_tokens")
+            known = [i for i, t in enumerate(cut) if t is not None]
+            prompts = [list(cut.iloc[i]) for i in known]
+            res = [None] * len(b)
+            for i, p, whole in zip(known, prompts, fn(prompts) if prompts else []):
+                res[i] = " ".join(whole[len(p):])
+            b[out] = pd.Series(res, dtype=object, index=b.index)
             yield b
 
-    return df.mapInPandas(run, schema)
+    return ready.mapInPandas(run, schema)
 
 
 def batch_generate(prefs: DataFrame, run_name: str, run_id: str, checkpoint_path: str,
-                   checkpoint_epoch: int, split_name: str, generator: str = "upper",
-                   kwargs: dict | None = None, index_col: str = "sample_index") -> DataFrame:
+                   checkpoint_epoch: int, split_name: str, generator: str = "cycle",
+                   kwargs: dict | None = None, index_col: str = "sample_index",
+                   max_prompt_tokens: int = MAX_PROMPT_TOKENS) -> DataFrame:
     """The 10-column generation output over a dataset with a position column.
     Missing ``chosen``/``rejected`` columns become ''; present NULLs stay NULL."""
     df = prefs
     for c in ("chosen", "rejected"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(""))
-    g = generate(df.select(index_col, "prompt", "chosen", "rejected"), generator, kwargs)
+    g = generate(df.select(index_col, "prompt", "chosen", "rejected"), generator, kwargs, max_prompt_tokens=max_prompt_tokens)
     return g.select(
         F.lit(run_name).alias("wandb_run_name"), F.lit(run_id).alias("wandb_run_id"),
         F.lit(checkpoint_path).alias("checkpoint_model_path"),
@@ -149,14 +175,46 @@ def batch_generate(prefs: DataFrame, run_name: str, run_id: str, checkpoint_path
         "prompt", "generated_text", "chosen", "rejected")
 
 
-def generated_samples(rows: DataFrame, run_id: str, epoch: float, generator: str = "upper",
-                      kwargs: dict | None = None, index_col: str = "pos") -> DataFrame:
+def generated_samples(rows: DataFrame, run_id: str, epoch: float, generator: str = "cycle",
+                      kwargs: dict | None = None, index_col: str = "pos",
+                      max_prompt_tokens: int = MAX_PROMPT_TOKENS) -> DataFrame:
     """The 7-column generated-sample log for picked evaluation rows."""
     df = rows
     for c in ("chosen", "rejected"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(""))
-    g = generate(df.select(index_col, "prompt", "chosen", "rejected"), generator, kwargs)
+    g = generate(df.select(index_col, "prompt", "chosen", "rejected"), generator, kwargs, max_prompt_tokens=max_prompt_tokens)
     return g.select(
         F.lit(run_id).alias("run_id"), F.col(index_col).cast("long").alias("eval_sample_index"),
         F.lit(float(epoch)).alias("epoch"), "prompt", "generated_text", "chosen", "rejected")
+
+
+def resume(rows: DataFrame, make: Callable[[DataFrame], DataFrame], log: str, row_key: str, log_key: str,
+           same: dict[str, object] | None = None, fmt: str = "csv") -> DataFrame:
+    """Generate what the log at ``log`` does not hold yet, append it, and return the log.
+
+    ``make`` turns rows into log rows. A row is held if a log row with the values
+    ``same`` (run, epoch, split, ...) has its ``row_key`` as ``log_key``; only the others
+    are generated, so that a job that broke off goes on where its last committed
+    append ended, and a second run over the same rows generates nothing.
+    """
+    spark = rows.sparkSession
+    schema = make(rows.limit(0)).schema
+
+    def read() -> DataFrame:
+        return read_csv(spark, log, schema) if fmt == "csv" else spark.read.schema(schema).format(fmt).load(log)
+
+    try:
+        held = read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = None
+    todo = rows
+    if held is not None:
+        for name, value in (same or {}).items():
+            held = held.where(F.col(name).eqNullSafe(F.lit(value)))
+        todo = rows.join(held.select(F.col(log_key).cast(rows.schema[row_key].dataType).alias("_held")).distinct(),
+                         rows[row_key] == F.col("_held"), "left_anti")
+    append_log(make(todo), log, partition_by=(), fmt=fmt)
+    return read()

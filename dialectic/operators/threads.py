@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from dialectic.functions.text import DELTA_SYMBOLS, contains_any, strip_type_prefix, utf8_clean
 from dialectic.operators.doubling import HOT_KEY_MIN_ROWS, double_edges, expand, hot_keys, skew_join
 from dialectic.session import checkpoint_dir, scratch_dir
+from dialectic.sources.sinks import replace_table
 
 __all__ = ["Walk", "ancestor_walk", "assemble_threads", "build_threads", "descendant_walk", "explode_threads",
-           "hot_keys", "lookup", "op_comments", "quarantined", "strip_prefixes", "thread_records", "to_threads"]
+           "hot_keys", "lookup", "op_comments", "op_replies", "quarantined", "store_op_comments", "strip_prefixes",
+           "thread_records", "to_threads"]
 
 COMMENT_ATTRS = ["author", "body", "parent_id", "link_id", "created_utc"]
 # No bound on the depth unless a caller sets one.
@@ -49,6 +51,20 @@ def op_comments(comments: DataFrame, submissions: DataFrame,
         "comments_id", "submission_id", "submission_author", "submission_title", "submission_body")
 
 
+def store_op_comments(comments: DataFrame, submissions: DataFrame, name: str, path: str, buckets: int = 8) -> DataFrame:
+    """The OP-comment table dropped and created anew as table ``name`` with its rows
+    at ``path``, bucketed and sorted by ``comments_id``: later joins on that id (by
+    as many shuffle partitions) read it without an exchange or a sort of this side."""
+    return replace_table(op_comments(comments, submissions), name, path, (buckets, "comments_id"))
+
+
+def op_replies(ops: DataFrame, comments: DataFrame) -> DataFrame:
+    """Every comment with its OP comment's submission: a join with the stored table."""
+    c = comments.select("id", "created_utc", "body")
+    return ops.join(c, ops["comments_id"] == c["id"]).select(
+        "comments_id", "submission_id", "submission_author", "created_utc", "body")
+
+
 def strip_prefixes(comments: DataFrame) -> DataFrame:
     """Comment ids with the type prefix removed from link and parent refs."""
     return comments.select(

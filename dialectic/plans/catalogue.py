@@ -24,7 +24,7 @@ from dialectic.plans.oracle_views import with_views
 from dialectic.session import scratch_dir
 from dialectic.sources import fixtures as FX
 from dialectic.sources.readers import load_preferences, load_preferences_checked, read_csv
-from dialectic.sources.schemas import GEN_OUTPUT, HISTORY, THREAD
+from dialectic.sources.schemas import HISTORY, THREAD
 from dialectic.sources.sinks import append_log, stored_once, write_csv, write_json_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,9 +140,22 @@ def _sql_delta(col: str, symbols: list[str]) -> str:
     return "(" + " OR ".join(f"contains({col}, '{s}')" for s in symbols) + ")"
 
 
+def _stored_ops(spark, d):
+    return TH.store_op_comments(FX.f_comments(spark, d), FX.f_submissions(spark, d), "op_comments",
+                                scratch_dir(spark, "op-comments"))
+
+
+# The helper table as a stored table (dropped and created anew), then used.
 @register("op_comments", with_views(["f_comments", "f_submissions"], [], _OPS_SQL))
 def q_op_comments(spark, d):
-    return TH.op_comments(FX.f_comments(spark, d), FX.f_submissions(spark, d))
+    return _stored_ops(spark, d)
+
+
+@register("op_comment_bodies", with_views(["f_comments", "f_submissions"], [("ops", _OPS_SQL)], """
+    SELECT o.comments_id, o.submission_id, o.submission_author, c.created_utc, c.body
+    FROM ops o JOIN f_comments c ON c.id = o.comments_id"""))
+def q_op_comment_bodies(spark, d):
+    return TH.op_replies(_stored_ops(spark, d), FX.f_comments(spark, d))
 
 
 @register("thread_ancestors", with_views(["f_comments", "f_submissions"],
@@ -462,6 +475,25 @@ def q_decode_tokens(spark, d):
     return S.decode_tokens(toks, FX.f_vocab(spark))
 
 
+_LONG_SQL = [("m", "SELECT *, max(logit) OVER (PARTITION BY seq_id, pos) AS mx FROM f_long_logits")]
+
+
+@register("long_token_nll", with_views(["f_long_logits"], _LONG_SQL, f"""
+    SELECT seq_id, pos, label, CASE WHEN label <> {S.IGNORE_INDEX} THEN
+             round(max(mx) + ln(sum(exp(logit - mx))) - max(CASE WHEN token = label THEN logit END), 6) END AS nll,
+           CAST(min(CASE WHEN logit = mx THEN token END) AS BIGINT) AS pred_id, CAST(count(*) AS BIGINT) AS n_tokens
+    FROM m GROUP BY seq_id, pos, label"""))
+def q_long_token_nll(spark, d):
+    return _round_doubles(S.long_token_nll(FX.f_long_logits(spark, d)))
+
+
+@register("long_softmax", with_views(["f_long_logits"], _LONG_SQL, """
+    SELECT seq_id, pos, CAST(token AS INTEGER) AS token,
+           round(exp(logit - mx) / sum(exp(logit - mx)) OVER (PARTITION BY seq_id, pos), 6) AS prob FROM m"""))
+def q_long_softmax(spark, d):
+    return _round_doubles(S.long_softmax(FX.f_long_logits(spark, d)))
+
+
 @register("token_nll", """
     SELECT vec_id, label, round(ln(list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE)))))
            - CAST(embedding[label + 1] AS DOUBLE), 6) AS nll FROM embeddings""")
@@ -648,9 +680,10 @@ def q_reference_scores(spark, d):
     # Written by the first call; the second one finds the table and computes nothing.
     path, scores = scratch_dir(spark, "reference-scores"), FX.f_pair_scores(spark, d)
     ref = S.reference_scores(scores, FX.f_side_logits(spark, d), FX.f_vocab(spark))
-    stored_once(ref, path)
+    inputs = [scores, FX.f_side_logits(spark, d)]
+    stored_once(ref, path, inputs)
     policy = S.pair_table(scores).drop("reference_chosen_logps", "reference_rejected_logps")
-    return _round_doubles(policy.join(stored_once(ref, path), "sample_id", "left"))
+    return _round_doubles(policy.join(stored_once(ref, path, inputs), "sample_id", "left"))
 
 
 _ROLLUP_SQL = """
@@ -746,8 +779,44 @@ def q_study_results(spark, d):
     return _round_doubles(spark.read.schema(res.schema).json(path))
 
 
+STUDY_DEFAULTS = {"lr": "1e-5", "batch": "2", "epochs": "3"}
+
+
+@register("study_document", with_views(["f_trials"], [
+    ("p", """SELECT *, CASE WHEN number % 5 <> 0 THEN concat('batch=', number % 3 + 1, ',beta=0.', number % 4 + 1, ',epochs=3,lr=1e-5')
+                            ELSE 'batch=2,epochs=3,lr=1e-5' END AS params FROM f_trials"""),
+    ("b", "SELECT * FROM p ORDER BY coalesce(value, 'inf'::DOUBLE), number LIMIT 1")], """
+    SELECT CAST(floor(p.number / 100) AS BIGINT) AS part, p.number, round(coalesce(p.value, 'inf'::DOUBLE), 6) AS value, p.params,
+           p.wandb_run_id, b.number AS best_number, b.params AS best_params, b.wandb_run_id AS best_run_id
+    FROM p, b"""))
+def q_study_document(spark, d):
+    # Written as JSON documents of bounded parts and read back.
+    path = scratch_dir(spark, "study-document")
+    doc = M.study_document(FX.f_trials_params(spark, d), STUDY_DEFAULTS, part_trials=100)
+    write_json_lines(doc, path)
+    back = spark.read.schema(doc.schema).json(path).select("part", "best_trial", F.explode("all_trials").alias("t"))
+    return _round_doubles(back.select(
+        "part", "t.number", "t.value", M.params_text(F.col("t.params")).alias("params"), "t.wandb_run_id",
+        F.col("best_trial.number").alias("best_number"), M.params_text(F.col("best_trial.params")).alias("best_params"),
+        F.col("best_trial.wandb_run_id").alias("best_run_id")))
+
+
 # --------------------------------------------------------------------- text jobs
 
+# Generation: prompts of at most GEN_PROMPT tokens, outputs of at most GEN_LENGTH
+# with the prompt and GEN_NEW without it.
+GEN_PROMPT, GEN_LENGTH, GEN_NEW = 12, 20, 15
+GEN_KWARGS = {"max_length": str(GEN_LENGTH), "max_new_tokens": str(GEN_NEW), "upper": "true"}
+
+
+def _sql_generated(prompt: str) -> str:
+    """SQL of the stand-in model's continuation of a prompt."""
+    toks = f"list_filter(string_split_regex({prompt}, '\\s+'), lambda x: x <> '')[1:{GEN_PROMPT}]"
+    n = f"greatest(least({GEN_NEW}, {GEN_LENGTH} - len({toks})), 0)"
+    return (f"CASE WHEN {prompt} IS NOT NULL THEN upper(coalesce(array_to_string(list_transform("
+            f"CASE WHEN len({toks}) > 0 THEN range({n}) ELSE [] END, lambda i: ({toks})[(i % len({toks})) + 1]), ' '), '')) END")
+
+
 @register("truncate_tokens", f"""
     WITH t AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS toks FROM documents)
     SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, CAST(least(len(toks), {TRUNCATE_AT}) AS BIGINT) AS n_kept,
@@ -776,47 +845,88 @@ def q_pack_sequences(spark, d):
     return T.pack_sequences(docs, seq_length=PACK_AT)
 
 
-@register("batch_generate", with_views(["f_preferences"], [], """
+@register("truncate_pairs", with_views(["f_preferences"], [
+    ("t", "SELECT row_id, " + ", ".join(f"list_filter(string_split_regex({c}, '\\s+'), lambda x: x <> '') AS {c}"
+                                        for c in ("prompt", "chosen", "rejected")) + " FROM f_preferences"),
+    ("k", "SELECT *, 20 - least(len(prompt), 8) AS budget FROM t")], """
+    SELECT row_id, array_to_string(prompt[greatest(len(prompt) - 8 + 1, 1):], ' ') AS prompt,
+           array_to_string(chosen[1:budget], ' ') AS chosen, array_to_string(rejected[1:budget], ' ') AS rejected FROM k"""))
+def q_truncate_pairs(spark, d):
+    return T.truncate_pair(FX.f_preferences(spark, d).select("row_id", "prompt", "chosen", "rejected"), 8, 20)
+
+
+@register("pack_instructions", with_views(["f_preferences"], [
+    ("x", f"""SELECT row_id, {_sql_text('### Instruction:' + chr(10) + P.DEFAULT_INSTRUCTION_PREFIX + chr(10) + chr(10)
+                                         + '### Input:' + chr(10))}
+                     || prompt || {_sql_text(chr(10) + ' ' + chr(10) + '### Response:' + chr(10))} || chosen || chr(10) AS text
+              FROM f_preferences"""),
+    ("t", "SELECT row_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) + 1 AS span FROM x"),
+    ("o", """SELECT row_id, span, sum(span) OVER () AS total, coalesce(
+                 sum(span) OVER (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM t"""),
+    ("b", f"""SELECT row_id, st, st + span AS en, total,
+                 unnest(range(CAST(floor(st / {PACK_AT}) AS BIGINT), CAST(floor((st + span - 1) / {PACK_AT}) AS BIGINT) + 1))
+                 AS block_id FROM o""")], f"""
+    SELECT CAST(block_id AS BIGINT) AS block_id, row_id,
+           CAST(greatest(st, block_id * {PACK_AT}) - block_id * {PACK_AT} AS BIGINT) AS from_offset,
+           CAST(least(en, (block_id + 1) * {PACK_AT}) - block_id * {PACK_AT} AS BIGINT) AS to_offset
+    FROM b WHERE block_id < floor(total / {PACK_AT})"""))
+def q_pack_instructions(spark, d):
+    formatted = P.instruction_format(FX.f_preferences(spark, d))
+    return T.pack_sequences(formatted.select("row_id", "text"), key="row_id", seq_length=PACK_AT)
+
+
+@register("batch_generate", with_views(["f_preferences"], [], f"""
     SELECT 'dialectic-run' AS wandb_run_name, 'run0' AS wandb_run_id, 'checkpoints/epoch-3' AS checkpoint_model_path,
            '03' AS checkpoint_epoch, 'all' AS dataset_to_gen_txt,
            CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS sample_index, prompt,
-           upper(prompt) AS generated_text, chosen, rejected
+           {_sql_generated('prompt')} AS generated_text, chosen, rejected
     FROM f_preferences"""))
 def q_batch_generate(spark, d):
     rows = P.with_positions(FX.f_preferences(spark, d), "sample_index")
     return T.batch_generate(rows, run_name="dialectic-run", run_id="run0", checkpoint_path="checkpoints/epoch-3",
-                            checkpoint_epoch=3, split_name="all", generator="upper")
+                            checkpoint_epoch=3, split_name="all", kwargs=GEN_KWARGS, max_prompt_tokens=GEN_PROMPT)
 
 
-@register("generated_samples", with_views(["f_preferences"], _GROUP_SPLIT_CTES, """
+@register("generated_samples", with_views(["f_preferences"], _GROUP_SPLIT_CTES, f"""
     SELECT 'run0' AS run_id, CAST(row_number() OVER (ORDER BY split_rank, row_id) - 1 AS BIGINT) AS eval_sample_index,
-           CAST(1.0 AS DOUBLE) AS epoch, prompt, upper(prompt) AS generated_text, chosen, rejected
+           CAST(1.0 AS DOUBLE) AS epoch, prompt, {_sql_generated('prompt')} AS generated_text, chosen, rejected
     FROM gs WHERE split = 'validation'"""))
 def q_generated_samples(spark, d):
     val = P.select_split(_group_split(spark, d), "validation")
     rows = P.pick_positions(val, None)  # "all" mode
-    return T.generated_samples(rows, run_id="run0", epoch=1.0, generator="upper")
+    # Half of the samples are in the log already; the rest is generated and appended.
+    log = scratch_dir(spark, "generated-log")
+
+    def make(r):
+        return T.generated_samples(r, run_id="run0", epoch=1.0, kwargs=GEN_KWARGS, max_prompt_tokens=GEN_PROMPT)
+
+    append_log(make(rows.where(F.col("pos") % 2 == 0)), log, partition_by=(), fmt="csv")
+    return T.resume(rows, make, log, "pos", "eval_sample_index", {"run_id": "run0", "epoch": 1.0})
 
 
 @register("generate_test_split", with_views(["f_preferences"], _GROUP_SPLIT_CTES + [
     ("t", f"""SELECT row_id, {_sql_text(P.DEFAULT_TEMPLATE_PREFIX)} || prompt || {_sql_text(P.DEFAULT_TEMPLATE_SUFFIX)}
                     AS prompt, chosen, rejected, split_rank FROM gs WHERE split = 'test'"""),
     ("f", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY row_id) AS rn FROM t) WHERE rn = 1")],
-    """SELECT 'dialectic-run' AS wandb_run_name, 'run0' AS wandb_run_id, 'checkpoints/epoch-3' AS checkpoint_model_path,
+    f"""SELECT 'dialectic-run' AS wandb_run_name, 'run0' AS wandb_run_id, 'checkpoints/epoch-3' AS checkpoint_model_path,
               '03' AS checkpoint_epoch, 'test' AS dataset_to_gen_txt,
               CAST(row_number() OVER (ORDER BY split_rank, row_id) - 1 AS BIGINT) AS sample_index, prompt,
-              upper(prompt) AS generated_text, chosen, rejected
+              {_sql_generated('prompt')} AS generated_text, chosen, rejected
        FROM f"""))
 def q_generate_test_split(spark, d):
     # The generation flow: group split -> template -> pick the split ->
     # first row per prompt, renumbered -> generate -> CSV file (and back).
     rows = P.preprocess(_group_split(spark, d), "template_edit_dataset")
     rows = P.dedup_prompts(P.select_split(rows, "test").drop("split"))
-    out = T.batch_generate(rows, run_name="dialectic-run", run_id="run0", checkpoint_path="checkpoints/epoch-3",
-                           checkpoint_epoch=3, split_name="test", generator="upper")
+    def make(r):
+        return T.batch_generate(r, run_name="dialectic-run", run_id="run0", checkpoint_path="checkpoints/epoch-3",
+                                checkpoint_epoch=3, split_name="test", kwargs=GEN_KWARGS, max_prompt_tokens=GEN_PROMPT)
+
+    # Appended to the output file; the second call finds every sample there.
     path = scratch_dir(spark, "generated-csv")
-    write_csv(out, path)
-    return read_csv(spark, path, GEN_OUTPUT)
+    same = {"wandb_run_id": "run0", "checkpoint_epoch": "03", "dataset_to_gen_txt": "test"}
+    T.resume(rows, make, path, "sample_index", "sample_index", same)
+    return T.resume(rows, make, path, "sample_index", "sample_index", same)
 
 
 # --------------------------------------------------------------------- streaming

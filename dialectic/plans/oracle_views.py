@@ -64,6 +64,11 @@ VIEWS = {
                CASE WHEN user_id % 17 = 0 THEN CAST(NULL AS DOUBLE) ELSE max_by(value, event_id) END AS value,
                concat('run', user_id) AS wandb_run_id
         FROM events WHERE event_type = 'view' GROUP BY user_id""",
+    "f_long_logits": """
+        SELECT CAST(floor(vec_id / 10) AS BIGINT) AS seq_id, CAST(vec_id % 10 AS BIGINT) AS pos,
+               CASE WHEN vec_id % 6 = 0 THEN -100 ELSE label END AS label, t AS token,
+               CAST(embedding[t + 1] AS DOUBLE) + CASE WHEN vec_id % 10 = 3 THEN 2000 ELSE 0 END AS logit
+        FROM (SELECT *, unnest(range(len(embedding))) AS t FROM embeddings)""",
     "f_labeled_documents": """
         SELECT d.doc_id, concat(d.source, '/', d.lang) AS prompt, d.text, CAST(l.quality AS INTEGER) AS quality
         FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",

@@ -152,6 +152,24 @@ def f_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def f_trials_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``f_trials`` with each trial's own hyper-parameters (every fifth has none)."""
+    n = F.col("number")
+    own = F.when(n % 5 != 0, F.create_map(
+        F.lit("beta"), F.format_string("0.%d", n % 4 + 1), F.lit("batch"), (n % 3 + 1).cast("string")))
+    return f_trials(spark, sf_dir).withColumn("params", own)
+
+
+def f_long_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per position and token; some logits far outside the range of exp."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.floor(F.col("vec_id") / 10).cast("long").alias("seq_id"), (F.col("vec_id") % 10).cast("long").alias("pos"),
+                    F.when(F.col("vec_id") % 6 == 0, F.lit(-100)).otherwise(F.col("label")).cast("int").alias("label"),
+                    F.posexplode("embedding").alias("token", "_x"))
+    return rows.select("seq_id", "pos", "label", "token",
+                       (F.col("_x").cast("double") + F.when(F.col("pos") == 3, F.lit(2000.0)).otherwise(0.0)).alias("logit"))
+
+
 def f_labeled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their quality label: the persuasive (1) / not (0)
     pool for preference pairing; prompt = ``source/lang``."""

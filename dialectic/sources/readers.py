@@ -114,7 +114,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     blank = F.trim(F.translate(F.col("raw").cast("string"), "\r\n\t", "")) == ""
     records = records.where(F.when(F.col("whole"), F.col("number") > 0).when(blank, F.lit(False)).otherwise(
         F.raise_error(what).cast("boolean")))
-    row = records.select("path", F.from_csv(F.regexp_replace(text, r"\r$", ""), _ddl(data), CSV_OPTIONS).alias("r"))
+    # A header is no row even where a later filter is evaluated before this one.
+    line = F.when(F.col("whole") & (F.col("number") > 0), F.regexp_replace(text, r"\r$", ""))
+    row = records.select("path", F.from_csv(line, _ddl(data), CSV_OPTIONS).alias("r"))
     return row.select(*[_folder_value(f) if f.name in folders else F.col("r")[f.name].alias(f.name) for f in schema.fields])
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 
 def replace_table(df: DataFrame, name: str, path: str | None = None,
@@ -49,9 +54,45 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     _csv_options(df.write.mode(mode)).csv(path)
 
 
-def stored_once(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` to ``path`` unless something is there already, and read
-    that back: computed once, then reused. A write that failed leaves no
-    files behind, so that reading raises instead of finding no rows."""
-    df.write.mode("ignore").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def fingerprint(df: DataFrame) -> str:
+    """A value of the rows and the schema of ``df`` that no order or partitioning
+    changes: the count and two sums of 64-bit row hashes, in one aggregation."""
+    cols = [F.to_json(c) if isinstance(f.dataType, (MapType, VariantType)) else F.col(f"`{c}`")
+            for c, f in zip(df.columns, df.schema.fields)]
+    whole = "decimal(38,0)"
+    n, a, b = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*cols).cast(whole)),
+                     F.sum(F.xxhash64(F.lit("second"), *cols).cast(whole))).first()
+    return hashlib.sha256(f"{df.schema.json()}|{n}|{a}|{b}".encode()).hexdigest()[:32]
+
+
+def stored_once(df: DataFrame, path: str, inputs: list[DataFrame]) -> DataFrame:
+    """``df`` computed once for these ``inputs`` and read from ``path`` from then on.
+
+    The rows go to a folder named by the inputs' fingerprint, so changed inputs
+    are computed anew and old ones found again. A manifest with the number of rows
+    is written last: a folder without it, left by a job that broke off, is
+    written again.
+    """
+    spark = df.sparkSession
+    base = f"{path}/inputs={hashlib.sha256('|'.join(map(fingerprint, inputs)).encode()).hexdigest()[:32]}"
+    data = spark.read.schema(df.schema)
+    if _manifest(spark, base) is None:
+        df.write.mode("overwrite").parquet(f"{base}/rows")
+        n = data.parquet(f"{base}/rows").count()
+        spark.createDataFrame([(n,)], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest")
+    return data.parquet(f"{base}/rows")
+
+
+MANIFEST = "n_rows long"
+
+
+def _manifest(spark: SparkSession, base: str) -> int | None:
+    """The number of rows that a finished folder holds; None if it is not finished."""
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(f"{base}/manifest").collect()
+        found = spark.read.parquet(f"{base}/rows").count()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return rows[0][0] if len(rows) == 1 and rows[0][0] == found else None

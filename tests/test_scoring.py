@@ -137,8 +137,69 @@ def test_reference_scores_are_computed_once(spark, tmp_dir):
     vocab = spark.createDataFrame([(0, "a"), (1, "b")], "token_id int, piece string")
     ref = S.reference_scores(scores, tokens, vocab)
     path = f"{tmp_dir}/ref"
-    one, two = sorted(stored_once(ref, path).collect())
+    inputs = [scores, tokens]
+    one, two = sorted(stored_once(ref, path, inputs).collect())
     assert (one.reference_chosen_logps, one.reference_rejected_logps) == (-2.0, -3.0)
     assert abs(one.reference_chosen_ppls - 2.0) < 1e-9 and one.reference_rejected_predictions_texts == "aa"
     assert (two.reference_chosen_logps, two.reference_chosen_ppls, two.reference_chosen_predictions_texts) == (-4.0, None, None)
-    assert stored_once(ref.where("sample_id = 1"), path).count() == 2  # what is there is used
+    # Equal inputs in another order: what is there is used. Changed ones: computed anew.
+    assert stored_once(ref.where("sample_id = 1"), path, [scores.repartition(3), tokens.orderBy("pos")]).count() == 2
+    changed = scores.withColumn("logp", F.col("logp") - 1)
+    again = stored_once(S.reference_scores(changed, tokens, vocab), path, [changed, tokens])
+    assert sorted(r.reference_chosen_logps for r in again.collect()) == [-5.0, -3.0]
+    assert stored_once(ref.limit(0), path, inputs).count() == 2  # the old inputs' rows are still there
+    assert stored_once(ref.limit(0), path, [scores.unionByName(scores), tokens]).count() == 0  # repeated rows count
+
+
+def test_unfinished_folder_is_written_again(spark, tmp_dir):
+    import glob
+    import os
+    from dialectic.sources.sinks import stored_once
+    df = spark.range(20).repartition(4)
+    path = f"{tmp_dir}/x"
+    assert stored_once(df, path, [df]).count() == 20
+    for f in glob.glob(f"{path}/*/rows/part-*.parquet")[:1]:
+        os.remove(f)  # a part got lost: the manifest's count no longer holds
+    assert stored_once(df, path, [df]).count() == 20
+    for f in glob.glob(f"{path}/*/manifest/*"):
+        os.remove(f)  # broke off before the manifest
+    assert stored_once(df.limit(7), path, [df]).count() == 7
+
+
+def test_long_logits_equal_arrays(spark):
+    import math
+    inf, nan = float("inf"), float("nan")
+    rows = {0: [0.5, 2.0, 2.0], 1: [900.0, 1500.0, -3000.0], 2: [-2000.0, -2000.0, -2001.0], 3: [-inf, 1.0, None],
+            4: [-inf, -inf, -inf], 5: [511.9, 512.1, 100.0], 6: [nan, 1.0, 2.0], 7: [1e300, 1e300, 0.0]}
+    long = spark.createDataFrame([(p // 2, p, 1 if p != 5 else -100, t, x) for p, xs in rows.items() for t, x in enumerate(xs)],
+                                 "seq_id long, pos long, label int, token int, logit double").repartition(7)
+    got = {r.pos: r for r in S.long_token_nll(long).collect()}
+
+    def nll(xs, label):
+        xs = [x for x in xs if x is not None]
+        m = max(xs)
+        return m + math.log(sum(math.exp(x - m) for x in xs)) - xs[label]
+
+    for p in (0, 1, 2, 3):
+        assert abs(got[p].nll - nll(rows[p], 1)) < 1e-9
+    assert [got[p].pred_id for p in (0, 1, 2, 3, 5, 7)] == [1, 1, 0, 1, 1, 0]
+    assert got[3].n_tokens == 2 and got[5].nll is None and math.isnan(got[6].nll)
+    prob = {(r.pos, r.token): r.prob for r in S.long_softmax(long.where("pos in (0, 2, 5)")).collect()}
+    for p in (0, 2, 5):
+        m = max(rows[p])
+        z = sum(math.exp(x - m) for x in rows[p])
+        assert all(abs(prob[p, t] - math.exp(x - m) / z) < 1e-9 for t, x in enumerate(rows[p]))
+    assert S.long_token_nll(long.limit(0)).count() == 0
+
+
+def test_study_document_in_parts(spark):
+    t = spark.createDataFrame([(0, None, None, "a"), (1, 2.0, {"lr": "9", "x": "1"}, "b"), (2, 2.0, {}, None), (7, 5.0, {"x": None}, "d")],
+                              "number long, value double, params map<string,string>, wandb_run_id string")
+    doc = {r.part: r for r in M.study_document(t, {"lr": "1", "y": "2"}, part_trials=3).collect()}
+    assert sorted(doc) == [0, 2]
+    assert [x.number for x in doc[0].all_trials] == [0, 1, 2] and [x.number for x in doc[2].all_trials] == [7]
+    assert all((r.best_trial.number, r.best_trial.params) == (1, {"lr": "9", "x": "1", "y": "2"}) for r in doc.values())
+    assert doc[0].all_trials[0].params == {"lr": "1", "y": "2"} and doc[0].all_trials[0].value == float("inf")
+    assert doc[2].all_trials[0].params == {"lr": "1", "y": "2", "x": None}
+    text = t.select("number", M.params_text(F.col("params")).alias("p")).where("number = 1").first().p
+    assert text == "lr=9,x=1"

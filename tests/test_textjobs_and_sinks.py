@@ -45,12 +45,68 @@ def test_truncate_tokens(spark):
 
 
 def test_generation_nulls_and_missing_columns(spark):
-    df = spark.createDataFrame([(0, "abc"), (1, None)], "sample_index long, prompt string")
-    out = {r.sample_index: r for r in T.batch_generate(df, "n", "i", "p", 7, "test").collect()}
-    assert out[0].generated_text == "ABC" and out[1].generated_text is None
+    df = spark.createDataFrame([(0, "a b"), (1, None), (2, " ")], "sample_index long, prompt string")
+    out = {r.sample_index: r for r in T.batch_generate(df, "n", "i", "p", 7, "test", kwargs={"max_new_tokens": 3}).collect()}
+    assert out[0].generated_text == "a b a" and out[1].generated_text is None and out[2].generated_text == ""
     assert out[0].chosen == "" and out[0].checkpoint_epoch == "07"
 
 
+def test_generation_truncates_and_obeys_its_kwargs(spark):
+    df = spark.createDataFrame([(0, "a b c d e"), (1, "x")], "i long, prompt string").repartition(1)
+    run = lambda **k: [r.generated_text for r in T.generate(df, **k).orderBy("i").collect()]
+    assert run(kwargs={"max_length": "7"}) == ["a b", "x x x x x x"]
+    assert run(kwargs={"max_length": "7"}, max_prompt_tokens=2) == ["a b a b a", "x x x x x x"]
+    assert run(kwargs={"max_length": "7", "max_new_tokens": 1, "upper": "true"}) == ["A", "X"]
+    assert run(kwargs={"max_length": "3"}) == ["", "x x"]
+
+
+def test_second_run_generates_nothing(spark, tmp_dir):
+    rows = spark.createDataFrame([(i, f"p {i}\nx") for i in range(6)], "pos long, prompt string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def make(r):
+        n = r.count()
+        seen.add(n)
+        return T.generated_samples(r, "run", 1.0, kwargs={"max_new_tokens": 2})
+
+    for fmt in ("csv", "parquet"):
+        log = os.path.join(tmp_dir, fmt)
+        go = lambda r, epoch=1.0: T.resume(r, make, log, "pos", "eval_sample_index",
+                                           {"run_id": "run", "epoch": epoch}, fmt)
+        seen.value = 0
+        assert go(rows.where("pos < 4")).count() == 4 and seen.value == 4
+        out = go(rows)
+        assert seen.value == 6 and sorted(r.eval_sample_index for r in out.collect()) == list(range(6))
+        assert go(rows).count() == 6 and seen.value == 6
+        assert {r.generated_text for r in out.where("eval_sample_index = 5").collect()} == {"p 5"}
+
+
+def test_truncate_pair_leaves_the_answers_the_rest(spark):
+    df = spark.createDataFrame([(0, "a b c d", "1 2 3", None), (1, None, "1 2 3 4", ""), (2, "", "1 2 3 4 5 6", "x")],
+                               "i int, prompt string, chosen string, rejected string")
+    got = {r.i: (r.prompt, r.chosen, r.rejected) for r in T.truncate_pair(df, 3, 5).collect()}
+    assert got[0] == ("b c d", "1 2", None) and got[2] == ("", "1 2 3 4 5", "x")
+
+
+def test_stored_table_is_joined_without_an_exchange(spark, tmp_dir):
+    from dialectic.operators import threads as TH
+    c = spark.createDataFrame([("op", "b", 1, f"c{i}", "t3_s", "t3_s") for i in range(50)],
+                              "author string, body string, created_utc long, id string, link_id string, parent_id string")
+    s = spark.createDataFrame([("s", "op", "t", "b")], "id string, author string, title string, selftext string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for k in range(2):  # a second run drops and creates the table anew
+            ops = TH.store_op_comments(c, s, "test_op_comments", os.path.join(tmp_dir, f"ops{k}"))
+            assert ops.count() == 50
+        plan = TH.op_replies(ops, c)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # only the comments' side moves
+        assert TH.op_replies(ops, c).count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE test_op_comments")
+
+
 def test_unknown_generator(spark):
     df = spark.createDataFrame([(0, "abc")], "sample_index long, prompt string")
     try:
