@@ -57,33 +57,36 @@ CLASS = np.array([_class(i) for i in range(TOP)] + [BEYOND], np.uint8)
 LOWER = np.array([ord(chr(i).lower()) if CLASS[i] != BEYOND else i for i in range(TOP)] + [TOP], np.uint32)
 _rng = np.random.default_rng(20240229)
 _CODES = _rng.integers(1, 2 ** 64 - 1, (2, TOP + 1), np.uint64, endpoint=True)
-_BASES = [int(x) | 1 for x in _rng.integers(2 ** 40, 2 ** 63, 2)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
-
-
 class Hashes:
-    """Two 64-bit polynomial hashes of any segments of a code point array."""
+    """Two 64-bit hashes of any segments of a code point array: sums of a random
+    number per code point times a random number per place. (The places' numbers
+    are no powers of a base: modulo 2^64 these give different words that follow a
+    pattern, such as the Thue-Morse word and its complement, one hash in any base.)"""
 
     def __init__(self) -> None:
-        self._n = 0
+        self._places = np.zeros((2, 0), np.uint64)
 
     def __call__(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(cps) + 1
-        if n > self._n:
-            self._n = max(n, 1 << 19)
-            self._up = [_powers(b, self._n) for b in _BASES]
-            self._down = [_powers(pow(b, -1, 1 << 64), self._n) for b in _BASES]
+        lengths = ends - starts
+        longest = int(lengths.max(initial=0))
+        if longest > self._places.shape[1]:
+            n = max(1024, 1 << longest.bit_length())
+            # The same generators give the same first numbers at every length.
+            self._places = np.array([np.random.default_rng([20240301, j]).integers(0, 2 ** 64 - 1, n, np.uint64, endpoint=True)
+                                     | np.uint64(1) for j in range(2)])
+        filled = np.flatnonzero(lengths)
+        first = (np.cumsum(lengths) - lengths)
+        chars = cps[ragged(starts, lengths)]
+        place = np.arange(len(chars)) - np.repeat(first, lengths)
         out = []
-        for codes, up, down in zip(_CODES, self._up, self._down):
-            total = np.zeros(n, np.uint64)
-            np.cumsum(codes[cps] * up[:n - 1], out=total[1:])
-            out.append((total[ends] - total[starts]) * down[starts])
+        for codes, places in zip(_CODES, self._places):
+            total = np.zeros(len(lengths), np.uint64)
+            if len(filled):
+                total[filled] = np.add.reduceat(codes[chars] * places[place], first[filled])
+            out.append(total)
         return out[0], out[1]
 
 

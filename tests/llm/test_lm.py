@@ -79,6 +79,14 @@ def test_base_matches_plain_counts(spark, monkeypatch, head):
     assert all(r.score < 0 for r in lm.score_documents(d, rounds=1).collect())
 
 
+def test_patterned_words_are_counted_apart(spark):
+    from tests.llm.test_tokens import patterned
+    texts, ids = [patterned(1024)[0], patterned(1024)[1], patterned(2048)[0]] * 2, list(range(6))
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))
+           for r in lm.score_documents(docs(spark, texts, ids), rounds=1).collect()]
+    assert sorted(got) == sorted(plain(texts, ids))
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     texts = corpus(600, 3)
     rows = lm.score_documents(docs(spark, texts)).filter("held_out").collect()

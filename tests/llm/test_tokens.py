@@ -39,6 +39,27 @@ def test_ids_equal_the_library(name):
     assert [x.tolist() for x in w.encode(texts[:50])[0]] == want[:50]
 
 
+def patterned(n):
+    """The Thue-Morse word over a, b and its complement: one polynomial hash modulo 2^64."""
+    w = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_patterned_words_have_their_own_ids(name):
+    w, lib = WordIds(public_tokenizers.path(name)), library(name)
+    for n in (1024, 2048):
+        for texts in (list(patterned(n)), [" ".join(patterned(n))]):
+            assert [x.tolist() for x in w.encode(texts)[0]] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_hashes_do_not_depend_on_neighbours_or_lengths():
+    h, cps = Hashes(), np.arange(3000, dtype=np.uint32) % 97
+    a, b = h(cps, np.array([5, 40, 7, 9]), np.array([12, 40, 9, 2000]))
+    again = Hashes()(cps[5:12], np.array([0, 2, 0]), np.array([7, 4, 0]))
+    assert (a[0], b[0], a[2], b[2], a[1]) == (again[0][0], again[1][0], again[0][1], again[1][1], again[0][2])
+
+
 def test_memo_grows_and_finds():
     rng, m = np.random.default_rng(0), Memo(4)
     a = rng.integers(0, 2 ** 63, 5000).astype(np.uint64)
