@@ -31,6 +31,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores in front as it takes to differ from all
+    of ``taken`` (Spark's column names do not tell upper from lower case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def id_remainder(doc_id: str, modulus: int) -> Column:
     """``crc32(doc_id as text) mod modulus``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(modulus))

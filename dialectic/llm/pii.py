@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialectic.llm.frames import slices, texts
+from dialectic.llm.frames import free_name, slices, texts
 
 # --- fixed values: base kinds, in the order of the digests, then added kinds
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -159,18 +160,33 @@ def _score(kind: str, text: str, start: int, end: int) -> float:
     return min(1.0, BASE_SCORE[kind] + CONTEXT_GAIN * hit)
 
 
+def _apart(ranges: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the ranges with overlaps joined, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(ranges):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def find_spans(text: str) -> list[Span]:
     """All spans by kind, then start (code points, end exclusive). Base spans
     always stay; an added one needs ``LEAST_SCORE`` and must not overlap a
     base span or an earlier added one. Empty text: none."""
     base = [Span(k, a, b, _score(k, text, a, b)) for k, a, b in base_candidates(text)]
-    taken = sorted((s.start, s.end) for s in base)
+    starts, ends = _apart([(s.start, s.end) for s in base])
     added: list[Span] = []
     for k, a, b in added_candidates(text):
         score = _score(k, text, a, b)
-        if score >= LEAST_SCORE and not any(x < b and a < y for x, y in taken):
+        at = bisect.bisect_left(starts, b)  # the last taken stretch that begins before b
+        if score >= LEAST_SCORE and not (at and ends[at - 1] > a):
             added.append(Span(k, a, b, score))
-            taken.append((a, b))
+            starts.insert(at, a)
+            ends.insert(at, b)
     return sorted(base + added, key=lambda s: (_ORDER[s.kind], s.start))
 
 
@@ -222,10 +238,11 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
     if "n_chars" not in names:
         return docs.mapInArrow(run, schema)
-    out = docs.withColumn("_was", F.char_length("text"))
+    was = free_name(names, "_was")
+    out = docs.withColumn(was, F.char_length("text"))
     out = out.mapInArrow(run, out.schema)
     length = F.char_length("text")
-    return out.withColumn("n_chars", F.when(length != F.col("_was"), length.cast(schema["n_chars"].dataType))
+    return out.withColumn("n_chars", F.when(length != F.col(was), length.cast(schema["n_chars"].dataType))
                           .otherwise(F.col("n_chars"))).select(*names)
 
 
