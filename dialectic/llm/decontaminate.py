@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialectic.llm.frames import slices, texts
+from dialectic.llm.frames import free_name, slices, texts
 
 WINDOW_WORDS = 10
 #: Bytes of benchmark text behind one automaton. A larger benchmark is cut into
@@ -112,9 +112,15 @@ def benchmark_parts(benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> Itera
 HITS = "array<struct<start:int,end:int>>"
 
 
+def added_names(columns: list[str]) -> list[str]:
+    """The names of the columns that ``mark`` adds to ``columns``."""
+    return [free_name(columns, n) for n in ("_n_words", "_hits", "_items")]
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> DataFrame:
     """The columns of ``docs`` plus ``_n_words``, ``_hits`` (intervals of words;
-    ``original_spans`` maps them to the text) and ``_items`` (sorted ids).
+    ``original_spans`` maps them to the text) and ``_items`` (sorted ids);
+    ``added_names`` gives their names where ``docs`` has such columns.
 
     Every part of the benchmark is broadcast once (its size is bounded) and
     all documents pass it; hits of several parts are joined as intervals of
@@ -122,8 +128,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, limit: int = AUTOMATON_BYTES) ->
     """
     own = docs.columns
     spark = docs.sparkSession
-    out = docs.select("*", F.lit(0).cast("long").alias("_n_words"), F.array().cast(HITS).alias("_hits"),
-                      F.array().cast("array<string>").alias("_items"))
+    words_name, hits_name, items_name = added_names(own)
+    out = docs.select("*", F.lit(0).cast("long").alias(words_name), F.array().cast(HITS).alias(hits_name),
+                      F.array().cast("array<string>").alias(items_name))
     for items in benchmark_parts(benchmark, limit):
         shared = spark.sparkContext.broadcast(items)
 
@@ -133,7 +140,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, limit: int = AUTOMATON_BYTES) ->
                 for part in slices(batch, "text"):
                     n_words, hits, found = [], [], []
                     cols = {n: part.column(n) for n in part.schema.names}
-                    was_hits, was_items = cols["_hits"].to_pylist(), cols["_items"].to_pylist()
+                    was_hits, was_items = cols[hits_name].to_pylist(), cols[items_name].to_pylist()
                     for t, h, i in zip(texts(part), was_hits, was_items):
                         words = words_of(t.encode())
                         ranges, ids = scan(automaton, words) if automaton and words else ([], set())
@@ -141,13 +148,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, limit: int = AUTOMATON_BYTES) ->
                         n_words.append(len(words))
                         hits.append([{"start": a, "end": b} for a, b in merged])
                         found.append(sorted(ids.union(i)))
-                    cols["_n_words"] = pa.array(n_words, pa.int64())
-                    cols["_hits"] = pa.array(hits, part.schema.field("_hits").type)
-                    cols["_items"] = pa.array(found, part.schema.field("_items").type)
+                    cols[words_name] = pa.array(n_words, pa.int64())
+                    cols[hits_name] = pa.array(hits, part.schema.field(hits_name).type)
+                    cols[items_name] = pa.array(found, part.schema.field(items_name).type)
                     yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
         out = out.mapInArrow(run, out.schema)
-    return out.select(*own, "_n_words", "_hits", "_items")
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> DataFrame:
@@ -164,4 +171,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = AUTOMATON_
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> DataFrame:
     """``docs`` without the documents in which a window occurs."""
-    return mark(docs, benchmark, limit).filter(F.size("_hits") == 0).select(*docs.columns)
+    return mark(docs, benchmark, limit).filter(F.size(added_names(docs.columns)[1]) == 0).select(*docs.columns)

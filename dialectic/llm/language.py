@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialectic.llm.frames import slices, texts
+from dialectic.llm.frames import free_name, slices, texts
 
 #: Bounds of the training sample: labelled documents of a language (by hash of
 #: their text), and characters of each (one stretch, placed by hash).
@@ -280,24 +280,31 @@ def training_sample(labelled: DataFrame) -> DataFrame:
             .groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text"))
 
 
+def added_names(columns: list[str]) -> tuple[str, str]:
+    """The names of the columns that ``identify`` adds to ``columns``."""
+    return free_name(columns, "_lang"), free_name(columns, "_score")
+
+
 def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with ``_lang`` and ``_score``; learned from
-    ``labelled`` (text, lang), predicted from text alone.
+    """The rows of ``docs`` with ``_lang`` and ``_score`` (``added_names`` gives
+    their names where ``docs`` has such columns); learned from ``labelled``
+    (text, lang), predicted from text alone.
 
     Whole texts are scored. Null text or one without a letter: ``und``, 0, as is
     everything if nothing is labelled. Repeated rows get equal results.
     """
     model = docs.sparkSession.sparkContext.broadcast(
         train([(r["lang"], r["text"]) for r in training_sample(labelled).toLocalIterator()]))
-    out = docs.select("*", F.lit("").alias("_lang"), F.lit(0.0).alias("_score"))
+    lang, score = added_names(docs.columns)
+    out = docs.select("*", F.lit("").alias(lang), F.lit(0.0).alias(score))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = predict(texts(part), model.value)
                 cols = {n: part.column(n) for n in part.schema.names}
-                cols["_lang"] = pa.array([a for a, _ in found], part.schema.field("_lang").type)
-                cols["_score"] = pa.array([b for _, b in found], pa.float64())
+                cols[lang] = pa.array([a for a, _ in found], part.schema.field(lang).type)
+                cols[score] = pa.array([b for _, b in found], pa.float64())
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return out.mapInArrow(run, out.schema)

@@ -9,9 +9,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from dialectic.llm.components import connected_components
-from dialectic.llm.frames import slices, stored, texts
+from dialectic.llm.frames import free_name, slices, stored, texts
 
 BITS = 64
 HASH_SEED = 42
@@ -130,9 +131,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
-    """``docs`` with one row of each component left; columns as they were."""
+    """``docs`` with one row of each component left; columns as they were. Of rows
+    with equal id and text, the one with the smallest hash of all columns stays."""
     found = near_duplicates(docs, shingle_words, max_bits)
-    kept = found.select(F.col("kept_id").alias("_id"), F.col("kept_hash").alias("_hash")).distinct()
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = keyed.join(kept, keyed.doc_id.cast("long").eqNullSafe(kept["_id"]) & (keyed["_hash"] == kept["_hash"]))
-    return rows.select(keyed["*"]).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    mine, key, other, whole = (free_name(docs.columns, n) for n in ("_hash", "_id", "_kept_hash", "_row"))
+    kept = found.select(F.col("kept_id").alias(key), F.col("kept_hash").alias(other)).distinct()
+    keyed = docs.withColumn(mine, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(other)), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.to_json(c) if isinstance(f.dataType, MapType) else c for c, f in zip(columns, docs.schema.fields)]
+    one = rows.groupBy("doc_id", mine).agg(F.min_by(F.struct(*columns), F.xxhash64(*plain)).alias(whole))
+    return one.select(*[F.col(whole).getField(c).alias(c) for c in docs.columns])
