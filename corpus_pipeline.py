@@ -17,7 +17,8 @@ LEAST_LANGUAGE_SCORE = 0.3
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no language that was learned, go."""
     found = language.identify(docs, docs.filter(id_remainder("doc_id", 5) != 0).select("text", "lang"))
-    keep = language.known(F.col("_lang")) & (F.col("_score") >= LEAST_LANGUAGE_SCORE)
+    lang, score = language.added_names(docs.columns)
+    keep = language.known(F.col(lang)) & (F.col(score) >= LEAST_LANGUAGE_SCORE)
     return found.filter(keep).select(*docs.columns)
 
 
