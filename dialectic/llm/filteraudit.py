@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from dialectic.llm.frames import running_sums, slices, stored
 
 #: Bytes of text in one shard; a longer text is a shard of its own.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 #: Rows of words that are numbered together, and the most such buckets.
 WORDS_PER_BUCKET, MAX_BUCKETS = 1 << 18, 1 << 16
 #: Bits of a column's number beside its place in a shard.
@@ -58,7 +58,11 @@ def compressed_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     often = np.argsort(-np.bincount(place, minlength=len(flat.dictionary)), kind="stable")
     number = np.empty(len(often), np.int64)
     number[often] = np.arange(len(often))
-    cells, counts = np.unique(rows * n_words + number[place], return_counts=True)
+    cells = number[place]
+    cells += rows * n_words
+    cells.sort()
+    first = np.flatnonzero(np.diff(cells, prepend=-1))
+    counts, cells = np.diff(np.append(first, len(cells))), cells[first]
     starts = np.searchsorted(cells, np.arange(len(texts) + 1) * n_words)
     return (starts.astype(np.int32), (cells % n_words).astype(np.int32), counts.astype(np.int32),
             flat.dictionary.take(pa.array(often)))
@@ -88,22 +92,20 @@ def _local_shards(docs: DataFrame, part: str) -> DataFrame:
                     upper = len(t) - len(t.translate(None, UPPER))
                     symbols = len(t.translate(None, SYMBOLS)) != len(t)
                     flags.append((100 * upper > MOST_UPPER_PERCENT * n) * 4 + symbols * 8)
-                values = [shard, piece.column("doc_id").to_pylist(), piece.column("part").to_pylist(), flags,
-                          [hashlib.sha256(t).digest() for t in data], starts, cols, counts, len(words), words.to_pylist()]
+                digest = pa.array([hashlib.sha256(t).digest() for t in data], pa.binary())
+                lists = [piece.column("doc_id"), piece.column("part"), pa.array(flags, pa.int32()), digest, pa.array(starts),
+                         pa.array(cols), pa.array(counts), words.cast(pa.string())]
+                doc_id, part, flag, digests, *rest, named = [
+                    pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard]), doc_id, part, flag, digests, *rest, pa.array([len(words)]), named], names=schema.names)
                 shard += 1
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa_type(f.dataType)) for v, f in zip(values, schema)],
-                                                 names=schema.names)
 
     slim = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"),
                        F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
     return slim.mapInArrow(run, schema)
 
 
-def pa_type(t: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-    return to_arrow_type(t)
-
-
 def _numbered(local: DataFrame) -> DataFrame:
     """Every shard's words with their place in an order of all different words:
     ``shard, at, _bucket, _nth`` (from 1 on within a bucket of words) and ``word``
@@ -165,7 +167,9 @@ def matrix_rows(shards: DataFrame) -> DataFrame:
                 starts = of["starts"].to_numpy(zero_copy_only=False)
                 cells = columns_of(of["columns"].to_numpy(zero_copy_only=False))[of["cols"].to_numpy(zero_copy_only=False)]
                 row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-                row = np.unique((row << COLUMN_BITS) + cells) >> COLUMN_BITS
+                cells += row << COLUMN_BITS
+                cells.sort()
+                row = cells[np.flatnonzero(np.diff(cells, prepend=-1))] >> COLUMN_BITS
                 sums = np.append(0, np.cumsum(of["counts"].to_numpy(zero_copy_only=False).astype(np.int64)))
                 n_words, n_distinct = np.diff(sums[starts]), np.bincount(row, minlength=len(starts) - 1)
                 fails = (of["flags"].to_numpy(zero_copy_only=False) + (n_words < LEAST_WORDS)
