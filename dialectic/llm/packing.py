@@ -16,9 +16,8 @@ from dialectic.llm.wordids import word_ids
 WINDOW = 4096
 #: Ids of an index shard: documents are retrieved within a shard.
 SHARD_IDS = 2 << 20
-#: BM25, and the terms of a seed that are looked up at a time, rarest first.
-K1, B, QUERY_TERMS = 1.2, 0.75, 24
-_TERM_BITS = 20
+#: BM25.
+K1, B = 1.2, 0.75
 
 
 class Bm25:
@@ -28,42 +27,40 @@ class Bm25:
         n = self.n = len(terms)
         length = np.array([len(t) for t in terms], np.float64)
         doc = np.repeat(np.arange(n), length.astype(np.int64))
-        term = (np.concatenate(terms) >> np.uint64(64 - _TERM_BITS)).astype(np.int64) if n else np.zeros(0, np.int64)
+        met, term = np.unique(np.concatenate(terms) if n else np.zeros(0, np.uint64), return_inverse=True)
         pair, tf = np.unique(term * n + doc, return_counts=True)
         term, self.doc = pair // max(n, 1), pair % max(n, 1)
-        self.term, df = np.unique(term, return_counts=True)
-        self.start, self.df = np.cumsum(df) - df, df
+        df = self.df = np.bincount(term, minlength=len(met))
+        self.start = np.cumsum(df) - df
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length / max(length.mean() if n else 1.0, 1e-9))
-        self.impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
-        # Terms of each document that some other document has, rarest first.
-        own = np.repeat(np.arange(len(df)), df)
-        shared = df[own] > 1
-        at = np.lexsort((df[own][shared], self.doc[shared]))
-        self.own = own[shared][at]
-        self.own_start = np.searchsorted(self.doc[shared][at], np.arange(n + 1))
-
-    def neighbours(self, seed: int, used: np.ndarray, first: int = 0) -> np.ndarray:
-        """Unused documents by falling score (ties: first in the shard) that
-        share one of the seed's QUERY_TERMS terms from the ``first`` rarest on."""
-        begin = self.own_start[seed] + first
-        q = self.own[begin:min(begin + QUERY_TERMS, self.own_start[seed + 1])]
+        self.impact = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
+        # Terms of each document that some other document has.
+        shared = np.flatnonzero(df[term] > 1)
+        at = shared[np.argsort(self.doc[shared], kind="stable")]
+        self.own = term[at]
+        self.own_start = np.searchsorted(self.doc[at], np.arange(n + 1))
+
+    def neighbours(self, seed: int, used: np.ndarray, most: int) -> np.ndarray:
+        """The first ``most`` unused documents that share a term with the seed,
+        by falling score over all its terms (ties: first in the shard); more of
+        them if those of the last score are more."""
+        q = self.own[self.own_start[seed]:self.own_start[seed + 1]]
         at = ragged(self.start[q], self.df[q])
-        if not len(at):
-            return at
-        docs, place = np.unique(self.doc[at], return_inverse=True)
-        score = np.bincount(place, weights=self.impact[at])
-        free = ~used[docs]
-        docs, score = docs[free], score[free]
+        score = np.bincount(self.doc[at], weights=self.impact[at], minlength=self.n)
+        docs = np.flatnonzero((score > 0) & ~used)
+        score = score[docs]
+        if len(docs) > most:
+            best = score >= np.partition(score, len(docs) - most)[len(docs) - most]
+            docs, score = docs[best], score[best]
         return docs[np.argsort(-score, kind="stable")]
 
 
 def order_by_retrieval(lengths: np.ndarray, index: Bm25, window: int = WINDOW) -> np.ndarray:
     """The documents in packing order. The document at the start of a window is
-    its seed; unused neighbours of the seed fill the window greedily (when those
-    by its rarest terms are used up, the ones by its next terms, which then
-    share no rarer one), and the one that runs over its end is the next seed.
-    Without a seed or neighbours left, the next unused document starts."""
+    its seed; unused neighbours of the seed, best first, fill the window greedily,
+    and the one that runs over its end is the next seed. Without a seed or
+    neighbours left, the next unused document starts."""
     n = len(lengths)
     used = np.zeros(n, bool)
     order, filled, fresh = [], 0, 0
@@ -77,10 +74,8 @@ def order_by_retrieval(lengths: np.ndarray, index: Bm25, window: int = WINDOW) -
             order.append(seed)
             filled += int(lengths[seed])
         end = -(-filled // window) * window
-        for first in range(0, int(index.own_start[seed + 1] - index.own_start[seed]), QUERY_TERMS):
-            if filled >= end:
-                break
-            for d in index.neighbours(seed, used, first).tolist():
+        if filled < end:  # every document has an id, so no more of them fit
+            for d in index.neighbours(seed, used, end - filled).tolist():
                 used[d] = True
                 order.append(d)
                 filled += int(lengths[d])
