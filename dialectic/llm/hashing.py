@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +17,9 @@ FIT_ROWS = 20_000
 #: Queries of the sample on which the radius is learned, and the recall it has to reach.
 FIT_QUERIES, TARGET_RECALL = 256, 0.97
 BITS, SUBSTRING_BITS, ROTATIONS, SEED = 64, 16, 30, 11
-#: Different vectors of an index block, different queries of a query block.
-BLOCK_ROWS, BLOCK_QUERIES = 32_768, 4096
+#: Fewest vectors of an index block, blocks that a table is cut into before they
+#: grow, bytes of vectors of the largest.
+BLOCK_ROWS, BLOCKS, BLOCK_BYTES = 32_768, 16, 128 << 20
 
 
 class Codes(NamedTuple):
@@ -100,10 +102,9 @@ class MultiIndex:
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
 
 
-def search_block(x: np.ndarray, least: np.ndarray, q: np.ndarray, codes: Codes, k: int):
+def search_block(index: MultiIndex, x: np.ndarray, least: np.ndarray, q: np.ndarray, codes: Codes, k: int):
     """Per query the rows of the block's k nearest found and their distances;
     a radius with fewer than k rows is widened. Ties: smaller ``least``."""
-    index = MultiIndex(pack_bits(codes.bits(x)))
     for i, code in enumerate(pack_bits(codes.bits(q))):
         radius, rows = codes.radius, index.within(code, codes.radius)
         while len(rows) < min(k, len(x)):
@@ -114,6 +115,43 @@ def search_block(x: np.ndarray, least: np.ndarray, q: np.ndarray, codes: Codes,
         yield i, rows[best], d[best]
 
 
+def search_stream(batches: Iterator[pa.RecordBatch], codes: Codes, k: int) -> Iterator[pa.RecordBatch]:
+    """(q, d, ids) of the k nearest found in a block to each of its queries: the
+    block's vectors come first and are indexed once, the queries (``q`` not null)
+    then stream through, so that only the block is held."""
+    vectors, ids, index = [], [], None
+    for batch in batches:
+        n, asks = batch.num_rows, batch.column("q").is_valid().to_numpy(zero_copy_only=False)
+        if not n:
+            continue
+        v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        first = int(np.argmax(asks)) if asks.any() else n
+        if first:
+            vectors.append(v[:first])
+            ids.append(batch.column("ids").slice(0, first))
+        if first == n or not vectors:
+            continue
+        if index is None:
+            vectors, ids = [np.concatenate(vectors)], [pa.concat_arrays(ids)]
+            least = ids[0].flatten().to_numpy()[np.concatenate(([0], np.cumsum(ids[0].value_lengths().to_numpy())[:-1]))]
+            index = MultiIndex(pack_bits(codes.bits(vectors[0])))
+        rows, dist, of = [], [], []
+        for i, found, d in search_block(index, vectors[0], least, v[first:], codes, k):
+            rows.append(found)
+            dist.append(d)
+            of.append(np.full(len(d), first + i))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("q").take(pa.array(np.concatenate(of))), pa.array(np.concatenate(dist)),
+             ids[0].take(pa.array(np.concatenate(rows)))], names=["q", "d", "ids"])
+
+
+def index_blocks(n_base: int, dim: int) -> int:
+    """Blocks of an index. A vector goes to one of them, a query to all, so blocks
+    are as large as memory allows once there are BLOCKS of them."""
+    rows = min(max(BLOCK_ROWS, -(-n_base // BLOCKS)), max(1, BLOCK_BYTES // (8 * dim)))
+    return max(1, -(-n_base // rows))
+
+
 def usable(v: Column) -> Column:
     """Not null, not zero, all components finite."""
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -147,28 +185,20 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     asked = rows.filter(is_query)
     queries = stored(asked.groupBy("v").agg(F.min("vec_id").alias("q")), "mih-queries")
 
-    n_base, n_queries = base.count(), queries.count()
+    n_base = base.count()
     h = F.pmod(F.xxhash64("v"), F.lit(1 << 20))
     share = min(1.0, 1.2 * FIT_ROWS / max(1, n_base))
     sample = base.withColumn("h", h).filter(F.col("h") <= int(share * (1 << 20))).orderBy("h", "ids").limit(FIT_ROWS)
     codes = fit(np.array([r["v"] for r in sample.select("v").toLocalIterator()]), k)
 
-    n_b, n_q = -(-n_base // BLOCK_ROWS), max(1, -(-n_queries // BLOCK_QUERIES))
-    block = F.pmod(F.xxhash64("v"), F.lit(n_b))
-    left = base.select("v", "ids", block.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("c"))
-    right = queries.select("v", "q", F.pmod(F.xxhash64("q"), F.lit(n_q)).cast("int").alias("c"),
-                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_b - 1).cast("long"))).alias("b"))
-
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"q": [], "d": [], "ids": []})
-        least = np.array([i[0] for i in x["ids"]])
-        out = [(y["q"].iloc[i], d, x["ids"].iloc[r]) for i, found, dist in search_block(
-            np.stack(x["v"]), least, np.stack(y["v"]), codes, k + 1) for r, d in zip(found, dist)]
-        return pd.DataFrame(out, columns=["q", "d", "ids"])
-
-    found = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(
-        run, "q long, d double, ids array<long>")
+    blocks = index_blocks(n_base, size["s"])
+    left = base.select(F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("b"), "v", "ids",
+                       F.lit(None).cast("long").alias("q"))
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "v",
+                           F.lit(None).cast("array<long>").alias("ids"), "q")
+    both = left.unionByName(right).repartitionById(blocks, F.col("b")).sortWithinPartitions(F.col("q").isNotNull())
+    found = both.select("v", "ids", "q").mapInArrow(
+        lambda batches: search_stream(batches, codes, k + 1), "q long, d double, ids array<long>")
     best = Window.partitionBy("q").orderBy("d", F.col("ids")[0])
     found = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("q", "d", "ids")
     lists = stored(found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("d", "ids"))).alias("near")), "mih-near")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dialectic.llm import hashing
@@ -28,7 +29,6 @@ def test_index_holds_the_whole_radius():
 
 def test_small_tables_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(hashing, "BLOCK_ROWS", 64)
-    monkeypatch.setattr(hashing, "BLOCK_QUERIES", 2)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(330)]
     rows += [(1000 + i, [1.0] + [0.0] * 7) for i in range(40)] + [(400, [1.0] + [0.0] * 7)] * 2
@@ -54,6 +54,33 @@ def test_small_tables_and_odd_rows(spark, monkeypatch):
     assert hashing.neighbours(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_what_is_shuffled_grows_with_the_table():
+    def rows(n):
+        blocks = hashing.index_blocks(n, 64)
+        assert n / blocks * 64 * 8 <= hashing.BLOCK_BYTES
+        return n + blocks * (n // 100)
+    for n in (1000, 50_000, 400_000, 1_000_000):
+        assert rows(4 * n) <= 5 * rows(n)
+    assert rows(77_000_000) < 4 * 77_000_000  # 188 copies of every vector with blocks of queries
+
+
+def test_queries_stream_through_a_block():
+    rng = np.random.default_rng(4)
+    x, ids = rng.normal(size=(200, 8)), [[3 * i, 1000 + i] for i in range(200)]
+    codes = hashing.fit(x)
+    kind = lambda v, i, q: pa.RecordBatch.from_arrays(
+        [pa.array(v.tolist(), pa.list_(pa.float64())), pa.array(i, pa.list_(pa.int64())), pa.array(q, pa.int64())],
+        names=["v", "ids", "q"])
+    one = kind(np.concatenate((x, x[:40])), ids + [None] * 40, [None] * 200 + list(range(40)))
+    cut = [one.slice(a, 33) for a in range(0, 240, 33)] + [one.slice(0, 0)]
+    whole, parts = (pa.Table.from_batches(hashing.search_stream(iter(b), codes, 5)).to_pylist() for b in ([one], cut))
+    assert whole == parts and len(whole) == 200
+    near = [r for r in whole if r["q"] == 7]
+    assert near[0]["ids"] == [21, 1007] and near[0]["d"] == 0 and [r["d"] for r in near] == sorted(r["d"] for r in near)
+    assert list(hashing.search_stream(iter([one.slice(200)]), codes, 5)) == []
+    assert list(hashing.search_stream(iter([one.slice(0, 200)]), codes, 5)) == []
+
+
 def test_recall_on_the_given_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = {(r.query_id, r.vec_id) for r in hashing.neighbours(df, F.col("vec_id") % 100 == 0).collect()}
