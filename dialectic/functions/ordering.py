@@ -28,6 +28,8 @@ HASH_BUCKET_HEX_DIGITS = 4
 # (rows of the broadcast offset table).
 ROWS_PER_BUCKET = 1 << 18
 MAX_RANGE_BUCKETS = 1 << 16
+# Rows that the bounds of a selection round are taken from, and its bounds.
+SAMPLE_ROWS, BOUNDS = 1 << 12, 1 << 8
 
 
 def seeded_md5(seed: int | str, key: Column) -> Column:
@@ -137,3 +139,48 @@ def int_order_index(df: DataFrame, key: str, out: str = "idx", total: str | None
                     value: Column | None = None, partition_cols: list[str] | None = None) -> DataFrame:
     """``order_index`` by one column."""
     return order_index(df, [key], out=out, total=total, value=value, partition_cols=partition_cols)
+
+
+def rows_at(df: DataFrame, keys: list[str], positions: list[int], out: str = "pos") -> DataFrame:
+    """``(*keys, out)`` of the rows at ``positions`` in ascending order of
+    ``keys``, which are unique together. As in list indexing, negative positions
+    count from the end, a repeated one gives its row again and one past an end
+    raises ``IndexError``; ``out`` is counted from the start.
+
+    A distributed selection: each round cuts the rows into ranges by sampled
+    bounds, counts them (one small row per task and range, rows do not move) and
+    keeps the ranges that hold a position. What is left is numbered, in one window
+    if it is one bucket, in buckets if the positions lie all over the order.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    rest = df.select(*keys).checkpoint(eager=True)
+    n = rest.count()
+    missing = sorted({p for p in positions if not -n <= p < n})
+    if missing:
+        raise IndexError(f"positions out of range: {missing}")
+    asked = [p % n for p in positions]
+    place = {p: p for p in asked}  # position -> place among the rows left
+    while place and n > ROWS_PER_BUCKET:
+        sample = rest.orderBy(F.xxhash64(*keys), *keys).limit(SAMPLE_ROWS).orderBy(*keys).collect()
+        bounds = F.array(*[F.struct(*[F.lit(r[k]).cast(rest.schema[k].dataType).alias(k) for k in keys])
+                           for r in sample[::max(1, len(sample) // BOUNDS)]])
+        held = rest.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.struct(*keys))))
+        before, gone, keep, now = 0, 0, [], {}
+        for r in sorted(held.groupBy("_range").count().collect()):
+            inside = {p: at - gone for p, at in place.items() if before <= at < before + r["count"]}
+            before += r["count"]
+            if inside:
+                keep.append(r["_range"])
+                now.update(inside)
+            else:
+                gone += r["count"]
+        if 2 * gone < n:
+            break
+        rest, n, place = held.where(F.col("_range").isin(keep)).drop("_range").checkpoint(eager=True), n - gone, now
+    if n > ROWS_PER_BUCKET:
+        numbered = order_index(rest, keys, out="_place")
+    else:
+        numbered = rest.withColumn("_place", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+    wanted = spark.createDataFrame([(place[p], p) for p in asked], f"_place long, {out} long")
+    return numbered.join(wanted, "_place").select(*keys, out)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dialectic.functions.ordering import hash_order_index, int_order_index, md5_int32, order_index
+from dialectic.functions.ordering import hash_order_index, int_order_index, md5_int32, order_index, rows_at
 from dialectic.functions.text import (DEFAULT_INSTRUCTION_PREFIX, DEFAULT_TEMPLATE_PREFIX,
                                       DEFAULT_TEMPLATE_SUFFIX, instruction_text, template)
 
@@ -162,18 +162,21 @@ def pick_positions(df: DataFrame, positions: list[int] | None = DEFAULT_PICK_POS
     """Rows at the given positions, or every row when ``positions`` is None
     (the "all" mode wins over a subset). As in list indexing, negative
     positions count from the end, a repeated position gives its row again and
-    one past an end raises ``IndexError``. Positions are numbered on slim
-    keys; full rows are only joined to the picked ones."""
+    one past an end raises ``IndexError``. Rows are selected by slim keys, without
+    numbering the dataset; full rows are only joined to the picked ones."""
     if positions is None:
         return df if pos_col in df.columns else with_positions(df, pos_col)
+    if pos_col not in df.columns:
+        keys = _order(df)
+        picked = rows_at(df.select(*keys), keys, positions, pos_col).select("row_id", pos_col)
+        return df.join(picked, "row_id")
     n = df.count()
     missing = sorted({p for p in positions if not -n <= p < n})
     if missing:
         raise IndexError(f"positions out of range: {missing}")
     wanted = F.array(*[F.lit(p % n).cast("long") for p in positions]).cast("array<bigint>")
-    slim = (df if pos_col in df.columns else with_positions(df.select(*_order(df)), pos_col)).select("row_id", pos_col)
     again = F.filter(wanted, lambda w: w == F.col(pos_col))
-    picked = slim.where(F.array_contains(wanted, F.col(pos_col))).select(
+    picked = df.select("row_id", pos_col).where(F.array_contains(wanted, F.col(pos_col))).select(
         "row_id", F.explode(again).alias(pos_col))
     return df.drop(pos_col).join(picked, "row_id")
 

@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from dialectic.functions import ordering
 from dialectic.functions.ordering import order_index
 from dialectic.operators import preferences as P
 from dialectic.sources.readers import load_preferences
@@ -146,6 +147,23 @@ def test_positions_follow_list_indexing(spark):
     assert P.pick_positions(df, []).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [1 << 18, 200, 5])
+def test_rows_are_selected_without_numbering_all(spark, monkeypatch, bucket):
+    """Any position by sampled ranges, also under one key that holds a third of the rows."""
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", bucket)
+    monkeypatch.setattr(ordering, "SAMPLE_ROWS", 64)
+    monkeypatch.setattr(ordering, "BOUNDS", 16)
+    rows = [(None if i == 7 else 0 if i % 3 else (i * 37) % 500, f"é{i:05d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b string").repartition(5).withColumn("_range", F.lit(1))
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for positions in ([0, 1500, -1, 1500], [2999, -3000], list(range(0, 3000, 11)), []):
+        got = sorted((r.pos, r.a, r.b) for r in ordering.rows_at(df, ["a", "b"], positions).collect())
+        assert got == sorted(((p % 3000, *want[p]) for p in positions), key=lambda r: r[0])
+    with pytest.raises(IndexError):
+        ordering.rows_at(df, ["a", "b"], [3000])
+    assert ordering.rows_at(df.limit(0), ["a", "b"], []).count() == 0
+
+
 def test_positions_count_in_split_order(spark):
     df = spark.createDataFrame([(i, f"p{i % 7}", "c", "r") for i in range(60)],
                                "row_id long, prompt string, chosen string, rejected string")
