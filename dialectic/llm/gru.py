@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -16,23 +15,34 @@ OUTSIDE, END = 0, 1
 NO_WORD, SOFTMAX_ROWS = -1e9, 1 << 14
 #: Words of a training window; windows of the first steps and of the largest;
 #: steps after which their number doubles.
-WINDOW, BATCH, MOST, GROW = 24, 32, 512, 32
+WINDOW, BATCH, MOST, GROW = 24, 16, 1024, 32
 #: Step size, and the squared gradient that a weight starts with.
-STEP, FIRST_SEEN, SEED = 0.1, 1.0, 5
+STEP, FIRST_SEEN, SEED = 0.2, 1.0, 5
 #: Steps whose states are kept before their outputs are scored.
-CARRY = 64
+CARRY = 256
+#: The levels of the softmax: a word is a branch of its class, a class one of
+#: its group, and the groups are branches of the root.
+LEVELS = ("group", "class", "word")
 
 Params = dict[str, np.ndarray]
 
 
+def fan(vocab: int) -> int:
+    """Words of a class and classes of a group: the cube root of the ids."""
+    k = max(1, round(vocab ** (1 / 3)))
+    return k if k ** 3 >= vocab else k + 1
+
+
 def shapes(vocab: int) -> dict[str, tuple[int, ...]]:
-    """Weights of a model of ``vocab`` ids: about a square root of them classes,
-    and as many words in each (the last ones may be places without a word)."""
-    size = math.isqrt(vocab - 1) + 1
-    classes = -(-vocab // size)
-    return {"embed": (classes * size, WIDTH), "input": (WIDTH, 3 * WIDTH), "state": (WIDTH, 3 * WIDTH),
-            "gate": (3 * WIDTH,), "class_w": (WIDTH, classes), "class_b": (classes,),
-            "word_w": (classes * size, WIDTH), "word_b": (classes * size,)}
+    """Weights of a model of ``vocab`` ids: about a cube root of them groups, as
+    many classes in each and as many words in a class (the last places may be
+    without a word). An id's output costs three small softmaxes."""
+    k = fan(vocab)
+    groups = -(-vocab // (k * k))
+    out = {"embed": (groups * k * k, WIDTH), "input": (WIDTH, 3 * WIDTH), "state": (WIDTH, 3 * WIDTH), "gate": (3 * WIDTH,)}
+    for level, nodes, branches in zip(LEVELS, (1, groups, groups * k), (groups, k, k)):
+        out |= {f"{level}_w": (nodes, branches, WIDTH), f"{level}_b": (nodes, branches)}
+    return out
 
 
 SHAPES = shapes(VOCAB)
@@ -52,15 +62,17 @@ def unflatten(v: np.ndarray, vocab: int) -> Params:
 
 
 def initial(counts: np.ndarray) -> Params:
-    """Small random weights; output biases at the words' frequencies. Class c
+    """Small random weights; output biases at the words' frequencies. A class
     holds consecutive ids; places without a word have no probability."""
     rng = np.random.default_rng(SEED)
-    p = {k: rng.normal(0, 0.1, s) if k not in ("gate", "class_b", "word_b") else np.zeros(s)
+    p = {k: np.zeros(s) if k == "gate" or k.endswith("_b") else rng.normal(0, 0.1, s)
          for k, s in shapes(len(counts)).items()}
-    seen = np.zeros(len(p["word_b"]))
+    seen = np.zeros(len(p["embed"]))
     seen[:len(counts)] = counts + 0.5
-    p["word_b"] = np.where(seen > 0, np.log(np.maximum(seen, 0.5)), NO_WORD)
-    p["class_b"] = np.log(seen.reshape(len(p["class_b"]), -1).sum(axis=1))
+    for level in LEVELS[::-1]:
+        shape = p[f"{level}_b"].shape
+        p[f"{level}_b"] = np.where(seen > 0, np.log(np.maximum(seen, 0.5)), NO_WORD).reshape(shape)
+        seen = seen.reshape(shape).sum(axis=1)
     return p
 
 
@@ -68,46 +80,60 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _by_class(kind: np.ndarray, classes: int) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(kind, kind="stable")
-    cut = np.searchsorted(kind[order], np.arange(classes + 1))
-    return [(c, order[cut[c]:cut[c + 1]]) for c in range(classes) if cut[c] < cut[c + 1]]
-
-
-def _log_at(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, want: np.ndarray) -> np.ndarray:
-    """The log-softmax at ``want`` of each row, some rows at a time."""
-    out = np.empty(len(want), states.dtype)
-    for a in range(0, len(want), SOFTMAX_ROWS):
-        x = states[a:a + SOFTMAX_ROWS] @ weights
-        x += bias
-        x -= x.max(axis=1, keepdims=True)
-        own = x[np.arange(len(x)), want[a:a + SOFTMAX_ROWS]]
-        out[a:a + SOFTMAX_ROWS] = own - np.log(np.exp(x, out=x).sum(axis=1))
-    return out
+def _branches(p: Params, ids: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(level, node, branch taken there) of each id, from the root down."""
+    k = p["word_b"].shape[1]
+    classes, groups = ids // k, ids // (k * k)
+    return [("group", np.zeros_like(ids), groups), ("class", groups, classes % k), ("word", classes, ids % k)]
+
+
+def _softmax(w: np.ndarray, b: np.ndarray, states: np.ndarray, node: np.ndarray, branch: np.ndarray, slope: bool = False):
+    """The log-softmax at ``branch`` of each state at its ``node`` (ascending).
+    With ``slope``: the nodes met, the gradients of their weights and biases,
+    and the gradient of the states, all of the negative logarithms' sum."""
+    n = len(node)
+    first = np.flatnonzero(np.diff(node, prepend=-1))
+    met = node[first]
+    spans = list(zip(met.tolist(), first.tolist(), [*first[1:].tolist(), n]))
+    x = np.empty((n, b.shape[1]), states.dtype)
+    for c, i, j in spans:
+        np.dot(states[i:j], w[c].T, out=x[i:j])
+        x[i:j] += b[c]
+    x -= x.max(axis=1, keepdims=True)
+    rows = np.arange(n)
+    own = x[rows, branch]
+    total = np.exp(x, out=x).sum(axis=1)
+    out = own - np.log(total)
+    if not slope:
+        return out
+    x *= (1 / total)[:, None]
+    x[rows, branch] -= 1
+    dw, ds = np.empty((len(met), *w.shape[1:]), states.dtype), np.empty_like(states)
+    for k, (c, i, j) in enumerate(spans):
+        np.dot(x[i:j].T, states[i:j], out=dw[k])
+        np.dot(x[i:j], w[c], out=ds[i:j])
+    return out, met, dw, np.add.reduceat(x, first), ds
 
 
 def log_probabilities(p: Params, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Natural log P(class) + log P(word | class) of each id given its state."""
-    classes, size = len(p["class_b"]), len(p["word_b"]) // len(p["class_b"])
-    out = _log_at(states, p["class_w"], p["class_b"], ids // size)
-    for c, at in _by_class(ids // size, classes):
-        words = slice(c * size, (c + 1) * size)
-        out[at] += _log_at(states[at], p["word_w"][words].T, p["word_b"][words], ids[at] - words.start)
+    """Natural log P(group) + log P(class | group) + log P(word | class) of each
+    id given its state."""
+    order = np.argsort(ids, kind="stable")
+    out = np.empty(len(ids), states.dtype)
+    for a in range(0, len(ids), SOFTMAX_ROWS):
+        at = order[a:a + SOFTMAX_ROWS]
+        own = states[at]
+        out[at] = sum(_softmax(p[f"{level}_w"], p[f"{level}_b"], own, node, branch)
+                      for level, node, branch in _branches(p, ids[at]))
     return out
 
 
 def _pass(p: Params, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, last: np.ndarray):
     """Summed negative log-likelihood of windows [n, t] after the states ``h``
-    and ids ``last``; gradients of the small weights; (ids, gradients) of the
-    embeddings met and (classes, gradients of their words' weights and biases);
-    the states behind the windows. Nothing flows back into ``h``."""
+    and ids ``last``; gradients of the recurrent weights; (rows, gradients) of the
+    embeddings and of the softmax weights and biases met; the states behind the
+    windows. Nothing flows back into ``h``."""
     n, steps, w = len(ids), ids.shape[1], WIDTH
-    size = len(p["word_b"]) // len(p["class_b"])
     before = np.concatenate((last[:, None], ids[:, :-1]), axis=1).T.ravel()
     x = p["embed"][before]
     given = (x @ p["input"] + p["gate"]).reshape(steps, n, 3 * w)
@@ -121,25 +147,14 @@ def _pass(p: Params, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, last: np.
         h = h + z * (c - h)
         states[t] = h
     on = np.flatnonzero(mask.T.ravel())
+    on = on[np.argsort(ids.T.ravel()[on], kind="stable")]
     flat, want = states.reshape(-1, w)[on], ids.T.ravel()[on]
-    rows, kind = np.arange(len(want)), want // size
-    lc = _log_softmax(flat @ p["class_w"] + p["class_b"])
-    total = -lc[rows, kind].sum()
-    d = np.exp(lc)
-    d[rows, kind] -= 1
-    grad = {"class_w": flat.T @ d, "class_b": d.sum(axis=0)}
-    out = d @ p["class_w"].T
-    by_class = _by_class(kind, len(p["class_b"]))
-    word_w, word_b = np.empty((len(by_class), size, w), x.dtype), np.empty((len(by_class), size), x.dtype)
-    for k, (c, at) in enumerate(by_class):
-        words, own = slice(c * size, (c + 1) * size), flat[at]
-        d = _log_softmax(own @ p["word_w"][words].T + p["word_b"][words])
-        place = (np.arange(len(at)), want[at] - words.start)
-        total -= d[place].sum()
-        np.exp(d, out=d)
-        d[place] -= 1
-        word_w[k], word_b[k] = d.T @ own, d.sum(axis=0)
-        out[at] += d @ p["word_w"][words]
+    total, out, met_rows = 0.0, np.zeros_like(flat), {}
+    for level, node, branch in _branches(p, want):
+        ll, met, dw, db, ds = _softmax(p[f"{level}_w"], p[f"{level}_b"], flat, node, branch, slope=True)
+        total -= ll.sum(dtype=np.float64)
+        out += ds
+        met_rows |= {f"{level}_w": (met, dw), f"{level}_b": (met, db)}
     dh_out = np.zeros((steps * n, w), x.dtype)
     dh_out[on] = out
     dh_out = dh_out.reshape(steps, n, w)
@@ -156,25 +171,23 @@ def _pass(p: Params, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, last: np.
         held[t], reset[t] = was, r * was
         dh = dh * (1 - z) + drh * r + dg[t, :, :2 * w] @ u_zr.T
     dg = dg.reshape(-1, 3 * w)
+    grad = {}
     grad["state"] = np.concatenate((held.reshape(-1, w).T @ dg[:, :2 * w], reset.reshape(-1, w).T @ dg[:, 2 * w:]), axis=1)
     grad["input"], grad["gate"] = x.T @ dg, dg.sum(axis=0)
     order = np.argsort(before, kind="stable")
     met, first = np.unique(before[order], return_index=True)
-    embed = np.add.reduceat((dg @ p["input"].T)[order], first)
-    return total, grad, (met, embed), (np.array([c for c, _ in by_class], np.int64), word_w, word_b), h
+    met_rows["embed"] = met, np.add.reduceat((dg @ p["input"].T)[order], first)
+    return total, grad, met_rows, h
 
 
 def loss_and_gradient(p: Params, ids: np.ndarray, mask: np.ndarray) -> tuple[float, Params]:
     """Summed negative log-likelihood of windows [n, t] (words before the first:
     END, state zero) and its gradient by back-propagation through the window."""
     n, dtype = len(ids), p["embed"].dtype
-    total, grad, (met, embed), (kinds, word_w, word_b), _ = _pass(
-        p, ids, mask, np.zeros((n, WIDTH), dtype), np.full(n, END))
-    for k in ("embed", "word_w", "word_b"):
+    total, grad, met_rows, _ = _pass(p, ids, mask, np.zeros((n, WIDTH), dtype), np.full(n, END))
+    for k, (at, g) in met_rows.items():
         grad[k] = np.zeros_like(p[k])
-    grad["embed"][met] = embed
-    grad["word_w"].reshape(len(p["class_b"]), -1, WIDTH)[kinds] = word_w
-    grad["word_b"].reshape(len(p["class_b"]), -1)[kinds] = word_b
+        grad[k][at] = g
     return total, grad
 
 
@@ -187,17 +200,14 @@ def train(p: Params, texts: Iterable[np.ndarray]) -> tuple[Params, int]:
     makes room for the next. Their number doubles every GROW steps up to MOST.
     """
     p = {k: v.astype(np.float32) for k, v in p.items()}
-    shape = (len(p["class_b"]), -1, WIDTH)
     seen = {k: np.full(v.shape, FIRST_SEEN, np.float32) for k, v in p.items()}
-    views = {"embed": (p["embed"], seen["embed"]),
-             "word_w": (p["word_w"].reshape(shape), seen["word_w"].reshape(shape)),
-             "word_b": (p["word_b"].reshape(shape[:2]), seen["word_b"].reshape(shape[:2]))}
 
-    def move(k: str, at: np.ndarray, g: np.ndarray) -> None:
-        v, s = views[k]
-        now = s[at] + g * g
-        s[at] = now
-        v[at] -= STEP * g / np.sqrt(now)
+    def move(k: str, at: np.ndarray | slice, g: np.ndarray) -> None:
+        now = seen[k][at] + g * g
+        seen[k][at] = now
+        g /= np.sqrt(now, out=now)
+        g *= STEP
+        p[k][at] -= g
 
     feed = iter(texts)
     open_, h, last, step, n_ids = [], np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), 0, 0
@@ -214,13 +224,11 @@ def train(p: Params, texts: Iterable[np.ndarray]) -> tuple[Params, int]:
         mask = np.arange(int(lengths.max())) < lengths[:, None]
         ids = np.full(mask.shape, END)
         ids[mask] = np.concatenate(parts)
-        _, grad, (met, embed), (kinds, word_w, word_b), h = _pass(p, ids, mask, h, last)
+        _, grad, met_rows, h = _pass(p, ids, mask, h, last)
         for k, g in grad.items():
-            seen[k] += g * g
-            p[k] -= STEP * g / np.sqrt(seen[k])
-        move("embed", met, embed)
-        move("word_w", kinds, word_w)
-        move("word_b", kinds, word_b)
+            move(k, slice(None), g)
+        for k, (at, g) in met_rows.items():
+            move(k, at, g)
         step, n_ids = step + 1, n_ids + int(lengths.sum())
         goes_on = np.array([a + WINDOW < len(x) for x, a in open_])
         h, last = h[goes_on], ids[:, -1][goes_on]

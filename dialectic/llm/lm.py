@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,9 @@ MODULUS, HELD_OUT = 7, 2
 HEAD_WORDS = 1 << 16
 #: Words that a task counts before it sends them on; tokens scored side by side.
 TASK_WORDS, GROUP_TOKENS = 1_000_000, 3 << 19
-#: Rounds of training on all texts, averaged over the tasks after each.
-ROUNDS = 3
+#: Parts that the training texts are dealt to; the model learns from one after
+#: the other, averaged over the tasks after each. Every text is met once.
+ROUNDS = 2
 #: Weights that are averaged together.
 BLOCK = 1 << 14
 #: The two hashes of the end of a text; words have the hashes of their bytes.
@@ -134,20 +136,25 @@ class Vocabulary:
         return found, ids
 
 
-def training_texts(train: DataFrame, words: Vocabulary) -> DataFrame:
-    """One row per training text: the ids of all its words, its end last."""
+def training_texts(train: DataFrame, words: Vocabulary, rounds: int = 1) -> DataFrame:
+    """One row per training text: its part (0 to rounds-1, in turn), and the ids
+    of all its words, its end last. Long texts come first in a task's part, so
+    that others run beside them up to their end."""
     shared = train.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes, met = Hashes(), 0
         for batch in batches:
             for part in slices(batch, "text"):
                 a, b, n = tokens(texts(part), hashes)
                 ids = pa.array(shared.value.look(a, b)[1].astype(np.int32))
                 cut = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cut, ids)], names=["ids"])
+                of = pa.array(((met + np.arange(len(n))) % rounds).astype(np.int32))
+                met += len(n)
+                yield pa.RecordBatch.from_arrays([of, pa.ListArray.from_arrays(cut, ids)], names=["part", "ids"])
 
-    return train.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "ids array<int>")
+    return (train.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "part int, ids array<int>")
+            .sortWithinPartitions("part", F.size("ids").desc()))
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -157,20 +164,27 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield from (ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
 
 
+def _mean(rows: pa.Table) -> pa.Table:
+    """The mean of blocks of weights by number of words, and that number."""
+    total, weight = 0.0, 0.0
+    for w, v in zip(rows.column("w").to_pylist(), rows.column("v")):
+        total, weight = total + w * np.frombuffer(v.as_buffer(), np.float32).astype(np.float64), weight + w
+    return pa.table({"i": rows.column("i")[:1], "w": pa.array([weight]),
+                     "v": pa.array([(total / weight).astype(np.float32).tobytes()])})
+
+
 def fit(ids: DataFrame, start: gru.Params, vocab: int, rounds: int = ROUNDS) -> gru.Params:
-    """Data-parallel training: each round every task trains on its own texts
-    from the same weights, and the new weights are averaged by number of
-    words, in blocks. Only the averaged model reaches the driver."""
+    """Data-parallel training on ``ids`` (part, ids): for each part every task
+    trains on its own texts from the same weights, and the new weights are
+    averaged by number of words, in blocks and in two steps, so that a group
+    holds about a square root of the tasks. Only the averaged model reaches
+    the driver."""
     spark = ids.sparkSession
     now = gru.flatten(start).astype(np.float32)
-
-    def mean(block: pa.Table) -> pa.Table:
-        total, weight = 0.0, 0.0
-        for w, v in zip(block.column("w").to_pylist(), block.column("v").to_pylist()):
-            total, weight = total + w * np.frombuffer(v, np.float32).astype(np.float64), weight + w
-        return pa.table({"i": block.column("i")[:1], "v": pa.array([(total / weight).astype(np.float32).tobytes()])})
-
-    for _ in range(rounds):
+    block = "i int, w double, v binary"
+    for part in range(rounds):
+        texts_ = ids.filter(F.col("part") == part).select("ids")
+        fan = math.isqrt(texts_.rdd.getNumPartitions()) + 1
         shared = spark.sparkContext.broadcast(now)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -181,7 +195,9 @@ def fit(ids: DataFrame, start: gru.Params, vocab: int, rounds: int = ROUNDS) ->
                     yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "w": pa.array([float(seen)]),
                                                       "v": pa.array([v[at:at + BLOCK].tobytes()])})
 
-        rows = ids.mapInArrow(run, "i int, w double, v binary").groupBy("i").applyInArrow(mean, "i int, v binary").collect()
+        means = texts_.mapInArrow(run, block).withColumn("g", F.spark_partition_id() % fan)
+        means = means.groupBy("i", "g").applyInArrow(_mean, block).groupBy("i").applyInArrow(_mean, block)
+        rows = means.select("i", "v").collect()
         if rows:
             now = np.concatenate([np.frombuffer(r["v"], np.float32) for r in sorted(rows, key=lambda r: r["i"])])
     return gru.unflatten(now, vocab)
@@ -216,7 +232,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     n_out = n_all - int(words.model_counts.sum())
     v_out = v_all - int((words.model_counts > 0).sum())
     words.model_counts[gru.OUTSIDE] = n_out
-    ids = stored(training_texts(train, words), "lm-texts")
+    ids = stored(training_texts(train, words, rounds), "lm-texts", by="part")
     vocab = len(words.model_counts)
     model = fit(ids, gru.initial(words.model_counts), vocab, rounds)
     shared = spark.sparkContext.broadcast((words, gru.flatten(model).astype(np.float32)))
