@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterable
+from types import EllipsisType
 
 import numpy as np
 
@@ -15,7 +16,7 @@ OUTSIDE, END = 0, 1
 NO_WORD, SOFTMAX_ROWS = -1e9, 1 << 14
 #: Words of a training window; windows of the first steps and of the largest;
 #: steps after which their number doubles.
-WINDOW, BATCH, MOST, GROW = 24, 16, 1024, 32
+WINDOW, BATCH, MOST, GROW = 64, 16, 512, 32
 #: Step size, and the squared gradient that a weight starts with.
 STEP, FIRST_SEEN, SEED = 0.2, 1.0, 5
 #: Steps whose states are kept before their outputs are scored.
@@ -36,12 +37,13 @@ def fan(vocab: int) -> int:
 def shapes(vocab: int) -> dict[str, tuple[int, ...]]:
     """Weights of a model of ``vocab`` ids: about a cube root of them groups, as
     many classes in each and as many words in a class (the last places may be
-    without a word). An id's output costs three small softmaxes."""
+    without a word). An id's output costs three small softmaxes; a branch's bias
+    stands behind its weights."""
     k = fan(vocab)
     groups = -(-vocab // (k * k))
     out = {"embed": (groups * k * k, WIDTH), "input": (WIDTH, 3 * WIDTH), "state": (WIDTH, 3 * WIDTH), "gate": (3 * WIDTH,)}
     for level, nodes, branches in zip(LEVELS, (1, groups, groups * k), (groups, k, k)):
-        out |= {f"{level}_w": (nodes, branches, WIDTH), f"{level}_b": (nodes, branches)}
+        out[level] = nodes, branches, WIDTH + 1
     return out
 
 
@@ -65,54 +67,70 @@ def initial(counts: np.ndarray) -> Params:
     """Small random weights; output biases at the words' frequencies. A class
     holds consecutive ids; places without a word have no probability."""
     rng = np.random.default_rng(SEED)
-    p = {k: np.zeros(s) if k == "gate" or k.endswith("_b") else rng.normal(0, 0.1, s)
-         for k, s in shapes(len(counts)).items()}
+    p = {k: np.zeros(s) if k == "gate" else rng.normal(0, 0.1, s) for k, s in shapes(len(counts)).items()}
     seen = np.zeros(len(p["embed"]))
     seen[:len(counts)] = counts + 0.5
     for level in LEVELS[::-1]:
-        shape = p[f"{level}_b"].shape
-        p[f"{level}_b"] = np.where(seen > 0, np.log(np.maximum(seen, 0.5)), NO_WORD).reshape(shape)
-        seen = seen.reshape(shape).sum(axis=1)
+        seen = seen.reshape(p[level].shape[:2])
+        total = seen.sum(axis=1)
+        p[level][..., -1] = np.where(seen > 0, np.log(np.maximum(seen, 0.5) / np.maximum(total, 0.5)[:, None]), NO_WORD)
+        seen = total
     return p
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _branches(p: Params, ids: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(level, node, branch taken there) of each id, from the root down."""
-    k = p["word_b"].shape[1]
+    k = p["word"].shape[1]
     classes, groups = ids // k, ids // (k * k)
     return [("group", np.zeros_like(ids), groups), ("class", groups, classes % k), ("word", classes, ids % k)]
 
 
-def _softmax(w: np.ndarray, b: np.ndarray, states: np.ndarray, node: np.ndarray, branch: np.ndarray, slope: bool = False):
-    """The log-softmax at ``branch`` of each state at its ``node`` (ascending).
-    With ``slope``: the nodes met, the gradients of their weights and biases,
-    and the gradient of the states, all of the negative logarithms' sum."""
+def _with_one(states: np.ndarray) -> np.ndarray:
+    return np.concatenate((states, np.ones((len(states), 1), states.dtype)), axis=1)
+
+
+def _softmax(w: np.ndarray, states: np.ndarray, node: np.ndarray, branch: np.ndarray, slope: bool = False):
+    """The log-softmax at ``branch`` of each state (and a one) at its ``node``
+    (ascending). With ``slope``: the nodes met, the gradients of their weights
+    and of the states, all of the negative logarithms' sum."""
     n = len(node)
     first = np.flatnonzero(np.diff(node, prepend=-1))
     met = node[first]
     spans = list(zip(met.tolist(), first.tolist(), [*first[1:].tolist(), n]))
-    x = np.empty((n, b.shape[1]), states.dtype)
-    for c, i, j in spans:
-        np.dot(states[i:j], w[c].T, out=x[i:j])
-        x[i:j] += b[c]
-    x -= x.max(axis=1, keepdims=True)
-    rows = np.arange(n)
+    x, rows, one = np.empty((n, w.shape[1]), states.dtype), np.arange(n), np.ones(w.shape[1], states.dtype)
+
+    def logits() -> None:
+        for c, i, j in spans:
+            np.dot(states[i:j], w[c].T, out=x[i:j])
+
+    logits()
     own = x[rows, branch]
-    total = np.exp(x, out=x).sum(axis=1)
+    with np.errstate(over="ignore"):
+        total = np.dot(np.exp(x, out=x), one)
+    if not (total.min() > 1e-30 and total.max() < 1e30):  # out of the range of exp: about each row's maximum
+        logits()
+        top = x.max(axis=1)
+        x -= top[:, None]
+        own -= top
+        total = np.dot(np.exp(x, out=x), one)
     out = own - np.log(total)
     if not slope:
         return out
-    x *= (1 / total)[:, None]
+    x *= np.reciprocal(total)[:, None]
     x[rows, branch] -= 1
     dw, ds = np.empty((len(met), *w.shape[1:]), states.dtype), np.empty_like(states)
     for k, (c, i, j) in enumerate(spans):
-        np.dot(x[i:j].T, states[i:j], out=dw[k])
-        np.dot(x[i:j], w[c], out=ds[i:j])
-    return out, met, dw, np.add.reduceat(x, first), ds
+        d = x[i:j]
+        np.dot(d.T, states[i:j], out=dw[k])
+        np.dot(d, w[c], out=ds[i:j])
+    return out, met, dw, ds
 
 
 def log_probabilities(p: Params, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -122,8 +140,8 @@ def log_probabilities(p: Params, states: np.ndarray, ids: np.ndarray) -> np.ndar
     out = np.empty(len(ids), states.dtype)
     for a in range(0, len(ids), SOFTMAX_ROWS):
         at = order[a:a + SOFTMAX_ROWS]
-        own = states[at]
-        out[at] = sum(_softmax(p[f"{level}_w"], p[f"{level}_b"], own, node, branch)
+        own = _with_one(states[at])
+        out[at] = sum(_softmax(p[level], own, node, branch)
                       for level, node, branch in _branches(p, ids[at]))
     return out
 
@@ -131,7 +149,7 @@ def log_probabilities(p: Params, states: np.ndarray, ids: np.ndarray) -> np.ndar
 def _pass(p: Params, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, last: np.ndarray):
     """Summed negative log-likelihood of windows [n, t] after the states ``h``
     and ids ``last``; gradients of the recurrent weights; (rows, gradients) of the
-    embeddings and of the softmax weights and biases met; the states behind the
+    embeddings and of the softmax weights met; the states behind the
     windows. Nothing flows back into ``h``."""
     n, steps, w = len(ids), ids.shape[1], WIDTH
     before = np.concatenate((last[:, None], ids[:, :-1]), axis=1).T.ravel()
@@ -148,15 +166,15 @@ def _pass(p: Params, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, last: np.
         states[t] = h
     on = np.flatnonzero(mask.T.ravel())
     on = on[np.argsort(ids.T.ravel()[on], kind="stable")]
-    flat, want = states.reshape(-1, w)[on], ids.T.ravel()[on]
+    flat, want = _with_one(states.reshape(-1, w)[on]), ids.T.ravel()[on]
     total, out, met_rows = 0.0, np.zeros_like(flat), {}
     for level, node, branch in _branches(p, want):
-        ll, met, dw, db, ds = _softmax(p[f"{level}_w"], p[f"{level}_b"], flat, node, branch, slope=True)
+        ll, met, dw, ds = _softmax(p[level], flat, node, branch, slope=True)
         total -= ll.sum(dtype=np.float64)
         out += ds
-        met_rows |= {f"{level}_w": (met, dw), f"{level}_b": (met, db)}
+        met_rows[level] = met, dw
     dh_out = np.zeros((steps * n, w), x.dtype)
-    dh_out[on] = out
+    dh_out[on] = out[:, :w]
     dh_out = dh_out.reshape(steps, n, w)
     dh, dg = np.zeros((n, w), x.dtype), np.empty((steps, n, 3 * w), x.dtype)
     held, reset = np.empty((2, steps, n, w), x.dtype)
@@ -175,8 +193,8 @@ def _pass(p: Params, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, last: np.
     grad["state"] = np.concatenate((held.reshape(-1, w).T @ dg[:, :2 * w], reset.reshape(-1, w).T @ dg[:, 2 * w:]), axis=1)
     grad["input"], grad["gate"] = x.T @ dg, dg.sum(axis=0)
     order = np.argsort(before, kind="stable")
-    met, first = np.unique(before[order], return_index=True)
-    met_rows["embed"] = met, np.add.reduceat((dg @ p["input"].T)[order], first)
+    first = np.flatnonzero(np.diff(before[order], prepend=-1))
+    met_rows["embed"] = before[order[first]], np.add.reduceat((dg @ p["input"].T)[order], first)
     return total, grad, met_rows, h
 
 
@@ -192,7 +210,7 @@ def loss_and_gradient(p: Params, ids: np.ndarray, mask: np.ndarray) -> tuple[flo
 
 
 def train(p: Params, texts: Iterable[np.ndarray]) -> tuple[Params, int]:
-    """One pass over whole texts (ids, the end last), steps scaled by the
+    """One pass over whole texts (ids, the end last), a row's steps scaled by its
     gradients so far; the new weights and the number of ids.
 
     Texts run side by side: a step takes the next window of each, with the state
@@ -200,13 +218,12 @@ def train(p: Params, texts: Iterable[np.ndarray]) -> tuple[Params, int]:
     makes room for the next. Their number doubles every GROW steps up to MOST.
     """
     p = {k: v.astype(np.float32) for k, v in p.items()}
-    seen = {k: np.full(v.shape, FIRST_SEEN, np.float32) for k, v in p.items()}
+    seen = {k: np.full(v.shape[:-1], FIRST_SEEN, np.float32) for k, v in p.items()}
 
-    def move(k: str, at: np.ndarray | slice, g: np.ndarray) -> None:
-        now = seen[k][at] + g * g
+    def move(k: str, at: np.ndarray | EllipsisType, g: np.ndarray) -> None:
+        now = seen[k][at] + np.einsum("...w,...w->...", g, g) / g.shape[-1]
         seen[k][at] = now
-        g /= np.sqrt(now, out=now)
-        g *= STEP
+        g *= (STEP / np.sqrt(now))[..., None]
         p[k][at] -= g
 
     feed = iter(texts)
@@ -226,7 +243,7 @@ def train(p: Params, texts: Iterable[np.ndarray]) -> tuple[Params, int]:
         ids[mask] = np.concatenate(parts)
         _, grad, met_rows, h = _pass(p, ids, mask, h, last)
         for k, g in grad.items():
-            move(k, slice(None), g)
+            move(k, ..., g)
         for k, (at, g) in met_rows.items():
             move(k, at, g)
         step, n_ids = step + 1, n_ids + int(lengths.sum())

@@ -140,7 +140,7 @@ def test_vocabulary_sizes_the_model():
     words = lm.Vocabulary(a, a, np.full(len(a), 3))
     assert len(words.model_counts) == 20002 and len(set(words.look(a, a)[1].tolist())) == 20000
     p = gru.initial(words.model_counts)
-    assert [p[f"{level}_b"].shape for level in gru.LEVELS] == [(1, 26), (26, 28), (26 * 28, 28)]
+    assert [p[level].shape[:2] for level in gru.LEVELS] == [(1, 26), (26, 28), (26 * 28, 28)]
     states = np.zeros((1, gru.WIDTH))
     got = gru.log_probabilities(p, np.repeat(states, 20002, axis=0), np.arange(20002))
     assert np.exp(got).sum() == pytest.approx(1)
