@@ -154,19 +154,25 @@ def _pass(p: Params, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, last: np.
     n, steps, w = len(ids), ids.shape[1], WIDTH
     before = np.concatenate((last[:, None], ids[:, :-1]), axis=1).T.ravel()
     x = p["embed"][before]
-    given = (x @ p["input"] + p["gate"]).reshape(steps, n, 3 * w)
+    # One column per text, so that every gate of a step is one stretch of memory.
+    given = p["input"].T @ x.reshape(steps, n, w).transpose(0, 2, 1)
+    given += p["gate"][:, None]
     u_zr, u_c = np.ascontiguousarray(p["state"][:, :2 * w]), np.ascontiguousarray(p["state"][:, 2 * w:])
-    kept, states = [], np.zeros((steps, n, w), x.dtype)
+    kept, states = [], np.empty((steps, w, n), x.dtype)
+    h = np.ascontiguousarray(h.T)
     for t in range(steps):
-        zr = _sigmoid(given[t, :, :2 * w] + h @ u_zr)
-        z, r = zr[:, :w], zr[:, w:]
-        c = np.tanh(given[t, :, 2 * w:] + (r * h) @ u_c)
-        kept.append((h, z, r, c))
+        zr = _sigmoid(given[t, :2 * w] + u_zr.T @ h)
+        z, r = zr[:w], zr[w:]
+        rh = r * h
+        c = u_c.T @ rh
+        c += given[t, 2 * w:]
+        np.tanh(c, out=c)
+        kept.append((h, z, r, c, rh))
         h = h + z * (c - h)
         states[t] = h
     on = np.flatnonzero(mask.T.ravel())
     on = on[np.argsort(ids.T.ravel()[on], kind="stable")]
-    flat, want = _with_one(states.reshape(-1, w)[on]), ids.T.ravel()[on]
+    flat, want = _with_one(states.transpose(0, 2, 1).reshape(-1, w)[on]), ids.T.ravel()[on]
     total, out, met_rows = 0.0, np.zeros_like(flat), {}
     for level, node, branch in _branches(p, want):
         ll, met, dw, ds = _softmax(p[level], flat, node, branch, slope=True)
@@ -175,27 +181,32 @@ def _pass(p: Params, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, last: np.
         met_rows[level] = met, dw
     dh_out = np.zeros((steps * n, w), x.dtype)
     dh_out[on] = out[:, :w]
-    dh_out = dh_out.reshape(steps, n, w)
-    dh, dg = np.zeros((n, w), x.dtype), np.empty((steps, n, 3 * w), x.dtype)
-    held, reset = np.empty((2, steps, n, w), x.dtype)
+    dh_out = np.ascontiguousarray(dh_out.reshape(steps, n, w).transpose(0, 2, 1))
+    dh, dg = np.zeros((w, n), x.dtype), np.empty((steps, 3 * w, n), x.dtype)
+    d_zr, d_c = np.zeros_like(u_zr), np.zeros_like(u_c)
     for t in range(steps - 1, -1, -1):
-        was, z, r, c = kept[t]
-        dh = dh + dh_out[t]
-        dc = dh * z * (1 - c * c)
-        drh = dc @ u_c.T
-        dg[t, :, :w] = dh * (c - was) * z * (1 - z)
-        dg[t, :, w:2 * w] = drh * was * r * (1 - r)
-        dg[t, :, 2 * w:] = dc
-        held[t], reset[t] = was, r * was
-        dh = dh * (1 - z) + drh * r + dg[t, :, :2 * w] @ u_zr.T
-    dg = dg.reshape(-1, 3 * w)
-    grad = {}
-    grad["state"] = np.concatenate((held.reshape(-1, w).T @ dg[:, :2 * w], reset.reshape(-1, w).T @ dg[:, 2 * w:]), axis=1)
-    grad["input"], grad["gate"] = x.T @ dg, dg.sum(axis=0)
+        was, z, r, c, rh = kept[t]
+        dh += dh_out[t]
+        dz, dr, dc = dg[t, :w], dg[t, w:2 * w], dg[t, 2 * w:]
+        np.multiply(dh, z, out=dc)
+        np.multiply(dc, c - was, out=dz)
+        dz *= 1 - z
+        dc *= 1 - c * c
+        drh = u_c @ dc
+        np.multiply(drh, rh, out=dr)
+        dr *= 1 - r
+        d_zr += was @ dg[t, :2 * w].T
+        d_c += rh @ dc.T
+        dh *= 1 - z
+        drh *= r
+        dh += drh
+        dh += u_zr @ dg[t, :2 * w]
+    dg = dg.transpose(0, 2, 1).reshape(-1, 3 * w)
+    grad = {"state": np.concatenate((d_zr, d_c), axis=1), "input": x.T @ dg, "gate": dg.sum(axis=0)}
     order = np.argsort(before, kind="stable")
     first = np.flatnonzero(np.diff(before[order], prepend=-1))
     met_rows["embed"] = before[order[first]], np.add.reduceat((dg @ p["input"].T)[order], first)
-    return total, grad, met_rows, h
+    return total, grad, met_rows, h.T
 
 
 def loss_and_gradient(p: Params, ids: np.ndarray, mask: np.ndarray) -> tuple[float, Params]:
