@@ -8,12 +8,17 @@ from types import EllipsisType
 
 import numpy as np
 
+from dialectic.llm.frames import ragged
+
 #: Width of embeddings and state; most ids of a model (with OUTSIDE and END).
 WIDTH, VOCAB = 16, 1 << 16
 #: The first ids: words outside the vocabulary, and the end of a text.
 OUTSIDE, END = 0, 1
 #: Bias of places without a word; rows of a softmax that are held at a time.
 NO_WORD, SOFTMAX_ROWS = -1e9, 1 << 14
+#: Nodes of a softmax with at most so many rows share a product with all others
+#: that have as many; one with more has a product of its own.
+FEW = 32
 #: Words of a training window; windows of the first steps and of the largest;
 #: steps after which their number doubles.
 WINDOW, BATCH, MOST, GROW = 64, 16, 512, 32
@@ -96,51 +101,81 @@ def _with_one(states: np.ndarray) -> np.ndarray:
     return np.concatenate((states, np.ones((len(states), 1), states.dtype)), axis=1)
 
 
+def _by_id(ids: np.ndarray) -> np.ndarray:
+    """The order of ``ids`` (stable); ids of two bytes are sorted by their digits."""
+    return np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")
+
+
 def _softmax(w: np.ndarray, states: np.ndarray, node: np.ndarray, branch: np.ndarray, slope: bool = False):
     """The log-softmax at ``branch`` of each state (and a one) at its ``node``
     (ascending). With ``slope``: the nodes met, the gradients of their weights
     and of the states, all of the negative logarithms' sum."""
-    n = len(node)
+    n, wide, deep = len(node), *w.shape[1:]
     first = np.flatnonzero(np.diff(node, prepend=-1))
-    met = node[first]
-    spans = list(zip(met.tolist(), first.tolist(), [*first[1:].tolist(), n]))
-    x, rows, one = np.empty((n, w.shape[1]), states.dtype), np.arange(n), np.ones(w.shape[1], states.dtype)
+    size = np.diff(first, append=n)
+    # Nodes of many rows first, then the others by their number of rows.
+    rank = np.where(size > FEW, 0, size)
+    by, back = np.argsort(rank, kind="stable"), None
+    met, size, many = node[first[by]], size[by], int((rank == 0).sum())
+    if many < len(met):
+        order = ragged(first[by], size)
+        states, branch = states.take(order, axis=0), branch.take(order)
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+    begin = (np.cumsum(size) - size).tolist()
+    alone = list(zip(met[:many].tolist(), begin, [*begin[1:], n]))
+    together, at = [], many  # (first and last node, row range, rows of a node, weights, transposed)
+    for m, count in enumerate(np.bincount(size[many:]).tolist()):
+        if count:
+            own = w.take(met[at:at + count], axis=0)
+            together.append((at, at + count, begin[at], begin[at] + count * m, m, own,
+                             np.ascontiguousarray(own.transpose(0, 2, 1))))
+            at += count
+    x, one = np.empty((n, wide), states.dtype), np.ones(wide, states.dtype)
+    taken = np.arange(0, n * wide, wide) + branch
 
     def logits() -> None:
-        for c, i, j in spans:
+        for c, i, j in alone:
             np.dot(states[i:j], w[c].T, out=x[i:j])
+        for _, _, i, j, m, _, turned in together:
+            np.matmul(states[i:j].reshape(-1, m, deep), turned, out=x[i:j].reshape(-1, m, wide))
 
     logits()
-    own = x[rows, branch]
+    own = x.ravel().take(taken)
     with np.errstate(over="ignore"):
         total = np.dot(np.exp(x, out=x), one)
-    if not (total.min() > 1e-30 and total.max() < 1e30):  # out of the range of exp: about each row's maximum
+    if not (total.min(initial=1) > 1e-30 and total.max(initial=1) < 1e30):  # out of the range of exp: about each row's maximum
         logits()
         top = x.max(axis=1)
         x -= top[:, None]
         own -= top
         total = np.dot(np.exp(x, out=x), one)
-    out = own - np.log(total)
+    own -= np.log(total)
+    out = own if back is None else own.take(back)
     if not slope:
         return out
     x *= np.reciprocal(total)[:, None]
-    x[rows, branch] -= 1
-    dw, ds = np.empty((len(met), *w.shape[1:]), states.dtype), np.empty_like(states)
-    for k, (c, i, j) in enumerate(spans):
+    x.ravel()[taken] -= 1
+    dw, ds = np.empty((len(met), wide, deep), states.dtype), np.empty_like(states)
+    for k, (c, i, j) in enumerate(alone):
         d = x[i:j]
         np.dot(d.T, states[i:j], out=dw[k])
         np.dot(d, w[c], out=ds[i:j])
-    return out, met, dw, ds
+    for k, l, i, j, m, own, _ in together:
+        d, s = x[i:j].reshape(-1, m, wide), states[i:j].reshape(-1, m, deep)
+        (np.multiply if m == 1 else np.matmul)(d.transpose(0, 2, 1), s, out=dw[k:l])
+        np.matmul(d, own, out=ds[i:j].reshape(-1, m, deep))
+    return out, met, dw, ds if back is None else ds.take(back, axis=0)
 
 
 def log_probabilities(p: Params, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log P(group) + log P(class | group) + log P(word | class) of each
     id given its state."""
-    order = np.argsort(ids, kind="stable")
+    order = _by_id(ids)
     out = np.empty(len(ids), states.dtype)
     for a in range(0, len(ids), SOFTMAX_ROWS):
         at = order[a:a + SOFTMAX_ROWS]
-        own = _with_one(states[at])
+        own = _with_one(states.take(at, axis=0))
         out[at] = sum(_softmax(p[level], own, node, branch)
                       for level, node, branch in _branches(p, ids[at]))
     return out
@@ -153,17 +188,17 @@ def _pass(p: Params, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, last: np.
     windows. Nothing flows back into ``h``."""
     n, steps, w = len(ids), ids.shape[1], WIDTH
     before = np.concatenate((last[:, None], ids[:, :-1]), axis=1).T.ravel()
-    x = p["embed"][before]
+    x = p["embed"].take(before, axis=0)
     # One column per text, so that every gate of a step is one stretch of memory.
     given = p["input"].T @ x.reshape(steps, n, w).transpose(0, 2, 1)
     given += p["gate"][:, None]
     u_zr, u_c = np.ascontiguousarray(p["state"][:, :2 * w]), np.ascontiguousarray(p["state"][:, 2 * w:])
-    kept, states = [], np.empty((steps, w, n), x.dtype)
+    kept, states, resets = [], np.empty((steps, w, n), x.dtype), np.empty((steps, w, n), x.dtype)
     h = np.ascontiguousarray(h.T)
     for t in range(steps):
         zr = _sigmoid(given[t, :2 * w] + u_zr.T @ h)
         z, r = zr[:w], zr[w:]
-        rh = r * h
+        rh = np.multiply(r, h, out=resets[t])
         c = u_c.T @ rh
         c += given[t, 2 * w:]
         np.tanh(c, out=c)
@@ -171,8 +206,8 @@ def _pass(p: Params, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, last: np.
         h = h + z * (c - h)
         states[t] = h
     on = np.flatnonzero(mask.T.ravel())
-    on = on[np.argsort(ids.T.ravel()[on], kind="stable")]
-    flat, want = _with_one(states.transpose(0, 2, 1).reshape(-1, w)[on]), ids.T.ravel()[on]
+    on = on[_by_id(ids.T.ravel()[on])]
+    flat, want = _with_one(states.transpose(0, 2, 1).reshape(-1, w).take(on, axis=0)), ids.T.ravel().take(on)
     total, out, met_rows = 0.0, np.zeros_like(flat), {}
     for level, node, branch in _branches(p, want):
         ll, met, dw, ds = _softmax(p[level], flat, node, branch, slope=True)
@@ -183,7 +218,6 @@ def _pass(p: Params, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, last: np.
     dh_out[on] = out[:, :w]
     dh_out = np.ascontiguousarray(dh_out.reshape(steps, n, w).transpose(0, 2, 1))
     dh, dg = np.zeros((w, n), x.dtype), np.empty((steps, 3 * w, n), x.dtype)
-    d_zr, d_c = np.zeros_like(u_zr), np.zeros_like(u_c)
     for t in range(steps - 1, -1, -1):
         was, z, r, c, rh = kept[t]
         dh += dh_out[t]
@@ -195,17 +229,19 @@ def _pass(p: Params, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, last: np.
         drh = u_c @ dc
         np.multiply(drh, rh, out=dr)
         dr *= 1 - r
-        d_zr += was @ dg[t, :2 * w].T
-        d_c += rh @ dc.T
         dh *= 1 - z
         drh *= r
         dh += drh
         dh += u_zr @ dg[t, :2 * w]
-    dg = dg.transpose(0, 2, 1).reshape(-1, 3 * w)
-    grad = {"state": np.concatenate((d_zr, d_c), axis=1), "input": x.T @ dg, "gate": dg.sum(axis=0)}
-    order = np.argsort(before, kind="stable")
+    was = np.concatenate((kept[0][0][None], states[:-1]))
+    d_zr = (was @ dg[:, :2 * w].transpose(0, 2, 1)).sum(axis=0)
+    d_c = (resets @ dg[:, 2 * w:].transpose(0, 2, 1)).sum(axis=0)
+    grad = {"state": np.concatenate((d_zr, d_c), axis=1), "gate": dg.sum(axis=(0, 2)),
+            "input": np.ascontiguousarray((dg @ x.reshape(steps, n, w)).sum(axis=0).T)}
+    order = _by_id(before)
     first = np.flatnonzero(np.diff(before[order], prepend=-1))
-    met_rows["embed"] = before[order[first]], np.add.reduceat((dg @ p["input"].T)[order], first)
+    dx = (dg.transpose(0, 2, 1) @ p["input"].T).reshape(-1, w)
+    met_rows["embed"] = before[order[first]], np.add.reduceat(dx.take(order, axis=0), first)
     return total, grad, met_rows, h.T
 
 
@@ -278,12 +314,12 @@ def score(p: Params, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     h, last = np.zeros((n, w), np.float32), np.full(n, END)
     for begin in range(0, int(size[0]) if n else 0, CARRY):
         states, want, whose = [], [], []
-        for t in range(begin, begin + CARRY):
-            n = int(np.searchsorted(-size, -t))  # texts longer than t
+        longer = np.searchsorted(-size, -np.arange(begin, begin + CARRY)).tolist()  # number of texts longer than t
+        for t, n in enumerate(longer, begin):
             if not n:
                 break
             h = h[:n]
-            g = table[last[:n]]
+            g = table.take(last[:n], axis=0)
             zr = _sigmoid(g[:, :2 * w] + h @ u_zr)
             c = np.tanh(g[:, 2 * w:] + (zr[:, w:] * h) @ u_c)
             h = h + zr[:, :w] * (c - h)

@@ -144,3 +144,30 @@ def test_vocabulary_sizes_the_model():
     states = np.zeros((1, gru.WIDTH))
     got = gru.log_probabilities(p, np.repeat(states, 20002, axis=0), np.arange(20002))
     assert np.exp(got).sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_nodes_of_few_rows_share_products(monkeypatch, scale):
+    """A softmax node met by a few rows has no products of its own; log-softmax
+    and gradients are those of every row by itself."""
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 33, 1, 5, 32, 100, 0, 2, 1] + [1, 2, 3] * 100
+    node = np.repeat(np.arange(len(sizes)), sizes)
+    n, w = len(node), rng.normal(size=(len(sizes), 7, gru.WIDTH + 1)) * scale
+    states, branch = rng.normal(size=(n, gru.WIDTH + 1)), rng.integers(0, 7, n)
+    calls = []
+    for name in ("dot", "matmul"):
+        monkeypatch.setattr(np, name, lambda *a, f=getattr(np, name), **k: (calls.append(1), f(*a, **k))[1])
+    out, met, dw, ds = gru._softmax(w, states, node, branch, slope=True)
+    monkeypatch.undo()
+    assert len(calls) < 60
+    x = np.einsum("nk,nbk->nb", states, w[node])
+    x -= x.max(axis=1, keepdims=True)
+    log = x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    d = np.exp(log) - np.eye(7)[branch]
+    grad = np.zeros_like(w)
+    np.add.at(grad, node, d[:, :, None] * states[:, None])
+    assert sorted(met.tolist()) == sorted(set(node.tolist()))
+    np.testing.assert_allclose(out, log[np.arange(n), branch], rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(dw, grad[met], rtol=1e-9, atol=1e-9 * scale)
+    np.testing.assert_allclose(ds, np.einsum("nb,nbk->nk", d, w[node]), rtol=1e-9, atol=1e-9 * scale)
