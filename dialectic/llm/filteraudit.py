@@ -25,8 +25,12 @@ from pyspark.sql import types as T
 
 from dialectic.llm.frames import running_sums, slices, stored
 
-#: Bytes of text in one shard; a longer text is a shard of its own.
-SHARD_BYTES = 16 << 20
+#: Bytes of text in one shard and in one row of it; a longer text is a shard of its own.
+SHARD_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
+#: A shard's lists are long: pages and row groups are measured at every row, not at every hundredth.
+SMALL_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
+               "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1",
+               "parquet.block.size": str(16 << 20)}
 #: Rows of words that are numbered together, and the most such buckets.
 WORDS_PER_BUCKET, MAX_BUCKETS = 1 << 18, 1 << 16
 #: Bits of a column's number beside its place in a shard.
@@ -44,62 +48,90 @@ COUNTS = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lo
 INTS = T.ArrayType(T.IntegerType())
 
 
-def compressed_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """``(starts, columns, counts, words)`` of texts: row ``r``'s cells are those
-    from ``starts[r]`` to ``starts[r + 1]``, sorted by column; a column numbers a
-    word of ``words``."""
+def _words_in_rows(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of every word of texts, and the words as a dictionary array."""
     cut = pc.ascii_split_whitespace(texts)
-    rows = pc.list_parent_indices(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = pc.list_parent_indices(cut).to_numpy(zero_copy_only=False).astype(np.int32)
     flat = cut.flatten()
     keep = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty word
-    rows, flat = rows[keep.to_numpy(zero_copy_only=False)], flat.filter(keep).dictionary_encode()
-    n_words = max(1, len(flat.dictionary))
-    place = flat.indices.to_numpy()
-    often = np.argsort(-np.bincount(place, minlength=len(flat.dictionary)), kind="stable")
+    return rows[keep.to_numpy(zero_copy_only=False)], flat.filter(keep).dictionary_encode()
+
+
+def compressed_pieces(pieces: list[pa.Array]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], pa.Array]:
+    """``(starts, columns, counts)`` of each piece's texts, and the ``words`` of all:
+    row ``r``'s cells are those from ``starts[r]`` to ``starts[r + 1]``, sorted by
+    column; a column numbers a word of ``words``."""
+    rows, coded = zip(*[_words_in_rows(texts) for texts in pieces])
+    # The words of all pieces, and for each piece the place of its own words in them.
+    whole = pa.concat_arrays([c.dictionary for c in coded]).dictionary_encode()
+    words, places = whole.dictionary, np.split(whole.indices.to_numpy(), np.cumsum([len(c.dictionary) for c in coded])[:-1])
+    n_words = max(1, len(words))
+    uses = np.zeros(len(words), np.int64)
+    for place, c in zip(places, coded):
+        uses[place] += np.bincount(c.indices.to_numpy(), minlength=len(place))
+    often = np.argsort(-uses, kind="stable")
     number = np.empty(len(often), np.int64)
     number[often] = np.arange(len(often))
-    cells = number[place]
-    cells += rows * n_words
-    cells.sort()
-    first = np.flatnonzero(np.diff(cells, prepend=-1))
-    counts, cells = np.diff(np.append(first, len(cells))), cells[first]
-    starts = np.searchsorted(cells, np.arange(len(texts) + 1) * n_words)
-    return (starts.astype(np.int32), (cells % n_words).astype(np.int32), counts.astype(np.int32),
-            flat.dictionary.take(pa.array(often)))
+    out = []
+    for texts, row, place, c in zip(pieces, rows, places, coded):
+        cells = number[place][c.indices.to_numpy()]
+        cells += row.astype(np.int64) * n_words
+        cells.sort()
+        first = np.flatnonzero(np.diff(cells, prepend=-1))
+        counts, cells = np.diff(np.append(first, len(cells))), cells[first]
+        starts = np.searchsorted(cells, np.arange(len(texts) + 1) * n_words)
+        out.append((starts.astype(np.int32), (cells % n_words).astype(np.int32), counts.astype(np.int32)))
+    return out, words.take(pa.array(often))
+
+
+def compressed_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """``(starts, columns, counts, words)`` of texts in one piece."""
+    [rows], words = compressed_pieces([texts])
+    return *rows, words
+
+
+def _flags_and_digests(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Per text the bits of filters C and D, and its SHA-256."""
+    flags, digests = [], []
+    for t, n in zip(texts.cast(pa.binary()), pc.utf8_length(texts).to_pylist()):
+        t = t.as_py()
+        upper = len(t) - len(t.translate(None, UPPER))
+        symbols = len(t.translate(None, SYMBOLS)) != len(t)
+        flags.append((100 * upper > MOST_UPPER_PERCENT * n) * 4 + symbols * 8)
+        digests.append(hashlib.sha256(t).digest())
+    return pa.array(flags, pa.int32()), pa.array(digests, pa.binary())
 
 
 def _local_shards(docs: DataFrame, part: str) -> DataFrame:
     """Shards whose columns are still numbered per shard, with their words and
-    what the other filters need of each document."""
+    what the other filters need of each document. A shard is several rows, each
+    with the cells of some of its documents and some of its words."""
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([
         T.StructField("shard", T.LongType()), T.StructField("doc_id", T.ArrayType(id_type)),
         T.StructField("part", T.ArrayType(T.StringType())), T.StructField("flags", INTS),
         T.StructField("digest", T.ArrayType(T.BinaryType())), T.StructField("starts", INTS),
         T.StructField("cols", INTS), T.StructField("counts", INTS), T.StructField("n_columns", T.LongType()),
-        T.StructField("words", T.ArrayType(T.StringType()))])
+        T.StructField("first_column", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
+
+    def rows(shard: int, whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        pieces = list(slices(whole, "text", PIECE_BYTES))
+        cells, words = compressed_pieces([p.column("text").cast(pa.large_string()) for p in pieces])
+        words, bounds = words.cast(pa.string()), [i * len(words) // len(pieces) for i in range(len(pieces) + 1)]
+        for piece, found, at, end in zip(pieces, cells, bounds, bounds[1:]):
+            flags, digest = _flags_and_digests(piece.column("text"))
+            lists = [piece.column("doc_id"), piece.column("part"), flags, digest, *map(pa.array, found), words[at:end]]
+            *of, named = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard]), *of, pa.array([end - at]), pa.array([at], pa.int32()), named], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for piece in slices(batch, "text", SHARD_BYTES):
-                text = piece.column("text").cast(pa.large_string())
-                starts, cols, counts, words = compressed_rows(text)
-                points = pc.utf8_length(text).to_pylist()
-                data = text.cast(pa.large_binary()).to_pylist()
-                flags = []
-                for t, n in zip(data, points):
-                    upper = len(t) - len(t.translate(None, UPPER))
-                    symbols = len(t.translate(None, SYMBOLS)) != len(t)
-                    flags.append((100 * upper > MOST_UPPER_PERCENT * n) * 4 + symbols * 8)
-                digest = pa.array([hashlib.sha256(t).digest() for t in data], pa.binary())
-                lists = [piece.column("doc_id"), piece.column("part"), pa.array(flags, pa.int32()), digest, pa.array(starts),
-                         pa.array(cols), pa.array(counts), words.cast(pa.string())]
-                doc_id, part, flag, digests, *rest, named = [
-                    pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard]), doc_id, part, flag, digests, *rest, pa.array([len(words)]), named], names=schema.names)
+            for whole in slices(batch, "text", SHARD_BYTES):
+                yield from rows(shard, whole)
                 shard += 1
+            batch = whole = None  # freed before the next one is read
 
     slim = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"),
                        F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
@@ -112,7 +144,8 @@ def _numbered(local: DataFrame) -> DataFrame:
     in one row of each word (else null)."""
     total = local.agg(F.sum("n_columns")).first()[0] or 0
     buckets = int(min(MAX_BUCKETS, 1 + total // WORDS_PER_BUCKET))
-    words = local.select("shard", F.posexplode("words").alias("at", "word"))
+    words = local.select("shard", "first_column", F.posexplode("words").alias("at", "word"))
+    words = words.withColumn("at", F.col("first_column") + F.col("at"))
     words = words.withColumn("_bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
     by_word = Window.partitionBy("_bucket").orderBy("word")
     seen = F.lag("word").over(by_word).eqNullSafe(F.col("word"))
@@ -124,14 +157,15 @@ def term_matrix(docs: DataFrame, part: str = "source") -> tuple[DataFrame, DataF
     """The matrix and its dictionary.
 
     ``dictionary``: ``word, col``, all different words numbered from 0 on without
-    gaps. ``shards``: ``shard``; per document of the shard ``doc_id``, ``part``,
-    ``flags`` and ``digest``; ``starts``, ``cols`` and ``counts`` of its rows;
+    gaps. ``shards``: ``shard``, which several rows may share, each with some of its
+    documents; per document ``doc_id``, ``part``, ``flags`` and ``digest``;
+    ``starts``, ``cols`` and ``counts`` of its row; ``first_column``, 0 in one of a shard's rows at least;
     ``columns``, by which ``columns_of`` maps the shard's own numbers in ``cols`` to
     those of the dictionary. Words are stretches without ASCII white space; a null text is
     empty and has an empty row. A word is one row per shard that holds it,
     however often; one bucket of words is numbered in one task.
     """
-    local = stored(_local_shards(docs, part), "local-shards")
+    local = stored(_local_shards(docs, part), "local-shards", options=SMALL_PAGES)
     numbered = _numbered(local)
     sizes = numbered.groupBy("_bucket").agg(F.max("_nth").cast("long").alias("n"))
     before = running_sums(sizes, ["n"], [], "_bucket").select("_bucket", "n_before")
@@ -160,12 +194,14 @@ def matrix_rows(shards: DataFrame) -> DataFrame:
         T.StructField("digest", T.BinaryType()), T.StructField("n_words", T.LongType()),
         T.StructField("n_distinct", T.LongType()), T.StructField("fails", T.IntegerType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                of = {n: batch.column(n)[i].values for n in batch.schema.names if n != "shard"}
+    def run(shard: pa.Table) -> pa.Table:
+        columns = columns_of(shard.column("columns").drop_null()[0].values.to_numpy(zero_copy_only=False))
+        out = []
+        for piece in shard.to_batches():
+            for i in range(piece.num_rows):
+                of = {n: piece.column(n)[i].values for n in piece.schema.names if n not in ("shard", "columns")}
                 starts = of["starts"].to_numpy(zero_copy_only=False)
-                cells = columns_of(of["columns"].to_numpy(zero_copy_only=False))[of["cols"].to_numpy(zero_copy_only=False)]
+                cells = columns[of["cols"].to_numpy(zero_copy_only=False)]
                 row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
                 cells += row << COLUMN_BITS
                 cells.sort()
@@ -174,11 +210,14 @@ def matrix_rows(shards: DataFrame) -> DataFrame:
                 n_words, n_distinct = np.diff(sums[starts]), np.bincount(row, minlength=len(starts) - 1)
                 fails = (of["flags"].to_numpy(zero_copy_only=False) + (n_words < LEAST_WORDS)
                          + 2 * (100 * n_distinct < LEAST_DISTINCT_PERCENT * n_words)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
+                out.append(pa.RecordBatch.from_arrays(
                     [of["doc_id"], of["part"], of["digest"], pa.array(n_words), pa.array(n_distinct), pa.array(fails)],
-                    names=schema.names)
+                    names=schema.names))
+        return pa.Table.from_batches(out)
 
-    return shards.mapInArrow(run, schema)
+    # Shard by shard, each with one copy of its columns, Python never gets more than a shard at once.
+    once = shards.withColumn("columns", F.when(F.col("first_column") == 0, F.col("columns"))).drop("first_column")
+    return once.groupBy("shard").applyInArrow(run, schema)
 
 
 def failing(docs: DataFrame, part: str = "source") -> DataFrame:

@@ -23,12 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """``df`` written once as Parquet into the shared checkpoint folder (one
-    folder per value of ``by``) and read back: the lineage is cut, and a lost
-    executor re-reads files."""
+    folder per value of ``by``; with the writer's ``options``) and read back: the
+    lineage is cut, and a lost executor re-reads files."""
     path = scratch_dir(df.sparkSession, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -97,6 +97,35 @@ def test_matrix_holds_every_word_once(spark):
     assert sorted(seen) == sorted((str(i), sorted(WORD.findall(t or ""))) for i, t, _ in table)
 
 
+def test_a_shard_is_several_small_rows(spark, monkeypatch):
+    monkeypatch.setattr(fa, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(fa, "PIECE_BYTES", 500)
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choices([f"w{i}" for i in range(60)], k=rnd.choice([0, 3, 40, 70]))) for _ in range(200)] + ["x y " * 400]
+    shards, numbered = fa.term_matrix(docs(spark, texts).coalesce(1))
+    word_of, of = {r.col: r.word for r in numbered.collect()}, {}
+    assert len(word_of) == len(set(" ".join(texts).split()))
+    for s in shards.collect():
+        assert len(s.doc_id) == 1 or sum(len(texts[i]) + 1 for i in s.doc_id) <= 500
+        columns = fa.columns_of(np.array(s.columns, np.int64))
+        assert {word_of[columns[c]] for c in s.cols} == set(" ".join(texts[i] for i in s.doc_id).split())
+        of.setdefault(s.shard, []).append(s)
+    assert len(of) < 10 and max(map(len, of.values())) > 5
+    assert all(len({tuple(s.columns) for s in x}) == 1 and 0 in [s.first_column for s in x] for x in of.values())
+    got = {r.doc_id: (r.n_words, r.n_distinct) for r in fa.matrix_rows(shards).collect()}
+    assert got == {i: (len(t.split()), len(set(t.split()))) for i, t in enumerate(texts)}
+
+
+def test_pieces_are_numbered_as_one():
+    texts = pa.array(["b a b", "", "c a", "a\x0bc d", "b"], pa.large_string())
+    *whole, words = fa.compressed_rows(texts)
+    pieces, same_words = fa.compressed_pieces([texts[:2], texts[2:3], texts[3:]])
+    assert words.equals(same_words)
+    assert [x for _, cols, _ in pieces for x in cols.tolist()] == whole[1].tolist()
+    assert [x for _, _, counts in pieces for x in counts.tolist()] == whole[2].tolist()
+    assert [starts.tolist() for starts, _, _ in pieces] == [[0, 2, 2], [0, 2], [0, 3, 4]]
+
+
 def test_rows_of_a_slice():
     starts, cols, counts, words = fa.compressed_rows(pa.array(["b a b", "", " \n", "a\x0bc"], pa.large_string()))
     assert starts.tolist() == [0, 2, 2, 2, 4] and counts.tolist() == [2, 1, 1, 1]
