@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialectic.llm.frames import running_sums, slices, stored
+from dialectic.llm.frames import arrow_bytes, running_sums, slices, stored
 
 #: Bytes of text in one shard and in one row of it; a longer text is a shard of its own.
 SHARD_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
+#: Bytes that go to Python at once.
+BATCH_BYTES = 4 << 20
 #: A shard's lists are long: pages and row groups are measured at every row, not at every hundredth.
 SMALL_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
                "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1",
@@ -114,8 +116,7 @@ def _local_shards(docs: DataFrame, part: str) -> DataFrame:
         T.StructField("cols", INTS), T.StructField("counts", INTS), T.StructField("n_columns", T.LongType()),
         T.StructField("first_column", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
 
-    def rows(shard: int, whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        pieces = list(slices(whole, "text", PIECE_BYTES))
+    def rows(shard: int, pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, words = compressed_pieces([p.column("text").cast(pa.large_string()) for p in pieces])
         words, bounds = words.cast(pa.string()), [i * len(words) // len(pieces) for i in range(len(pieces) + 1)]
         for piece, found, at, end in zip(pieces, cells, bounds, bounds[1:]):
@@ -126,12 +127,17 @@ def _local_shards(docs: DataFrame, part: str) -> DataFrame:
                 [pa.array([shard]), *of, pa.array([end - at]), pa.array([at], pa.int32()), named], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() << 32
+        shard, pieces, held = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for whole in slices(batch, "text", SHARD_BYTES):
-                yield from rows(shard, whole)
-                shard += 1
-            batch = whole = None  # freed before the next one is read
+            for piece in slices(batch, "text", PIECE_BYTES):
+                size = pc.sum(pc.binary_length(piece.column("text"))).as_py() + piece.num_rows
+                if pieces and held + size > SHARD_BYTES:
+                    yield from rows(shard, pieces)
+                    shard, pieces, held = shard + 1, [], 0
+                pieces.append(piece)
+                held += size
+        if pieces:
+            yield from rows(shard, pieces)
 
     slim = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"),
                        F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
@@ -165,7 +171,8 @@ def term_matrix(docs: DataFrame, part: str = "source") -> tuple[DataFrame, DataF
     empty and has an empty row. A word is one row per shard that holds it,
     however often; one bucket of words is numbered in one task.
     """
-    local = stored(_local_shards(docs, part), "local-shards", options=SMALL_PAGES)
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+        local = stored(_local_shards(docs, part), "local-shards", options=SMALL_PAGES)
     numbered = _numbered(local)
     sizes = numbered.groupBy("_bucket").agg(F.max("_nth").cast("long").alias("n"))
     before = running_sums(sizes, ["n"], [], "_bucket").select("_bucket", "n_before")
@@ -224,7 +231,9 @@ def failing(docs: DataFrame, part: str = "source") -> DataFrame:
     """``matrix_rows`` of ``docs`` with the bit of filter E (16) set where some
     row with a smaller id has the same text. A null id is smaller than none and
     has no smaller one."""
-    rows = stored(matrix_rows(term_matrix(docs, part)[0]), "matrix-rows")
+    shards = term_matrix(docs, part)[0]
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+        rows = stored(matrix_rows(shards), "matrix-rows")
     first = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_first"))
     first = stored(first.filter(F.col("_n") > 1), "copies")
     # Texts with very many copies are broadcast (at most MAX_HOT rows), so that

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,20 @@ def stored(df: DataFrame, name: str, by: str | None = None, options: dict[str, s
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, limit: int) -> Iterator[None]:
+    """What runs inside gives Python's workers batches of about ``limit`` bytes (whole
+    rows, at least one); Spark and a worker hold a batch several times over. The
+    session's own limit is put back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with as many underscores in front as it takes to differ from all
     of ``taken`` (Spark's column names do not tell upper from lower case)."""
