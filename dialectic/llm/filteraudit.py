@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialectic.llm.frames import arrow_bytes, running_sums, slices, stored
+from dialectic.llm.frames import arrow_bytes, drop_shuffles, running_sums, slices, stored
 
 #: Bytes of text in one shard and in one row of it; a longer text is a shard of its own.
 SHARD_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
@@ -174,6 +174,7 @@ def term_matrix(docs: DataFrame, part: str = "source") -> tuple[DataFrame, DataF
     with arrow_bytes(docs.sparkSession, BATCH_BYTES):
         local = stored(_local_shards(docs, part), "local-shards", options=SMALL_PAGES)
     numbered = _numbered(local)
+    drop_shuffles(docs.sparkSession)  # of all words: about the input's size
     sizes = numbered.groupBy("_bucket").agg(F.max("_nth").cast("long").alias("n"))
     before = running_sums(sizes, ["n"], [], "_bucket").select("_bucket", "n_before")
     numbered = numbered.join(F.broadcast(before), "_bucket").select(
