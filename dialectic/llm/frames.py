@@ -47,12 +47,6 @@ def arrow_bytes(spark: SparkSession, limit: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of queries that are done: it does so once the
-    driver's JVM has collected what stood for them, which may else be much later."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with as many underscores in front as it takes to differ from all
     of ``taken`` (Spark's column names do not tell upper from lower case)."""
